@@ -9,7 +9,6 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,14 +48,26 @@ def blobs(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
-def arrow_schema(ddl: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
+def squeezed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with texts as Zstandard frames, for exchanges that carry whole texts; null stays null."""
+    import zstandard
 
-    return to_arrow_schema(T._parse_datatype_string(ddl) if not isinstance(ddl, T.StructType) else ddl)
+    def make(batch: pa.RecordBatch) -> Iterator[dict]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        yield {"doc_id": batch.column(0), "text": [x if x is None else pack(x) for x in batch.column(1).cast(pa.binary()).to_pylist()]}
+
+    return map_batches(id_and_text(docs), "doc_id long,text binary", make)
+
+
+def unsqueezed(column: pa.Array) -> list[bytes]:
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [b"" if x is None else unpack(x) for x in column.to_pylist()]
 
 
 #: Spark's simple types as Arrow's, for the flat results of mapInArrow.
-ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
+ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64())}
 
 
 def map_batches(df: DataFrame, ddl: str, make: Callable[[pa.RecordBatch], Iterator[dict]]) -> DataFrame:

@@ -8,12 +8,14 @@ are still together after the last pass are exactly the repeated windows:
 1. the least 16-byte gram of the window.  Neighbouring suffixes share it, so a
    whole run of them travels as one row (about one row for 40 bytes), and runs
    with one wording need no further pass;
-2. the 85 bytes that up to 16 neighbouring windows have in common, where runs
-   differ (the border of a repeated passage);
-3. the window's remaining 15 bytes.
-
-Each pass is an aggregation with map-side combining and an inner join back, so
-a digit that a third of all rows share is pre-aggregated and AQE can split it.
+2. where runs of one gram differ (the border of a repeated passage): the first
+   half of the window;
+3. its second half.
+
+The first pass is an aggregation with map-side combining and a join back, so a
+gram that a third of all rows share is pre-aggregated and AQE can split it.
+Groups that are small by then are sorted through the other digits inside a
+task; the others take a distributed pass for each digit.
 """
 
 from __future__ import annotations
@@ -27,11 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm import runs
-from leafmill.llm.common import blobs, id_and_text, map_batches, settle, table
+from leafmill.llm.common import blobs, id_and_text, map_batches, settle, squeezed, table, unsqueezed
 
 SIZE = 100
 GRAM = 16
-STEP = 16
+#: A group of so many runs and suffixes at most is sorted inside one task.
+RUNS, SUFFIXES = 64, 1 << 17
 
 
 def _byte_runs(size: int, gram: int):
@@ -45,54 +48,79 @@ def _byte_runs(size: int, gram: int):
     return make
 
 
-def _leftmost(grams: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
-    """Position of the least gram of each window, the leftmost of equals."""
-    out = np.empty(len(start), np.int64)
-    reach = np.arange(width)
-    for a in range(0, len(start), 4096):
-        part = start[a : a + 4096]
-        out[a : a + 4096] = part + grams[part[:, None] + reach].argmin(1)
-    return out
+def _wording(size: int):
+    """The bytes that each run covers: (doc_id, lo, key, body)."""
+
+    def make(batch: pa.RecordBatch) -> Iterator[dict]:
+        names = ("doc_id", "lo", "n", "key", "small")
+        out: dict[str, list] = {x: [] for x in (*names, "body")}
+        for doc, text, *rows in zip(batch.column("doc_id").to_pylist(), unsqueezed(batch.column("text")), *(batch.column(x).to_pylist() for x in names[1:]), strict=True):
+            for lo, n, key, small in zip(*rows, strict=True):
+                if len(body := text[lo : lo + abs(n) - 1 + size]) >= size:
+                    for x, y in zip(out, (doc, lo, len(body) - size + 1, key, small, body), strict=True):
+                        out[x].append(y)
+        yield out
+
+    return make
+
+
+def _digits(bodies: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each window of each run: the run, its start there, and the hashes of its two halves."""
+    bounds = np.cumsum([0, *map(len, bodies)])
+    n = np.diff(bounds) - size + 1
+    run = np.repeat(np.arange(len(n)), n)
+    start = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+    at = bounds[run] + start
+    span = runs.Prefix(runs.BYTE[np.frombuffer(b"".join(bodies), np.uint8)])
+    return run, start, span(at, at + size // 2), span(at + size // 2, at + size)
+
+
+def _sorted_in_task(size: int):
+    """Rows come sorted by key, doc_id and lo, all runs of a key together; yields the suffixes that are equal to one before."""
+
+    def find(rows: pa.Table) -> pa.RecordBatch:
+        key, doc, lo = (rows.column(x).to_numpy() for x in ("key", "doc_id", "lo"))
+        run, start, one, two = _digits(rows.column("body").to_pylist(), size)
+        order = np.lexsort((np.arange(len(run)), two, one, key[run]))  # stable: earlier runs, earlier starts first
+        same = np.zeros(len(run), bool)
+        k, a, b = key[run][order], one[order], two[order]
+        same[1:] = (k[1:] == k[:-1]) & (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+        hit = np.sort(order[same])
+        new = np.ones(len(hit), bool)
+        new[1:] = (run[hit][1:] != run[hit][:-1]) | (start[hit][1:] != start[hit][:-1] + 1)
+        first = np.flatnonzero(new)
+        n = np.diff(np.append(first, len(hit)))
+        hit = hit[first]
+        return pa.RecordBatch.from_arrays([pa.array(doc[run[hit]], pa.int64()), pa.array(lo[run[hit]] + start[hit], pa.int32()), pa.array(n, pa.int32())], ["doc_id", "lo", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            for piece in (batch.slice(i, 2048) for i in range(0, batch.num_rows, 2048)):
+                key = piece.column(piece.schema.get_field_index("key")).to_numpy()
+                cut = int(np.searchsorted(key, key[-1]))  # the last key may go on
+                if cut or (held and held[-1].column("key")[-1].as_py() != key[0]):
+                    held.append(piece.slice(0, cut))
+                    yield find(pa.Table.from_batches(held))
+                    held = []
+                held.append(piece.slice(cut))
+        if held and sum(x.num_rows for x in held):
+            yield find(pa.Table.from_batches(held))
 
+    return run
 
-def _borders(size: int, gram: int, step: int):
-    """Second digit: groups of up to ``step`` neighbouring windows, with what they share and what they add to it."""
 
+def _suffixes(size: int):
     def make(batch: pa.RecordBatch) -> Iterator[dict]:
-        ids, texts = batch.column("doc_id").to_pylist(), blobs(batch.column("text"))
-        for doc, text, lo, n, key in zip(ids, texts, *(batch.column(x).to_pylist() for x in ("lo", "n", "key")), strict=True):
-            units = runs.BYTE[np.frombuffer(text, np.uint8)]
-            if len(units) < size:
-                continue
-            span = runs.Prefix(units)
-            at = np.arange(len(units) - gram + 1)
-            grams = span(at, at + gram)
-            lo, n, key = np.array(lo), np.abs(np.array(n)), np.array(key, np.int64)
-            ok = lo + n - 1 + size <= len(units)
-            lo, n, key = lo[ok], n[ok], key[ok]
-            if not len(lo):
-                continue
-            run = np.repeat(np.arange(len(lo)), n)
-            start = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n) + lo[run]
-            pivot = _leftmost(grams, start, size - gram + 1)
-            part = (pivot - start) // step
-            new = np.ones(len(start), bool)
-            new[1:] = (run[1:] != run[:-1]) | (pivot[1:] != pivot[:-1]) | (part[1:] != part[:-1])
-            s0 = np.flatnonzero(new)
-            s1 = np.append(s0[1:], len(start)) - 1
-            c0 = pivot[s0] - step * part[s0]
-            c1 = c0 - (step - 1) + size
-            core = runs.mixed(span(c0, c1) + part[s0].astype(np.uint64) * runs.BASE)
-            yield {
-                "doc_id": np.full(len(s0), doc), "at": start[s0], "n": s1 - s0 + 1, "key": key[run[s0]], "core": core.view(np.int64),
-                "head": [text[a:b] for a, b in zip(start[s0].tolist(), c0.tolist(), strict=True)],
-                "tail": [text[a : b + size] for a, b in zip(c1.tolist(), start[s1].tolist(), strict=True)],
-            }
+        doc, lo, key = (batch.column(x).to_numpy() for x in ("doc_id", "lo", "key"))
+        for i in range(0, batch.num_rows, 256):
+            run, start, one, two = _digits(batch.column("body").slice(i, 256).to_pylist(), size)
+            yield {"doc_id": doc[i + run], "lo": lo[i + run] + start, "key": key[i + run], "one": one.view(np.int64), "two": two.view(np.int64)}
 
     return make
 
 
-def repeated_spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM, step: int = STEP) -> DataFrame:
+def repeated_spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
     """(doc_id, lo, n): the windows lo, lo + 1, ... lo + n - 1 of a document also start earlier.
 
     Earlier: in a smaller doc_id, or before in the same document.  Rows with a
@@ -100,29 +128,26 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM, step: in
     """
     known = id_and_text(docs).where("doc_id is not null and octet_length(text) >= " + str(size))
     found = map_batches(known, "doc_id long,lo int,n int,key long,body long", _byte_runs(size, gram))
-    # First digit.  Keys of a single run leave, but for runs that repeat within themselves.
+    # First digit.  Grams of a single run leave, but for runs that repeat within themselves.
     shared = found.groupBy("key").agg(F.count("*").alias("rows"), F.min("n").alias("least")).where("rows > 1 or least < 0").select("key")
     hot = settle(found.join(shared, "key"))
-    mixed = hot.groupBy("key").agg(((F.min("body") != F.max("body")) | (F.min("n") < 0)).alias("mixed"))
-    first = hot.groupBy("key", "body").agg(F.min(F.struct("doc_id", "lo")).alias("first"))
-    first = first.join(mixed, "key")
-    judged = settle(hot.join(first, ["key", "body"]).select("doc_id", "lo", "n", "key", "mixed", (F.struct("doc_id", "lo") > F.col("first")).alias("later")).where("later or mixed"))
-    # Second digit, for one run of each wording where a key has several.
-    kept = judged.where("not later").distinct().groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n", "key")).alias("r"))
-    texts = known.join(kept, "doc_id").select("doc_id", "text", F.col("r.lo").alias("lo"), F.col("r.n").alias("n"), F.col("r.key").alias("key"))
-    border = settle(map_batches(texts, "doc_id long,at int,n int,key long,core long,head binary,tail binary", _borders(size, gram, step)))
-    shared = border.groupBy("key", "core").agg(F.count("*").alias("rows")).where("rows > 1").select("key", "core")
-    windows = (
-        border.join(shared, ["key", "core"])
-        .select("doc_id", "at", "key", "core", "head", "tail", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-        .select("doc_id", (F.col("at") + F.col("i")).alias("lo"), "key", "core", F.expr("substring(head, i + 1)").alias("head"), F.expr(f"substring(tail, 1, {step - 1} - octet_length(head) + i)").alias("tail"))
-    )
-    # Third digit: what is still equal is a repeated window.
-    windows = settle(windows)
-    rest = ["key", "core", "head", "tail"]
-    earliest = windows.groupBy(*rest).agg(F.min(F.struct("doc_id", "lo")).alias("first"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
-    single = windows.join(earliest, rest).where(F.struct("doc_id", "lo") > F.col("first")).select("doc_id", "lo", F.lit(1).alias("n"))
-    return judged.where("later").select("doc_id", "lo", F.abs("n").alias("n")).union(single)
+    first = settle(hot.groupBy("key", "body").agg(F.min(F.struct("doc_id", "lo")).alias("first"), F.min("n").alias("n")))
+    wordings = first.groupBy("key").agg(F.count("*").alias("runs"), F.sum(F.abs("n")).alias("suffixes"), F.min("n").alias("least"))
+    wordings = wordings.select("key", F.expr("runs > 1 or least < 0").alias("open"), F.expr(f"runs <= {RUNS} and suffixes <= {SUFFIXES}").alias("small"))
+    first = first.drop("n").join(wordings, "key")
+    judged = settle(hot.join(first, ["key", "body"]).select("doc_id", "lo", "n", "key", "open", "small", (F.struct("doc_id", "lo") > F.col("first")).alias("later")).where("later or open"))
+    # Further digits, for the first run of each wording where a gram has several.
+    kept = judged.where("not later").select("doc_id", "lo", "n", "key", "small").distinct()
+    kept = kept.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n", "key", "small")).alias("r")).select("doc_id", *[F.col(f"r.{x}").alias(x) for x in ("lo", "n", "key", "small")])
+    bodies = settle(map_batches(squeezed(known).join(kept, "doc_id"), "doc_id long,lo int,n int,key long,small boolean,body binary", _wording(size)))
+    parts = bodies.where("small").select("doc_id", "lo", "key", "body")
+    inside = parts.repartition("key").sortWithinPartitions("key", "doc_id", "lo").mapInArrow(_sorted_in_task(size), "doc_id long,lo int,n int")
+    open_ = settle(map_batches(bodies.where("not small"), "doc_id long,lo int,key long,one long,two long", _suffixes(size)))
+    for by in (["key", "one"], ["key", "one", "two"]):
+        groups = open_.groupBy(*by).agg(F.count("*").alias("rows"), F.min(F.struct("doc_id", "lo")).alias("first")).where("rows > 1")
+        open_ = open_.join(groups.select(*by, *["first"] * (by[-1] == "two")), by)
+    across = open_.where(F.struct("doc_id", "lo") > F.col("first")).select("doc_id", "lo", F.lit(1).alias("n"))
+    return judged.where("later").select("doc_id", "lo", F.abs("n").alias("n")).union(inside).union(across)
 
 
 def merged(lo: list[int] | None, n: list[int] | None, size: int, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,7 +184,7 @@ def digests(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
     def make(batch: pa.RecordBatch) -> Iterator[dict]:
         out: dict[str, list] = {"doc_id": batch.column("doc_id"), "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
-        for text, lo, n in zip(blobs(batch.column("text")), batch.column("lo").to_pylist(), batch.column("n").to_pylist(), strict=True):
+        for text, lo, n in zip(unsqueezed(batch.column("text")), batch.column("lo").to_pylist(), batch.column("n").to_pylist(), strict=True):
             a, b = merged(lo, n, size, len(text))
             out["n_bytes"].append(len(text))
             out["n_removed"].append(int((b - a).sum()))
@@ -167,7 +192,7 @@ def digests(docs: DataFrame, size: int = SIZE) -> DataFrame:
             out["kept_sha256"].append(hashlib.sha256(_kept(text, a, b)).hexdigest())
         yield out
 
-    rows = with_spans(id_and_text(docs), repeated_spans(docs, size)).select("doc_id", "text", "lo", "n")
+    rows = with_spans(squeezed(docs), repeated_spans(docs, size)).select("doc_id", "text", "lo", "n")
     return map_batches(rows, "doc_id long,n_bytes long,n_removed long,n_spans long,kept_sha256 string", make)
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm import runs
-from leafmill.llm.common import blobs, id_and_text, map_batches, settle, table
+from leafmill.llm.common import blobs, id_and_text, map_batches, settle, squeezed, table, unsqueezed
 from leafmill.llm.suffix_repeats import merged, with_spans
 
 SIZE = 13
@@ -43,7 +43,7 @@ def _word_runs(size: int, level: int):
 
 def _candidates(size: int, level: int):
     def make(batch: pa.RecordBatch) -> Iterator[dict]:
-        ids, texts = batch.column("doc_id").to_pylist(), blobs(batch.column("text"))
+        ids, texts = batch.column("doc_id").to_pylist(), unsqueezed(batch.column("text"))
         for doc, text, lo, n, key in zip(ids, texts, *(batch.column(x).to_pylist() for x in ("lo", "n", "key")), strict=True):
             units, _ = runs.word_units(text, np.array([0, len(text)]))
             lo, n, key = np.array(lo), np.abs(np.array(n)), np.array(key, np.int64)
@@ -68,11 +68,11 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, level: int = LEVEL) -> Dat
     across = [F.min("doc_id").alias("a"), F.max("doc_id").alias("b")]
     shared = found.groupBy("key").agg(*across).where("a < b").select("key")
     hot = settle(found.join(shared, "key"))
-    mixed = hot.groupBy("key").agg((F.min("body") != F.max("body")).alias("mixed"))
-    first = hot.groupBy("key", "body").agg(F.min("doc_id").alias("first")).join(mixed, "key")
+    first = settle(hot.groupBy("key", "body").agg(F.min("doc_id").alias("first")))
+    first = first.join(first.groupBy("key").agg((F.count("*") > 1).alias("mixed")), "key")
     judged = settle(hot.join(first, ["key", "body"]).select("doc_id", "lo", "n", "key", "mixed", (F.col("doc_id") > F.col("first")).alias("later")).where("later or mixed"))
     kept = judged.where("not later").distinct().groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n", "key")).alias("r"))
-    texts = known.join(kept, "doc_id").select("doc_id", "text", F.col("r.lo").alias("lo"), F.col("r.n").alias("n"), F.col("r.key").alias("key"))
+    texts = squeezed(known).join(kept, "doc_id").select("doc_id", "text", F.col("r.lo").alias("lo"), F.col("r.n").alias("n"), F.col("r.key").alias("key"))
     open_ = settle(map_batches(texts, "doc_id long,lo int,key long,twice long,whole long", _candidates(size, level)))
     for by in (["key", "twice"], ["key", "twice", "whole"]):
         last = by[-1] == "whole"
@@ -100,14 +100,14 @@ def digests(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
     def make(batch: pa.RecordBatch) -> Iterator[dict]:
         out: dict[str, list] = {"doc_id": batch.column("doc_id"), "n_words": [], "n_removed": [], "kept_sha256": []}
-        for text, lo, n in zip(blobs(batch.column("text")), batch.column("lo").to_pylist(), batch.column("n").to_pylist(), strict=True):
+        for text, lo, n in zip(unsqueezed(batch.column("text")), batch.column("lo").to_pylist(), batch.column("n").to_pylist(), strict=True):
             words, removed, kept = _cut(text, lo, n, size)
             out["n_words"].append(words)
             out["n_removed"].append(removed)
             out["kept_sha256"].append(hashlib.sha256(b" ".join(kept)).hexdigest())
         yield out
 
-    rows = with_spans(id_and_text(docs), repeated_spans(docs, size)).select("doc_id", "text", "lo", "n")
+    rows = with_spans(squeezed(docs), repeated_spans(docs, size)).select("doc_id", "text", "lo", "n")
     return map_batches(rows, "doc_id long,n_words long,n_removed long,kept_sha256 string", make)
 
 
