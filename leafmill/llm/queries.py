@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from leafmill.llm.packing import op5_packing
 from leafmill.llm.simhash_trie import op1_simhash_trie
 from leafmill.llm.suffix_repeats import op7_suffix_repeats
+from leafmill.llm.tokens import op9_token_counts
 from leafmill.llm.word_repeats import op10_word_repeats
 
-QUERIES = {f.__name__: f for f in (op1_simhash_trie, op7_suffix_repeats, op10_word_repeats)}
+QUERIES = {f.__name__: f for f in (op1_simhash_trie, op5_packing, op7_suffix_repeats, op9_token_counts, op10_word_repeats)}
 
 ORACLE_SQL: dict[str, str] = {}
