@@ -34,7 +34,7 @@ from leafmill.llm.common import blobs, id_and_text, map_batches, settle, squeeze
 SIZE = 100
 GRAM = 16
 #: A group of so many runs and suffixes at most is sorted inside one task.
-RUNS, SUFFIXES = 64, 1 << 17
+RUNS, SUFFIXES = 4096, 1 << 19
 
 
 def _byte_runs(size: int, gram: int):
@@ -137,8 +137,7 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataF
     first = first.drop("n").join(wordings, "key")
     judged = settle(hot.join(first, ["key", "body"]).select("doc_id", "lo", "n", "key", "open", "small", (F.struct("doc_id", "lo") > F.col("first")).alias("later")).where("later or open"))
     # Further digits, for the first run of each wording where a gram has several.
-    kept = judged.where("not later").select("doc_id", "lo", "n", "key", "small").distinct()
-    kept = kept.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n", "key", "small")).alias("r")).select("doc_id", *[F.col(f"r.{x}").alias(x) for x in ("lo", "n", "key", "small")])
+    kept = judged.where("not later").groupBy("doc_id").agg(F.collect_set(F.struct("lo", "n", "key", "small")).alias("r")).select("doc_id", *[F.col(f"r.{x}").alias(x) for x in ("lo", "n", "key", "small")])
     bodies = settle(map_batches(squeezed(known).join(kept, "doc_id"), "doc_id long,lo int,n int,key long,small boolean,body binary", _wording(size)))
     parts = bodies.where("small").select("doc_id", "lo", "key", "body")
     inside = parts.repartition("key").sortWithinPartitions("key", "doc_id", "lo").mapInArrow(_sorted_in_task(size), "doc_id long,lo int,n int")

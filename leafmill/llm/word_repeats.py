@@ -71,7 +71,7 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, level: int = LEVEL) -> Dat
     first = settle(hot.groupBy("key", "body").agg(F.min("doc_id").alias("first")))
     first = first.join(first.groupBy("key").agg((F.count("*") > 1).alias("mixed")), "key")
     judged = settle(hot.join(first, ["key", "body"]).select("doc_id", "lo", "n", "key", "mixed", (F.col("doc_id") > F.col("first")).alias("later")).where("later or mixed"))
-    kept = judged.where("not later").distinct().groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n", "key")).alias("r"))
+    kept = judged.where("not later").groupBy("doc_id").agg(F.collect_set(F.struct("lo", "n", "key")).alias("r"))
     texts = squeezed(known).join(kept, "doc_id").select("doc_id", "text", F.col("r.lo").alias("lo"), F.col("r.n").alias("n"), F.col("r.key").alias("key"))
     open_ = settle(map_batches(texts, "doc_id long,lo int,key long,twice long,whole long", _candidates(size, level)))
     for by in (["key", "twice"], ["key", "twice", "whole"]):
