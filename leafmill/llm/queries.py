@@ -7,8 +7,9 @@ from leafmill.llm.quality import op8_quality
 from leafmill.llm.simhash_trie import op1_simhash_trie
 from leafmill.llm.suffix_repeats import op7_suffix_repeats
 from leafmill.llm.tokens import op9_token_counts
+from leafmill.llm.toxicity import op2_toxicity
 from leafmill.llm.word_repeats import op10_word_repeats
 
-QUERIES = {f.__name__: f for f in (op1_simhash_trie, op5_packing, op7_suffix_repeats, op8_quality, op9_token_counts, op10_word_repeats)}
+QUERIES = {f.__name__: f for f in (op1_simhash_trie, op2_toxicity, op5_packing, op7_suffix_repeats, op8_quality, op9_token_counts, op10_word_repeats)}
 
 ORACLE_SQL: dict[str, str] = {}
