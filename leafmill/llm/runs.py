@@ -110,28 +110,27 @@ def runs_of(units: np.ndarray, bounds: np.ndarray, size: int, gram: int) -> dict
     }
 
 
-def word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+``."""
-    b = np.frombuffer(text, np.uint8)
-    inside = np.zeros(len(b) + 2, bool)
-    inside[1:-1] = (b != 32) & ((b < 9) | (b > 13))
-    edge = np.flatnonzero(inside[1:] != inside[:-1])
-    return edge[::2], edge[1::2]
-
+#: Bytes of a word, and their values: as they are, or letters and digits with A-Z as a-z.
+SPACED = np.array([b != 32 and not 9 <= b <= 13 for b in range(256)])
+LETTERS = np.array([b > 127 or chr(b).isalnum() for b in range(256)])
+FOLDED = BYTE[[ord(chr(b).lower()) if b < 128 else b for b in range(256)]]
 
-def word_units(text: bytes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit value for each word of several texts end to end, and the texts' bounds in words.
 
-    A word never crosses from one text to the next.
-    """
+def word_spans(text: bytes, bounds: np.ndarray, within: np.ndarray = SPACED) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of several texts end to end; a word never crosses from one text to the next."""
     b = np.frombuffer(text, np.uint8)
     inside = np.zeros(len(b) + 1, bool)
-    inside[:-1] = (b != 32) & ((b < 9) | (b > 13))
+    inside[:-1] = within[b]
     opens = inside.copy()
     opens[1:] &= ~inside[:-1]
     cut = bounds[(bounds > 0) & (bounds < len(b))]
     opens[cut] = inside[cut]
     start = np.flatnonzero(opens)
     closes = inside[:-1] & (~inside[1:] | opens[1:])
-    end = np.flatnonzero(closes) + 1
-    return Prefix(BYTE[b])(start, end), np.searchsorted(start, bounds)
+    return start, np.flatnonzero(closes) + 1
+
+
+def word_units(text: bytes, bounds: np.ndarray, within: np.ndarray = SPACED, values: np.ndarray = BYTE) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit value for each word of several texts end to end, and the texts' bounds in words."""
+    start, end = word_spans(text, bounds, within)
+    return Prefix(values[np.frombuffer(text, np.uint8)])(start, end), np.searchsorted(start, bounds)

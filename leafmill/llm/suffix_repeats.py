@@ -144,7 +144,7 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataF
     open_ = settle(map_batches(bodies.where("not small"), "doc_id long,lo int,key long,one long,two long", _suffixes(size)))
     for by in (["key", "one"], ["key", "one", "two"]):
         groups = open_.groupBy(*by).agg(F.count("*").alias("rows"), F.min(F.struct("doc_id", "lo")).alias("first")).where("rows > 1")
-        open_ = open_.join(groups.select(*by, *["first"] * (by[-1] == "two")), by)
+        open_ = settle(open_.join(groups.select(*by, *["first"] * (by[-1] == "two")), by))
     across = open_.where(F.struct("doc_id", "lo") > F.col("first")).select("doc_id", "lo", F.lit(1).alias("n"))
     return judged.where("later").select("doc_id", "lo", F.abs("n").alias("n")).union(inside).union(across)
 

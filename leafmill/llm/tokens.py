@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from leafmill.llm.common import blobs, id_and_text, map_batches, table
+from leafmill.llm.runs import word_spans
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
@@ -106,9 +107,7 @@ def prefix_counts(text: bytes, known: Chunks) -> np.ndarray:
 
 def chunk_ends(text: bytes) -> np.ndarray:
     """Bytes of the prefix that ends with the k-th chunk; 0 for k = 0."""
-    from leafmill.llm.runs import word_bounds
-
-    return np.append(0, word_bounds(text)[1])
+    return np.append(0, word_spans(text, np.array([0, len(text)]))[1])
 
 
 def fits(counts: np.ndarray, ends: np.ndarray, budget: int) -> int:
