@@ -1,6 +1,421 @@
-"""Queries over the supplied tables, each with the SQL that DuckDB checks it by."""
+"""Queries over the supplied tables, each with the SQL that DuckDB checks it by.
+
+Every query applies an operator of ``leafmill.operators`` or ``functions`` to a
+projection of the tables; the SQL is written on its own.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from leafmill import constants as C
+from leafmill.functions import geometry as G
+from leafmill.functions import text as X
+from leafmill.operators import pages as P
+from leafmill.operators import spans as S
+from leafmill.plans import synth
+from leafmill.plans.synth import LINES_SQL, SPANS_SQL, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plan for each nation: its own page, the two after it, and its own again."""
+    k = F.col("n_nationkey").cast("int")
+    return table(spark, sf_dir, "nation").select(k.alias("group_id"), F.array(k + 1, k + 2, k + 3, k + 1).alias("pages"))
+
+
+# Page algebra
+
+
+@query(
+    """WITH r AS (SELECT n_nationkey AS nation, n_nationkey % 7 + 1 AS a, n_nationkey % 7 + 3 AS b, n_nationkey + 1 AS c FROM nation)
+    SELECT DISTINCT nation::INT AS nation, unnest(list_concat(range(a, b + 1), [c]))::BIGINT AS page FROM r"""
+)
+def page_range_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    text = F.concat((k % 7 + 1).cast("string"), F.lit(" - "), (k % 7 + 3).cast("string"), F.lit("， "), (k + 1).cast("string"))
+    read = table(spark, sf_dir, "nation").select(k.cast("int").alias("nation"), P.page_range(text, F.lit(40)).alias("r"))
+    return read.select("nation", F.explode("r.pages").alias("page"))
+
+
+@query(
+    """WITH p AS (SELECT n_nationkey AS k, unnest([1, 2, 3, 4]) AS i FROM nation)
+    SELECT k::INT AS group_id, (i - 1)::INT AS pos, (CASE i WHEN 4 THEN k + 1 ELSE k + i END)::INT AS page, d.n_chars AS n_chars
+    FROM p JOIN documents d ON d.doc_id = CASE i WHEN 4 THEN k + 1 ELSE k + i END"""
+)
+def page_plan_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("int").alias("page"), "n_chars")
+    return P.plan_pages(_plan(spark, sf_dir), pages).select("group_id", "pos", "page", "n_chars")
+
+
+@query(
+    """WITH p AS (SELECT unnest([n_nationkey + 1, n_nationkey + 2, n_nationkey + 3, n_nationkey + 1]) AS page FROM nation)
+    SELECT page::INT AS page, count(*) AS times FROM p GROUP BY page"""
+)
+def page_multiplicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.multiplicity(_plan(spark, sf_dir))
+
+
+@query("""SELECT source, doc_id, row_number() OVER (ORDER BY source, doc_id) AS position FROM documents""")
+def ordered_page_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id")
+    return P.ordered_union(docs, "source", "doc_id").select("source", "doc_id", "position")
+
+
+@query(
+    """WITH f AS (SELECT source, sum(n_chars)::BIGINT AS size FROM documents GROUP BY source)
+    SELECT source, size, (sum(size) OVER (ORDER BY source))::BIGINT AS total, sum(size) OVER (ORDER BY source) <= 1000000 AS within FROM f"""
+)
+def merge_page_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "documents").groupBy("source").agg(F.sum("n_chars").alias("size"))
+    return P.running_limit(files, "source", "size", 1_000_000)
+
+
+@query(
+    """WITH RECURSIVE o AS (SELECT s_nationkey AS g, s_suppkey AS k, floor(s_acctbal)::BIGINT + 1000 AS s, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS r FROM supplier),
+    f AS (
+      SELECT g, k, s, r, CASE WHEN s <= 12000 THEN s ELSE 0 END AS used, s <= 12000 AS ok FROM o WHERE r = 1
+      UNION ALL
+      SELECT o.g, o.k, o.s, o.r, f.used + CASE WHEN f.used + o.s <= 12000 THEN o.s ELSE 0 END, f.used + o.s <= 12000 FROM f JOIN o ON o.g = f.g AND o.r = f.r + 1
+    )
+    SELECT g AS s_nationkey, k AS s_suppkey, s AS size, ok AS accepted FROM f"""
+)
+def budget_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", (F.floor("s_acctbal") + 1000).alias("size"))
+    return P.greedy_intake(rows, ["s_nationkey"], "s_suppkey", "size", 12_000)
+
+
+@query("""SELECT c_nationkey, count(*) AS n, CASE WHEN count(*) > 100 THEN 'too many outputs' WHEN sum(c_custkey % 20) > 600 THEN 'too many pages' END AS error FROM customer GROUP BY c_nationkey""")
+def plan_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, pages = F.count("*"), F.sum(F.col("c_custkey") % 20)
+    return table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(n.alias("n"), P.plan_error(n, pages).alias("error"))
+
+
+@query("""SELECT n_nationkey, list_sort(CASE WHEN n_nationkey % 6 + 1 <= 4 THEN list_filter([1, 2, 3, 4], lambda x: x <> n_nationkey % 6 + 1) ELSE list_concat([1, 2, 3, 4], [n_nationkey % 6 + 1]) END)::INT[]::VARCHAR AS pages FROM nation""")
+def toggled_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = P.toggled(F.array(*[F.lit(i) for i in (1, 2, 3, 4)]), (F.col("n_nationkey") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", pages.cast("string").alias("pages"))
+
+
+@query("""SELECT n_nationkey, CASE WHEN n_nationkey % 5 = 0 THEN '[[1, 2], [1], [1]]' ELSE '[[1, 2, ' || (n_nationkey % 5 + 2) || '], [1' || ', ' || (n_nationkey % 5 + 2) || ']]' END AS batches FROM nation""")
+def duplicate_page_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey") % 5
+    pages = F.when(k == 0, F.array(*[F.lit(i).cast("bigint") for i in (1, 2, 1, 1)])).otherwise(F.array(F.lit(1).cast("bigint"), F.lit(2).cast("bigint"), k.cast("bigint") + 2, F.lit(1).cast("bigint"), k.cast("bigint") + 2))
+    return table(spark, sf_dir, "nation").select("n_nationkey", P.page_batches(pages).cast("string").alias("batches"))
+
+
+@query("""SELECT n_nationkey, CASE WHEN n_nationkey = 2 THEN 6 WHEN n_nationkey > 2 AND n_nationkey <= 6 THEN n_nationkey - 1 ELSE n_nationkey END AS place FROM nation""")
+def drag_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").select("n_nationkey", P.reordered(F.col("n_nationkey"), 2, 6).alias("place"))
+
+
+@query(
+    """WITH n AS (SELECT p_size, p_partkey, p_type AS base, row_number() OVER (PARTITION BY p_size, p_type ORDER BY p_partkey) AS r FROM part WHERE p_size <= 10 QUALIFY row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) <= 40)
+    SELECT p_size, p_partkey, CASE WHEN r = 1 THEN base ELSE base || '-' || (r - 1) END AS filename FROM n"""
+)
+def unique_filenames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = F.row_number().over(W.partitionBy("p_size").orderBy("p_partkey"))
+    parts = table(spark, sf_dir, "part").where("p_size <= 10").withColumn("r", first).where("r <= 40")
+    return P.unique_names(parts.select("p_size", "p_partkey", F.col("p_type").alias("name")), ["p_size"], "p_partkey", "name")
+
+
+@query("""SELECT page_id, coalesce(nullif(trim(regexp_replace(regexp_replace(split_part(url, '/', -1) || '.PDF', '(?i)\\.pdf$', ''), '[\\\\/:*?"<>|]', '_', 'g')), ''), 'document') AS stem FROM pages""".replace("\\\\/", "\\\\/"))
+def file_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(F.element_at(F.split("url", "/"), -1), F.lit(".PDF"))
+    return table(spark, sf_dir, "pages").select("page_id", X.file_stem(name).alias("stem"))
+
+
+@query(
+    """SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN printf('%d.%d KB', floor(n_chars * 10.0 / 1024 + 0.5)::BIGINT // 10, floor(n_chars * 10.0 / 1024 + 0.5)::BIGINT % 10)
+    ELSE printf('%d.%d MB', floor(n_chars * 10.0 / 1048576 + 0.5)::BIGINT // 10, floor(n_chars * 10.0 / 1048576 + 0.5)::BIGINT % 10) END AS size FROM documents"""
+)
+def human_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", X.human_bytes(F.col("n_chars")).alias("size"))
+
+
+# Aggregates
+
+
+@query("""SELECT l_returnflag, median(l_quantity) AS body_size FROM lineitem GROUP BY l_returnflag""")
+def body_size_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.body_size(table(spark, sf_dir, "lineitem").withColumnRenamed("l_quantity", "size"), ["l_returnflag"])
+
+
+@query(f"""WITH {SPANS_SQL} SELECT doc_id, line_no, min(x) AS x, min(y) AS y, max(x + width) - min(x) AS width, max(y + height) - min(y) AS height FROM spans GROUP BY doc_id, line_no""")
+def group_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.line_bounds(synth.spans(spark, sf_dir), ["doc_id", "line_no"])
+
+
+@query("""SELECT d.lang, sum(l.quality * 100 * d.n_chars) / greatest(1, sum(d.n_chars)) AS confidence FROM documents d JOIN labels l USING (doc_id) GROUP BY d.lang""")
+def weighted_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").withColumn("c", F.col("quality") * 100)
+    return S.weighted_confidence(rows, ["lang"], "c", "n_chars")
+
+
+@query(f"""WITH {LINES_SQL}, l AS (SELECT doc_id, line_no, trim(text) AS text FROM lines WHERE trim(text) <> ''), last AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY line_no DESC) <= 3)
+    SELECT doc_id, line_no, text FROM last WHERE text IN (SELECT text FROM last GROUP BY text HAVING count(DISTINCT doc_id) >= 2)""")
+def recurring_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = synth.lines(spark, sf_dir).select("doc_id", "line_no", F.trim("text").alias("text")).where("text <> ''")
+    last = rows.withColumn("r", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("line_no")))).where("r <= 3").drop("r")
+    return S.recurring(last, ["text"], "doc_id").select("doc_id", "line_no", "text")
+
+
+@query("""SELECT lang, count(*) AS documents, sum(length(regexp_replace(text, '[ \\t\\n\\r\\f\\v]', '', 'g')))::BIGINT AS characters FROM documents GROUP BY lang""".replace("\\\\", "\\"))
+def document_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").withColumn("page", F.col("doc_id"))
+    return S.stats(rows, ["lang"]).select("lang", F.col("spans").alias("documents"), "characters")
+
+
+@query("""SELECT doc_id, sum(length(regexp_replace(text, '[^A-Za-z]', '', 'g')))::BIGINT AS latin, sum(length(regexp_replace(text, '[^\\p{Han}]', '', 'g')))::BIGINT AS han,
+    sum(length(regexp_replace(text, '[^A-Za-z]', '', 'g'))) >= 40 AS english FROM documents GROUP BY doc_id""".replace("\\\\", "\\"))
+def script_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.script_histogram(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+@query("""SELECT l_returnflag, l_linestatus, list_sort(list(l_extendedprice))[floor((count(*) - 1) * 0.2)::INT + 1] AS edge FROM lineitem GROUP BY l_returnflag, l_linestatus""")
+def low_quantile_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(G.lower_quantile(F.col("l_extendedprice"), 0.2).alias("edge"))
+
+
+@query(
+    """WITH p AS (SELECT vec_id % 5 AS g, floor(embedding[1] * 100)::BIGINT AS px, floor(embedding[2] * 100)::BIGINT AS py FROM embeddings),
+    a AS (SELECT g, py + px * k AS row, k FROM p, (SELECT unnest(range(-2, 3)) AS k)), c AS (SELECT g, k, row, count(*) AS n FROM a GROUP BY ALL)
+    SELECT g, k::INT AS k, sum(n * n)::BIGINT AS score FROM c GROUP BY g, k"""
+)
+def skew_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("embedding")
+    pts = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 5).alias("g"), F.floor(e[0] * 100).alias("px"), F.floor(e[1] * 100).alias("py"))
+    rows = pts.select("g", "px", "py", F.explode(F.sequence(F.lit(-2), F.lit(2))).alias("k")).select("g", "k", (F.col("py") + F.col("px") * F.col("k")).alias("row"))
+    return rows.groupBy("g", "k", "row").agg(F.count("*").alias("n")).groupBy("g", "k").agg(F.sum(F.col("n") * F.col("n")).alias("score"))
+
+
+@query("""SELECT o_custkey, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS review, bool_or(o_orderstatus = 'F') AS blocked FROM orders GROUP BY o_custkey""")
+def review_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("review"), F.bool_or(F.col("o_orderstatus") == "F").alias("blocked"))
+
+
+# Windows
+
+
+@query(f"""WITH {SPANS_SQL}, l AS (
+      SELECT doc_id, line_no, ord, text, CASE WHEN ord % 3 = 1 THEN ' ' ELSE text END AS t, x, width + 6 AS width FROM spans), n AS (
+      SELECT *, lead(t) OVER w AS nt, lead(x) OVER w AS nx, lead(width) OVER w AS nw FROM l WINDOW w AS (PARTITION BY doc_id, line_no ORDER BY ord))
+    SELECT doc_id, line_no, ord FROM n WHERE trim(nt) = '' AND abs(nx - x - width) < 1.5 AND nw < 30""")
+def space_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third word of a line stands for a blank span; words take the blank behind them as their own."""
+    rows = synth.spans(spark, sf_dir).withColumn("text", F.when(F.col("ord") % 3 == 1, " ").otherwise(F.col("text")))
+    rows = rows.withColumns({"page": F.col("line_no"), "width": F.col("width") + 6})
+    return S.space_after(rows).where("space_after").select("doc_id", "line_no", "ord")
+
+
+@query(
+    """WITH l AS (SELECT user_id, ts, event_id, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) > 1800000000 THEN 1 ELSE 0 END AS new FROM events)
+    SELECT user_id, event_id, (sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id))::BIGINT AS island FROM l"""
+)
+def gap_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", at.alias("at"))
+    return S.islands(rows, ["user_id"], ["ts", "event_id"], F.col("at"), F.col("at"), F.lit(1_800_000_000)).select("user_id", "event_id", "island")
+
+
+@query(f"""WITH {SPANS_SQL}, b AS (SELECT doc_id, x AS a, x + width AS z FROM spans WHERE width > 0 AND ord % 3 <> 1), m AS (
+      SELECT *, max(z) OVER (PARTITION BY doc_id ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM b), g AS (
+      SELECT *, sum(CASE WHEN a - reach >= 6 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY a, z ROWS UNBOUNDED PRECEDING) AS i FROM m)
+    SELECT doc_id, min(a) AS a, max(z) AS z FROM g GROUP BY doc_id, i""")
+def interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = synth.spans(spark, sf_dir).where("width > 0 and ord % 3 <> 1").select("doc_id", F.col("x").alias("a"), (F.col("x") + F.col("width")).alias("z"))
+    return S.merged_intervals(rows, ["doc_id"], "a", "z", 6.0)
+
+
+@query(
+    """WITH l AS (SELECT l_orderkey, l_linenumber, l_returnflag, CASE WHEN lag(l_returnflag) OVER w = l_returnflag AND lag(l_linenumber) OVER w + 1 = l_linenumber THEN 0 ELSE 1 END AS new FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey))
+    SELECT l_orderkey, count(*) AS items, sum(new)::BIGINT AS lists FROM l GROUP BY l_orderkey"""
+)
+def list_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("o"), "l_linenumber", "l_returnflag")
+    out = S.numbering(rows, ["l_orderkey"], "o", "l_returnflag", "l_linenumber")
+    return out.groupBy("l_orderkey").agg(F.count("*").alias("items"), F.max("list_id").alias("lists"))
+
+
+@query(
+    """WITH p AS (SELECT source AS doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page, text, n_chars FROM documents), l AS (
+      SELECT *, lag(n_chars % 3) OVER w AS pw, lag(text) OVER w AS pt FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY page))
+    SELECT doc_id, page::INT AS page, coalesce(pw = n_chars % 3 AND NOT regexp_matches(pt, '[.!?:;]$'), false) AS joins FROM l"""
+)
+def cross_page_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    page = F.row_number().over(W.partitionBy("source").orderBy("doc_id"))
+    pages = docs.select(F.col("source").alias("doc_id"), page.alias("page"), (F.col("n_chars") % 3).alias("width"), F.lit(1).alias("height"), F.lit(0.9).alias("tail_width"), F.col("text").alias("tail_text"), F.lit(12.0).alias("tail_size"), F.lit(12.0).alias("head_size"))
+    return S.paragraph_joins(pages).select("doc_id", "page", "joins")
+
+
+# Folds
+
+
+@query(
+    """WITH RECURSIVE o AS (SELECT p_brand AS g, p_retailprice AS v, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) AS r FROM part),
+    f AS (SELECT g, v, r, v AS first, 1 AS c FROM o WHERE r = 1 UNION ALL SELECT o.g, o.v, o.r, CASE WHEN o.v - f.first <= 20 THEN f.first ELSE o.v END, f.c + CASE WHEN o.v - f.first <= 20 THEN 0 ELSE 1 END FROM f JOIN o ON o.g = f.g AND o.r = f.r + 1)
+    SELECT g AS p_brand, c::INT AS cluster, median(v) AS position, count(*) AS n FROM f GROUP BY g, c"""
+)
+def anchored_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.collect_list("p_retailprice").alias("v"))
+    rows = held.select("p_brand", F.posexplode(S.clusters(F.col("v"), 20.0)).alias("i", "c"))
+    mid = (F.element_at("c", F.floor((F.size("c") + 1) / 2).cast("int")) + F.element_at("c", F.floor((F.size("c") + 2) / 2).cast("int"))) / 2
+    return rows.select("p_brand", (F.col("i") + 1).alias("cluster"), mid.alias("position"), F.size("c").cast("long").alias("n"))
+
+
+@query(
+    """WITH RECURSIVE o AS (SELECT user_id AS g, event_id, epoch_us(ts) // 60000000 % 1440 AS y, floor(value)::BIGINT % 50 AS h, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events WHERE user_id % 10 = 0),
+    f AS (SELECT g, event_id, r, greatest(0, y) AS before, greatest(0, y) + h AS cursor FROM o WHERE r = 1 UNION ALL SELECT o.g, o.event_id, o.r, greatest(0, o.y - f.cursor), greatest(f.cursor, o.y) + o.h FROM f JOIN o ON o.g = f.g AND o.r = f.r + 1)
+    SELECT g AS user_id, event_id, before::DOUBLE AS before FROM f"""
+)
+def flow_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    minute = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 60_000_000) % 1440
+    rows = table(spark, sf_dir, "events").where("user_id % 10 = 0").select("user_id", F.struct("ts", "event_id", minute.cast("double").alias("y"), (F.floor("value") % 50).cast("double").alias("height")).alias("b"))
+    held = rows.groupBy("user_id").agg(F.array_sort(F.collect_list("b")).alias("b"))
+    return held.select("user_id", F.explode(F.arrays_zip(F.col("b.event_id").alias("event_id"), S.flow_cursor(F.col("b")).alias("before"))).alias("r")).select("user_id", "r.event_id", "r.before")
+
+
+# Joins
+
+
+def _grid(spark: SparkSession) -> DataFrame:
+    """Twenty cells of 6 hours by 25 units on one page, overlapping at their borders."""
+    i = F.col("id")
+    return spark.range(24).select(F.lit(1).alias("page"), i.cast("int").alias("cell_ord"), ((i % 4) * 6.0).alias("x"), (F.floor(i / 4) * 25.0).alias("y"), F.lit(6.0).alias("width"), F.lit(25.0).alias("height"))
+
+
+_GRID = "grid AS (SELECT i::INT AS cell_ord, (i % 4) * 6.0 AS x, (i // 4) * 25.0 AS y FROM range(24) t(i))"
+_POINTS = "pts AS (SELECT event_id, hour(ts)::DOUBLE AS px, value AS py FROM events)"
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.lit(1).alias("page"), F.hour("ts").cast("double").alias("px"), F.col("value").alias("py"))
+
+
+@query(f"""WITH {_GRID}, {_POINTS} SELECT event_id, min(cell_ord) AS cell_ord FROM pts JOIN grid ON px BETWEEN x AND x + 6 AND py BETWEEN y AND y + 25 GROUP BY event_id""")
+def cell_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.first_cell(_points(spark, sf_dir), _grid(spark), ["page"], ["event_id"]).select("event_id", "cell_ord")
+
+
+@query(f"""WITH {_GRID}, {_POINTS} SELECT event_id, min(cell_ord) AS cell_ord FROM pts JOIN grid ON px BETWEEN x AND x + 6 AND py BETWEEN y AND y + 25 GROUP BY event_id HAVING count(*) = 1""")
+def unique_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    on = F.col("px").between(F.col("x"), F.col("x") + 6) & F.col("py").between(F.col("y"), F.col("y") + 25)
+    return S.unique_match(_points(spark, sf_dir).join(_grid(spark), "page").where(on), ["event_id"]).select("event_id", "cell_ord")
+
+
+@query(f"""WITH {SPANS_SQL}, f AS (SELECT doc_id, 12.0 * (doc_id % 5) AS y FROM documents WHERE doc_id % 2 = 0)
+    SELECT s.doc_id, s.line_no, s.ord FROM spans s WHERE EXISTS (SELECT 1 FROM f WHERE f.doc_id = s.doc_id AND s.x >= 59.5 AND s.x + s.width <= 360.5 AND s.y >= f.y - 0.5 AND s.y + 12 <= f.y + 24.5)""")
+def occluded_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    fills = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select(d, F.lit(1).alias("page"), F.lit(60.0).alias("x"), (12.0 * (d % 5)).alias("y"), F.lit(300.0).alias("width"), F.lit(24.0).alias("height"), F.lit(2).alias("paint_order"), F.lit(True).alias("opaque"))
+    return S.occluded(synth.spans(spark, sf_dir).withColumn("paint_order", F.lit(1)), fills).select("doc_id", "line_no", "ord")
+
+
+@query(
+    """WITH c AS (SELECT user_id, event_id, epoch_us(ts) AS t1 FROM events WHERE event_type = 'click'), v AS (SELECT user_id, event_id AS ord, epoch_us(ts) AS other FROM events WHERE event_type <> 'click')
+    SELECT user_id, event_id, min(abs(t1 - other)) AS distance, arg_min(ord, abs(t1 - other) * 1000000::HUGEINT + ord) AS nearest FROM c JOIN v USING (user_id) WHERE abs(t1 - other) <= 86400000000 GROUP BY user_id, event_id"""
+)
+def nearest_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    e = table(spark, sf_dir, "events")
+    left = e.where("event_type = 'click'").select("user_id", "event_id", at.alias("at"))
+    right = e.where("event_type <> 'click'").select("user_id", F.col("event_id").alias("ord"), F.col("event_id").alias("nearest"), at.alias("other"))
+    return S.nearest(left, right, ["user_id"], "event_id", "at", "other", 86_400_000_000, "nearest")
+
+
+@query("""SELECT l_suppkey FROM lineitem WHERE l_returnflag IN ('A', 'N', 'R') GROUP BY l_suppkey HAVING count(DISTINCT l_returnflag || l_linestatus) = (SELECT count(DISTINCT l_returnflag || l_linestatus) FROM lineitem)""")
+def id_division(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", F.concat("l_returnflag", "l_linestatus").alias("item"))
+    return S.holding_all(rows, rows.select("item"), "l_suppkey", "item")
+
+
+@query("""SELECT o_orderkey, o_orderdate FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 25) AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')""")
+def unclaimed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    return S.unclaimed(orders, lines.where("l_quantity > 25").select("o_orderkey"), lines.where("l_returnflag = 'R'").select("o_orderkey"), key=["o_orderkey"])
+
+
+# Top and best
+
+
+@query(
+    """WITH l AS (SELECT source AS doc_id, doc_id AS ord, n_chars % 100 AS confidence, text FROM documents WHERE n_chars % 100 < 88 AND length(text) >= 6)
+    SELECT doc_id, ord, confidence, row_number() OVER (PARTITION BY doc_id ORDER BY confidence, ord)::INT AS rank FROM l QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY confidence, ord) <= 20"""
+)
+def topk_worst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("ord"), (F.col("n_chars") % 100).alias("confidence"), "text")
+    return S.worst(rows, ["doc_id"]).select("doc_id", "ord", "confidence", "rank")
+
+
+@query("""SELECT l_orderkey, min(l_extendedprice) AS size, arg_min(l_linenumber, (l_extendedprice, l_linenumber)) AS made FROM lineitem WHERE l_extendedprice > 0 AND l_extendedprice <= 60000 GROUP BY l_orderkey""")
+def best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_extendedprice").alias("size"), F.col("l_linenumber").alias("made"))
+    return S.best_candidate(rows, ["l_orderkey"], "size", "made", 60_000)
+
+
+@query(
+    """WITH p AS (SELECT p_partkey, 590.0 + p_size AS w, 786.0 + p_partkey % 60 AS h FROM part), q AS (SELECT * FROM (VALUES ('A4', 210 * 72 / 25.4, 297 * 72 / 25.4), ('A3', 297 * 72 / 25.4, 420 * 72 / 25.4), ('A5', 148 * 72 / 25.4, 210 * 72 / 25.4), ('Letter', 612.0, 792.0)) t(paper, pw, ph)),
+    c AS (SELECT p_partkey, paper, greatest(abs(w - pw) / pw, abs(h - ph) / ph) AS cost FROM p, q WHERE abs(w - pw) <= greatest(3, 0.01 * pw) AND abs(h - ph) <= greatest(3, 0.01 * ph))
+    SELECT p.p_partkey, coalesce(arg_min(c.paper, c.cost), 'source') AS paper FROM p LEFT JOIN c USING (p_partkey) GROUP BY p.p_partkey"""
+)
+def nearest_paper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select("p_partkey", (590.0 + F.col("p_size")).alias("width"), (786.0 + F.col("p_partkey") % 60).alias("height"))
+    return S.nearest_paper(rows).select("p_partkey", "paper")
+
+
+# Text
+
+
+@query(f"""WITH {LINES_SQL} SELECT CASE WHEN regexp_matches(text, '^(?:[•●○▪■◆◦‣·*–—-]|\\(?(?:[0-9]{{1,3}}|[A-Za-z]|[ivxlcdm]{{1,6}})[.)、])\\s+') THEN 'list' WHEN length(text) <= 60 AND NOT regexp_matches(text, '[.!?,;:]$') THEN 'heading' ELSE 'body' END AS role,
+    count(*) AS n, sum(length(text))::BIGINT AS chars FROM lines GROUP BY role""")
+def line_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = synth.lines(spark, sf_dir)
+    return rows.groupBy(X.line_role(F.col("text")).alias("role")).agg(F.count("*").alias("n"), F.sum(F.char_length("text")).alias("chars"))
+
+
+_RE_READ = "b AS (SELECT item_id, left(text, 200) AS old, CASE WHEN item_id % 2 = 0 THEN regexp_replace(left(text, 200), '[ae]', CASE WHEN item_id % 3 = 0 THEN 'xyz' ELSE 'o' END, 'g') ELSE regexp_replace(left(text, 200), '[ae]', CASE WHEN item_id % 3 = 0 THEN 'xyz' ELSE 'o' END) END AS new FROM benchmark)"
+
+
+def _re_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, k = F.substring("text", 1, 200), F.col("item_id")
+    put = F.when(k % 3 == 0, "xyz").otherwise("o")
+    first = F.regexp_extract(old, "^([^ae]*)[ae]((?s:.*))$", 1)
+    once = F.when(old.rlike("[ae]"), F.concat(first, put, F.regexp_extract(old, "^([^ae]*)[ae]((?s:.*))$", 2))).otherwise(old)
+    return table(spark, sf_dir, "benchmark").select(k, old.alias("old"), F.when(k % 2 == 0, F.regexp_replace(old, F.lit("[ae]"), put)).otherwise(once).alias("new"))
+
+
+@query(f"""WITH {_RE_READ} SELECT item_id, levenshtein(old, new) <= 0.3 * greatest(length(old), length(new)) AND length(new) BETWEEN 0.8 * length(old) AND 1.2 * length(old)
+    AND regexp_replace(old, '[^0-9]', '', 'g') = regexp_replace(new, '[^0-9]', '', 'g') AS accepted FROM b""")
+def edit_distance_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _re_read(spark, sf_dir).select("item_id", X.edit_accept(F.col("old"), F.col("new"), F.lit(70), F.lit(90)).alias("accepted"))
+
+
+@query(f"""WITH {_RE_READ}, g AS (SELECT item_id, 1 AS side, substr(old, i::INT, 2) AS p FROM b, LATERAL (SELECT unnest(range(1, length(old))) AS i) UNION ALL SELECT item_id, 2, substr(new, i::INT, 2) FROM b, LATERAL (SELECT unnest(range(1, length(new))) AS i)),
+    c AS (SELECT item_id, p, count(*) FILTER (side = 1) AS a, count(*) FILTER (side = 2) AS z FROM g GROUP BY item_id, p)
+    SELECT item_id, 2.0::DOUBLE * sum(least(a, z)) / sum(a + z) AS dice FROM c GROUP BY item_id""")
+def bigram_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _re_read(spark, sf_dir).select("item_id", X.bigram_dice(F.col("old"), F.col("new")).alias("dice"))
+
+
+@query()
+def nfkc_disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", (X.nfkc("text") != F.regexp_replace("text", r"(?U)\s", "")).alias("differs"))
