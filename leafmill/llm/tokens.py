@@ -14,6 +14,7 @@ budget, or what a cut costs, by binary search.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
 
@@ -28,11 +29,94 @@ VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
 #: Chunks that a worker keeps, in two generations: what isn't asked for again goes first.
 KEPT = 800_000
+#: Texts are looked up together, up to about so many bytes.
+TOGETHER = 4 << 20
 #: What may end a chunk as a piece of its own: the splitter takes such a run as a whole after a letter or digit.
 _MARKS = bytes(set(range(33, 127)) - set(b"'") - set(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
 #: Before a combining mark (UTF-8 leads 0xCC and up cover them all) the case of a letter may matter to its composition.
 _PLAIN = re.compile(rb"[\x21-\x7e\xc3\x80-\xbf]+")
 _STEM_END = re.compile(rb"(?:[0-9A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])\Z")
+#: One word to the splitter, and in the form that the normaliser leaves it.
+_WORD = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+
+
+class Merges:
+    """Byte-pair merges of many words at once, in the library's order: the least rank, the leftmost of equals."""
+
+    BITS = 18
+
+    def __init__(self, model: dict):
+        vocab, end = model["vocab"], model["end_of_word_suffix"]
+        # The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256.
+        alphabet, more = {}, 256
+        for x in range(256):
+            if 33 <= x <= 126 or 161 <= x <= 172 or 174 <= x <= 255:
+                alphabet[x] = chr(x)
+            else:
+                alphabet[x] = chr(more)
+                more += 1
+        self.inner = np.array([vocab[alphabet[x]] for x in range(256)])
+        self.last = np.array([vocab[alphabet[x] + end] for x in range(256)])
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        self.merged = np.array([vocab[a + b] for a, b in pairs])
+        keys = np.array([vocab[a] << 20 | vocab[b] for a, b in pairs])
+        self.keys = np.full(1 << self.BITS, -1)
+        self.ranks = np.full(1 << self.BITS, len(pairs))
+        self.none = len(pairs)
+        slot = self._slot(keys)
+        for rank, (k, h) in enumerate(zip(keys.tolist(), slot.tolist(), strict=True)):
+            while self.keys[h] >= 0:
+                h = (h + 1) & ((1 << self.BITS) - 1)
+            self.keys[h], self.ranks[h] = k, rank
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = (left << 20 | right).ravel()
+        slot = self._slot(keys)
+        held = self.keys[slot]
+        out = np.where(held == keys, self.ranks[slot], self.none)
+        todo = np.flatnonzero((held != keys) & (held >= 0))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & ((1 << self.BITS) - 1)
+            held = self.keys[slot[todo]]
+            hit = held == keys[todo]
+            out[todo[hit]] = self.ranks[slot[todo[hit]]]
+            todo = todo[~hit & (held >= 0)]
+        return out.reshape(left.shape)
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, little-endian unsigned 32-bit."""
+        out: list[bytes] = [b""] * len(words)
+        sizes = np.array([len(w) for w in words])
+        for size in np.unique(sizes).tolist():
+            members = np.flatnonzero(sizes == size)
+            for i in range(0, len(members), max(1, (1 << 18) // size)):
+                at = members[i : i + max(1, (1 << 18) // size)]
+                raw = np.frombuffer(b"".join([words[k] for k in at.tolist()]), np.uint8).reshape(len(at), size)
+                ids = self.inner[raw]
+                ids[:, -1] = self.last[raw[:, -1]]
+                while True:
+                    width = ids.shape[1]
+                    if width > 1:
+                        ranks = self.rank(ids[:, :-1], ids[:, 1:])
+                        best = ranks.argmin(1)
+                        least = ranks[np.arange(len(ids)), best]
+                        ended = least == self.none
+                    else:
+                        ended = np.ones(len(ids), bool)
+                    if ended.any():
+                        raw_ids = ids[ended].astype("<u4").tobytes()
+                        for j, k in enumerate(at[ended].tolist()):
+                            out[k] = raw_ids[4 * width * j : 4 * width * (j + 1)]
+                        if ended.all():
+                            break
+                        at, ids, best, least = at[~ended], ids[~ended], best[~ended], least[~ended]
+                    ids[np.arange(len(ids)), best] = self.merged[least]
+                    place = np.arange(width - 1)
+                    ids = np.take_along_axis(ids, place + (place > best[:, None]), 1)
+        return out
 
 
 class Chunks(dict):
@@ -46,6 +130,9 @@ class Chunks(dict):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.old: dict[bytes, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        self.merges = Merges(model) if model.get("end_of_word_suffix") else None
 
     def __missing__(self, chunk: bytes) -> bytes:
         found = self[chunk] = self.old[chunk]
@@ -60,26 +147,40 @@ class Chunks(dict):
         stem = chunk.rstrip(_MARKS)
         return (stem, chunk[len(stem) :]) if _STEM_END.search(stem) else (chunk, b"")
 
-    def learn(self, chunks: list[bytes]) -> None:
-        """Take in the chunks that are new; the library encodes their pieces, all at once."""
+    def learn(self, chunks: set[bytes]) -> None:
+        """Take in chunks that are new: plain words by the merges, all others by the library, all at once."""
         if len(self) > KEPT // 2:
             self.old = dict(self)
             self.clear()
-        new = {c: self.stem(c) for c in set(chunks) if c not in self and c not in self.old}
-        pieces = list({p for pair in new.values() for p in pair if p not in self and p not in self.old})
-        for c, e in zip(pieces, self.tokenizer.encode_batch_fast([c.decode() for c in pieces], add_special_tokens=False), strict=True):
+        new = {c: self.stem(c) for c in chunks if c not in self and c not in self.old}
+        pieces = {p for pair in new.values() for p in pair if p not in self and p not in self.old}
+        words = [p for p in pieces if len(p) <= 64 and _WORD.fullmatch(p)] if self.merges else []
+        self.update(zip(words, self.merges.encode(words) if words else (), strict=True))
+        other = list(pieces.difference(words))
+        for c, e in zip(other, self.tokenizer.encode_batch_fast([c.decode() for c in other], add_special_tokens=False), strict=True):
             self[c] = np.array(e.ids, "<u4").tobytes()
         for c, (stem, marks) in new.items():
-            self[c] = self[stem] + self[marks]
+            if c != stem:
+                self[c] = self[stem] + self[marks]
 
     def ids(self, text: bytes) -> list[bytes]:
         """The ids of each chunk of one text."""
-        chunks = text.split()
-        try:
-            return [self[c] for c in chunks]
-        except KeyError:
-            self.learn(chunks)
-            return [self[c] for c in chunks]
+        return next(self.each([text]))
+
+    def each(self, texts: list[bytes]) -> Iterator[list[bytes]]:
+        """The ids of each chunk, text by text."""
+        first, held = 0, 0
+        for i, text in enumerate(texts):
+            held += len(text)
+            if held >= TOGETHER or i == len(texts) - 1:
+                parts = [t.split() for t in texts[first : i + 1]]
+                for chunks in parts:
+                    try:
+                        yield [self[c] for c in chunks]
+                    except KeyError:
+                        self.learn(set().union(*parts))
+                        yield [self[c] for c in chunks]
+                first, held = i + 1, 0
 
 
 _chunks: dict[str, Chunks] = {}
@@ -100,9 +201,9 @@ def chunks_of(vocabulary: str) -> Chunks:
     return _chunks[vocabulary]
 
 
-def prefix_counts(text: bytes, known: Chunks) -> np.ndarray:
-    """count[k]: tokens of the text up to and with its k-th chunk; count[0] is 0."""
-    return np.cumsum([0, *(len(x) >> 2 for x in known.ids(text))])
+def prefix_counts(ids: list[bytes]) -> np.ndarray:
+    """count[k]: tokens of a text up to and with its k-th chunk, from the ids of its chunks; count[0] is 0."""
+    return np.cumsum([0, *(len(x) >> 2 for x in ids)])
 
 
 def chunk_ends(text: bytes) -> np.ndarray:
@@ -115,12 +216,13 @@ def fits(counts: np.ndarray, ends: np.ndarray, budget: int) -> int:
     return int(ends[np.searchsorted(counts, budget, side="right") - 1])
 
 
-def _mapped(docs: DataFrame, ddl: str, vocabulary: str, row: Callable[[bytes, Chunks], tuple]) -> DataFrame:
+def _mapped(docs: DataFrame, ddl: str, vocabulary: str, row: Callable[[bytes, list[bytes]], tuple]) -> DataFrame:
     names = [x.split()[0] for x in ddl.split(",")]
 
     def make(batch: pa.RecordBatch) -> Iterator[dict]:
         known = chunks_of(vocabulary)
-        rows = [row(t, known) for t in blobs(batch.column(1))]
+        texts = blobs(batch.column(1))
+        rows = [row(t, ids) for t, ids in zip(texts, known.each(texts), strict=True)]
         yield {"doc_id": batch.column(0)} | dict(zip(names[1:], zip(*rows, strict=True), strict=True))
 
     return map_batches(id_and_text(docs), ddl, make)
@@ -128,7 +230,7 @@ def _mapped(docs: DataFrame, ddl: str, vocabulary: str, row: Callable[[bytes, Ch
 
 def prefix_table(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, ends, counts): the stored prefix table of every document; ends in bytes, both starting with 0."""
-    return _mapped(docs, "doc_id long,ends array<long>,counts array<long>", vocabulary, lambda t, k: (chunk_ends(t), prefix_counts(t, k)))
+    return _mapped(docs, "doc_id long,ends array<long>,counts array<long>", vocabulary, lambda t, ids: (chunk_ends(t), prefix_counts(ids)))
 
 
 def token_counts(docs: DataFrame, limit: int = LIMIT, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -138,9 +240,9 @@ def token_counts(docs: DataFrame, limit: int = LIMIT, vocabulary: str = VOCABULA
     A null text is empty (0 tokens); doc_id may be null or repeat.
     """
 
-    def row(text: bytes, known: Chunks) -> tuple:
-        counts = prefix_counts(text, known)
-        n = int(counts[-1])
+    def row(text: bytes, ids: list[bytes]) -> tuple:
+        n = sum(map(len, ids)) >> 2
+        counts = prefix_counts(ids) if n > limit else None
         return len(text), n, n > limit, fits(counts, chunk_ends(text), limit) if n > limit else len(text)
 
     return _mapped(docs, "doc_id long,n_bytes long,n_tokens long,over_limit boolean,fit_bytes long", vocabulary, row)
