@@ -36,8 +36,8 @@ _MARKS = bytes(set(range(33, 127)) - set(b"'") - set(b"abcdefghijklmnopqrstuvwxy
 #: Before a combining mark (UTF-8 leads 0xCC and up cover them all) the case of a letter may matter to its composition.
 _PLAIN = re.compile(rb"[\x21-\x7e\xc3\x80-\xbf]+")
 _STEM_END = re.compile(rb"(?:[0-9A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])\Z")
-#: One word to the splitter, and in the form that the normaliser leaves it.
-_WORD = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: One word to the splitter, in the form that the normaliser leaves it, and the marks after it.
+_WORD = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf]){1,64})([" + re.escape(_MARKS) + rb"]*)")
 
 
 class Merges:
@@ -152,16 +152,25 @@ class Chunks(dict):
         if len(self) > KEPT // 2:
             self.old = dict(self)
             self.clear()
-        new = {c: self.stem(c) for c in chunks if c not in self and c not in self.old}
-        pieces = {p for pair in new.values() for p in pair if p not in self and p not in self.old}
-        words = [p for p in pieces if len(p) <= 64 and _WORD.fullmatch(p)] if self.merges else []
-        self.update(zip(words, self.merges.encode(words) if words else (), strict=True))
-        other = list(pieces.difference(words))
+        old, words, other, ended = self.old, [], [], []
+        asked: set[bytes] = set()
+        for c in chunks:
+            if c in self or c in old:
+                continue
+            found = _WORD.fullmatch(c.lower()) if self.merges else None
+            pieces = found.groups() if found else self.stem(c)
+            for i, p in enumerate(pieces):
+                if p not in self and p not in old and p not in asked:
+                    asked.add(p)
+                    (words if found and not i else other).append(p)
+            if pieces[0] != c:
+                ended.append((c, *pieces))
+        if words:
+            self.update(zip(words, self.merges.encode(words), strict=True))
         for c, e in zip(other, self.tokenizer.encode_batch_fast([c.decode() for c in other], add_special_tokens=False), strict=True):
             self[c] = np.array(e.ids, "<u4").tobytes()
-        for c, (stem, marks) in new.items():
-            if c != stem:
-                self[c] = self[stem] + self[marks]
+        for c, stem, marks in ended:
+            self[c] = self[stem] + self[marks]
 
     def ids(self, text: bytes) -> list[bytes]:
         """The ids of each chunk of one text."""
