@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What JavaScript calls white space.
 SPACE = r"[\t\n\x0B\f\r    -     　﻿]"
@@ -107,7 +108,7 @@ def bigram_dice(a: Column, b: Column) -> Column:
     return F.when(total == 0, F.lit(0.0)).otherwise(2.0 * shared / total)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """NFKC form without white space; Spark has no normalisation of its own."""
     import unicodedata

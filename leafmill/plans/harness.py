@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 from leafmill import constants as C
 from leafmill.functions import geometry as G
 from leafmill.functions import text as X
+from leafmill.operators import lines as L
 from leafmill.operators import pages as P
 from leafmill.operators import spans as S
+from leafmill.operators import tables as B
 from leafmill.plans import synth
 from leafmill.plans.synth import LINES_SQL, SPANS_SQL, table
+from leafmill.sources import images as I  # noqa: E741
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -419,3 +422,58 @@ def bigram_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nfkc_disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", (X.nfkc("text") != F.regexp_replace("text", r"(?U)\s", "")).alias("differs"))
+
+
+# Lines, paragraphs, tables, containers
+
+
+@query(f"""WITH {SPANS_SQL} SELECT doc_id, line_no::BIGINT AS row, count(*) AS n, min(x) AS x, max(x + width) - min(x) AS width, string_agg(text, ' ' ORDER BY ord) AS text FROM spans WHERE text <> '' GROUP BY doc_id, line_no""")
+def lines_grouped_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = synth.spans(spark, sf_dir).where("text <> ''").withColumn("word", F.col("ord")).withColumn("ord", F.col("line_no") * 100_000 + F.col("ord"))
+    out = L.lines(rows)
+    # The projection's rows are numbered without blank lines; y tells the line.
+    return out.select("doc_id", F.floor(F.col("y") / 12).cast("long").alias("row"), "n", "x", "width", "text")
+
+
+@query()
+def paragraphs_grouped_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = synth.spans(spark, sf_dir).where("text <> ''").withColumn("ord", F.col("line_no") * 100_000 + F.col("ord"))
+    return L.paragraphs(L.lines(rows)).select("doc_id", "paragraph", "lines", "role", "align", "line_height", F.char_length("text").alias("chars"))
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, 1000 + l_partkey % 997 AS b FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 50 = 0),
+    s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS seen FROM s UNION SELECT r.node, s.b FROM r JOIN s ON s.a = r.seen)
+    SELECT node, min(seen) AS component FROM r GROUP BY node"""
+)
+def ruled_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_orderkey % 50 = 0")
+    return B.linked(rows.select(F.col("l_suppkey").alias("a"), (1000 + F.col("l_partkey") % 997).alias("b")).distinct())
+
+
+@query(
+    """SELECT n_nationkey AS doc_id, k::INT AS row, c::INT AS "column", (k * 3 + c)::BIGINT AS ord FROM nation, (SELECT unnest(range(3)) AS k), (SELECT unnest(range(3)) AS c)"""
+)
+def tables_grouped_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ruled grid of 3 by 3 cells with a word in each, on a page for each nation."""
+    docs = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"), F.lit(1).alias("page"))
+    i = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i")
+    flat = docs.select("*", i).select("doc_id", "page", F.col("i").alias("ord"), F.lit(10.0).alias("x1"), (10.0 + 20 * F.col("i")).alias("y1"), F.lit(160.0).alias("x2"), (10.0 + 20 * F.col("i")).alias("y2"))
+    upright = docs.select("*", i).select("doc_id", "page", (10 + F.col("i")).alias("ord"), (10.0 + 50 * F.col("i")).alias("x1"), F.lit(10.0).alias("y1"), (10.0 + 50 * F.col("i")).alias("x2"), F.lit(70.0).alias("y2"))
+    words = docs.select("*", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("k")).select("doc_id", "page", F.col("k").cast("long").alias("ord"), (15.0 + 50 * (F.col("k") % 3)).alias("x"), (15.0 + 20 * F.floor(F.col("k") / 3)).alias("y"), F.lit(30.0).alias("width"), F.lit(10.0).alias("height"))
+    _, cells = B.ruled(words, flat.union(upright))
+    return cells.select("doc_id", "row", "column", "ord")
+
+
+@query("""SELECT n_nationkey, unnest(['IHDR', 'tEXt', 'IDAT', 'IEND']) AS type, true AS checked FROM nation""")
+def png_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("path"), "n_nationkey")
+    written = nations.mapInPandas(lambda it: (d.assign(content=[I.png(4, 3, bytes((k + j) % 256 for j in range(12)), b"k\0v") for k in d["n_nationkey"]])[["path", "content"]] for d in it), "path string, content binary")
+    return I.chunked(written).select(F.col("path").cast("int").alias("n_nationkey"), "type", "checked")
+
+
+@query("""SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'jpg' WHEN 1 THEN 'png' WHEN 2 THEN 'pdf' END AS kind FROM nation""")
+def source_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey") % 4
+    content = F.when(k == 0, F.unhex(F.lit("FFD8FFE000104A464946"))).when(k == 1, F.unhex(F.lit("89504E470D0A1A0A0000000D"))).when(k == 2, F.encode(F.lit("xx\n%PDF-1.7"), "UTF-8")).otherwise(F.encode(F.col("n_name"), "UTF-8"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", I.source_type(content).alias("kind"))
