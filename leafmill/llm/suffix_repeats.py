@@ -169,9 +169,9 @@ def _kept(text: bytes, start: np.ndarray, end: np.ndarray) -> bytes:
     return b"".join(text[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2))
 
 
-def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """Each document with the arrays lo and n of its repeated windows, null if it has none."""
-    listed = spans.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n")).alias("r")).select("doc_id", F.col("r.lo").alias("lo"), F.col("r.n").alias("n"))
+def with_spans(docs: DataFrame, spans: DataFrame, lo: str = "lo", n: str = "n") -> DataFrame:
+    """Each document with two arrays, starts and counts of its repeated windows, null if it has none."""
+    listed = spans.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n")).alias("r")).select("doc_id", F.col("r.lo").alias(lo), F.col("r.n").alias(n))
     return docs.join(listed, "doc_id", "left")
 
 
@@ -210,23 +210,23 @@ def cleaned(docs: DataFrame, size: int = SIZE) -> DataFrame:
         ok = a < b
         return _kept(text, a[ok], b[ok]).decode("utf-8", "replace")
 
-    def make(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts = [cut(t, lo, n) for t, lo, n in zip(blobs(batch.column("text")), batch.column("lo").to_pylist(), batch.column("n").to_pylist(), strict=True)]
-        return texts
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            texts = pa.array(make(batch), pa.string())
+            spans = (batch.column(i).to_pylist() for i in (batch.num_columns - 2, batch.num_columns - 1))
+            texts = pa.array([cut(t, lo, n) for t, lo, n in zip(blobs(batch.column(at)), *spans, strict=True)], pa.string())
             columns = [texts if i == at else batch.column(i) for i in range(batch.num_columns - 2)]
             fields = [pa.field("text", pa.string()) if i == at else batch.schema.field(i) for i in range(batch.num_columns - 2)]
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields))
 
-    listed = with_spans(docs, repeated_spans(docs, size))
-    touched = listed.where("lo is not null").mapInArrow(run, docs.schema)
+    lo, n = "__lo", "__n"
+    while {lo, n} & set(docs.columns):
+        lo, n = f"_{lo}", f"_{n}"
+    listed = with_spans(docs, repeated_spans(docs, size), lo, n).select(*docs.columns, lo, n)
+    touched = listed.where(F.col(lo).isNotNull()).mapInArrow(run, docs.schema)
     if "n_chars" in docs.columns:
         touched = touched.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return touched.select(docs.columns).union(listed.where("lo is null").select(docs.columns))
+    return touched.select(docs.columns).union(listed.where(F.col(lo).isNull()).select(docs.columns))
 
 
 def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,7 +66,7 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, level: int = LEVEL) -> Dat
     known = id_and_text(docs).where("doc_id is not null and text is not null")
     found = map_batches(known, "doc_id long,lo int,n int,key long,body long", _word_runs(size, level))
     across = [F.min("doc_id").alias("a"), F.max("doc_id").alias("b")]
-    shared = found.groupBy("key").agg(*across).where("a < b").select("key")
+    shared = found.groupBy("key").agg(F.count("*").alias("runs")).where("runs > 1").select("key")
     hot = settle(found.join(shared, "key"))
     first = settle(hot.groupBy("key", "body").agg(F.min("doc_id").alias("first")))
     first = first.join(first.groupBy("key").agg((F.count("*") > 1).alias("mixed")), "key")
@@ -77,7 +77,7 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, level: int = LEVEL) -> Dat
     for by in (["key", "twice"], ["key", "twice", "whole"]):
         last = by[-1] == "whole"
         groups = open_.groupBy(*by).agg(*across).where("a < b").select(*by, *["a"] * last)
-        open_ = open_.join(groups, by)
+        open_ = settle(open_.join(groups, by))
     single = open_.where("doc_id > a").select("doc_id", "lo", F.lit(1).alias("n"))
     return judged.where("later").select("doc_id", "lo", F.abs("n").alias("n")).union(single)
 
