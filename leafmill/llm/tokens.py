@@ -28,7 +28,7 @@ from leafmill.llm.runs import word_spans
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
 #: Chunks that a worker keeps, in two generations: what isn't asked for again goes first.
-KEPT = 800_000
+KEPT = 1_600_000
 #: Texts are looked up together, up to about so many bytes.
 TOGETHER = 4 << 20
 #: What may end a chunk as a piece of its own: the splitter takes such a run as a whole after a letter or digit.
@@ -119,25 +119,21 @@ class Merges:
         return out
 
 
-class Chunks(dict):
+class Chunks:
     """chunk (bytes) -> its token ids, little-endian unsigned 32-bit, as the library gives them."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.table: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         self.merges = Merges(model) if model.get("end_of_word_suffix") else None
 
-    def __missing__(self, chunk: bytes) -> bytes:
-        found = self[chunk] = self.old[chunk]
-        return found
-
     @staticmethod
     def stem(chunk: bytes) -> tuple[bytes, bytes]:
         """A chunk in pieces whose ids, end to end, are the chunk's own; lower-cased where that changes no id."""
@@ -149,28 +145,31 @@ class Chunks(dict):
 
     def learn(self, chunks: set[bytes]) -> None:
         """Take in chunks that are new: plain words by the merges, all others by the library, all at once."""
-        if len(self) > KEPT // 2:
-            self.old = dict(self)
-            self.clear()
-        old, words, other, ended = self.old, [], [], []
+        if len(self.table) > KEPT // 2:
+            self.old, self.table = self.table, {}
+        table, old, words, other, ended = self.table, self.old, [], [], []
         asked: set[bytes] = set()
-        for c in chunks:
-            if c in self or c in old:
+        for c in chunks - table.keys():
+            if c in old:
+                table[c] = old[c]
                 continue
             found = _WORD.fullmatch(c.lower()) if self.merges else None
             pieces = found.groups() if found else self.stem(c)
             for i, p in enumerate(pieces):
-                if p not in self and p not in old and p not in asked:
-                    asked.add(p)
-                    (words if found and not i else other).append(p)
+                if p not in table and p not in asked:
+                    if p in old:
+                        table[p] = old[p]
+                    else:
+                        asked.add(p)
+                        (words if found and not i else other).append(p)
             if pieces[0] != c:
                 ended.append((c, *pieces))
         if words:
-            self.update(zip(words, self.merges.encode(words), strict=True))
+            table.update(zip(words, self.merges.encode(words), strict=True))
         for c, e in zip(other, self.tokenizer.encode_batch_fast([c.decode() for c in other], add_special_tokens=False), strict=True):
-            self[c] = np.array(e.ids, "<u4").tobytes()
+            table[c] = np.array(e.ids, "<u4").tobytes()
         for c, stem, marks in ended:
-            self[c] = self[stem] + self[marks]
+            table[c] = table[stem] + table[marks]
 
     def ids(self, text: bytes) -> list[bytes]:
         """The ids of each chunk of one text."""
@@ -185,10 +184,11 @@ class Chunks(dict):
                 parts = [t.split() for t in texts[first : i + 1]]
                 for chunks in parts:
                     try:
-                        yield [self[c] for c in chunks]
+                        found = list(map(self.table.__getitem__, chunks))
                     except KeyError:
                         self.learn(set().union(*parts))
-                        yield [self[c] for c in chunks]
+                        found = list(map(self.table.__getitem__, chunks))
+                    yield found
                 first, held = i + 1, 0
 
 
