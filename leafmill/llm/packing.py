@@ -79,7 +79,7 @@ def pieces(docs: DataFrame, size: int = SIZE, end: int = END, vocabulary: str =
         known = chunks_of(vocabulary)
         out: dict[str, list] = {x: [] for x in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")}
         for doc, found in zip(batch.column(0).to_pylist(), known.each(blobs(batch.column(1))), strict=True):
-            ids = b"".join(found) + end.to_bytes(4, "little")
+            ids = found.astype("<u4").tobytes() + end.to_bytes(4, "little")
             for a in range(0, len(ids), 4 * size):
                 part = ids[a : a + 4 * size]
                 for x, y in zip(out.values(), (doc, a // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4), strict=True):

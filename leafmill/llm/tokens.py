@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from leafmill.llm.common import blobs, id_and_text, map_batches, table
-from leafmill.llm.runs import word_spans
+from leafmill.llm.runs import BYTE, Prefix, word_spans
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
-#: Chunks that a worker keeps, in two generations: what isn't asked for again goes first.
-KEPT = 1_600_000
+#: Chunks that a worker keeps; it starts anew beyond that.
+KEPT = 1_500_000
 #: Texts are looked up together, up to about so many bytes.
 TOGETHER = 4 << 20
 #: What may end a chunk as a piece of its own: the splitter takes such a run as a whole after a letter or digit.
@@ -120,7 +120,13 @@ class Merges:
 
 
 class Chunks:
-    """chunk (bytes) -> its token ids, little-endian unsigned 32-bit, as the library gives them."""
+    """The token ids of chunks, as the library gives them, found by the chunks' 64-bit hashes.
+
+    An open-addressed table of hashes leads to entries: how many ids a chunk
+    has, and where they begin in one long array.
+    """
+
+    BITS = 22
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -128,11 +134,50 @@ class Chunks:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.table: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         self.merges = Merges(model) if model.get("end_of_word_suffix") else None
+        self.forget()
+
+    def forget(self) -> None:
+        self.hashes = np.zeros(1 << self.BITS, np.uint64)
+        self.slots = np.full(1 << self.BITS, -1, np.int32)
+        self.held = 0
+        self.sizes, self.starts, self.flat, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The entry of each hash, or -1."""
+        slot = (h >> np.uint64(64 - self.BITS)).astype(np.int64)
+        out = self.slots[slot]
+        todo = np.flatnonzero((out >= 0) & (self.hashes[slot] != h))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & ((1 << self.BITS) - 1)
+            entry = self.slots[slot[todo]]
+            out[todo] = entry
+            todo = todo[(entry >= 0) & (self.hashes[slot[todo]] != h[todo])]
+        return out
+
+    def put(self, h: np.ndarray, ids: list[bytes]) -> None:
+        """Add chunks that aren't held, each once."""
+        sizes = np.fromiter((len(x) >> 2 for x in ids), np.int64, len(ids))
+        n, more = self.held + len(ids), int(sizes.sum())
+        if n > len(self.sizes):
+            self.sizes, self.starts = (np.concatenate([x, np.zeros(max(n, len(x)), np.int64)]) for x in (self.sizes, self.starts))
+        if self.used + more > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(more, len(self.flat)), np.uint32)])
+        self.flat[self.used : self.used + more] = np.frombuffer(b"".join(ids), "<u4")
+        self.sizes[self.held : n], self.starts[self.held : n] = sizes, self.used + np.cumsum(sizes) - sizes
+        entry = np.arange(self.held, n, dtype=np.int32)
+        slot = (h >> np.uint64(64 - self.BITS)).astype(np.int64)
+        todo = np.arange(len(h))
+        while len(todo):
+            free = todo[self.slots[slot[todo]] < 0]
+            self.slots[slot[free]] = entry[free]  # of several for one slot, one stays
+            won = free[self.slots[slot[free]] == entry[free]]
+            self.hashes[slot[won]] = h[won]
+            todo = np.setdiff1d(todo, won, assume_unique=True)
+            slot[todo] = (slot[todo] + 1) & ((1 << self.BITS) - 1)
+        self.held, self.used = n, self.used + more
 
     @staticmethod
     def stem(chunk: bytes) -> tuple[bytes, bytes]:
@@ -143,54 +188,63 @@ class Chunks:
         stem = chunk.rstrip(_MARKS)
         return (stem, chunk[len(stem) :]) if _STEM_END.search(stem) else (chunk, b"")
 
-    def learn(self, chunks: set[bytes]) -> None:
-        """Take in chunks that are new: plain words by the merges, all others by the library, all at once."""
-        if len(self.table) > KEPT // 2:
-            self.old, self.table = self.table, {}
-        table, old, words, other, ended = self.table, self.old, [], [], []
-        asked: set[bytes] = set()
-        for c in chunks - table.keys():
-            if c in old:
-                table[c] = old[c]
-                continue
+    def encode(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of chunks: plain words by the merges, all other pieces by the library, all at once."""
+        words, other, pairs = {}, {}, []
+        for c in chunks:
             found = _WORD.fullmatch(c.lower()) if self.merges else None
-            pieces = found.groups() if found else self.stem(c)
-            for i, p in enumerate(pieces):
-                if p not in table and p not in asked:
-                    if p in old:
-                        table[p] = old[p]
-                    else:
-                        asked.add(p)
-                        (words if found and not i else other).append(p)
-            if pieces[0] != c:
-                ended.append((c, *pieces))
+            stem, marks = found.groups() if found else self.stem(c)
+            (words if found else other)[stem] = b""
+            if marks:
+                other[marks] = b""
+            pairs.append((stem, marks, found))
         if words:
-            table.update(zip(words, self.merges.encode(words), strict=True))
+            words = dict(zip(words, self.merges.encode(list(words)), strict=True))
         for c, e in zip(other, self.tokenizer.encode_batch_fast([c.decode() for c in other], add_special_tokens=False), strict=True):
-            table[c] = np.array(e.ids, "<u4").tobytes()
-        for c, stem, marks in ended:
-            table[c] = table[stem] + table[marks]
+            other[c] = np.array(e.ids, "<u4").tobytes()
+        return [(words if found else other)[stem] + (other[marks] if marks else b"") for stem, marks, found in pairs]
 
-    def ids(self, text: bytes) -> list[bytes]:
-        """The ids of each chunk of one text."""
-        return next(self.each([text]))
-
-    def each(self, texts: list[bytes]) -> Iterator[list[bytes]]:
-        """The ids of each chunk, text by text."""
+    def entries(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For groups of texts: the entry of each chunk, and the texts' bounds in chunks."""
         first, held = 0, 0
         for i, text in enumerate(texts):
             held += len(text)
             if held >= TOGETHER or i == len(texts) - 1:
-                parts = [t.split() for t in texts[first : i + 1]]
-                for chunks in parts:
-                    try:
-                        found = list(map(self.table.__getitem__, chunks))
-                    except KeyError:
-                        self.learn(set().union(*parts))
-                        found = list(map(self.table.__getitem__, chunks))
-                    yield found
+                part = texts[first : i + 1]
+                joined, bounds = b"".join(part), np.cumsum([0, *map(len, part)])
+                start, end = word_spans(joined, bounds)
+                h = Prefix(BYTE[np.frombuffer(joined, np.uint8)])(start, end)
+                entry = self.find(h)
+                missing = np.flatnonzero(entry < 0)
+                if len(missing):
+                    new, at = np.unique(h[missing], return_index=True)
+                    if self.held + len(new) > KEPT:
+                        self.forget()
+                        new, at = np.unique(h, return_index=True)
+                        missing = np.arange(len(h))
+                    at = missing[at]
+                    self.put(new, self.encode([joined[a:z] for a, z in zip(start[at].tolist(), end[at].tolist(), strict=True)]))
+                    entry[missing] = self.find(h[missing])
+                yield entry, np.searchsorted(start, bounds)
                 first, held = i + 1, 0
 
+    def counts(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        """How many tokens each chunk has, text by text."""
+        for entry, bounds in self.entries(texts):
+            sizes = self.sizes[entry]
+            for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                yield sizes[a:z]
+
+    def each(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        """The ids (unsigned 32-bit) of each text."""
+        for entry, bounds in self.entries(texts):
+            sizes = self.sizes[entry]
+            ends = np.append(0, np.cumsum(sizes))
+            at = np.repeat(self.starts[entry] - ends[:-1], sizes) + np.arange(ends[-1])
+            ids = self.flat[at]
+            for a, z in zip(ends[bounds[:-1]].tolist(), ends[bounds[1:]].tolist(), strict=True):
+                yield ids[a:z]
+
 
 _chunks: dict[str, Chunks] = {}
 
@@ -210,9 +264,9 @@ def chunks_of(vocabulary: str) -> Chunks:
     return _chunks[vocabulary]
 
 
-def prefix_counts(ids: list[bytes]) -> np.ndarray:
-    """count[k]: tokens of a text up to and with its k-th chunk, from the ids of its chunks; count[0] is 0."""
-    return np.cumsum([0, *(len(x) >> 2 for x in ids)])
+def prefix_counts(sizes: np.ndarray) -> np.ndarray:
+    """count[k]: tokens of a text up to and with its k-th chunk, from the counts of its chunks; count[0] is 0."""
+    return np.append(0, np.cumsum(sizes))
 
 
 def chunk_ends(text: bytes) -> np.ndarray:
@@ -225,13 +279,13 @@ def fits(counts: np.ndarray, ends: np.ndarray, budget: int) -> int:
     return int(ends[np.searchsorted(counts, budget, side="right") - 1])
 
 
-def _mapped(docs: DataFrame, ddl: str, vocabulary: str, row: Callable[[bytes, list[bytes]], tuple]) -> DataFrame:
+def _mapped(docs: DataFrame, ddl: str, vocabulary: str, row: Callable[[bytes, np.ndarray], tuple]) -> DataFrame:
     names = [x.split()[0] for x in ddl.split(",")]
 
     def make(batch: pa.RecordBatch) -> Iterator[dict]:
         known = chunks_of(vocabulary)
         texts = blobs(batch.column(1))
-        rows = [row(t, ids) for t, ids in zip(texts, known.each(texts), strict=True)]
+        rows = [row(t, sizes) for t, sizes in zip(texts, known.counts(texts), strict=True)]
         yield {"doc_id": batch.column(0)} | dict(zip(names[1:], zip(*rows, strict=True), strict=True))
 
     return map_batches(id_and_text(docs), ddl, make)
@@ -239,7 +293,7 @@ def _mapped(docs: DataFrame, ddl: str, vocabulary: str, row: Callable[[bytes, li
 
 def prefix_table(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, ends, counts): the stored prefix table of every document; ends in bytes, both starting with 0."""
-    return _mapped(docs, "doc_id long,ends array<long>,counts array<long>", vocabulary, lambda t, ids: (chunk_ends(t), prefix_counts(ids)))
+    return _mapped(docs, "doc_id long,ends array<long>,counts array<long>", vocabulary, lambda t, sizes: (chunk_ends(t), prefix_counts(sizes)))
 
 
 def token_counts(docs: DataFrame, limit: int = LIMIT, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -249,9 +303,9 @@ def token_counts(docs: DataFrame, limit: int = LIMIT, vocabulary: str = VOCABULA
     A null text is empty (0 tokens); doc_id may be null or repeat.
     """
 
-    def row(text: bytes, ids: list[bytes]) -> tuple:
-        n = sum(map(len, ids)) >> 2
-        counts = prefix_counts(ids) if n > limit else None
+    def row(text: bytes, sizes: np.ndarray) -> tuple:
+        n = int(sizes.sum())
+        counts = prefix_counts(sizes) if n > limit else None
         return len(text), n, n > limit, fits(counts, chunk_ends(text), limit) if n > limit else len(text)
 
     return _mapped(docs, "doc_id long,n_bytes long,n_tokens long,over_limit boolean,fit_bytes long", vocabulary, row)
