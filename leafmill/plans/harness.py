@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from leafmill import constants as C
 from leafmill.functions import geometry as G
 from leafmill.functions import text as X
+from leafmill.operators import forms as M
 from leafmill.operators import lines as L
 from leafmill.operators import pages as P
+from leafmill.operators import setup as E
 from leafmill.operators import spans as S
 from leafmill.operators import tables as B
 from leafmill.plans import synth
@@ -477,3 +479,45 @@ def source_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("n_nationkey") % 4
     content = F.when(k == 0, F.unhex(F.lit("FFD8FFE000104A464946"))).when(k == 1, F.unhex(F.lit("89504E470D0A1A0A0000000D"))).when(k == 2, F.encode(F.lit("xx\n%PDF-1.7"), "UTF-8")).otherwise(F.encode(F.col("n_name"), "UTF-8"))
     return table(spark, sf_dir, "nation").select("n_nationkey", I.source_type(content).alias("kind"))
+
+
+# Setups and forms
+
+
+@query(
+    """WITH p AS (SELECT c_nationkey AS doc_id, c_custkey AS page, 595.0 + c_custkey % 3 AS width, 842.0 AS height, 20.0 + c_custkey % 7 AS x, 30.0 + c_custkey % 11 AS y FROM customer)
+    SELECT doc_id, floor(width + 0.5)::BIGINT AS kw, count(*) AS pages, median(x) AS "left", median(width - x - 500) AS "right", list_sort(list(y))[floor((count(*) - 1) * 0.2)::INT + 1] AS top FROM p GROUP BY doc_id, width"""
+)
+def page_setups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("doc_id"), k.alias("page"), (595.0 + k % 3).alias("width"), F.lit(842.0).alias("height"), (20.0 + k % 7).alias("x"), (30.0 + k % 11).alias("y"))
+    blocks = rows.select("doc_id", "page", "x", "y", F.lit(500.0).alias("width"), F.lit(700.0).alias("height"))
+    return E.page_setups(rows.drop("x", "y"), blocks).select("doc_id", "kw", "pages", "left", "right", "top")
+
+
+@query("""SELECT o_custkey, sum(o_totalprice) AS price, count(*)::BIGINT AS items, CASE WHEN sum(o_totalprice) > 2000000 THEN 'price' WHEN count(*) > 12 THEN 'items' END AS error FROM orders GROUP BY o_custkey""")
+def resource_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_totalprice").alias("price"), F.lit(1).cast("long").alias("items"))
+    return E.guards(rows, ["o_custkey"], {"price": 2_000_000, "items": 12})
+
+
+@query("""SELECT p_partkey, greatest(p_size * 100 - floor(p_retailprice)::BIGINT, 0)::BIGINT AS saved, floor(greatest(p_size * 100 - floor(p_retailprice)::BIGINT, 0) * 100 / (p_size * 100) + 0.5)::BIGINT AS saved_percent FROM part""")
+def compression_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 100).cast("long").alias("before"), F.floor("p_retailprice").alias("after"))
+    return E.savings(rows, "before", "after").select("p_partkey", "saved", "saved_percent")
+
+
+@query("""SELECT o_custkey, o_orderkey, ((row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 10)::INT AS batch FROM orders""")
+def worker_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.batches(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey").select("o_custkey", "o_orderkey", "batch")
+
+
+@query(
+    """WITH RECURSIVE f AS (SELECT s_nationkey AS doc_id, s_suppkey AS node, CASE WHEN s_suppkey > 25 THEN s_suppkey // 2 END AS parent, s_suppkey % 5 AS page FROM supplier),
+    g AS (SELECT 0 AS doc_id, node, parent, page FROM f), up AS (SELECT doc_id, node, parent FROM g WHERE page = 3 UNION SELECT g.doc_id, g.node, g.parent FROM up JOIN g ON g.node = up.parent)
+    SELECT doc_id, node FROM up"""
+)
+def form_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    fields = table(spark, sf_dir, "supplier").select(F.lit(0).alias("doc_id"), k.alias("node"), F.when(k > 25, F.floor(k / 2)).alias("parent"), (k % 5).alias("page"))
+    return M.retained(fields, fields.where("page = 3").select("doc_id", "page"))
