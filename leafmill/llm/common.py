@@ -15,16 +15,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster shares (spark.checkpoint.dir); one of our own only where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = jvm_dir.get() if jvm_dir.isDefined() else None
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='leafmill-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    app = spark.sparkContext.applicationId
+    if not found and app not in _own_dirs:
+        _own_dirs[app] = f"file://{tempfile.mkdtemp(prefix='leafmill-')}"
+    return found or _own_dirs[app]
 
 
 def settle(df: DataFrame) -> DataFrame:
