@@ -140,7 +140,7 @@ def unique_filenames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.unique_names(parts.select("p_size", "p_partkey", F.col("p_type").alias("name")), ["p_size"], "p_partkey", "name")
 
 
-@query("""SELECT page_id, coalesce(nullif(trim(regexp_replace(regexp_replace(split_part(url, '/', -1) || '.PDF', '(?i)\\.pdf$', ''), '[\\\\/:*?"<>|]', '_', 'g')), ''), 'document') AS stem FROM pages""".replace("\\\\/", "\\\\/"))
+@query("""SELECT page_id, coalesce(nullif(trim(regexp_replace(regexp_replace(split_part(url, '/', -1) || '.PDF', '(?i)\\.pdf$', ''), '[\\\\/:*?"<>|]', '_', 'g')), ''), 'document') AS stem FROM pages""")
 def file_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.element_at(F.split("url", "/"), -1), F.lit(".PDF"))
     return table(spark, sf_dir, "pages").select("page_id", X.file_stem(name).alias("stem"))
@@ -181,14 +181,18 @@ def recurring_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.recurring(last, ["text"], "doc_id").select("doc_id", "line_no", "text")
 
 
-@query("""SELECT lang, count(*) AS documents, sum(length(regexp_replace(text, '[ \\t\\n\\r\\f\\v]', '', 'g')))::BIGINT AS characters FROM documents GROUP BY lang""".replace("\\\\", "\\"))
+@query(
+    r"""SELECT lang, count(*) AS documents, sum(length(regexp_replace(text, '[ \t\n\r\f\v]', '', 'g')))::BIGINT AS characters FROM documents GROUP BY lang"""
+)
 def document_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").withColumn("page", F.col("doc_id"))
     return S.stats(rows, ["lang"]).select("lang", F.col("spans").alias("documents"), "characters")
 
 
-@query("""SELECT doc_id, sum(length(regexp_replace(text, '[^A-Za-z]', '', 'g')))::BIGINT AS latin, sum(length(regexp_replace(text, '[^\\p{Han}]', '', 'g')))::BIGINT AS han,
-    sum(length(regexp_replace(text, '[^A-Za-z]', '', 'g'))) >= 40 AS english FROM documents GROUP BY doc_id""".replace("\\\\", "\\"))
+@query(
+    r"""SELECT doc_id, sum(length(regexp_replace(text, '[^A-Za-z]', '', 'g')))::BIGINT AS latin, sum(length(regexp_replace(text, '[^\p{Han}]', '', 'g')))::BIGINT AS han,
+    sum(length(regexp_replace(text, '[^A-Za-z]', '', 'g'))) >= 40 AS english FROM documents GROUP BY doc_id"""
+)
 def script_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.script_histogram(table(spark, sf_dir, "documents"), ["doc_id"])
 
