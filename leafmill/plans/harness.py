@@ -489,7 +489,7 @@ def source_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH p AS (SELECT c_nationkey AS doc_id, c_custkey AS page, 595.0 + c_custkey % 3 AS width, 842.0 AS height, 20.0 + c_custkey % 7 AS x, 30.0 + c_custkey % 11 AS y FROM customer)
+    """WITH p AS (SELECT c_nationkey AS doc_id, c_custkey AS page, 595.0::DOUBLE + c_custkey % 3 AS width, 842.0::DOUBLE AS height, 20.0::DOUBLE + c_custkey % 7 AS x, 30.0::DOUBLE + c_custkey % 11 AS y FROM customer)
     SELECT doc_id, floor(width + 0.5)::BIGINT AS kw, count(*) AS pages, median(x) AS "left", median(width - x - 500) AS "right", list_sort(list(y))[floor((count(*) - 1) * 0.2)::INT + 1] AS top FROM p GROUP BY doc_id, width"""
 )
 def page_setups(spark: SparkSession, sf_dir: str) -> DataFrame:
