@@ -213,9 +213,9 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, words: int = WORDS, n
 
 
 def one_of_each(docs: DataFrame, budget: int = BUDGET, words: int = WORDS) -> DataFrame:
-    """docs with the smallest doc_id of each component; rows that repeat a doc_id count once, rows without one stay."""
+    """docs with the smallest doc_id of each component; rows that repeat doc_id and text count once, rows without a doc_id stay."""
     keep = near_duplicates(docs.where("doc_id is not null"), budget, words).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.select(docs.columns).union(docs.where("doc_id is null"))
 
 
