@@ -11,6 +11,10 @@ Windows are fingerprinted only where it can matter: a similarity of t takes
 2 t / (1 + t) of an item's shingles, so a window with fewer shingles that occur
 in any item at all is passed over.  This drops no pair.
 
+A document shorter than an item is compared with it as one whole window, by the
+same fingerprints and the same similarity, if it has at least t times the
+item's shingles; with fewer it can't reach t.
+
 The benchmark is the stated query set; it goes to the tasks in blocks of at
 most BLOCK bytes, one pass over the documents for each.
 """
@@ -162,6 +166,23 @@ def passages(texts: list[bytes], found: Index, similarity: float = SIMILARITY, r
                                 d = int(doc[p[w]])
                                 entry = (-value, s - int(words[d]), n)
                                 best[d, item] = min(best.get((d, item), entry), entry)
+            if k < WORDS:  # such an item is one shingle, which a shorter text hasn't
+                continue
+            # Whole texts that are shorter than an item: m shingles and own ones share t / (1 + t) of both.
+            own = np.diff(words) - k + 1
+            held = np.where(own > 0, hits[np.clip(words[:-1] + own, 0, len(hashes))] - hits[np.clip(words[:-1], 0, len(hashes))], 0)
+            part = similarity / (1 + similarity)
+            for d in np.flatnonzero((own > 0) & (held >= part * (2 * own + 1) - 1e-9)).tolist():
+                s, m = int(words[d]), int(own[d])
+                mine = hashes[s : s + m]
+                counts, prints = Counter(mine.tolist()), _windows(np.ascontiguousarray(mine), np.array([0]), m)
+                for n in found.sizes:
+                    if n - k + 1 <= m or m < similarity * (n - k + 1) - 1e-9 or held[d] < part * (m + n - k + 1) - 1e-9:
+                        continue
+                    for _, item in near(found, n, prints, radius):
+                        value = weighted_jaccard(counts, found.counts[item])
+                        if value >= similarity - 1e-12:
+                            best[d, item] = (-value, 0, m + k - 1)
         for (d, item), (value, start, n) in sorted(best.items()):
             yield first + d, found.ids[item], start, n, -value
 

@@ -122,3 +122,16 @@ def test_passages(spark):
     clean = decontaminate.without_passages(frame, bench)
     assert clean.columns == frame.columns and clean.count() == len(docs) - len({d for d, *_ in want})
     assert decontaminate.contaminated(frame.limit(0), bench).count() == 0 == decontaminate.contaminated(frame, bench.limit(0)).count()
+
+
+def test_passages_in_shorter_texts(spark):
+    rnd = random.Random(12)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 7))) for _ in range(500)]
+    long = [rnd.choice(words) for _ in range(59)]
+    items = [(1, " ".join(long)), (2, " ".join(rnd.choice(words) for _ in range(40))), (3, "one two three")]
+    docs = [(1, " ".join(long[:-1])), (2, " ".join(long[4:-2])), (3, " ".join(long[:46])), (4, " ".join(long[:40])), (5, "one two"), (6, "of four words only"), (7, "")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {tuple(r)[:4]: round(r.similarity, 9) for r in decontaminate.contaminated(frame, bench).collect()}
+    assert got == {(1, 1, 0, 58): round(54 / 55, 9), (2, 1, 0, 53): round(49 / 55, 9)}
+    assert {r.doc_id for r in decontaminate.without_passages(frame, bench).collect()} == {3, 4, 5, 6, 7}
