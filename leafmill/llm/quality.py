@@ -20,8 +20,6 @@ from leafmill.llm.common import id_and_text, settle, table
 
 BUCKETS = 10_000
 DEVIATIONS = 5.0
-#: Trusted documents that the target is learnt from: those whose hashed doc_id is least. Bounds what is broadcast.
-TRUSTED = 20_000
 
 _SPACE = r"\\x20\\x09-\\x0D"
 _WORDS = rf"regexp_extract_all(text, '[^{_SPACE}]+', 0)"
@@ -43,12 +41,15 @@ def base_rules() -> dict[str, Column]:
     }
 
 
-def worded(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """doc_id, text (null: empty), w (words) and trusted, by the bounded set of trusted ids."""
-    known = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED).withColumn("trusted", F.lit(True))
-    joined = id_and_text(docs).join(F.broadcast(known), "doc_id", "left")
-    return joined.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("trusted", F.lit(False)).alias("trusted")).withColumn("w", F.expr(_WORDS))
+def flagged(rows: DataFrame, trusted: DataFrame) -> DataFrame:
+    """rows with trusted, whether their doc_id is among all trusted ids: one row an id, joined as AQE sees fit."""
+    known = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("trusted", F.lit(True))
+    return rows.join(known, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+
+
+def worded(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, ...) with text (null: empty) and w (its words)."""
+    return docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("w", F.expr(_WORDS))
 
 
 def ratios(words: DataFrame, buckets: int = BUCKETS) -> list[float]:
@@ -81,12 +82,13 @@ def quality(docs: DataFrame, trusted: DataFrame, threshold: float | None = None,
     base_failed, kept.  A null text has no words and fails.  doc_id may be null
     or repeat.  Without trusted documents the base rules alone decide.
     """
-    words = worded(docs, trusted)
+    docs = id_and_text(docs)
+    weights = ratios(worded(flagged(docs, trusted)), buckets)
     counts = base_rules()
-    scored = words.select("doc_id", "trusted", *[c.alias(k) for k, c in counts.items()], score(ratios(words, buckets)).alias("score"))
+    scored = worded(docs).select("doc_id", *[c.alias(k) for k, c in counts.items()], score(weights).alias("score"))
     scored = settle(scored.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")))
-    if threshold is None:
-        m, s = scored.where("trusted and not base_failed").agg(F.mean("score"), F.stddev_pop("score")).first()
+    if threshold is None:  # texts are joined once, for the counters; here the narrow scores are
+        m, s = flagged(scored.select("doc_id", "base_failed", "score"), trusted).where("trusted and not base_failed").agg(F.mean("score"), F.stddev_pop("score")).first()
         threshold = -math.inf if m is None else m - DEVIATIONS * s
     return scored.select("doc_id", *counts, "base_failed", (~F.col("base_failed") & (F.col("score") >= F.lit(float(threshold)))).alias("kept"), "score")
 

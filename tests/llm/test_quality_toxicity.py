@@ -79,3 +79,11 @@ def test_grammar():
     assert toxicity.matches("zogling", lexical)[toxicity.MOST] == 3.0
     assert toxicity.matches("vatling", lexical)[toxicity.MOST] == 0 and toxicity.matches("vatling and vater", lexical)[toxicity.MOST] == 2.0
     assert toxicity.matches("", lexical) == [0.0] * 7
+
+
+def test_quality_learns_from_all_trusted(spark):
+    n = 20_100  # every trusted document has a word of its own
+    docs = spark.range(n).selectExpr("id as doc_id", "concat('w', id) as text")
+    words = quality.worded(quality.flagged(docs, docs.select("doc_id")))
+    assert words.where("trusted").count() == n
+    assert max(abs(x) for x in quality.ratios(words)) < 1e-9
