@@ -15,19 +15,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_own_dirs: dict[str, str] = {}
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares (spark.checkpoint.dir); one of our own only where none is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder.
+
+    Where neither is set, a local session gets a folder of its own; a cluster,
+    whose executors would each write to their own disk, gets an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
     if not found:
-        jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+        jvm_dir = context._jsc.sc().getCheckpointDir()
         found = jvm_dir.get() if jvm_dir.isDefined() else None
-    app = spark.sparkContext.applicationId
-    if not found and app not in _own_dirs:
-        _own_dirs[app] = f"file://{tempfile.mkdtemp(prefix='leafmill-')}"
-    return found or _own_dirs[app]
+    if not found and context.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if not found:
+        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='leafmill-')}")
+        found = context._jsc.sc().getCheckpointDir().get()
+    return found
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -38,7 +42,17 @@ def settle(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/leafmill-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete settled tables from which everything that is still needed has been settled since."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._settled_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def id_and_text(docs: DataFrame) -> DataFrame:
@@ -51,18 +65,13 @@ def blobs(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
-def squeezed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) with texts as Zstandard frames, for exchanges that carry whole texts; null stays null."""
-    import zstandard
-
-    def make(batch: pa.RecordBatch) -> Iterator[dict]:
-        pack = zstandard.ZstdCompressor(level=1).compress
-        yield {"doc_id": batch.column(0), "text": [x if x is None else pack(x) for x in batch.column(1).cast(pa.binary()).to_pylist()]}
-
-    return map_batches(id_and_text(docs), "doc_id long,text binary", make)
+def strings(column: pa.ChunkedArray | pa.Array) -> list[str]:
+    """A string column; null is empty, and bytes that are not valid UTF-8 read as U+FFFD."""
+    return [x.decode("utf-8", "replace") for x in blobs(column)]
 
 
 def unsqueezed(column: pa.Array) -> list[bytes]:
+    """Texts from Zstandard frames; null is empty."""
     import zstandard
 
     unpack = zstandard.ZstdDecompressor().decompress
@@ -73,6 +82,18 @@ def unsqueezed(column: pa.Array) -> list[bytes]:
 ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64())}
 
 
+#: Rows of a batch are worked on in slices of about so many bytes, so that a worker holds little at a time.
+SLICE = 4 << 20
+
+
+def sliced(batches: Iterator[pa.RecordBatch], size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of whole rows of about ``size`` bytes; empty batches are left out."""
+    for batch in batches:
+        step = max(1, int(batch.num_rows * size / max(size, batch.nbytes)))
+        for i in range(0, batch.num_rows, step):
+            yield batch.slice(i, step)
+
+
 def map_batches(df: DataFrame, ddl: str, make: Callable[[pa.RecordBatch], Iterator[dict]]) -> DataFrame:
     """mapInArrow for a function that yields dicts of columns for each batch.
 
@@ -81,9 +102,8 @@ def map_batches(df: DataFrame, ddl: str, make: Callable[[pa.RecordBatch], Iterat
     schema = pa.schema([(n, ARROW[t]) for n, t in (x.split() for x in ddl.split(","))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                for columns in make(batch):
-                    yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+        for batch in sliced(batches):
+            for columns in make(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
     return df.mapInArrow(run, ddl)

@@ -43,7 +43,7 @@ _FILTER = 22
 
 
 def _units(text: bytes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return runs.word_units(text, bounds, runs.LETTERS, runs.FOLDED)
+    return runs.word_units(text.lower(), bounds, runs.LETTERS)
 
 
 def _shingles(units: np.ndarray, k: int) -> np.ndarray:

@@ -1,15 +1,14 @@
 """Word-window repeats by level-wise doubling (operator 10).
 
 A window of 13 words can only repeat in another document if its parts do, so
-levels of length 4, 8 and 13 (the last doubling is cut at the window's own
-length) are counted in turn and only what repeats at one level is extended to
-the next:
-
-* 4 words: of the ten 4-grams in a window its least one stands for it, and
-  windows next to each other that share it travel as one run;
-* 8 words, then 13, only for runs of one key that differ in wording.
-
-Each level is an aggregation with map-side combining and a join back.
+what repeats at one length alone is extended to twice that length: 4 words, 8
+words, and 13 (the last doubling is cut at the window's own length).
+
+A level counts the grams of its length.  Of the grams inside a window its least
+one stands for it, and windows next to each other that share it are one row.
+Rows whose gram occurs in one document only are dropped.  Of rows with one
+wording the later ones are repeats, and only the first goes on to the next
+level, and only if its gram is met in other wordings too.
 """
 
 from __future__ import annotations
@@ -23,63 +22,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm import runs
-from leafmill.llm.common import blobs, id_and_text, map_batches, settle, squeezed, table, unsqueezed
-from leafmill.llm.suffix_repeats import merged, with_spans
+from leafmill.llm.common import id_and_text, map_batches, settle, table, unsqueezed
+from leafmill.llm.repeats import RUN, digit_pass, first_runs, marked, merged, pieces, with_spans
 
 SIZE = 13
 LEVEL = 4
 
 
-def _word_runs(size: int, level: int):
-    def make(batch: pa.RecordBatch) -> Iterator[dict]:
-        ids, texts = batch.column(0).to_numpy(zero_copy_only=False), blobs(batch.column(1))
-        for first, _, joined, bounds in runs.joined(texts):
-            if found := runs.runs_of(*runs.word_units(joined, bounds), size, level):
-                doc = found.pop("doc")
-                yield found | {"doc_id": ids[first + doc]}
+def _runs(units: np.ndarray, bounds: np.ndarray, size: int, level: int) -> dict | None:
+    at = np.arange(max(0, len(units) - level + 1))
+    return runs.runs_of(runs.Prefix(units)(at, at + level), units, bounds, size, level)
 
-    return make
 
+def _extended(size: int, level: int):
+    """The windows of the runs that go on, as runs of the next level."""
 
-def _candidates(size: int, level: int):
     def make(batch: pa.RecordBatch) -> Iterator[dict]:
-        ids, texts = batch.column("doc_id").to_pylist(), unsqueezed(batch.column("text"))
-        for doc, text, lo, n, key in zip(ids, texts, *(batch.column(x).to_pylist() for x in ("lo", "n", "key")), strict=True):
+        for doc, v, text, spans in zip(batch.column("doc_id").to_pylist(), batch.column("v").to_pylist(), unsqueezed(batch.column("text")), batch.column("r").to_pylist(), strict=True):
             units, _ = runs.word_units(text, np.array([0, len(text)]))
-            lo, n, key = np.array(lo), np.abs(np.array(n)), np.array(key, np.int64)
-            ok = lo + n - 1 + size <= len(units)
-            lo, n, key = lo[ok], n[ok], key[ok]
-            span = runs.Prefix(units)
-            run = np.repeat(np.arange(len(lo)), n)
-            at = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n) + lo[run]
-            double = min(2 * level, size)
-            yield {"doc_id": np.full(len(at), doc), "lo": at, "key": key[run], "twice": span(at, at + double).view(np.int64), "whole": span(at, at + size).view(np.int64)}
+            lo, n = (np.array([r[x] for r in spans]) for x in ("lo", "n"))
+            long = np.abs(n) - 1 + size
+            bounds = np.append(0, np.cumsum(long))
+            at = np.arange(bounds[-1]) + np.repeat(lo - bounds[:-1], long)
+            if found := _runs(units[at], bounds, size, level):
+                run = found.pop("doc")
+                yield found | {"doc_id": np.full(len(run), doc), "v": np.full(len(run), v), "lo": found["lo"] + lo[run]}
 
     return make
 
 
 def repeated_spans(docs: DataFrame, size: int = SIZE, level: int = LEVEL) -> DataFrame:
-    """(doc_id, lo, n): the word windows lo ... lo + n - 1 also start in a document with a smaller doc_id.
+    """(doc_id, v, lo, n): the word windows lo ... lo + n - 1 also start in a document with a smaller doc_id.
 
-    Rows with a null doc_id take no part.  Rows that repeat one doc_id count as one document.
+    Rows with a null doc_id take no part.  Rows that repeat one doc_id count as
+    one document, also if their texts differ: none is smaller than the other.
     """
     known = id_and_text(docs).where("doc_id is not null and text is not null")
-    found = map_batches(known, "doc_id long,lo int,n int,key long,body long", _word_runs(size, level))
-    across = [F.min("doc_id").alias("a"), F.max("doc_id").alias("b")]
-    shared = found.groupBy("key").agg(F.count("*").alias("runs")).where("runs > 1").select("key")
-    hot = settle(found.join(shared, "key"))
-    first = settle(hot.groupBy("key", "body").agg(F.min("doc_id").alias("first")))
-    first = first.join(first.groupBy("key").agg((F.count("*") > 1).alias("mixed")), "key")
-    judged = settle(hot.join(first, ["key", "body"]).select("doc_id", "lo", "n", "key", "mixed", (F.col("doc_id") > F.col("first")).alias("later")).where("later or mixed"))
-    kept = judged.where("not later").groupBy("doc_id").agg(F.collect_set(F.struct("lo", "n", "key")).alias("r"))
-    texts = squeezed(known).join(kept, "doc_id").select("doc_id", "text", F.col("r.lo").alias("lo"), F.col("r.n").alias("n"), F.col("r.key").alias("key"))
-    open_ = settle(map_batches(texts, "doc_id long,lo int,key long,twice long,whole long", _candidates(size, level)))
-    for by in (["key", "twice"], ["key", "twice", "whole"]):
-        last = by[-1] == "whole"
-        groups = open_.groupBy(*by).agg(*across).where("a < b").select(*by, *["a"] * last)
-        open_ = settle(open_.join(groups, by))
-    single = open_.where("doc_id > a").select("doc_id", "lo", F.lit(1).alias("n"))
-    return judged.where("later").select("doc_id", "lo", F.abs("n").alias("n")).union(single)
+    found, later = first_runs(known, lambda joined, bounds: _runs(*runs.word_units(joined, bounds), size, level)), None
+    while True:
+        judged = digit_pass(found, "min(doc_id)", "doc_id > first", "min(doc_id) < max(doc_id)", "min(first) < max(first)")
+        part = judged.where("later").select("doc_id", "v", "lo", F.abs("n").alias("n"))
+        later = part if later is None else later.union(part)
+        if level == size:
+            return later
+        level = min(2 * level, size)
+        found = settle(map_batches(pieces(known, judged.where("not later"), ["lo", "n"]), RUN, _extended(size, level)))
 
 
 def _cut(text: bytes, lo: list[int] | None, n: list[int] | None, size: int) -> tuple[int, int, list[bytes]]:
@@ -95,7 +82,8 @@ def _cut(text: bytes, lo: list[int] | None, n: list[int] | None, size: int) -> t
 def digests(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """Operator 10's contract: doc_id, n_words, n_removed, kept_sha256.
 
-    A null text has no words; a null doc_id keeps all of them.
+    A null text has no words; a null doc_id keeps all of them; rows that repeat
+    a doc_id and text have one result.
     """
 
     def make(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -107,7 +95,7 @@ def digests(docs: DataFrame, size: int = SIZE) -> DataFrame:
             out["kept_sha256"].append(hashlib.sha256(b" ".join(kept)).hexdigest())
         yield out
 
-    rows = with_spans(squeezed(docs), repeated_spans(docs, size)).select("doc_id", "text", "lo", "n")
+    rows = with_spans(marked(docs), repeated_spans(docs, size)).select("doc_id", "text", "lo", "n")
     return map_batches(rows, "doc_id long,n_words long,n_removed long,kept_sha256 string", make)
 
 

@@ -90,3 +90,45 @@ def test_characters_stay_whole(spark):
     docs = spark.createDataFrame([(1, "12345" + a, 0), (2, a + "zz", 0)], "doc_id long, text string, n_chars long").select("text", "n_chars", "doc_id")
     rows = {r.doc_id: r for r in suffix_repeats.cleaned(docs).collect()}
     assert rows[2].text == "zz" and rows[2].n_chars == 2 and rows[1].text == "12345" + a
+
+
+def thue_morse(a: str, b: str, n: int = 1024) -> tuple[str, str]:
+    """Two complementary Thue-Morse words: no polynomial hash modulo 2**64 tells them apart."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
+
+
+def test_words_that_collide_under_polynomial_hashes(spark):
+    one, two = thue_morse("b", "e")
+    rest = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{one} {rest}"), (2, f"{two} {rest}"), (3, one), (4, two), (5, "z" * 50 + one + "y" * 50), (6, "z" * 50 + two + "y" * 50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r[0]: tuple(r)[1:] for r in word_repeats.digests(docs).collect()} == words_removed(rows)
+    assert {r[0]: tuple(r)[1:] for r in suffix_repeats.digests(docs).collect()} == bytes_removed(rows)
+
+
+@pytest.mark.parametrize("runs", [4096, 2])
+def test_rows_of_one_id(spark, monkeypatch, runs):
+    monkeypatch.setattr(suffix_repeats, "RUNS", runs)
+    rnd = random.Random(3)
+    say = lambda n: " ".join(f"{rnd.randrange(10**6):x}" for _ in range(n))
+    a, b, c = say(60), say(60), say(20)
+    docs = spark.createDataFrame([(1, a), (2, a), (2, b), (2, b), (3, c + a[100:300] + c), (3, c + a[100:300] + c), (4, say(5) + a[150:280] + say(5))], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_repeats.digests(docs).collect())
+    third = 2 * len(c) + 200
+    repeated = 200 + len(c) if len(c) >= 100 else 200
+    fourth = next(x for x in got if x[0] == 4)
+    assert got[:6] == sorted([(1, len(a), 0), (2, len(a), len(a)), (2, len(b), 0), (2, len(b), 0), (3, third, repeated), (3, third, repeated)]) and fourth[2] == 130
+    words = sorted((r.doc_id, r.n_words, r.n_removed) for r in word_repeats.digests(docs).collect())
+    assert words[:4] == sorted([(1, 60, 0), (2, 60, 60), (2, 60, 0), (2, 60, 0)])
+
+
+def test_a_passage_in_half_of_all_rows(spark):
+    """One key holds half of the rows: results as by brute force, and AQE splits the join back."""
+    rnd = random.Random(5)
+    say = lambda n: " ".join(f"{rnd.randrange(10**6):x}" for _ in range(n))
+    hot = say(40)
+    rows = [(i, f"{say(12)} {hot} {say(12)}" if i % 2 else say(30)) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert {r[0]: tuple(r)[1:] for r in suffix_repeats.digests(docs).collect()} == bytes_removed(rows)
+    assert {r[0]: tuple(r)[1:] for r in word_repeats.digests(docs).collect()} == words_removed(rows)
