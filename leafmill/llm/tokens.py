@@ -23,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from leafmill.llm.common import blobs, id_and_text, map_batches, table
-from leafmill.llm.runs import BYTE, Prefix, word_spans
+from leafmill.llm.runs import mixed, word_keys, word_spans
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
-#: Chunks that a worker keeps; it starts anew beyond that.
-KEPT = 1_500_000
+#: Chunks that a worker keeps, at most, and their ids; it starts anew beyond that.
+KEPT, KEPT_IDS = 300_000, 2_000_000
 #: Texts are looked up together, up to about so many bytes.
-TOGETHER = 4 << 20
+TOGETHER = 1 << 20
 #: What may end a chunk as a piece of its own: the splitter takes such a run as a whole after a letter or digit.
 _MARKS = bytes(set(range(33, 127)) - set(b"'") - set(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
 #: Before a combining mark (UTF-8 leads 0xCC and up cover them all) the case of a letter may matter to its composition.
@@ -120,13 +120,14 @@ class Merges:
 
 
 class Chunks:
-    """The token ids of chunks, as the library gives them, found by the chunks' 64-bit hashes.
+    """The token ids of chunks, as the library gives them, found by 128-bit keys.
 
-    An open-addressed table of hashes leads to entries: how many ids a chunk
-    has, and where they begin in one long array.
+    A key holds a chunk's own bytes, or a strong hash of a long one, so no two
+    chunks are taken for each other.  An open-addressed table of keys leads to
+    entries: how many ids a chunk has, and where they begin in one long array.
     """
 
-    BITS = 22
+    BITS = 20
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -140,43 +141,52 @@ class Chunks:
         self.forget()
 
     def forget(self) -> None:
-        self.hashes = np.zeros(1 << self.BITS, np.uint64)
-        self.slots = np.full(1 << self.BITS, -1, np.int32)
+        self._room(self.BITS)
         self.held = 0
-        self.sizes, self.starts, self.flat, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
+        self.sizes, self.starts, self.flat, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
 
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """The entry of each hash, or -1."""
-        slot = (h >> np.uint64(64 - self.BITS)).astype(np.int64)
+    def _room(self, bits: int) -> None:
+        self.bits = bits
+        self.keys = np.zeros((2, 1 << bits), np.uint64)
+        self.slots = np.full(1 << bits, -1, np.int32)
+
+    def _slot(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        return (mixed(one ^ mixed(two)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """The entry of each key, or -1."""
+        slot = self._slot(one, two)
         out = self.slots[slot]
-        todo = np.flatnonzero((out >= 0) & (self.hashes[slot] != h))
+        todo = np.flatnonzero((out >= 0) & ((self.keys[0, slot] != one) | (self.keys[1, slot] != two)))
         while len(todo):
-            slot[todo] = (slot[todo] + 1) & ((1 << self.BITS) - 1)
-            entry = self.slots[slot[todo]]
+            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
+            entry, at = self.slots[slot[todo]], slot[todo]
             out[todo] = entry
-            todo = todo[(entry >= 0) & (self.hashes[slot[todo]] != h[todo])]
+            todo = todo[(entry >= 0) & ((self.keys[0, at] != one[todo]) | (self.keys[1, at] != two[todo]))]
         return out
 
-    def put(self, h: np.ndarray, ids: list[bytes]) -> None:
+    def put(self, one: np.ndarray, two: np.ndarray, ids: list[bytes]) -> None:
         """Add chunks that aren't held, each once."""
         sizes = np.fromiter((len(x) >> 2 for x in ids), np.int64, len(ids))
         n, more = self.held + len(ids), int(sizes.sum())
         if n > len(self.sizes):
-            self.sizes, self.starts = (np.concatenate([x, np.zeros(max(n, len(x)), np.int64)]) for x in (self.sizes, self.starts))
+            self.sizes, self.starts = (np.concatenate([x, np.zeros(max(n, len(x)), x.dtype)]) for x in (self.sizes, self.starts))
         if self.used + more > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(more, len(self.flat)), np.uint32)])
         self.flat[self.used : self.used + more] = np.frombuffer(b"".join(ids), "<u4")
         self.sizes[self.held : n], self.starts[self.held : n] = sizes, self.used + np.cumsum(sizes) - sizes
+        if 2 * n > 1 << self.bits:  # only for one group of texts with very many chunks, as the table was emptied for it
+            self._room(int(2 * n).bit_length())
         entry = np.arange(self.held, n, dtype=np.int32)
-        slot = (h >> np.uint64(64 - self.BITS)).astype(np.int64)
-        todo = np.arange(len(h))
+        slot = self._slot(one, two)
+        todo = np.arange(len(one))
         while len(todo):
             free = todo[self.slots[slot[todo]] < 0]
             self.slots[slot[free]] = entry[free]  # of several for one slot, one stays
             won = free[self.slots[slot[free]] == entry[free]]
-            self.hashes[slot[won]] = h[won]
+            self.keys[0, slot[won]], self.keys[1, slot[won]] = one[won], two[won]
             todo = np.setdiff1d(todo, won, assume_unique=True)
-            slot[todo] = (slot[todo] + 1) & ((1 << self.BITS) - 1)
+            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
         self.held, self.used = n, self.used + more
 
     @staticmethod
@@ -200,7 +210,7 @@ class Chunks:
             pairs.append((stem, marks, found))
         if words:
             words = dict(zip(words, self.merges.encode(list(words)), strict=True))
-        for c, e in zip(other, self.tokenizer.encode_batch_fast([c.decode() for c in other], add_special_tokens=False), strict=True):
+        for c, e in zip(other, self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in other], add_special_tokens=False), strict=True):
             other[c] = np.array(e.ids, "<u4").tobytes()
         return [(words if found else other)[stem] + (other[marks] if marks else b"") for stem, marks, found in pairs]
 
@@ -213,21 +223,28 @@ class Chunks:
                 part = texts[first : i + 1]
                 joined, bounds = b"".join(part), np.cumsum([0, *map(len, part)])
                 start, end = word_spans(joined, bounds)
-                h = Prefix(BYTE[np.frombuffer(joined, np.uint8)])(start, end)
-                entry = self.find(h)
+                one, two = word_keys(joined, start, end)
+                entry = self.find(one, two)
                 missing = np.flatnonzero(entry < 0)
                 if len(missing):
-                    new, at = np.unique(h[missing], return_index=True)
-                    if self.held + len(new) > KEPT:
+                    new = missing[self._each_once(one[missing], two[missing])]
+                    if self.held and (self.held + len(new) > KEPT or self.used > KEPT_IDS):
                         self.forget()
-                        new, at = np.unique(h, return_index=True)
-                        missing = np.arange(len(h))
-                    at = missing[at]
-                    self.put(new, self.encode([joined[a:z] for a, z in zip(start[at].tolist(), end[at].tolist(), strict=True)]))
-                    entry[missing] = self.find(h[missing])
+                        missing = np.arange(len(one))
+                        new = self._each_once(one, two)
+                    self.put(one[new], two[new], self.encode([joined[a:z] for a, z in zip(start[new].tolist(), end[new].tolist(), strict=True)]))
+                    entry[missing] = self.find(one[missing], two[missing])
                 yield entry, np.searchsorted(start, bounds)
                 first, held = i + 1, 0
 
+    @staticmethod
+    def _each_once(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Where each key comes first."""
+        order = np.lexsort((two, one))
+        new = np.ones(len(order), bool)
+        new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+        return order[new]
+
     def counts(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """How many tokens each chunk has, text by text."""
         for entry, bounds in self.entries(texts):

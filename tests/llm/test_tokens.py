@@ -33,6 +33,13 @@ def test_ids_are_the_library_s(known):
         assert ids.tolist() == library(known, text), repr(text)
 
 
+@pytest.mark.parametrize("pair", ["be", "x7"])
+def test_chunks_that_collide_under_polynomial_hashes(known, pair):
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    texts = ["".join(pair[x] for x in bits), "".join(pair[1 - x] for x in bits)]
+    assert [ids.tolist() for ids in known.each([" ".join(texts).encode(), *(t.encode() for t in texts)])] == [library(known, t) for t in (" ".join(texts), *texts)]
+
+
 def test_chunks_are_forgotten(known, monkeypatch):
     monkeypatch.setattr(tokens, "KEPT", 20)
     texts = [" ".join(f"word{i}x{j}" for j in range(9)) for i in range(30)]
