@@ -179,11 +179,19 @@ def word_keys(text: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarr
     return one, two
 
 
+def word_value(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """A word's key as one well mixed 64-bit value."""
+    return mixed(one ^ mixed(two + BASE))
+
+
+def word_units_at(text: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return word_value(*word_keys(text, start, end))
+
+
 def word_units(text: bytes, bounds: np.ndarray, within: np.ndarray = SPACED) -> tuple[np.ndarray, np.ndarray]:
-    """A well mixed 64-bit value for each word of several texts end to end, and the texts' bounds in words."""
+    """A value for each word of several texts end to end, and the texts' bounds in words."""
     start, end = word_spans(text, bounds, within)
-    one, two = word_keys(text, start, end)
-    return mixed(one ^ mixed(two + BASE)), np.searchsorted(start, bounds)
+    return word_units_at(text, start, end), np.searchsorted(start, bounds)
 
 
 def text_hash(text: bytes) -> int:

@@ -67,18 +67,69 @@ def test_toxicity(spark):
     assert toxicity.toxicity(docs, marks.limit(0)).where("predicted = 1").count() == 0
 
 
+def gathered(text: str, arcs: dict | None = None, **factors: float) -> float:
+    return toxicity.evidence([text], toxicity.Lexical(arcs or {}), toxicity.grammar(**factors))[0, 0]
+
+
 def test_grammar():
-    lexical = toxicity.Lexical({"zog*": 3.0, "vat**": 2.0})
-    plain = toxicity.matches("a moron walks", lexical)
-    assert plain[toxicity.PLAIN] == 1.0 and plain[toxicity.NEGATED] == 0
-    assert toxicity.matches("you have seen what an idiot does", lexical)[toxicity.PLAIN] == 1.0 and toxicity.matches("you idiot", lexical)[toxicity.AIMED] == 1.0
-    assert toxicity.matches("this is not stupid.", lexical)[toxicity.NEGATED] == 1.0
-    assert toxicity.matches("they wrote that some moron came", lexical)[toxicity.REPORTED] == 1.0
-    assert toxicity.matches("said it. A moron came", lexical)[toxicity.PLAIN] == 1.0
-    assert toxicity.matches("kill time", lexical)[toxicity.THREATS] == 0 and toxicity.matches("kill you", lexical)[toxicity.THREATS] == 1.0
-    assert toxicity.matches("zogling", lexical)[toxicity.MOST] == 3.0
-    assert toxicity.matches("vatling", lexical)[toxicity.MOST] == 0 and toxicity.matches("vatling and vater", lexical)[toxicity.MOST] == 2.0
-    assert toxicity.matches("", lexical) == [0.0] * 7
+    assert gathered("a moron walks") == 1.0 and gathered("you idiot") == toxicity.AIMED == gathered("an idiot is what you") and gathered("you have seen what an idiot does") == 1.0
+    assert gathered("this is not stupid.") == toxicity.NEGATED and gathered("isn't that stupid") == toxicity.NEGATED
+    assert gathered("someone wrote that some moron came") == toxicity.REPORTED and gathered("said it. A moron came") == 1.0
+    assert gathered("she wrote that you are not moron") == toxicity.REPORTED * toxicity.NEGATED * toxicity.AIMED
+    assert gathered("kill time") == 0 and gathered("kill you") == toxicity.AIMED and gathered("never kill you") == toxicity.AIMED * toxicity.NEGATED
+    # The end of a clause closes targets, negations and reports, in both directions.
+    assert gathered("A moron. You came here") == gathered("You came! A moron") == gathered("not so; a moron") == gathered("he wrote\na moron") == 1.0
+    assert gathered("zogling and zog", {"zog*": 3.0}) == 6.0 and gathered("\u201cidiot\u201d, moron\u2026 scum") == 3.0
+    assert gathered("") == gathered("plain words only") == 0
+
+
+def test_factors_move_scores():
+    lexical, link = toxicity.Lexical({}), [-2.0, 2.0, 2.0, 1.0]
+    score = lambda t, **f: toxicity.scores([t], lexical, toxicity.grammar(**f), link)[0]
+    for text, without in (("you are not an idiot", {"negated": 1.0}), ("they said that he is an idiot", {"reported": 1.0}), ("some idiot said you", {"aimed": 1.0}), ("they kill you", {"aimed": 1.0})):
+        assert abs(score(text) - score(text, **without)) > 0.02
+    assert score("you are not an idiot") < score("you are an idiot") and score("an idiot") < score("you idiot")
+
+
+def test_composition_and_search():
+    """The composed grammar and its search against every path through the three transducers, one after the other."""
+    chain = [toxicity.negation(), toxicity.report(), toxicity.target()]
+
+    def every(clause):
+        best = None
+        for path in paths(chain, [(s, w, 1.0) for s, w in clause]):
+            got = sum(w * f for _, w, f in path)
+            best = got if best is None else max(best, got)
+        return best or 0.0
+
+    def paths(rest, tape):
+        if not rest:
+            yield tape
+            return
+        first = rest[0]
+        stack = [(0, 0, [])]
+        while stack:
+            at, state, out = stack.pop()
+            if at == len(tape):
+                if state in first.finals:
+                    yield from paths(rest[1:], out)
+                continue
+            symbol, weight, factor = tape[at]
+            for written, f, to in first.arcs[state].get(symbol, ()):
+                stack.append((at + 1, to, [*out, (written, weight, factor * f)]))
+
+    rnd = random.Random(13)
+    over = toxicity.grammar()
+    for _ in range(400):
+        clause = [(s := rnd.choice(toxicity.SYMBOLS), round(rnd.uniform(0.5, 5), 2) if s in ("insult", "threat") else 0.0) for _ in range(rnd.randint(0, 9))]
+        assert abs(toxicity.best_path(over, clause)[0] - every(clause)) < 1e-9
+
+
+def test_toxicity_edges(spark):
+    docs = spark.sql("select 1L as doc_id, cast(unhex('69ff206964696f74') as string) as text, 5 as score union all select 2L, repeat('you idiot scum ', 40000), 1 union all select 2L, 'other', 1 union all select null, null, 1")
+    marks = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (3, 5)], "doc_id long, toxic int")
+    assert toxicity.toxicity(docs, marks).count() == 4 == toxicity.toxicity(docs, marks.limit(0)).count()
+    assert toxicity.without_toxic(docs.limit(0), marks).count() == 0
 
 
 def test_quality_learns_from_all_trusted(spark):
