@@ -34,14 +34,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it back.
+def settle(df: DataFrame, **options: str) -> DataFrame:
+    """Write df as a table in the shared folder and read it back; options: of the Parquet writer.
 
     Cuts lineage and keeps what is used twice from being made twice; lost
     executors take nothing with them.
     """
     path = f"{shared_dir(df.sparkSession)}/leafmill-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._settled_at = path
     return out

@@ -8,21 +8,22 @@ So with the chunks c1 c2 ... of a text between white space,
 
 is the exact token count of the prefix that ends with ck.  A chunk's tokens are
 taken from the library once and kept, so a text is counted without encoding it
-again, and a stored row of prefix counts answers how much of a text fits a
-budget, or what a cut costs, by binary search.
+again.  The row of prefix counts of every document is stored; its token count,
+whether it is over a limit, and how much of it fits a budget are read from there.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from leafmill.llm.common import blobs, id_and_text, map_batches, table
+from leafmill.llm.common import blobs, id_and_text, map_batches, settle, table
 from leafmill.llm.runs import mixed, word_keys, word_spans
 
 VOCABULARY = "word_bpe_49k.json"
@@ -296,36 +297,45 @@ def fits(counts: np.ndarray, ends: np.ndarray, budget: int) -> int:
     return int(ends[np.searchsorted(counts, budget, side="right") - 1])
 
 
-def _mapped(docs: DataFrame, ddl: str, vocabulary: str, row: Callable[[bytes, np.ndarray], tuple]) -> DataFrame:
-    names = [x.split()[0] for x in ddl.split(",")]
+#: Prefix rows only ever rise, so their differences are what is stored.
+RISING = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false"}
+
+
+def prefix_table(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(doc_id, n_bytes, ends, counts): the stored prefix row of every document.
+
+    counts[k] is the exact token count of the first ends[k] bytes, those up to
+    and with the k-th chunk; both start with 0.
+    """
 
     def make(batch: pa.RecordBatch) -> Iterator[dict]:
         known = chunks_of(vocabulary)
         texts = blobs(batch.column(1))
-        rows = [row(t, sizes) for t, sizes in zip(texts, known.counts(texts), strict=True)]
-        yield {"doc_id": batch.column(0)} | dict(zip(names[1:], zip(*rows, strict=True), strict=True))
+        yield {"doc_id": batch.column(0), "n_bytes": [len(t) for t in texts], "ends": [chunk_ends(t) for t in texts], "counts": [prefix_counts(s) for s in known.counts(texts)]}
 
-    return map_batches(id_and_text(docs), ddl, make)
+    return settle(map_batches(id_and_text(docs), "doc_id long,n_bytes long,ends array<long>,counts array<long>", make), **RISING)
 
 
-def prefix_table(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, ends, counts): the stored prefix table of every document; ends in bytes, both starting with 0."""
-    return _mapped(docs, "doc_id long,ends array<long>,counts array<long>", vocabulary, lambda t, sizes: (chunk_ends(t), prefix_counts(sizes)))
+def within(rows: DataFrame, budget: Column | int) -> DataFrame:
+    """Rows of a prefix table with n_tokens, over_limit and fit_bytes for a budget of tokens, read from the stored counts.
+
+    fit_bytes: length of the longest prefix of whole chunks within the budget;
+    the whole text's if that is within it.
+    """
+    budget = budget if isinstance(budget, Column) else F.lit(budget)
+    rows = rows.withColumn("n_tokens", F.element_at("counts", -1)).withColumn("over_limit", F.col("n_tokens") > budget)
+    held = F.size(F.filter("counts", lambda c: c <= budget))
+    return rows.withColumn("fit_bytes", F.when(F.col("over_limit"), F.element_at("ends", held)).otherwise(F.col("n_bytes")))
 
 
 def token_counts(docs: DataFrame, limit: int = LIMIT, vocabulary: str = VOCABULARY) -> DataFrame:
     """Operator 9's contract: doc_id, n_bytes, n_tokens, over_limit; then fit_bytes.
 
-    fit_bytes: length of the longest prefix of whole chunks within the limit.
-    A null text is empty (0 tokens); doc_id may be null or repeat.
+    All are answered from the stored prefix rows.  A null text is empty (0
+    tokens); bytes that are not valid UTF-8 count as U+FFFD does; doc_id may be
+    null or repeat; an empty table has no rows.
     """
-
-    def row(text: bytes, sizes: np.ndarray) -> tuple:
-        n = int(sizes.sum())
-        counts = prefix_counts(sizes) if n > limit else None
-        return len(text), n, n > limit, fits(counts, chunk_ends(text), limit) if n > limit else len(text)
-
-    return _mapped(docs, "doc_id long,n_bytes long,n_tokens long,over_limit boolean,fit_bytes long", vocabulary, row)
+    return within(prefix_table(docs, vocabulary), limit).select("doc_id", "n_bytes", "n_tokens", "over_limit", "fit_bytes")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

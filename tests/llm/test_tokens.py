@@ -67,6 +67,29 @@ def test_counts(spark, known):
     assert tokens.token_counts(docs.limit(0)).count() == 0 == tokens.prefix_table(docs.limit(0)).count()
 
 
+def test_stored_prefix_rows(spark, known):
+    rnd = random.Random(9)
+    texts = [" ".join(rnd.choice(["a", "storm", "xyzzy's", "é.", "日本語", "\n\n", "12"]) for _ in range(rnd.choice([0, 1, 30, 3000]))) for _ in range(12)] + [" \t ", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = tokens.prefix_table(docs)
+    for r in rows.collect():
+        raw = (texts[r.doc_id] or "").encode()
+        assert r.ends[0] == r.counts[0] == 0 and len(r.ends) == len(r.counts) == len(raw.split()) + 1
+        for k in {0, len(r.ends) // 2, len(r.ends) - 1}:
+            assert r.counts[k] == len(library(known, raw[: r.ends[k]].decode()))
+    for budget in (0, 7, 2000, 10**6):
+        for r in tokens.within(rows, budget).collect():
+            text = texts[r.doc_id] or ""
+            assert r.n_tokens == len(library(known, text)) and r.over_limit == (r.n_tokens > budget)
+            fit = text.encode()[: r.fit_bytes].decode()
+            assert len(library(known, fit)) <= budget and (not r.over_limit or len(library(known, f"{fit} {text.encode()[r.fit_bytes :].split()[0].decode()}")) > budget)
+
+
+def test_bytes_that_are_not_utf8(spark, known):
+    docs = spark.sql("select 1L as doc_id, cast(unhex('61ff62') as string) as text")
+    assert [tuple(r)[:3] for r in tokens.token_counts(docs).collect()] == [(1, 3, len(library(known, "a\ufffdb")))]
+
+
 def test_packing(spark, known):
     rnd = random.Random(5)
     rows = [(i, " ".join(rnd.choice(["a", "storm", "over", "xyzzy", "é"]) for _ in range(rnd.choice([0, 3, 40, 700, 5000])))) for i in range(60)] + [(7, "same"), (7, "same"), (None, None)]
