@@ -31,6 +31,71 @@ def test_main_text(body, want):
     assert main_text.main_text(PAGE.format(body=body)) == want
 
 
+ARTICLE = "<h1>Head</h1><p>One sentence, and another, long enough to be read as prose by anyone.</p><p>A second paragraph, with commas, and more words to count.</p>"
+
+
+@pytest.mark.parametrize(
+    "around",
+    ["<div class='post has-sidebar'>%s</div>", "<div class='layout-sidebar-right'>%s</div>", "<div class='no-comments'>%s</div>", "<section class='related-work'>%s</section>", "<div id='notice'>%s</div>", "<div class='shares-and-bonds'>%s<div class='social-share'><a href=x>Share</a></div></div>"],
+)
+def test_names_do_not_lose_articles(around):
+    assert main_text.main_text(PAGE.format(body=around % ARTICLE)).split("\n") == ["Head", "One sentence, and another, long enough to be read as prose by anyone.", "A second paragraph, with commas, and more words to count."]
+
+
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        ("<article><p>Press <button>Save</button> now, or <label>tick</label> it, if <math><mi>x</mi></math> is 1.</p><button>Share</button><p>An <b title='>open</b> quote.</p></article>", "Press Save now, or tick it, if x is 1.\nAn open quote."),
+        ("<article><p>Text, here.</p><div class='comment-list'><p>First, I say, and a lot of other things, as readers do.</p></div><div class='user-comments'><p>More, and more.</p></div></article>", "Text, here."),
+        ("<article><p>Text, here.</p><div hidden><p>Not shown.</p></div><section class='related-work'><p>Others have written on this at length, too, and are quoted here in whole sentences.</p></section></article>", "Text, here.\nOthers have written on this at length, too, and are quoted here in whole sentences."),
+    ],
+)
+def test_controls_comments_and_sections(body, want):
+    assert main_text.main_text(PAGE.format(body=body)) == want
+
+
+def test_points_of_ancestors():
+    """The one pass over the tree against sums over every pair of an element and a block below it."""
+    rnd = random.Random(31)
+    for _ in range(60):
+        page, open_ = [], []
+        for _ in range(60):
+            if open_ and rnd.random() < 0.4:
+                page.append(f"</{open_.pop()}>")
+            elif rnd.random() < 0.5:
+                open_.append(rnd.choice(["div", "section", "ul", "b", "a"]))
+                page.append(f"<{open_[-1]}>")
+            else:
+                page.append(rnd.choice(["<p>", "<h2>", "<li>", ""]) + ", ".join("word" * rnd.randint(1, 9) for _ in range(rnd.randint(1, 30))))
+        nodes, texts = main_text._tree("".join(page))
+        found = list(main_text._read(texts))
+        main_text.gather(nodes, found)
+        for x in nodes:
+            score = size = held = 0
+            for owner, text, density in found:
+                line, up = [], owner
+                while up is not None:
+                    line.append(up)
+                    up = up.parent
+                if x not in line:
+                    continue
+                size += len(text)
+                if owner.tag in main_text.HEADINGS:
+                    continue
+                held += main_text.points(text, density)
+                first = 1 if owner.tag in main_text.PARAGRAPHS and owner.parent is not None else 0
+                if line.index(x) >= first:
+                    score += main_text.points(text, density) * main_text.FADE ** (line.index(x) - first)
+            assert abs(x.score - score) < 1e-6 and x.size == size and abs(x.held - held) < 1e-6
+
+
+def test_very_deep_and_long_pages():
+    deep = "<div>x" * 100_000
+    assert main_text.main_text(deep).count("\n") >= 0
+    assert main_text.main_text("<p>" + "<b>" * 30_000 + "<div>x</div>" * 30_000)
+    assert len(main_text.main_text("<article>" + "<p>word, " * 100_000)) > 500_000
+
+
 @pytest.mark.parametrize("page", ["", "plain", "<", "<p", "<p>a<p>b</div></p></html>x", "<table><tr><td>a<td>b<tr><td>c</table>", "<" * 500, "<div>" * 3000 + "x", "<script>never closed <p>x", "a&#0;&#xD800;&bogus;&lt"])
 def test_broken_pages(page):
     main_text.main_text(page)
@@ -40,6 +105,8 @@ def test_pages(spark):
     pages = spark.createDataFrame([(1, "u", PAGE.format(body="<article><p>Hé!</p></article>"), "x"), (None, None, None, "x"), (1, "u", "", "x")], "page_id long, url string, html string, text string")
     assert sorted(map(str, main_text.extracted(pages).collect())) == sorted(["Row(page_id=1, url='u', text='Hé!', n_chars=3)", "Row(page_id=None, url=None, text='', n_chars=0)", "Row(page_id=1, url='u', text='', n_chars=0)"])
     assert main_text.extracted(pages.limit(0)).count() == 0
+    odd = spark.sql("select 1L as page_id, 'u' as url, cast(unhex('3c703e61ff62') as string) as html")
+    assert [r.text for r in main_text.extracted(odd).collect()] == ["a\ufffdb"]
 
 
 def test_audit(spark):
