@@ -45,13 +45,16 @@ def archived(pages: DataFrame, per_file: int = FILE) -> DataFrame:
     return pages.select(F.floor(F.col("page_id") / per_file).cast("long").alias("warc"), "page_id", "record")
 
 
-def placed(records: DataFrame) -> DataFrame:
-    """(warc, page_id, offset, length, digest) of records (warc, page_id, record) written in the order of page_id."""
+def placed(records: DataFrame, *more: str) -> DataFrame:
+    """(warc, page_id, offset, length, digest) and the columns more of records (warc, page_id, record) written in the order of page_id.
+
+    Records of one page_id stand in the order of their digests; equal ones take a place each.
+    """
     from pyspark.sql import Window
 
-    hashed = records.select("warc", "page_id", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"))
+    hashed = records.select("warc", "page_id", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"), *more)
     order = Window.partitionBy("warc").orderBy("page_id", "digest", "length").rowsBetween(Window.unboundedPreceding, -1)
-    return hashed.select("warc", "page_id", F.coalesce(F.sum("length").over(order), F.lit(0)).cast("long").alias("offset"), "length", "digest")
+    return hashed.select("warc", "page_id", F.coalesce(F.sum("length").over(order), F.lit(0)).cast("long").alias("offset"), "length", "digest", *more)
 
 
 def parsed(files: DataFrame) -> DataFrame:
@@ -147,14 +150,18 @@ def audit(one: DataFrame, two: DataFrame, leaf: int = LEAF, fanout: int = FANOUT
 def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as WARC records, audited against a replica that lost and altered some.
 
-    Returns page_id, warc, offset, length, digest, status (ok, altered, missing) of every record.
+    Returns page_id, warc, offset, length, digest, status (ok, altered, missing)
+    of every record.  Pages that repeat are records of their own, at offsets of
+    their own; a null url or html is empty; a null page_id gets one from the
+    page's content; an empty table has no records.
     """
     written = archived(table(spark, sf_dir, "pages"))
-    first = settle(placed(written))
     # The replica: the same layout with holes and flipped bytes, as bit rot leaves it.
-    rotten = written.where("page_id % 211 <> 7").select("warc", "page_id", F.when(F.col("page_id") % 97 == 13, F.overlay("record", F.lit("~"), 12)).otherwise(F.col("record")).alias("record"))
-    rotten = rotten.select("warc", "page_id", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"))
-    second = settle(rotten.join(first.select("warc", "page_id", "offset"), ["warc", "page_id"]).select("warc", "offset", "length", "digest"))
+    rotten = F.when(F.col("page_id") % 97 == 13, F.overlay("record", F.lit("~"), 12)).otherwise(F.col("record"))
+    written = written.withColumn("there", F.when(F.col("page_id") % 211 != 7, F.struct(F.octet_length(rotten).cast("long").alias("length"), F.sha2(rotten, 256).alias("digest"))))
+    both = settle(placed(written, "there"))
+    first = both.drop("there")
+    second = both.where("there is not null").select("warc", "offset", "there.length", "there.digest")
     found = audit(first.select("warc", "offset", "length", "digest"), second)
     return first.join(found, ["warc", "offset"], "left").select("page_id", "warc", "offset", "length", "digest", F.coalesce("status", F.lit("ok")).alias("status"))
 

@@ -151,6 +151,18 @@ def test_replica_of_pages(spark, tmp_path):
     assert got == {i: "missing" if i % 211 == 7 else "altered" if i % 97 == 13 else "ok" for i in range(500)}
 
 
+def test_replica_of_repeated_and_empty_pages(spark, tmp_path):
+    rows = [(5, "u", "one"), (5, "u", "two"), (5, "u", "two"), (13, "u", None), (13, "v", "x"), (7, "u", "gone"), (6, None, "y"), (None, "w", "z"), (1500, "u", "é" * 70_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages.withColumn("status", F.lit("mine")).write.parquet(f"{tmp_path}/pages.parquet")
+    got = warc.op3_warc_fixity(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and len({(r.warc, r.offset) for r in got}) == len(rows)
+    for r in got:
+        assert r.page_id > 2000 or r.status == {13: "altered", 7: "missing"}.get(r.page_id, "ok")
+    pages.limit(0).write.parquet(f"{tmp_path}/none/pages.parquet")
+    assert warc.op3_warc_fixity(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_passages(spark):
     rnd = random.Random(10)
     words = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 7))) for _ in range(500)]
