@@ -2,8 +2,9 @@
 
 Large-star and small-star steps (Kiveris et al., 2014) until nothing changes.
 A step is a minimum for each node (combined on the map side, so a hub costs one
-row for each task) and a join back; links are settled after each round, so
-lineage stays short and lost executors cost one round.
+row for each task) and a join back, which AQE can split as the minima are
+settled before; links are settled after each round, so lineage stays short and
+lost executors cost one round.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ def components(links: DataFrame) -> DataFrame:
     while (now := _state(links)) != before:
         before = now
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        least = settle(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = settle(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = settle(large.groupBy("u").agg(F.min("v").alias("m")))
         joined = large.join(least, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         links = settle(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())

@@ -30,7 +30,8 @@ from leafmill.llm.components import components
 
 BUDGET = 2
 WORDS = 3
-#: Fingerprints that one node may hold before Spark walks on down.
+#: Fingerprints, its own and visitors, that one node may hold before Spark walks on down.  A single fingerprint, the lowest
+#: node, has no more visitors than there are values within the budget: 2,080 for two bits.
 NODE = 4096
 
 
@@ -164,15 +165,17 @@ def links(fps: DataFrame, budget: int = BUDGET, node: int = NODE) -> DataFrame:
     depth = min(16, max(0, math.ceil(math.log2(max(1, n) * 4 / node))))
     rows = fps.select(F.lit(0).cast("long").alias("path"), F.lit(True).alias("own"), F.lit(0).alias("spent"), "fp")
     rows, done, taken = _walk(rows, order[:depth], budget) if depth else rows, [], depth
-    while n > node:
+    while taken < 64 and n > node:
         rows = settle(rows)
-        full = rows.where("own").groupBy("path").agg(F.count("*").alias("held"))
-        rows = rows.join(full, "path")  # nodes without a fingerprint of their own need no visitors
+        full = rows.groupBy("path").agg(F.count("*").alias("held"), F.max("own").alias("owned"))
+        full = settle(full.where("owned").select("path", "held"))  # nodes without a fingerprint of their own need no visitors
+        rows = rows.join(full, "path")
         done.append(rows.where(F.col("held") <= node).drop("held"))
-        if taken >= 64 or full.where(F.col("held") > node).isEmpty():
-            rows = rows.where(F.col("held") > node).drop("held") if taken >= 64 else None
+        rows = rows.where(F.col("held") > node).drop("held")
+        if full.where(F.col("held") > node).isEmpty():
+            rows = None
             break
-        rows = _walk(rows.where(F.col("held") > node).drop("held"), order[taken : taken + 6], budget)
+        rows = _walk(rows, order[taken : taken + 6], budget)
         taken += 6
     if rows is not None:
         done.append(rows)
@@ -208,12 +211,15 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, words: int = WORDS, n
     roots = components(links(classes.select("fp"), budget, node)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
     rooted = classes.join(roots, "fp", "left").select("fp", "least", "held", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("held").alias("n_alike"))
-    named = rooted.select("fp", "root").join(named, "root").drop("root")
+    named = settle(rooted.select("fp", "root").join(settle(named), "root").drop("root"))
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_alike")
 
 
 def one_of_each(docs: DataFrame, budget: int = BUDGET, words: int = WORDS) -> DataFrame:
-    """docs with the smallest doc_id of each component; rows that repeat doc_id and text count once, rows without a doc_id stay."""
+    """docs with the smallest doc_id of each component; rows that repeat doc_id and text count once, rows without a doc_id stay.
+
+    Of different texts under that doc_id every one that lies in the component stays.
+    """
     keep = near_duplicates(docs.where("doc_id is not null"), budget, words).where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.select(docs.columns).union(docs.where("doc_id is null"))
