@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -10,30 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.shared import shared_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder.
-
-    Where neither is set, a local session gets a folder of its own; a cluster,
-    whose executors would each write to their own disk, gets an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if not found:
-        jvm_dir = context._jsc.sc().getCheckpointDir()
-        found = jvm_dir.get() if jvm_dir.isDefined() else None
-    if not found and context.master.split("[")[0] != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    if not found:
-        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='leafmill-')}")
-        found = context._jsc.sc().getCheckpointDir().get()
-    return found
-
-
 def settle(df: DataFrame, **options: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back; options: of the Parquet writer.
 

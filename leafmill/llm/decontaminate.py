@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm import runs
-from leafmill.llm.common import blobs, id_and_text, map_batches, table
+from leafmill.llm.common import blobs, id_and_text, map_batches, sliced, table
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -200,9 +200,10 @@ def blocks_of(items: DataFrame, size: int = BLOCK) -> Iterator[Index]:
 def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """doc_id, item_id, start_word, n_words, similarity: each pair of a document and an item of which it holds a near copy.
 
-    A null text holds nothing; null or repeated doc_ids give rows of their own.
-    Items without words are left out; an item of fewer than five words is one
-    shingle.
+    A null text holds nothing; null or repeated doc_ids give rows of their own,
+    and so do repeated item_ids.  Items without words are left out; an item of
+    fewer than five words is one shingle.  An empty benchmark or an empty table
+    gives no rows.  The documents are read once for each BLOCK bytes of items.
     """
     ddl = "doc_id long,item_id long,start_word long,n_words long,similarity double"
     out = None
@@ -220,11 +221,15 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARI
 
 
 def without_passages(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
-    """docs without the rows whose text holds a near copy of an item; all columns are kept."""
+    """docs without the rows whose text holds a near copy of an item; all columns are kept.
+
+    Null and empty texts hold nothing and stay, and so do rows without a doc_id;
+    rows that repeat are judged each.  An empty benchmark leaves all rows.
+    """
     for found in blocks_of(items):
 
         def keep(batches: Iterator[pa.RecordBatch], found: Index = found) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in sliced(batches):
                 held = {d for d, *_ in passages(blobs(batch.column(batch.schema.get_field_index("text"))), found, similarity, radius)}
                 yield batch.filter(pa.array([i not in held for i in range(batch.num_rows)], pa.bool_()))
 

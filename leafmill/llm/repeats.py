@@ -79,6 +79,13 @@ def pieces(docs: DataFrame, spans: DataFrame, names: list[str]) -> DataFrame:
     return marked(docs).join(kept, ["doc_id", "v"])
 
 
+def listed(column: pa.ListArray, names: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """An array-of-structs column as flat values: the row of each element, and the fields."""
+    row = np.repeat(np.arange(len(column)), column.value_lengths().to_numpy())
+    flat = column.flatten()
+    return row, [flat.field(x).to_numpy(zero_copy_only=False) for x in names]
+
+
 def merged(lo: list[int] | None, n: list[int] | None, size: int, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Maximal covered stretches (starts, ends) of a row of ``length`` units."""
     if not lo:

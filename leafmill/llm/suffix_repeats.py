@@ -32,7 +32,7 @@ from xxhash import xxh3_128_digest
 
 from leafmill.llm import runs
 from leafmill.llm.common import blobs, id_and_text, map_batches, settle, sliced, table, unsqueezed
-from leafmill.llm.repeats import digit_pass, first_runs, marked, merged, pieces, with_spans
+from leafmill.llm.repeats import digit_pass, first_runs, listed, marked, merged, pieces, with_spans
 
 SIZE = 100
 #: A bucket of so many runs and suffixes at most is sorted inside one task.
@@ -47,14 +47,10 @@ def _wording(size: int):
     """The bytes that each run covers."""
 
     def make(batch: pa.RecordBatch) -> Iterator[dict]:
-        names = ("lo", "n", "key", "small")
-        out: dict[str, list] = {x: [] for x in ("doc_id", "v", *names, "body")}
-        for doc, v, text, spans in zip(batch.column("doc_id").to_pylist(), batch.column("v").to_pylist(), unsqueezed(batch.column("text")), batch.column("r").to_pylist(), strict=True):
-            for r in spans:
-                body = text[r["lo"] : r["lo"] + abs(r["n"]) - 1 + size]
-                for x, y in zip(out.values(), (doc, v, *(r[k] for k in names), body), strict=True):
-                    x.append(y)
-        yield out
+        doc, v, texts = batch.column("doc_id").to_numpy(), batch.column("v").to_numpy(), unsqueezed(batch.column("text"))
+        row, (lo, n, key, small) = listed(batch.column("r"), ["lo", "n", "key", "small"])
+        ends = lo + np.abs(n) - 1 + size
+        yield {"doc_id": doc[row], "v": v[row], "lo": lo, "n": n, "key": key, "small": small, "body": [texts[i][a:z] for i, a, z in zip(row.tolist(), lo.tolist(), ends.tolist(), strict=True)]}
 
     return make
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm import runs
 from leafmill.llm.common import id_and_text, map_batches, settle, table, unsqueezed
-from leafmill.llm.repeats import RUN, digit_pass, first_runs, marked, merged, pieces, with_spans
+from leafmill.llm.repeats import RUN, digit_pass, first_runs, listed, marked, merged, pieces, with_spans
 
 SIZE = 13
 LEVEL = 4
@@ -38,15 +38,17 @@ def _extended(size: int, level: int):
     """The windows of the runs that go on, as runs of the next level."""
 
     def make(batch: pa.RecordBatch) -> Iterator[dict]:
-        for doc, v, text, spans in zip(batch.column("doc_id").to_pylist(), batch.column("v").to_pylist(), unsqueezed(batch.column("text")), batch.column("r").to_pylist(), strict=True):
-            units, _ = runs.word_units(text, np.array([0, len(text)]))
-            lo, n = (np.array([r[x] for r in spans]) for x in ("lo", "n"))
-            long = np.abs(n) - 1 + size
-            bounds = np.append(0, np.cumsum(long))
-            at = np.arange(bounds[-1]) + np.repeat(lo - bounds[:-1], long)
-            if found := _runs(units[at], bounds, size, level):
+        doc, v, texts = batch.column("doc_id").to_numpy(), batch.column("v").to_numpy(), unsqueezed(batch.column("text"))
+        row, (lo, n) = listed(batch.column("r"), ["lo", "n"])
+        for first, last, joined, bounds in runs.joined(texts):
+            units, words = runs.word_units(joined, bounds)
+            mine = slice(*np.searchsorted(row, [first, last]))
+            at, long = words[row[mine] - first] + lo[mine], np.abs(n[mine]) - 1 + size
+            cuts = np.append(0, np.cumsum(long))
+            if found := _runs(units[np.arange(cuts[-1]) + np.repeat(at - cuts[:-1], long)], cuts, size, level):
                 run = found.pop("doc")
-                yield found | {"doc_id": np.full(len(run), doc), "v": np.full(len(run), v), "lo": found["lo"] + lo[run]}
+                of = row[mine][run]
+                yield found | {"doc_id": doc[of], "v": v[of], "lo": found["lo"] + lo[mine][run]}
 
     return make
 
