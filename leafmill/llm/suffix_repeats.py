@@ -36,7 +36,7 @@ from leafmill.llm.repeats import digit_pass, first_runs, listed, marked, merged,
 
 SIZE = 100
 #: A bucket of so many runs and suffixes at most is sorted inside one task.
-RUNS, SUFFIXES = 4096, 1 << 19
+RUNS, SUFFIXES = 1024, 1 << 17
 #: Parts of the corpus in which the suffixes of a larger bucket are compared first.
 PARTS = 64
 

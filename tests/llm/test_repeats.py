@@ -55,7 +55,7 @@ def words_removed(rows: list[tuple]) -> dict:
     return out
 
 
-@pytest.mark.parametrize("runs", [4096, 2])  # 2: groups take the distributed passes
+@pytest.mark.parametrize("runs", [suffix_repeats.RUNS, 2])  # 2: groups take the distributed passes
 def test_bytes(spark, monkeypatch, runs):
     monkeypatch.setattr(suffix_repeats, "RUNS", runs)
     rows = corpus()
@@ -107,7 +107,7 @@ def test_words_that_collide_under_polynomial_hashes(spark):
     assert {r[0]: tuple(r)[1:] for r in suffix_repeats.digests(docs).collect()} == bytes_removed(rows)
 
 
-@pytest.mark.parametrize("runs", [4096, 2])
+@pytest.mark.parametrize("runs", [suffix_repeats.RUNS, 2])
 def test_rows_of_one_id(spark, monkeypatch, runs):
     monkeypatch.setattr(suffix_repeats, "RUNS", runs)
     rnd = random.Random(3)
