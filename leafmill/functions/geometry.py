@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafmill import constants as C
@@ -96,11 +97,19 @@ def median(value: Column, empty: float = 12.0) -> Column:
 
 
 def lower_quantile(value: Column, p: float) -> Column:
-    """The sorted value at index floor((n - 1) p)."""
+    """The sorted value at index floor((n - 1) p) of a small group, such as a document's pages."""
     held = F.array_sort(F.collect_list(value))
     return F.element_at(held, (F.floor((F.size(held) - 1) * F.lit(p)) + 1).cast("int"))
 
 
+def lower_quantiles(rows: DataFrame, by: list[str], value: str, p: float, name: str) -> DataFrame:
+    """by, name: the sorted value at index floor((n - 1) p) of groups of any size: values are counted, and counts summed up."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    group = W.partitionBy(*by)
+    known = counts.withColumns({"_up": F.sum("_n").over(group.orderBy(value).rowsBetween(W.unboundedPreceding, 0)), "_all": F.sum("_n").over(group)})
+    return known.where(F.col("_up") > F.floor((F.col("_all") - 1) * F.lit(p))).groupBy(*by).agg(F.min(value).alias(name))
+
+
 def bounds(b: Box) -> list[Column]:
     """Aggregates x, y, width and height around a group; zeros for none."""
     x, y = F.min(b.x), F.min(b.y)

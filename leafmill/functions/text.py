@@ -10,8 +10,16 @@ from pyspark.sql import types as T
 #: What JavaScript calls white space.
 SPACE = r"[\t\n\x0B\f\r    -     　﻿]"
 UNCERTAIN = r"[\x{FFFD}\x{0}-\x{8}\x{E000}-\x{F8FF}\p{Cn}]"
-NUMERIC = r"^[($+\-−–]*\d[\d,.]*[)%]*$"
-BULLET = r"^(?:[•●○▪■◆◦‣·*\-–—]|\(?(?:\d{1,3}|[A-Za-z]|[ivxlcdm]{1,6})[.)、])\s+"
+# Fixed values of the layout rules.
+NUMERIC = r"^(?:[-−–—]|[+−-]?\d[\d,.]*(?:[%x×])?)$"
+BULLET = r"^(?:[•●▪◦‣–－-]|\d{1,3}[.)、](?!\d)|[（(]\d{1,3}[)）])" + SPACE + "*"
+CHINESE_LIST = r"^(?:[一二三四五六七八九十百]+[、．.]|[（(][一二三四五六七八九十百]+[)）])" + SPACE + "*"
+ARTICLE = r"^第[一二三四五六七八九十百\d]+條"
+CJK = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"
+OPENING, CLOSING = r"[（「『【《〈(\[]$", r"^[，。！？；：、）》〉」』】,.!?;:)\]]"
+CJK_END, CJK_OPEN = r"[，。！？；：、）》〉」』】]$", r"^[（「『【《〈]"
+SERIF, SANS, MONO = r"(?i)times|serif|NimbusRom|^CM(?:R|MI|SY)\d", r"(?i)^(?:sans-serif|Arial|Helvetica|NimbusSans|Noto Sans CJK)", r"(?i)courier|mono|^CMTT\d"
+STYLE = r"(?i)[-,]?(BoldItalic|Bold|Italic|Regular|Oblique|Roman|PSMT|MT)$"
 
 
 def trimmed(text: Column) -> Column:
@@ -41,17 +49,18 @@ def uncertain_encoding(text: Column) -> Column:
 
 
 def numeric_token(text: Column) -> Column:
-    return text.rlike(NUMERIC)
+    """A lone dash, or digits with at most one sign before and one %, x or × after."""
+    return trimmed(text).rlike(NUMERIC)
 
 
 def list_marker(text: Column) -> Column:
-    """The marker that a list line begins with, or null."""
+    """The marker that a list line begins with, or null: a bullet, or up to three digits with a mark that no digit follows."""
     return F.nullif(F.regexp_extract(text, BULLET, 0), F.lit(""))
 
 
-def line_role(text: Column) -> Column:
-    """list, heading (short, no closing mark) or body."""
-    return F.when(list_marker(text).isNotNull(), "list").when((F.char_length(text) <= 60) & ~text.rlike(r"[.!?,;:]$"), "heading").otherwise("body")
+def line_marker(text: Column) -> Column:
+    """list, chinese (一、 or （一）), article (第一條) or null, by what a line begins with."""
+    return F.when(text.rlike(BULLET), "list").when(text.rlike(CHINESE_LIST), "chinese").when(text.rlike(ARTICLE), "article")
 
 
 def page_number(text: Column) -> Column:
@@ -63,11 +72,17 @@ def page_number(text: Column) -> Column:
 
 
 def join_separator(left: Column, right: Column) -> Column:
-    """What stands between two pieces of one line of text: nothing in CJK text or after a hyphen, else a space."""
-    cjk = r"[　-ヿ㐀-鿿豈-﫿＀-￯]"
+    """What stands between two pieces of text when they are joined: nothing or a space.
+
+    Nothing after or before white space, after an opening and before a closing
+    mark, between CJK characters and their marks, and where a hyphen or soft
+    hyphen after a letter meets a small letter.
+    """
+    before = left.rlike(f"{CJK}$")
     return (
-        F.when((left == "") | (right == ""), "").when(left.rlike(f"{SPACE}$") | right.rlike(f"^{SPACE}"), "").when(left.rlike(f"{cjk}$") & right.rlike(f"^{cjk}"), "")
-        .when(left.rlike(r"[A-Za-z]-$") & right.rlike("^[a-z]"), "").when(right.rlike(r"^[,.;:!?)\]}%]"), "").when(left.rlike(r"[(\[{]$"), "").otherwise(" ")
+        F.when((left == "") | (right == "") | left.rlike(f"{SPACE}$") | right.rlike(f"^{SPACE}"), "").when(left.rlike(OPENING) | right.rlike(CLOSING), "")
+        .when((left.rlike(CJK_END) | before) & right.rlike(f"^{CJK}"), "").when(before & right.rlike(CJK_OPEN), "")
+        .when(left.rlike(r"\p{L}[-\x{AD}]$") & right.rlike(r"^\p{Ll}"), "").otherwise(" ")
     )
 
 
@@ -80,32 +95,33 @@ def font_name(name: Column) -> Column:
 
 
 def font_family(name: Column) -> Column:
-    low = F.lower(name)
-    return (
-        F.when(low.rlike("courier|mono|consol"), "mono").when(low.rlike("helvetica|arial|sans|gothic|hei"), "sans").when(low.rlike("times|roman|serif|song|ming|kai"), "serif").otherwise("other")
-    )
+    """The common font that stands for a PDF's font, else its own name without subset prefix and style."""
+    own = F.regexp_replace(F.regexp_replace(name, r"^[A-Z]{6}\+", ""), STYLE, "")
+    return F.when(name.rlike(SERIF) & ~name.rlike("(?i)sans"), "Times New Roman").when(name.rlike(MONO), "Courier New").when(name.rlike(SANS), "Arial").otherwise(F.coalesce(F.nullif(own, F.lit("")), F.lit("Arial")))
 
 
-def edit_accept(old: Column, new: Column, old_confidence: Column, new_confidence: Column) -> Column:
-    """Whether a re-read line may replace the old one: surer, about as long, within 30 % edits, same digits."""
-    longest = F.greatest(F.char_length(old), F.char_length(new))
-    ratio = F.char_length(new) / F.greatest(F.char_length(old), F.lit(1))
-    return (
-        (new_confidence >= F.greatest(F.lit(80), old_confidence + 3)) & (longest <= 400) & (ratio >= 0.8) & (ratio <= 1.2)
-        & (F.levenshtein(old, new) <= longest * 0.3) & (F.regexp_replace(old, "[^0-9]", "") == F.regexp_replace(new, "[^0-9]", ""))
-    )
+def bare(text: Column) -> Column:
+    """Without any white space."""
+    return F.regexp_replace(text, SPACE, "")
+
 
+def edit_accept(before: Column, after: Column, was: Column, now: Column, numbers: Column, most: int = 400) -> Column:
+    """Whether a re-read line may replace the old one, both without white space.
 
-def bigram_dice(a: Column, b: Column) -> Column:
-    """Twice the shared character pairs, repeats counted, over all pairs of both."""
+    It must be surer, within a fifth of the old length, at most ``most``
+    characters, and within 30 % edits.  numbers: texts of the old line's spans;
+    those that hold a digit and were read surely (``sure_numbers``) must reappear.
+    """
+    a, b = bare(before), bare(after)
+    old, new = F.char_length(a), F.char_length(b)
+    likely = (old > 0) & (new >= old * 0.8) & (new <= old * 1.2) & (old <= most) & (new <= most) & (now >= F.greatest(F.lit(80), was + 3))
+    edits = F.when(likely, F.levenshtein(a, b) <= F.greatest(old, new) * 0.3)
+    return F.coalesce(edits & F.forall(numbers, lambda x: F.contains(b, bare(x))), F.lit(False))
 
-    def pairs(s: Column) -> Column:
-        return F.when(F.char_length(s) < 2, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(s) - 1, F.lit(1))), lambda i: F.substring(s, i, F.lit(2))))
 
-    pa, pb = pairs(a), pairs(b)
-    shared = F.aggregate(F.array_distinct(pa), F.lit(0), lambda n, g: n + F.least(F.size(F.filter(pa, lambda x: x == g)), F.size(F.filter(pb, lambda x: x == g))))
-    total = F.size(pa) + F.size(pb)
-    return F.when(total == 0, F.lit(0.0)).otherwise(2.0 * shared / total)
+def sure_numbers(spans: Column) -> Column:
+    """Texts of spans (array of structs text, confidence) with a digit and a confidence of at least 85."""
+    return F.transform(F.filter(spans, lambda s: (s["confidence"] >= 85) & s["text"].rlike(r"\d")), lambda s: s["text"])
 
 
 @F.pandas_udf(T.StringType())

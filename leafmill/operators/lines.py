@@ -48,12 +48,64 @@ def _rows(page: pd.DataFrame) -> pd.DataFrame:
     return page.assign(row=out)
 
 
-def rows_of(spans: DataFrame) -> DataFrame:
-    """spans with the column row, numbered from the top of the page."""
-    kept = ["doc_id", "page", "ord", "x", "baseline", "size", *(["line_id"] if "line_id" in spans.columns else [])]
-    schema = ", ".join(f"{c} {t}" for c, t in spans.select("doc_id", "page", "ord").dtypes) + ", row bigint"
-    found = spans.select(*kept).groupBy(*PAGE).applyInPandas(lambda page: _rows(page)[["doc_id", "page", "ord", "row"]], schema)
-    return spans.join(found, [*PAGE, "ord"])
+def rows_of(spans: DataFrame, by: list[str] = PAGE) -> DataFrame:
+    """spans with the column row, numbered from the top of each page (or of each part of one, by more keys)."""
+    key = [*by, "ord"]
+    kept = [*key, "x", "baseline", "size", *(["line_id"] if "line_id" in spans.columns else [])]
+    schema = ", ".join(f"{c} {t}" for c, t in spans.select(*key).dtypes) + ", row bigint"
+    found = spans.select(*kept).groupBy(*by).applyInPandas(lambda page: _rows(page)[[*key, "row"]], schema)
+    return spans.join(found, key)
+
+
+def script_pair(a: str, b: str) -> Column:
+    """Whether two native spans (aliases) are a word and its raised or lowered mark: sizes, shift and gap fit."""
+    size = {k: F.col(f"{k}.size") for k in (a, b)}
+    first_small = size[a] < size[b]
+    pick = {c: (F.when(first_small, F.col(f"{a}.{c}")).otherwise(F.col(f"{b}.{c}")), F.when(first_small, F.col(f"{b}.{c}")).otherwise(F.col(f"{a}.{c}"))) for c in ("size", "baseline", "height", "width", "text")}
+    small, large = ({c: v[k] for c, v in pick.items()} for k in (0, 1))
+    shift = F.abs(small["baseline"] - large["baseline"])
+    p, q = G.box(a), G.box(b)
+    return (
+        (F.col(f"{a}.source") == "pdf") & (F.col(f"{b}.source") == "pdf") & (small["size"] <= 0.82 * large["size"]) & (~large["text"].rlike(r"\p{L}") | (small["width"] <= 2 * large["size"]))
+        & (shift >= 0.18 * large["size"]) & (shift <= 0.65 * large["size"]) & (F.least(p.bottom, q.bottom) - F.greatest(p.y, q.y) >= 0.3 * small["height"]) & (F.greatest(p.x, q.x) - F.least(p.right, q.right) <= 0.75 * large["size"])
+    )
+
+
+def fragment_pair(a: str, b: str) -> Column:
+    """Whether two OCR spans (aliases) are a word and a thin mark inside its height, three characters at most."""
+    p, q = G.box(a), G.box(b)
+    first_small = p.height < q.height
+    small = {c: F.when(first_small, F.col(f"{a}.{c}")).otherwise(F.col(f"{b}.{c}")) for c in ("height", "width", "text")}
+    large = {c: F.when(first_small, F.col(f"{b}.{c}")).otherwise(F.col(f"{a}.{c}")) for c in ("height", "size")}
+    return (
+        (F.col(f"{a}.source") == "ocr") & (F.col(f"{b}.source") == "ocr") & (small["height"] <= 0.55 * large["height"]) & (F.char_length(small["text"]) <= 3) & (small["width"] <= 2 * large["size"])
+        & (F.least(p.bottom, q.bottom) - F.greatest(p.y, q.y) >= 0.5 * small["height"]) & (F.greatest(p.x, q.x) - F.least(p.right, q.right) <= 1.5 * large["size"])
+    )
+
+
+def aligned_fields(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by, aligned: whether groups of rows (row, ord, x, width, baseline, size, text, source) are fields in columns.
+
+    Three rows and more of the same three spans and more, close under each
+    other, a size apart, and in each column one edge (left, middle or right)
+    within half a point of the first row's in all rows.
+    """
+    line = W.partitionBy(*by, "row")
+    across = line.orderBy("x", "ord")
+    known = rows.withColumns({"column": F.row_number().over(across), "line": F.percentile("baseline", F.lit(0.5)).over(line), "typical": F.percentile("size", F.lit(0.5)).over(line), "gap": F.col("x") - F.lag(F.col("x") + F.col("width")).over(across)})
+    plain = (
+        (F.col("source") == "pdf") & (F.trim("text") != "") & ~F.col("text").rlike(r"[\p{Sm}\p{IsArabic}\p{IsHebrew}]") & (F.abs(F.col("baseline") - F.col("line")) < 0.5)
+        & (F.abs(F.col("size") - F.col("typical")) < 0.1) & F.coalesce(F.col("gap") >= F.col("typical"), F.lit(True))
+    )
+    first = W.partitionBy(*by, "column").orderBy("row")
+    near = {f"e{k}": F.abs(F.col("x") + F.col("width") * k / 2 - F.first(F.col("x") + F.col("width") * k / 2).over(first)) < 0.5 for k in range(3)}
+    fields = known.withColumns({"plain": plain, **near})
+    columns = fields.groupBy(*by, "column").agg(F.bool_and("plain").alias("plain"), (F.bool_and("e0") | F.bool_and("e1") | F.bool_and("e2")).alias("edge"))
+    columns = columns.groupBy(*by).agg(F.bool_and(F.col("plain") & F.col("edge")).alias("fits"))
+    lines_ = known.groupBy(*by, "row").agg(F.count("*").alias("n"), F.max("line").alias("line"), F.max("typical").alias("typical"))
+    step = F.col("line") - F.lag("line").over(W.partitionBy(*by).orderBy("row"))
+    held = lines_.withColumn("step", step).groupBy(*by).agg(F.count("*").alias("rows"), F.min("n").alias("least"), F.max("n").alias("most"), F.bool_and(F.coalesce((F.col("step") > 0) & (F.col("step") <= 2 * F.col("typical")), F.lit(True))).alias("close"))
+    return held.join(columns, by).select(*by, ((F.col("rows") >= 3) & (F.col("least") >= 3) & (F.col("least") == F.col("most")) & F.col("close") & F.col("fits")).alias("aligned"))
 
 
 def split_at_gaps(rows: DataFrame, join_wide_gaps: bool = False) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from leafmill.functions import text as X
 from leafmill.operators.spans import PAGE
 
 WORD = "text string, confidence double, bbox struct<x0:double,y0:double,x1:double,y1:double>"
@@ -129,14 +130,73 @@ def consensus(pairs: DataFrame) -> DataFrame:
     return pairs.select("id", "before", "before_confidence", "after", "after_confidence").mapInPandas(run, f"id {dict(pairs.dtypes)['id']}, text string")
 
 
-def horizontal_prose(lines: DataFrame) -> DataFrame:
-    """Pages that read as rows of prose: 24 rows, at least six and 30 % of them wide, left edges within a quarter of the width."""
-    region = W.partitionBy(*PAGE)
-    known = lines.withColumns({"l": F.min("x").over(region), "r": F.max(F.col("x") + F.col("width")).over(region)})
-    wide = F.col("width") >= 0.55 * (F.col("r") - F.col("l"))
-    held = known.groupBy(*PAGE).agg(F.count("*").alias("rows"), F.count_if(wide).alias("wide"), F.max(F.when(wide, F.col("x"))).alias("a"), F.min(F.when(wide, F.col("x"))).alias("b"), F.max(F.col("r") - F.col("l")).alias("w"))
-    test = (F.col("rows") >= 24) & (F.col("wide") >= F.greatest(F.lit(6.0), 0.3 * F.col("rows"))) & (F.col("a") - F.col("b") <= 0.25 * F.col("w"))
-    return held.select(*PAGE, F.coalesce(test, F.lit(False)).alias("prose"))
+def _text_rows(page: pd.DataFrame) -> pd.DataFrame:
+    """Rows of a page's lines, and their pieces: a line joins the newest row if its height overlaps that of the row's first line by 70 %."""
+    page = page.sort_values("y0", kind="stable")
+    rows: list[list[tuple]] = []
+    for x0, y0, x1, y1 in page[["x0", "y0", "x1", "y1"]].itertuples(index=False):
+        if rows:
+            _, top, _, low = rows[-1][0]
+            if min(low, y1) - max(top, y0) >= 0.7 * max(low - top, y1 - y0):
+                rows[-1].append((x0, y0, x1, y1))
+                continue
+        rows.append([(x0, y0, x1, y1)])
+    out = []
+    for k, row in enumerate(rows):
+        joined: list[tuple] = []
+        for b in sorted(row, key=lambda b: b[0]):
+            if joined and b[0] - joined[-1][2] <= 0.8 * min(joined[-1][3] - joined[-1][1], b[3] - b[1]):
+                a = joined[-1]
+                joined[-1] = (a[0], min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]))
+            else:
+                joined.append(b)
+        out += [(k, *b) for b in joined]
+    return pd.DataFrame(out, columns=["row", "x0", "y0", "x1", "y1"]).assign(doc_id=page["doc_id"].iloc[0], page=page["page"].iloc[0])
+
+
+def horizontal_prose(lines: DataFrame, pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """doc_id, page, prose: whether a page reads as rows of prose.
+
+    lines: doc_id, page, x0, y0, x1, y1.  pages: width.  24 rows, at least six
+    and 30 % of the pieces wide (half the page, ten times their height), and
+    their left edges within a quarter of the page's width.  Two rules in both
+    directions rule a page out.
+    """
+    types = dict(lines.dtypes)
+    pieces = lines.select(*PAGE, "x0", "y0", "x1", "y1").groupBy(*PAGE).applyInPandas(_text_rows, f"row long, x0 double, y0 double, x1 double, y1 double, doc_id {types['doc_id']}, page {types['page']}")
+    at = pieces.join(pages.select(*PAGE, F.col("width").alias("w")), PAGE)
+    wide = (F.col("x1") - F.col("x0") >= 0.5 * F.col("w")) & (F.col("y1") - F.col("y0") < 0.1 * (F.col("x1") - F.col("x0")))
+    held = at.groupBy(*PAGE).agg((F.max("row") + 1).alias("rows"), F.count("*").alias("pieces"), F.count_if(wide).alias("wide"), (F.max(F.when(wide, F.col("x0"))) - F.min(F.when(wide, F.col("x0")))).alias("spread"), F.max("w").alias("w"))
+    drawn = rules.groupBy(*PAGE).agg(F.count_if(F.abs(F.col("y2") - F.col("y1")) < 2).alias("flat"), F.count_if(F.abs(F.col("x2") - F.col("x1")) < 2).alias("upright")).where("flat >= 2 and upright >= 2")
+    test = (F.col("rows") >= 24) & (F.col("wide") >= F.greatest(F.lit(6.0), 0.3 * F.col("pieces"))) & (F.col("spread") <= 0.25 * F.col("w"))
+    return held.join(drawn.select(*PAGE, F.lit(True).alias("grid")), PAGE, "left").select(*PAGE, (F.coalesce(test, F.lit(False)) & F.col("grid").isNull()).alias("prose"))
+
+
+def prefer_horizontal(pairs: DataFrame, key: list[str], first: str, second: str, was: str, now: str) -> DataFrame:
+    """key, dice, accepted: whether a second reading of a page's text may replace the first.
+
+    It must be as sure, 0.95 to 1.2 times as long, and share 85 % of the pairs
+    of neighbouring characters, repeats counted; white space doesn't count.
+    Lengths are in UTF-16 units.  Pairs are counted as rows: no text is held in
+    an array and compared with itself.
+    """
+    a, b = X.bare(F.col(first)), X.bare(F.col(second))
+
+    def units(t: Column) -> Column:
+        return F.octet_length(F.encode(t, "UTF-16BE")) / 2
+
+    known = pairs.select(*key, a.alias("a"), b.alias("b"), F.col(was).alias("was"), F.col(now).alias("now"))
+
+    def grams(side: str) -> DataFrame:
+        at = known.select(*key, F.explode(F.sequence(F.lit(1), F.greatest(F.char_length(side) - 1, F.lit(1)))).alias("i"), side).where(F.char_length(side) >= 2)
+        return at.select(*key, F.substring(F.col(side), F.col("i"), F.lit(2)).alias("pair"), F.lit(int(side == "a")).alias("one"))
+
+    counts = grams("a").union(grams("b")).groupBy(*key, "pair").agg(F.sum("one").alias("n"), F.sum(1 - F.col("one")).alias("m"))
+    shared = counts.groupBy(*key).agg(F.sum(F.least("n", "m")).alias("shared"))
+    at = known.join(shared, key, "left")
+    dice = 2 * F.coalesce("shared", F.lit(0)) / F.greatest(F.lit(1), units(F.col("a")) + units(F.col("b")) - 2)
+    guard = (F.col("now") >= F.col("was")) & (units(F.col("b")) >= 0.95 * units(F.col("a"))) & (units(F.col("b")) <= 1.2 * units(F.col("a")))
+    return at.select(*key, dice.alias("dice"), (guard & (dice >= 0.85)).alias("accepted"))
 
 
 def fragments(short: DataFrame, long: DataFrame) -> DataFrame:

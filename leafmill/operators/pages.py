@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafmill import constants as C
+from leafmill.operators.folds import folded
+from leafmill.shared import reliable
 
 _PART = r"^([0-9]+)(?:\s*[-–]\s*([0-9]+))?$"
 
@@ -44,15 +46,21 @@ def multiplicity(plan: DataFrame) -> DataFrame:
     return plan.select(F.explode("pages").alias("page")).groupBy("page").agg(F.count("*").alias("times"))
 
 
-def ordered_union(pages: DataFrame, file: str, page: str) -> DataFrame:
-    """All pages in file order, then page order, with their position from 1.
+def numbered(rows: DataFrame, order: list[str], name: str = "position") -> DataFrame:
+    """rows with their place from 1 in a total order: sorted by ranges, one count for each range gives its offset.
 
-    Positions are a file's offset plus the place inside it: files are numbered
-    apart, and only one count for each file passes through one task.
+    No row passes through one task; the sorted ranges are kept, as places hang on them.
     """
-    counts = pages.groupBy(file).agg(F.count("*").alias("n"))
-    offsets = counts.select(file, (F.sum("n").over(W.orderBy(file).rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("before"))
-    return pages.withColumn("place", F.row_number().over(W.partitionBy(file).orderBy(page))).join(offsets, file).withColumn("position", F.col("before") + F.col("place")).drop("before", "place")
+    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    sorted_ = reliable(sorted_.withColumns({"_part": F.shiftright("_at", 33), "_at": F.col("_at") % (1 << 33)}))
+    counts = sorted_.groupBy("_part").agg(F.count("*").alias("n"))
+    offsets = counts.select("_part", (F.sum("n").over(W.orderBy("_part")) - F.col("n")).alias("_before"))
+    return sorted_.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
+
+
+def ordered_union(pages: DataFrame, file: str, page: str) -> DataFrame:
+    """All pages in file order, then page order, with their position from 1."""
+    return numbered(pages, [file, page])
 
 
 def running_limit(files: DataFrame, order: str, size: str, limit: int) -> DataFrame:
@@ -62,18 +70,23 @@ def running_limit(files: DataFrame, order: str, size: str, limit: int) -> DataFr
 
 
 def greedy_intake(files: DataFrame, group: list[str], order: str, size: str, limit: int, most: int | None = None) -> DataFrame:
-    """Take files in order while they fit; one that doesn't is passed over and takes nothing."""
-    held = files.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(order, size))).alias("f"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<struct<o:{dict(files.dtypes)[order]},s:bigint,ok:boolean>>").alias("out"), F.lit(0).alias("n"))
+    """Take files in order while they fit; one that doesn't is passed over and takes nothing.
 
-    def step(a: Column, x: Column) -> Column:
-        ok = a["used"] + x[size].cast("long") <= limit
-        ok = ok & (a["n"] < most) if most else ok
-        entry = F.struct(x[order].alias("o"), x[size].cast("long").alias("s"), ok.alias("ok"))
-        return F.struct(F.when(ok, a["used"] + x[size].cast("long")).otherwise(a["used"]).alias("used"), F.concat(a["out"], F.array(entry)).alias("out"), F.when(ok, a["n"] + 1).otherwise(a["n"]).alias("n"))
+    One pass over the sorted rows of each partition; only a running total is held.
+    """
+
+    class Taker:
+        def __init__(self):
+            self.used = self.n = 0
+
+        def __call__(self, x) -> tuple[int, bool]:
+            n = int(x)
+            ok = self.used + n <= limit and (most is None or self.n < most)
+            if ok:
+                self.used, self.n = self.used + n, self.n + 1
+            return n, ok
 
-    taken = held.select(*group, F.explode(F.aggregate("f", start, step, lambda a: a["out"])).alias("r"))
-    return taken.select(*group, F.col("r.o").alias(order), F.col("r.s").alias(size), F.col("r.ok").alias("accepted"))
+    return folded(files, group, [order], size, Taker, {size: "bigint", "accepted": "boolean"})
 
 
 def plan_error(groups: int | Column, pages: int | Column) -> Column:
@@ -112,18 +125,40 @@ def reordered(ord_: Column, taken: int, put: int) -> Column:
 def unique_names(groups: DataFrame, by: list[str], order: str, name: str) -> DataFrame:
     """Names told apart without case: a later equal name gets -1, -2, ... that no base name takes either.
 
-    Names of one ``by`` group are resolved together; a plan holds 100 at most.
+    Names of one ``by`` group (a plan) are resolved together, as an array.
     """
     held = groups.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(order, name))).alias("g"))
-    reserved = F.transform("g", lambda x: F.lower(x[name]))
+    held = held.withColumn("base", F.transform("g", lambda x: F.lower(x[name])))
     start = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast("array<string>").alias("out"))
 
     def step(a: Column, x: Column) -> Column:
         low = F.lower(x[name])
-        options = F.transform(F.sequence(F.lit(1), F.lit(C.SPLIT_GROUPS)), lambda i: F.concat(x[name], F.lit("-"), i.cast("string")))
-        free = F.element_at(F.filter(options, lambda o: ~F.array_contains(a["seen"], F.lower(o)) & ~F.array_contains(F.transform(F.col("g"), lambda y: F.lower(y[name])), F.lower(o))), 1)
-        chosen = F.when(F.array_contains(a["seen"], low), free).otherwise(x[name])
+        again = F.array_contains(a["seen"], low)
+        # Names taken are at most the base names and those given so far, so one of these is free.
+        options = F.when(again, F.transform(F.sequence(F.lit(1), F.size("g") + F.size(a["out"]) + 1), lambda i: F.concat(x[name], F.lit("-"), i.cast("string"))))
+        free = F.element_at(F.filter(options, lambda o: ~F.array_contains(a["seen"], F.lower(o)) & ~F.array_contains(F.col("base"), F.lower(o))), 1)
+        chosen = F.when(again, free).otherwise(x[name])
         return F.struct(F.array_union(a["seen"], F.array(low, F.lower(chosen))).alias("seen"), F.concat(a["out"], F.array(chosen)).alias("out"))
 
     named = held.select(*by, "g", F.aggregate("g", start, step, lambda a: a["out"]).alias("names"))
     return named.select(*by, F.posexplode("names").alias("i", "filename"), "g").select(*by, F.col("g")[F.col("i")][order].alias(order), "filename")
+
+
+def merge_state(files: DataFrame, by: list[str]) -> DataFrame:
+    """Of each list of files (loaded, failed, pages, bytes, aspect): totals, whether it can be merged, and mixed orientation.
+
+    Ready: two files and more, all loaded, none failed, pages within the limit.
+    Mixed: some pages wider than high and some not; unknown aspects don't count.
+    """
+    held = files.groupBy(*by).agg(
+        F.count("*").alias("files"), F.coalesce(F.sum("pages"), F.lit(0)).alias("pages"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.bool_and(F.coalesce("loaded", F.lit(False))).alias("loaded"),
+        F.bool_or(F.coalesce("failed", F.lit(False))).alias("failed"), (F.coalesce(F.bool_or(F.col("aspect") > 1), F.lit(False)) & F.coalesce(F.bool_or(F.col("aspect") <= 1), F.lit(False))).alias("mixed"),
+    )
+    ready = (F.col("files") >= 2) & F.col("loaded") & ~F.col("failed") & (F.col("pages") <= C.MERGE_PAGES)
+    return held.select(*by, "files", "pages", "bytes", ready.alias("ready"), "mixed")
+
+
+def merge_error(files: DataFrame, by: list[str]) -> DataFrame:
+    """The first of the three limits that a list of files (bytes, pages) breaks: how many, their bytes, their pages."""
+    held = files.groupBy(*by).agg(F.count("*").alias("n"), F.sum("bytes").alias("b"), F.sum("pages").alias("p"))
+    return held.select(*by, F.when(F.col("n") > C.MERGE_FILES, "too many files").when(F.col("b") > C.MERGE_BYTES, "too many bytes").when(F.col("p") > C.MERGE_PAGES, "too many pages").alias("error"))

@@ -98,3 +98,16 @@ def oversize(pages: DataFrame) -> DataFrame:
     """Scale for scans whose long edge is over 1584 pt: to 297 mm."""
     longest = F.greatest("width", "height")
     return pages.withColumn("scale", F.when(longest > 1584, 297 * C.MM / longest).otherwise(1.0))
+
+
+def pixel_sum(images: DataFrame, by: list[str]) -> DataFrame:
+    """by, pixels: the sum over a document's images (width, height, mismatch); null if any breaks a limit or its dictionary."""
+    n = F.col("width").cast("long") * F.col("height")
+    bad = F.coalesce((F.col("width") < 1) | (F.col("height") < 1) | (F.greatest("width", "height") > C.IMAGE_EDGE) | (n > C.IMAGE_PIXELS) | F.coalesce("mismatch", F.lit(False)), F.lit(True))
+    return images.groupBy(*by).agg(F.when(~F.bool_or(bad), F.sum(n)).alias("pixels"))
+
+
+def recompressible(images: DataFrame) -> DataFrame:
+    """Embedded images that may be compressed again: one DCT filter, 8 bits, grey or RGB (or ICC with 1 or 3 components), 16 KiB and more, no mask or decode array."""
+    space = F.col("space").isin("DeviceGray", "DeviceRGB") | ((F.col("space") == "ICCBased") & F.col("components").isin(1, 3))
+    return images.where((F.col("filters") == F.array(F.lit("DCTDecode"))) & (F.col("bits") == 8) & space & (F.col("length") >= 16_384) & ~F.coalesce("masked", F.lit(False)) & ~F.coalesce("decoded", F.lit(False)))

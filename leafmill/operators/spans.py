@@ -7,12 +7,15 @@ shuffle; range conditions are residuals of an equality on it.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafmill import constants as C
 from leafmill.functions import geometry as G
+from leafmill.operators.folds import folded
 
 PAGE = ["doc_id", "page"]
 
@@ -114,7 +117,7 @@ def islands(rows: DataFrame, by: list[str], order: list[str], start: Column, end
     return marked.withColumn("island", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
 
 
-def merged_intervals(rows: DataFrame, by: list[str], start: str, end: str, gap: float) -> DataFrame:
+def merged_intervals(rows: DataFrame, by: list[str], start: str, end: str, gap: float | Column) -> DataFrame:
     """Maximal intervals: one that starts less than ``gap`` after all before have ended goes on."""
     w = W.partitionBy(*by).orderBy(start, end)
     before = F.max(end).over(w.rowsBetween(W.unboundedPreceding, -1))
@@ -133,7 +136,7 @@ def covered(segments: DataFrame, by: list[str], start: str, end: str, lo: Column
 
 
 def clusters(values: Column, tolerance: float) -> Column:
-    """Anchored clusters of an array: a sorted value joins while it is within ``tolerance`` of the cluster's first. Array of arrays."""
+    """Anchored clusters of a bounded array: a sorted value joins while it is within ``tolerance`` of the cluster's first. Array of arrays."""
     start = F.array().cast("array<array<double>>")
 
     def step(a: Column, v: Column) -> Column:
@@ -143,22 +146,54 @@ def clusters(values: Column, tolerance: float) -> Column:
     return F.aggregate(F.array_sort(F.transform(values, lambda v: v.cast("double"))), start, step)
 
 
-def flow_cursor(blocks: Column) -> Column:
-    """Space before each block (structs y, height in order): max(0, y - cursor), where the cursor never goes back."""
-    start = F.struct(F.lit(0.0).alias("cursor"), F.array().cast("array<double>").alias("out"))
+def anchored(rows: DataFrame, by: list[str], value: str, tolerance: float) -> DataFrame:
+    """by, value, cluster: anchored clusters of groups of any size, numbered from 1."""
 
-    def step(a: Column, b: Column) -> Column:
-        before = F.greatest(F.lit(0.0), b["y"] - a["cursor"])
-        return F.struct((F.greatest(a["cursor"], b["y"]) + b["height"]).alias("cursor"), F.concat(a["out"], F.array(before)).alias("out"))
+    class Anchor:
+        def __init__(self):
+            self.first, self.n = None, 0
 
-    return F.aggregate(blocks, start, step, lambda a: a["out"])
+        def __call__(self, v) -> tuple[int]:
+            if self.first is None or v - self.first > tolerance:
+                self.first, self.n = v, self.n + 1
+            return (self.n,)
 
+    return folded(rows, by, [value], value, Anchor, {"cluster": "int"})
 
-def first_cell(points: DataFrame, cells: DataFrame, key: list[str], point_id: list[str]) -> DataFrame:
-    """Each point's first cell (least cell_ord) that holds it; points: px, py, cells: x, y, width, height, cell_ord."""
+
+def flow_space(blocks: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """blocks (y, height) with before: max(0, y - cursor), where the cursor never goes back.
+
+    The cursor after a block is max(cursor, y) + height; with running sums of
+    heights that is the sum so far plus a running maximum of y less the sum
+    before, so two windows say it.
+    """
+    w = W.partitionBy(*by).orderBy(*order)
+    so_far = w.rowsBetween(W.unboundedPreceding, 0)
+    known = blocks.withColumn("_sum", F.sum("height").over(so_far))
+    known = known.withColumn("_high", F.greatest(F.lit(0.0), F.max(F.col("y") - (F.col("_sum") - F.col("height"))).over(so_far)))
+    cursor = F.coalesce(F.lag(F.col("_sum") + F.col("_high")).over(w), F.lit(0.0))
+    return known.withColumn("before", F.greatest(F.lit(0.0), F.col("y") - cursor)).drop("_sum", "_high")
+
+
+def cells_of(points: DataFrame, cells: DataFrame, key: list[str], bucket: float = 100.0) -> DataFrame:
+    """Points (px, py) with every cell (x, y, width, height, cell_ord) that holds them, borders included.
+
+    Both meet in squares of a grid of ``bucket`` points, so a page full of cells is never paired with all its points.
+    """
+
+    def squares(low: Column, high: Column) -> Column:
+        return F.explode(F.sequence(F.floor(low / bucket), F.floor(high / bucket)))
+
+    at = cells.select("*", squares(F.col("x"), F.col("x") + F.col("width")).alias("_bx")).select("*", squares(F.col("y"), F.col("y") + F.col("height")).alias("_by"))
+    here = points.withColumns({"_bx": F.floor(F.col("px") / bucket), "_by": F.floor(F.col("py") / bucket)})
     on = (F.col("px") >= F.col("x")) & (F.col("px") <= F.col("x") + F.col("width")) & (F.col("py") >= F.col("y")) & (F.col("py") <= F.col("y") + F.col("height"))
-    held = points.join(cells, key).where(on)
-    return held.groupBy(*key, *[c for c in point_id if c not in key]).agg(F.min("cell_ord").alias("cell_ord"))
+    return here.join(at, [*key, "_bx", "_by"]).where(on).drop("_bx", "_by")
+
+
+def first_cell(points: DataFrame, cells: DataFrame, key: list[str], point_id: list[str], bucket: float = 100.0) -> DataFrame:
+    """Each point's first cell (least cell_ord) that holds it; points: px, py, cells: x, y, width, height, cell_ord."""
+    return cells_of(points, cells, key, bucket).groupBy(*key, *[c for c in point_id if c not in key]).agg(F.min("cell_ord").alias("cell_ord"))
 
 
 def in_one_interval(rows: DataFrame, columns: DataFrame, key: list[str], row_id: list[str]) -> DataFrame:
@@ -179,10 +214,23 @@ def underlined(spans: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame
 
 
 def nearest(left: DataFrame, right: DataFrame, key: list[str], left_id: str, at: str, other: str, most: float, value: str) -> DataFrame:
-    """The right row nearest to each left row within one key: least |at - other| up to ``most``, then least ord."""
-    pairs = left.join(right, key).withColumn("_d", F.abs(F.col(at) - F.col(other))).where(F.col("_d") <= most)
-    best = F.min(F.struct("_d", "ord", value)).alias("b")
-    return pairs.groupBy(*key, left_id).agg(best).select(*key, left_id, F.col("b._d").alias("distance"), F.col(f"b.{value}").alias(value))
+    """The right row nearest to each left row within one key: least |at - other| up to ``most``, then least ord.
+
+    Both are merged in order and each left row looks to the last right one
+    before and the first one after it, so no pairs are made.
+    """
+    first = right.groupBy(*key, other).agg(F.min(F.struct("ord", value)).alias("_r"))
+    there = first.select(*key, F.col(other).alias("_t"), F.lit(0).alias("_side"), F.struct(F.col(other).alias("t"), F.col("_r.ord").alias("ord"), F.col(f"_r.{value}").alias("value")).alias("_r"), F.lit(None).cast(dict(left.dtypes)[left_id]).alias(left_id))
+    here = left.select(*key, F.col(at).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(there.schema["_r"].dataType).alias("_r"), left_id)
+    w = W.partitionBy(*key).orderBy("_t", "_side", left_id)
+    both = there.unionByName(here).withColumns({"_b": F.last("_r", True).over(w.rowsBetween(W.unboundedPreceding, 0)), "_a": F.first("_r", True).over(w.rowsBetween(0, W.unboundedFollowing))})
+
+    def candidate(c: str) -> Column:
+        d = F.abs(F.col("_t") - F.col(f"{c}.t"))
+        return F.when(F.col(c).isNotNull() & (d <= most), F.struct(d.alias("d"), F.col(f"{c}.ord").alias("ord"), F.col(f"{c}.value").alias("value")))
+
+    best = both.where("_side = 1").withColumn("_c", F.least(candidate("_b"), candidate("_a"))).where("_c is not null")
+    return best.select(*key, left_id, F.col("_c.d").alias("distance"), F.col("_c.value").alias(value))
 
 
 def unique_match(pairs: DataFrame, left: list[str]) -> DataFrame:
@@ -221,12 +269,23 @@ def nearest_paper(pages: DataFrame, width: str = "width", height: str = "height"
     return pages.withColumn("paper", F.coalesce(best["paper"], F.lit("source")))
 
 
-def skew_scores(points: DataFrame, by: list[str], angles: int = 41, step: float = 0.25) -> DataFrame:
-    """Sum of squared row counts of points (px, py) turned by each angle; the first strict maximum wins."""
-    at = F.explode(F.transform(F.sequence(F.lit(0), F.lit(angles - 1)), lambda i: (i - (angles - 1) // 2) * step)).alias("angle")
-    rows = points.select(*by, "px", "py", at).select(*by, "angle", F.floor(F.col("py") - F.col("px") * F.tan(F.radians("angle"))).alias("row"))
-    counts = rows.groupBy(*by, "angle", "row").agg(F.count("*").alias("n")).groupBy(*by, "angle").agg(F.sum(F.col("n") * F.col("n")).alias("score"))
-    return counts
+def skew_scores(points: DataFrame, by: list[str], slopes: list[float] | None = None) -> DataFrame:
+    """by, i, slope, score: the sum of squared row counts of points (px, py) sheared by each slope.
+
+    slopes: by default the tangents of 41 angles, a quarter of a degree apart around zero.
+    """
+    slopes = slopes if slopes is not None else [math.tan(math.radians(k / 4)) for k in range(-20, 21)]
+    at = F.posexplode(F.array(*[F.lit(float(s)) for s in slopes])).alias("i", "slope")
+    rows = points.select(*by, "px", "py", at).select(*by, "i", "slope", F.floor(F.col("py") - F.col("px") * F.col("slope")).alias("row"))
+    return rows.groupBy(*by, "i", "slope", "row").agg(F.count("*").alias("n")).groupBy(*by, "i", "slope").agg(F.sum(F.col("n") * F.col("n")).alias("score"))
+
+
+def skew(points: DataFrame, by: list[str], slopes: list[float] | None = None, least: float = math.tan(math.radians(0.2)), gain: float = 1.12) -> DataFrame:
+    """by, slope, score: the slope with most score, the first of equals; 0 if it is flatter than ``least`` or not ``gain`` times better than none."""
+    scores = skew_scores(points, by, slopes)
+    best = scores.groupBy(*by).agg(F.max(F.struct("score", (-F.col("i")).alias("first"), "slope")).alias("b"), F.max(F.when(F.col("slope") == 0, F.col("score"))).alias("base"))
+    ok = (F.abs("b.slope") >= least) & (F.col("b.score") > gain * F.col("base"))
+    return best.select(*by, F.when(ok, F.col("b.slope")).otherwise(0.0).alias("slope"), F.col("b.score").alias("score"))
 
 
 def paragraph_joins(pages: DataFrame) -> DataFrame:
@@ -248,3 +307,13 @@ def numbering(items: DataFrame, by: list[str], order: str, fmt: str, number: str
     w = W.partitionBy(*by).orderBy(order)
     new = ~F.coalesce((F.lag(fmt).over(w) == F.col(fmt)) & (F.lag(number).over(w) + 1 == F.col(number)), F.lit(False))
     return items.withColumn("_new", new.cast("int")).withColumn("list_id", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
+
+
+def low_confidence(spans: DataFrame, by: list[str], least: int = 75) -> DataFrame:
+    """by, low: spans read with less than that confidence; a missing one counts as none."""
+    return spans.groupBy(*by).agg(F.count_if(F.coalesce("confidence", F.lit(0)) < least).alias("low"))
+
+
+def review_pages(issues: DataFrame, by: list[str]) -> DataFrame:
+    """by, pages: different pages with an issue to review."""
+    return issues.where(F.col("page").isNotNull()).groupBy(*by).agg(F.count_distinct("page").alias("pages"))

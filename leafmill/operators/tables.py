@@ -18,6 +18,7 @@ from leafmill.functions import text as X
 from leafmill.operators import lines as L
 from leafmill.operators import spans as S
 from leafmill.operators.spans import PAGE
+from leafmill.shared import reliable
 
 
 def touching(boxes: DataFrame, pad: float, by: list[str] = PAGE) -> DataFrame:
@@ -52,23 +53,13 @@ def linked(edges: DataFrame) -> DataFrame:
         step = labels.join(near, labels["node"] == near["a"], "left").select("node", F.least("component", F.coalesce("m", "component")).alias("component"))
         up = step.select(F.col("node").alias("component"), F.col("component").alias("above"))
         labels = step.join(up, "component", "left").select("node", F.least("component", F.coalesce("above", "component")).alias("component"))
-        labels = _reliable(labels)
+        labels = reliable(labels)
         now = tuple(labels.agg(F.count("*"), F.sum(F.xxhash64("node", "component").cast("decimal(38,0)"))).first())
         if now == before:
             return labels
         before = now
 
 
-def _reliable(df: DataFrame) -> DataFrame:
-    """checkpoint() in spark.checkpoint.dir; a folder of our own only where none is set."""
-    import tempfile
-
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='leafmill-')}")
-    return df.checkpoint()
-
-
 def ruled(spans: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Ruled tables: (tables, cells).
 
@@ -99,27 +90,49 @@ def ruled(spans: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
 def open_numeric(spans: DataFrame, rules: DataFrame) -> DataFrame:
     """Numeric tables between two rules of one width without vertical ones: doc_id, page, top, ord, row, column.
 
-    At least three rows of three spans, three fifths numeric, columns by merged
-    intervals; every row fills every column.
+    A rule wider than eight body sizes is matched with the first like it that
+    lies two body sizes below.  Between them stand 3 to 100 rows of three spans
+    and more, three fifths of each numeric, no further apart than 1.8 sizes;
+    above the upper rule one header row of two spans and more (row 0).  Columns
+    are the spans' intervals with less than half a size between merged, 3 to 20
+    of them; every span stands in one and every row fills all.  Spans belong to
+    the highest table that takes them.
     """
+    key = [*PAGE, "top"]
     body = S.body_size(spans)
     flat = rules.where(F.abs(F.col("y1") - F.col("y2")) < C.AXIS).join(body, PAGE).select(*PAGE, "ord", F.least("x1", "x2").alias("l"), F.greatest("x1", "x2").alias("r"), "y1", "body_size").where(F.col("r") - F.col("l") > 8 * F.col("body_size"))
     a, b = flat.alias("a"), flat.alias("b")
     on = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.page") == F.col("b.page")) & (F.col("b.y1") > F.col("a.y1") + 2 * F.col("a.body_size")) & (F.abs(F.col("a.l") - F.col("b.l")) < 2 * F.col("a.body_size")) & (F.abs(F.col("a.r") - F.col("b.r")) < 2 * F.col("a.body_size"))
-    bands = a.join(b, on).groupBy("a.doc_id", "a.page", F.col("a.ord").alias("top"), F.col("a.l").alias("l"), F.col("a.r").alias("r"), F.col("a.y1").alias("y0"), F.col("a.body_size").alias("size")).agg(F.min("b.y1").alias("y1"))
+    bands = a.join(b, on).groupBy("a.doc_id", "a.page", F.col("a.ord").alias("top"), F.col("a.l").alias("l"), F.col("a.r").alias("r"), F.col("a.y1").alias("y0")).agg(F.min("b.y1").alias("y1"))
     upright = rules.where(F.abs(F.col("x1") - F.col("x2")) < C.AXIS).select(*PAGE, F.col("x1").alias("vx"), F.least("y1", "y2").alias("v0"), F.greatest("y1", "y2").alias("v1"))
     v, t = upright.alias("v"), bands.alias("t")
     crossed = (F.col("t.doc_id") == F.col("v.doc_id")) & (F.col("t.page") == F.col("v.page")) & F.col("v.vx").between(F.col("t.l") - 2, F.col("t.r") + 2) & (F.col("v.v0") < F.col("t.y1")) & (F.col("v.v1") > F.col("t.y0"))
     bands = t.join(v, crossed, "left_anti")
-    inside = spans.join(bands.withColumnRenamed("size", "body"), PAGE).where((F.col("y") >= F.col("y0") - 1) & (F.col("y") + F.col("height") <= F.col("y1") + 1) & (F.col("x") >= F.col("l") - 1) & (F.col("x") + F.col("width") <= F.col("r") + 1))
-    rows = L.rows_of(inside.drop("l", "r", "y0", "y1"))
-    key = [*PAGE, "top"]
-    good = rows.groupBy(*key, "row").agg(F.count("*").alias("n"), F.count_if(X.numeric_token(F.trim("text"))).alias("digits")).groupBy(*key).agg(F.count("*").alias("rows"), F.bool_and((F.col("n") >= 3) & (F.col("digits") >= F.greatest(F.lit(2), 0.6 * F.col("n")))).alias("ok")).where("ok and rows between 3 and 100")
-    rows = rows.join(good.select(*key), key, "left_semi")
-    columns = S.merged_intervals(rows.select(*key, F.col("x").alias("lo"), (F.col("x") + F.col("width")).alias("hi")), key, "lo", "hi", 6.0)
+    beside = spans.join(bands, PAGE).where((F.col("x") >= F.col("l") - 1) & (F.col("x") + F.col("width") <= F.col("r") + 1))
+    inside = beside.where((F.col("y") >= F.col("y0") - 1) & (F.col("y") + F.col("height") <= F.col("y1") + 1))
+    sizes = inside.groupBy(*key).agg(F.percentile("size", F.lit(0.5)).alias("typical"))
+    above = beside.join(sizes, key).where((F.col("y") + F.col("height") <= F.col("y0") + 1) & (F.col("y") >= F.col("y0") - 1.8 * F.col("typical")))
+
+    rows, header = (L.rows_of(part.drop("l", "r", "y0", "y1", "typical"), key) for part in (inside, above))
+    typical = rows.groupBy(*key, "row").agg(F.count("*").alias("n"), F.count_if(X.numeric_token(F.col("text"))).alias("digits"), F.max("baseline").alias("line"))
+    step = F.col("line") - F.lag("line").over(W.partitionBy(*key).orderBy("row"))
+    good = typical.withColumn("step", step).join(sizes, key).groupBy(*key).agg(
+        F.count("*").alias("rows"), F.bool_and((F.col("n") >= 3) & (F.col("digits") >= F.greatest(F.lit(2), 0.6 * F.col("n"))) & F.coalesce(F.col("step") <= 1.8 * F.col("typical"), F.lit(True))).alias("ok")
+    ).where("ok and rows between 3 and 100")
+    titled = header.groupBy(*key).agg(F.max("row").alias("last"), F.count("*").alias("n")).where("last = 0 and n >= 2")
+    rows = rows.withColumn("row", F.col("row") + 1).unionByName(header).join(good.select(*key), key, "left_semi").join(titled.select(*key), key, "left_semi")
+    taken = rows.withColumn("first", F.min("top").over(W.partitionBy(*PAGE, "ord"))).where("first = top").drop("first")
+    columns = S.merged_intervals(taken.join(sizes, key).select(*key, "typical", F.col("x").alias("lo"), (F.col("x") + F.col("width")).alias("hi")), [*key, "typical"], "lo", "hi", F.col("typical") * 0.5)
     columns = columns.withColumn("column", F.row_number().over(W.partitionBy(*key).orderBy("lo")) - 1)
-    placed = rows.select(*key, "ord", "row", "x", (F.col("x") + F.col("width")).alias("right")).join(columns, key).where((F.col("x") >= F.col("lo") - 1) & (F.col("right") <= F.col("hi") + 1))
-    full = placed.groupBy(*key, "row").agg(F.count_distinct("column").alias("n")).join(columns.groupBy(*key).agg(F.count("*").alias("all")), key).groupBy(*key).agg(F.bool_and(F.col("n") == F.col("all")).alias("ok"), F.max("all").alias("all")).where("ok and all between 3 and 20")
+    edge = W.partitionBy(*key).orderBy("lo")
+    left, right = (F.lag("hi").over(edge) + F.col("lo")) / 2, (F.col("hi") + F.lead("lo").over(edge)) / 2
+    cells = columns.join(bands.select(*key, "l", "r"), key).select(*key, "column", F.coalesce(left, "l").alias("lo"), F.coalesce(right, "r").alias("hi"))
+    placed = taken.select(*key, "ord", "row", "x", (F.col("x") + F.col("width")).alias("right")).join(cells, key).where((F.col("x") >= F.col("lo") - 1) & (F.col("right") <= F.col("hi") + 1))
+    placed = placed.groupBy(*key, "ord", "row").agg(F.min("column").alias("column"))
+    all_ = columns.groupBy(*key).agg(F.count("*").alias("all")).join(taken.groupBy(*key).agg(F.count("*").alias("members")), key)
+    full = placed.groupBy(*key, "row").agg(F.count_distinct("column").alias("filled"), F.count("*").alias("n")).join(all_, key).groupBy(*key).agg(
+        F.bool_and((F.col("filled") == F.col("all")) | (F.col("row") == 0)).alias("ok"), F.sum("n").alias("n"), F.max("all").alias("all"), F.max("members").alias("members")
+    ).where("ok and n = members and all between 3 and 20")
     return placed.join(full.select(*key), key, "left_semi").select(*key, "ord", "row", "column")
 
 

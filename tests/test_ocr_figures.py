@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import pytest
+from leafmill.functions import text as X
 from leafmill.operators import figures as Fig
 from leafmill.operators import forms, ocr, setup
 from pyspark.sql import functions as F
@@ -57,14 +59,47 @@ def test_readings(spark):
     line = "doc_id string, page int, x double, width double, baseline double, size double"
     sizes = lambda base: [r["size"] for r in ocr.even_sizes(spark.createDataFrame([("d", 1, 0.0, 50.0, float(b), float(s)) for b, s in zip(base, (10, 18, 10), strict=True)], line)).orderBy("baseline").collect()]
     assert sizes((100, 112, 124)) == [10, 10, 10] and sizes((100, 180, 265)) == [10, 18, 10]
-    page = spark.createDataFrame([("d", 1, 10.0, 400.0, 15.0 * i, 10.0) for i in range(30)] + [("e", 1, 10.0, 400.0, 15.0 * i, 10.0) for i in range(5)], line)
-    assert {r.doc_id: r.prose for r in ocr.horizontal_prose(page).collect()} == {"d": True, "e": False}
+    page = spark.createDataFrame([("d", 1, 10.0, 400.0, 15.0 * i, 10.0) for i in range(30)], line)
     assert {r.leading for r in ocr.leading(page).collect()} == {1.5}
 
 
+def test_line_retry(spark):
+    cases = [
+        ([("三、同意參與土過必建販權利範圍:", 64.0)], "三、同意參與土地及建物權利範圍:", 91.0, True), ([("請核對文件全部內容及附件", 72.0)], "請核對文件", 99.0, False), ([("土地面積", 65.0), ("34.25", 95.0)], "土地面積34.29", 99.0, False),
+        ([("請核對文件全部內容及附件", 70.0)], "這是完全不同的文字與其他句子", 99.0, False), ([("", 10.0)], "", 99.0, False), ([("a b c d e", 70.0)], "abcde", 90.0, True), ([("12", 80.0), ("total", 60.0)], "13total", 90.0, True),
+        ([("x" * 401, 10.0)], "x" * 401, 99.0, False), ([("surer", 90.0)], "surer", 92.0, False),
+    ]
+    rows = spark.createDataFrame([(i, [{"text": t, "confidence": c} for t, c in before], after, now) for i, (before, after, now, _) in enumerate(cases)], "id int, spans array<struct<text:string,confidence:double>>, after string, now double")
+    was = F.expr("aggregate(spans, 0D, (a, s) -> a + s.confidence * length(s.text)) / greatest(1, aggregate(spans, 0, (a, s) -> a + length(s.text)))")
+    got = rows.select("id", X.edit_accept(F.array_join("spans.text", ""), F.col("after"), was, F.col("now"), X.sure_numbers(F.col("spans"))).alias("ok")).orderBy("id").collect()
+    assert [r.ok for r in got] == [c[-1] for c in cases]
+
+
+def test_horizontal_pages(spark):
+    prose = lambda width=420, count=30: [(80.0, 60.0 + i * 18, 80.0 + width, 72.0 + i * 18) for i in range(count)]
+    columns = [(300.0 if i % 2 else 0.0, b, (300.0 if i % 2 else 0.0) + 300, d) for i, (_, b, _, d) in enumerate(prose(300))]
+    halves = prose(210)
+    cases = {
+        "dense": (prose(), True), "narrow": (prose(240), False), "wide": (prose(320), True), "columns": (columns, False), "few": (prose(420, 10), False), "grid": (prose(), False),
+        "split": (halves + [(296.0, b, 430.0, d) for _, b, _, d in halves], True), "gutter": (halves + [(320.0, b, 430.0, d) for _, b, _, d in halves], False),
+    }
+    lines = spark.createDataFrame([(k, 1, *b) for k, (rows, _) in cases.items() for b in rows], "doc_id string, page int, x0 double, y0 double, x1 double, y1 double")
+    pages = spark.createDataFrame([(k, 1, 600.0) for k in cases], "doc_id string, page int, width double")
+    rules = spark.createDataFrame([("grid", 1, 50.0, 50.0, 550.0, 50.0), ("grid", 1, 50.0, 100.0, 550.0, 100.0), ("grid", 1, 50.0, 50.0, 50.0, 100.0), ("grid", 1, 550.0, 50.0, 550.0, 100.0)], "doc_id string, page int, x1 double, y1 double, x2 double, y2 double")
+    assert {r.doc_id: r.prose for r in ocr.horizontal_prose(lines, pages, rules).collect()} == {k: want for k, (_, want) in cases.items()}
+    text = "第一條：文件內容需要逐字核對。第二條：所有資料在瀏覽器內處理。"
+    pairs = [(0, text, text.replace("核對", "校對"), 85, 90), (1, text, text[:15], 85, 99), (2, text, text, 85, 80), (3, text, "無關文字" * 8, 85, 99), (4, "", "", 1, 1), (5, "a😀 b", "a😀b", 1, 1)]
+    got = ocr.prefer_horizontal(spark.createDataFrame(pairs, "id int, a string, b string, was int, now int"), ["id"], "a", "b", "was", "now").orderBy("id").collect()
+    assert [r.accepted for r in got] == [True, False, False, False, False, False] and got[2].dice == 1.0 and abs(got[5].dice - 4 / 6) < 1e-9
+
+
 def test_figures(spark):
-    boxes = spark.createDataFrame([("d", 1, 0, 0.0, 0.0, 50.0, 50.0), ("d", 1, 1, 50.0, 0.0, 50.0, 50.0), ("d", 1, 2, 0.0, 50.5, 100.0, 50.0), ("d", 1, 3, 300.0, 300.0, 20.0, 20.0)], BOX)
-    assert sorted((r.x, r.width, r.height) for r in Fig.tiles(boxes).collect()) == [(0.0, 100.0, 100.5), (300.0, 20.0, 20.0)]
+    pieces = [("d", -10.0, 20.0, 60.0, 40.0), ("d", 40.0, 20.0, 60.0, 40.0), ("d", 100.0, 20.0, 40.0, 40.0), ("d", 180.0, 80.0, 50.0, 30.0), ("d", 0.0, 0.0, 300.0, 400.0), ("e", 20.0, 30.0, 50.0, 50.0), ("e", 69.0, 30.0, 50.0, 50.0)]
+    pieces += [("f", 0.0, 0.0, 200.0, 10.0), ("f", 150.0, 5.0, 40.0, 100.0), ("f", float("nan"), 0.0, 9.0, 9.0), ("f", 5.0, 300.0, 2.0, 9.0)]  # an edge stamp on a thin strip stays apart
+    boxes = spark.createDataFrame([(d, 1, i, *b) for i, (d, *b) in enumerate(pieces)], BOX)
+    sides = spark.createDataFrame([(d, 1, 300.0, 400.0) for d in "def"], "doc_id string, page int, width double, height double")
+    whole = {(r.doc_id, r.x, r.y, r.width, r.height) for r in Fig.tiles(boxes, sides).collect()}
+    assert whole == {("d", 0.0, 20.0, 140.0, 40.0), ("d", 180.0, 80.0, 50.0, 30.0), ("e", 20.0, 30.0, 99.0, 50.0), ("f", 0.0, 0.0, 200.0, 10.0), ("f", 150.0, 5.0, 40.0, 100.0)}
     images = spark.createDataFrame([("d", 1, 0, 0.0, 0.0, 50.0, 50.0), ("d", 1, 1, 80.0, 2.0, 50.0, 50.0), ("d", 1, 2, 200.0, 3.0, 50.0, 50.0), ("d", 1, 3, 0.0, 200.0, 50.0, 50.0)], BOX)
     texts = spark.createDataFrame([("d", 1, 9, 150.0, 10.0, 30.0, 10.0)], BOX)
     assert {r.ord: r.row for r in Fig.image_rows(images, texts).collect()} == {0: 1, 1: 1, 2: 2, 3: 3}
@@ -91,3 +126,8 @@ def test_setup_and_forms(spark):
     one = spark.createDataFrame([("d", 1)], "doc_id string, page int")
     assert {r.node for r in forms.retained(fields, one).collect()} == {1, 2}
     assert {r.node for r in forms.retained(fields, one, all_pages=True).collect()} == {1, 2, 4}
+    chain = spark.createDataFrame([("d", i, i - 1 if i else None, 1 if i == 30 else None) for i in range(31)], "doc_id string, node int, parent int, page int")
+    assert forms.retained(chain, one).count() == 31
+    for bad in ([("d", 1, 2, 1), ("d", 2, 1, None)], [("d", 1, 3, 1), ("d", 1, 4, 1)], [("d", i, i - 1 if i else None, 1) for i in range(70)]):
+        with pytest.raises(ValueError, match="circle|several"):
+            forms.retained(spark.createDataFrame(bad, chain.schema), one)

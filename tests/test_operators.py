@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import math
+import random
 import struct
 import zipfile
 import zlib
@@ -146,11 +148,16 @@ def test_ruled_and_open_tables(spark):
     assert tables.count() == 1 and {(r.ord, r.row, r.column) for r in cells.collect()} == {(0, 0, 0), (1, 0, 1), (2, 1, 0)}
     border, _ = B.ruled(spark.createDataFrame(words, SPAN), spark.createDataFrame([g for g in grid if g[2] in (0, 2, 5, 7)], rule))
     assert border.count() == 0  # a border alone is no table
-    numbers = [span(10 * r + c, str(100 * r + c), 20 + 80 * c, 205 + 15 * r, 20, 10) for r in range(4) for c in range(3)]
+    title = [span(90 + c, name, 20 + 80 * c, 186, 20, 10) for c, name in enumerate(("one", "two", "three"))]
+    body = [span(10 * r + c, str(100 * r + c), 20 + 80 * c, 205 + 15 * r, 20, 10) for r in range(4) for c in range(3)]
+    numbers = [*title, *body]
     bars = spark.createDataFrame([("d", 1, 0, 10.0, 200.0, 260.0, 200.0), ("d", 1, 1, 10.0, 270.0, 260.0, 270.0)], rule)
-    got = {(r.ord, r.column) for r in B.open_numeric(spark.createDataFrame(numbers, SPAN), bars).collect()}
-    assert got == {(10 * r + c, c) for r in range(4) for c in range(3)}
-    prose = [span(10 * r + c, "word", 20 + 80 * c, 205 + 15 * r, 20, 10) for r in range(4) for c in range(3)]
+    got = {(r.ord, r.row, r.column) for r in B.open_numeric(spark.createDataFrame(numbers, SPAN), bars).collect()}
+    assert got == {(10 * r + c, r + 1, c) for r in range(4) for c in range(3)} | {(90 + c, 0, c) for c in range(3)}
+    assert B.open_numeric(spark.createDataFrame(body, SPAN), bars).count() == 0  # no header row
+    close = [*title, *[span(10 * r + c, str(100 * r + c), 20 + 23 * c, 205 + 15 * r, 20, 10) for r in range(4) for c in range(3)]]
+    assert B.open_numeric(spark.createDataFrame(close, SPAN), bars).count() == 0  # gaps under half a size merge
+    prose = title + [span(10 * r + c, "word", 20 + 80 * c, 205 + 15 * r, 20, 10) for r in range(4) for c in range(3)]
     assert B.open_numeric(spark.createDataFrame(prose, SPAN), bars).count() == 0
 
 
@@ -211,12 +218,23 @@ def test_archives_and_stream(spark, tmp_path):
 
 
 def test_text(spark):
-    rows = spark.createDataFrame([("漢字", "かな"), ("word", "next"), ("hyphen-", "ated"), ("(", "in"), ("end", ", more"), ("", "x")], "a string, b string")
-    assert [r.s for r in rows.select(X.join_separator(F.col("a"), F.col("b")).alias("s")).collect()] == ["", " ", "", "", "", ""]
-    marks = spark.createDataFrame([("1. One",), ("• Two",), ("(a) Three",), ("Plain",), ("3.14 is",)], "t string").select(X.list_marker(F.col("t")).alias("m")).collect()
-    assert [bool(r.m) for r in marks] == [True, True, True, False, False]
+    rows = spark.createDataFrame([("漢字", "かな"), ("word", "next"), ("hyphen-", "ated"), ("(", "in"), ("end", ", more"), ("", "x"), ("前一句。", "下一句"), ("soft\u00ad", "ly"), ("Ä-", "ß"), ("3-", "ated"), ("x\u3000", "y"), ("字", "「引"), ("。", "word"), ("50", "%")], "a string, b string")
+    assert [r.s for r in rows.select(X.join_separator(F.col("a"), F.col("b")).alias("s")).collect()] == ["", " ", "", "", "", "", "", "", "", " ", "", "", " ", " "]
+    marks = spark.createDataFrame([("1. One",), ("• Two",), ("(3)Three",), ("Plain",), ("3.14 is",), ("（12） x",), ("a) x",), ("一、甲",), ("（二十）乙",), ("第三條 丙",), ("第3條",), ("1234. x",)], "t string")
+    marks = marks.select(X.list_marker(F.col("t")).alias("m"), X.line_marker(F.col("t")).alias("k")).collect()
+    assert [bool(r.m) for r in marks] == [True, True, True, False, False, True, False, False, False, False, False, False]
+    assert [r.k for r in marks] == ["list", "list", "list", None, None, "list", None, "chinese", "chinese", "article", "article", None]
+    tokens = spark.createDataFrame([(t,) for t in ("-", "5×", "+1,234.5%", "−3", "(3)", "1a", "--1", " 7 ", "")], "t string").select(X.numeric_token(F.col("t")).alias("n")).collect()
+    assert [r.n for r in tokens] == [True, True, True, True, False, False, False, True, False]
     numbers = spark.createDataFrame([("Page 3 of 9",), ("第 12 頁",), ("4/7",), ("- 5 -",), ("Chapter 5",)], "t string").select(X.page_number(F.col("t")).alias("n")).collect()
     assert [r.n for r in numbers] == [3, 12, 4, 5, None]
-    fonts = spark.createDataFrame([("ABCDEF+Arial-Bold",), ("Times",)], "t string").select(X.font_name(F.col("t")).alias("n"), X.font_family(F.col("t")).alias("f")).collect()
-    assert [(r.n, r.f) for r in fonts] == [("Arial-Bold", "sans"), ("Times", "serif")]
+    fonts = spark.createDataFrame([(t,) for t in ("ABCDEF+Arial-Bold", "Times", "CMR10", "DejaVuSerif-Sans", "ABCDEF+Cousine-BoldItalic", "CMTT9", "Noto Sans CJK TC", "Bold")], "t string").select(X.font_name(F.col("t")).alias("n"), X.font_family(F.col("t")).alias("f")).collect()
+    assert fonts[0].n == "Arial-Bold" and [r.f for r in fonts] == ["Arial", "Times New Roman", "Times New Roman", "DejaVuSerif-Sans", "Cousine", "Courier New", "Arial", "Arial"]
     assert spark.createDataFrame([("ｆｏｏ　bar",), (None,)], "t string").select(X.nfkc("t").alias("n")).collect()[0].n == "foobar"
+
+
+def test_skew(spark):
+    rnd = random.Random(17)
+    points = [(g, float(x), float(12 * k) + 0.5 + x * {0: 0.0, 1: math.tan(math.radians(1.5)), 2: math.tan(math.radians(-3))}[g]) for g in range(3) for k in range(40) for x in (rnd.randrange(500) for _ in range(60))]
+    got = {r.g: math.degrees(math.atan(r.slope)) for r in S.skew(spark.createDataFrame(points, "g int, px double, py double"), ["g"]).collect()}
+    assert got[0] == 0 and abs(got[1] - 1.5) < 0.3 and abs(got[2] + 3) < 0.3
