@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import settle
+from leafmill.llm.common import release, settle
 
 
 def _state(links: DataFrame) -> tuple:
@@ -27,10 +27,11 @@ def components(links: DataFrame) -> DataFrame:
         before = now
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = settle(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = settle(large)
+        large = settle(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        release(links, least)
         least = settle(large.groupBy("u").agg(F.min("v").alias("m")))
         joined = large.join(least, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         links = settle(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        release(large, least)
     return links
