@@ -60,30 +60,91 @@ def linked(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def ruled(spans: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _roots(edges: pd.DataFrame) -> pd.DataFrame:
+    """Least cell of each cell that is linked to others, in one table."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in zip(edges["a"].tolist(), edges["b"].tolist(), strict=True):
+        p, q = top(a), top(b)
+        root[max(p, q)] = min(p, q)
+    cells = sorted(root)
+    return edges[["doc_id", "page", "component"]].iloc[[0] * len(cells)].assign(cell=cells, root=[top(x) for x in cells])
+
+
+def _outer_edges(tables: DataFrame, flats: DataFrame, spans: DataFrame, key: list[str], tolerance: float) -> DataFrame:
+    """tables with xs taken out to where three row strokes and more end, if text stands in the strip."""
+    ends = flats.select(*key, F.col("x").alias("left"), (F.col("x") + F.col("width")).alias("right"), "y")
+    reach = ends.groupBy(*key).agg(F.min("left").alias("first"), F.max("right").alias("last"))
+    row = F.floor(F.col("y") / tolerance + 0.5)
+    often = ends.join(reach, key).groupBy(*key, "first", "last").agg(
+        F.count_distinct(F.when(F.col("left") - F.col("first") <= tolerance, row)).alias("at_first"), F.count_distinct(F.when(F.col("last") - F.col("right") <= tolerance, row)).alias("at_last")
+    )
+    known = tables.join(often, key, "left").join(S.body_size(spans), PAGE, "left")
+    left = (F.col("at_first") >= 3) & (F.col("xs")[0] - F.col("first") > F.col("body_size"))
+    right = (F.col("at_last") >= 3) & (F.col("last") - F.element_at("xs", -1) > F.col("body_size"))
+    known = known.withColumns({"_l": F.coalesce(left, F.lit(False)), "_r": F.coalesce(right, F.lit(False)), "_x0": F.col("xs")[0], "_x1": F.element_at("xs", -1), "_y0": F.col("ys")[0], "_y1": F.element_at("ys", -1)})
+    s = spans.select(*PAGE, F.col("x").alias("sx"), (F.col("x") + F.col("width")).alias("sr"), F.col("y").alias("sy"))
+    at = known.where("_l or _r").join(s, PAGE).where("sy >= _y0 and sy < _y1")
+    text = at.groupBy(*key).agg(F.bool_or(F.expr("_l and sx >= first - 1 and sr <= _x0 + 1")).alias("in_first"), F.bool_or(F.expr("_r and sx >= _x1 - 1 and sr <= last + 1")).alias("in_last"))
+    out = known.join(text, key, "left")
+    none = F.array().cast("array<double>")
+    xs = F.concat(F.when(F.col("in_first"), F.array("first")).otherwise(none), "xs", F.when(F.col("in_last"), F.array("last")).otherwise(none))
+    return out.select(*key, xs.alias("xs"), "ys")
+
+
+def ruled(spans: DataFrame, rules: DataFrame, tolerance: float = C.GRID_TOLERANCE) -> tuple[DataFrame, DataFrame]:
     """Ruled tables: (tables, cells).
 
     tables: doc_id, page, component, xs, ys.  cells: doc_id, page, component,
-    row, column, ord of each span by its centre, first cell first.  A component
-    counts with 3-41 column lines and 3-201 row lines.
+    row, column, row_span, column_span, ord of each span by its centre.  A
+    component of touching rules counts with 3-41 column lines and 3-201 row
+    lines, open outer columns included, if any span's centre lies in it.  Grid
+    cells without a whole stroke between them are one; if these don't make
+    rectangles, the component is no table.
     """
+    key = [*PAGE, "component"]
     across = F.abs(F.col("y1") - F.col("y2")) < C.AXIS
     axis = rules.where((across | (F.abs(F.col("x1") - F.col("x2")) < C.AXIS)) & (F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) > C.MIN_RULE))
     boxes = axis.select(*PAGE, "ord", F.least("x1", "x2").alias("x"), F.least("y1", "y2").alias("y"), F.abs(F.col("x2") - F.col("x1")).alias("width"), F.abs(F.col("y2") - F.col("y1")).alias("height"))
-    parts = touching(boxes, C.TOUCH)
-    flat = F.col("height") < C.AXIS
-    held = parts.groupBy(*PAGE, "component").agg(F.collect_list(F.when(~flat, F.col("x") + F.col("width") / 2)).alias("vx"), F.collect_list(F.when(flat, F.col("y") + F.col("height") / 2)).alias("hy"))
+    parts = reliable(touching(boxes, C.TOUCH).withColumn("flat", F.col("height") < C.AXIS))
+    held = parts.groupBy(*key).agg(F.collect_list(F.when(~F.col("flat"), F.col("x") + F.col("width") / 2)).alias("vx"), F.collect_list(F.when(F.col("flat"), F.col("y") + F.col("height") / 2)).alias("hy"))
 
     def middle(c: str) -> Column:
-        return F.transform(S.clusters(F.col(c), C.GRID_TOLERANCE), lambda v: (F.element_at(v, F.floor((F.size(v) + 1) / 2).cast("int")) + F.element_at(v, F.floor((F.size(v) + 2) / 2).cast("int"))) / 2)
+        return F.transform(S.clusters(F.col(c), tolerance), lambda v: (F.element_at(v, F.floor((F.size(v) + 1) / 2).cast("int")) + F.element_at(v, F.floor((F.size(v) + 2) / 2).cast("int"))) / 2)
 
-    tables = held.select(*PAGE, "component", middle("vx").alias("xs"), middle("hy").alias("ys"))
-    tables = tables.where(F.size("xs").between(*C.X_LINES) & F.size("ys").between(*C.Y_LINES))
-    steps = tables.select(*PAGE, "component", "xs", F.posexplode(F.arrays_zip(F.slice("ys", F.lit(1), F.size("ys") - 1).alias("a"), F.slice("ys", F.lit(2), F.size("ys")).alias("b"))).alias("row", "v"))
-    grid = steps.select(*PAGE, "component", "row", F.col("v.a").alias("y"), (F.col("v.b") - F.col("v.a")).alias("height"), F.posexplode(F.arrays_zip(F.slice("xs", F.lit(1), F.size("xs") - 1).alias("a"), F.slice("xs", F.lit(2), F.size("xs")).alias("b"))).alias("column", "h"))
-    grid = grid.select(*PAGE, F.struct("component", "row", "column").alias("cell_ord"), F.col("h.a").alias("x"), "y", (F.col("h.b") - F.col("h.a")).alias("width"), "height")
+    tables = held.select(*key, middle("vx").alias("xs"), middle("hy").alias("ys")).where((F.size("xs") >= C.X_LINES[0]) & (F.size("ys") >= C.Y_LINES[0]))
+    tables = _outer_edges(tables, parts.where("flat"), spans, key, tolerance).where(F.size("xs").between(*C.X_LINES) & F.size("ys").between(*C.Y_LINES))
     points = spans.select(*PAGE, "ord", (F.col("x") + F.col("width") / 2).alias("px"), (F.col("y") + F.col("height") / 2).alias("py"))
-    cells = S.first_cell(points, grid, PAGE, ["ord"]).select(*PAGE, "cell_ord.component", "cell_ord.row", "cell_ord.column", "ord")
+    outer = tables.select(*key, F.col("xs")[0].alias("x0"), F.element_at("xs", -1).alias("x1"), F.col("ys")[0].alias("y0"), F.element_at("ys", -1).alias("y1"))
+    filled = outer.join(points, PAGE).where("px between x0 and x1 and py between y0 and y1").select(*key).distinct()
+    tables = reliable(tables.join(filled, key, "left_semi"))
+
+    # A cell is numbered by row and column; what stands between two is a stretch of a grid line.
+    number = F.col("row") * 64 + F.col("column")
+    steps = tables.select(*key, "xs", "ys", F.explode(F.sequence(F.lit(0), F.size("ys") - 2)).alias("row")).select("*", F.explode(F.sequence(F.lit(0), F.size("xs") - 2)).alias("column"))
+    at = {c: F.element_at(v, i + 1) for c, v, i in (("x0", "xs", F.col("column")), ("x1", "xs", F.col("column") + 1), ("y0", "ys", F.col("row")), ("y1", "ys", F.col("row") + 1))}
+    grid = steps.select(*key, "row", "column", number.alias("cell"), (F.size("xs") - 1).alias("columns"), (F.size("ys") - 1).alias("rows"), *[v.alias(c) for c, v in at.items()])
+    beside = grid.where("column + 1 < columns").select(*key, F.col("cell").alias("a"), (F.col("cell") + 1).alias("b"), F.lit(False).alias("flat"), F.col("x1").alias("place"), F.col("y0").alias("lo"), F.col("y1").alias("hi"))
+    below = grid.where("row + 1 < rows").select(*key, F.col("cell").alias("a"), (F.col("cell") + 64).alias("b"), F.lit(True).alias("flat"), F.col("y1").alias("place"), F.col("x0").alias("lo"), F.col("x1").alias("hi"))
+    walls = beside.union(below)
+    strokes = parts.select(*key, "flat", F.when(F.col("flat"), F.col("y") + F.col("height") / 2).otherwise(F.col("x") + F.col("width") / 2).alias("at"), F.when(F.col("flat"), F.col("x")).otherwise(F.col("y")).alias("start"), F.when(F.col("flat"), F.col("x") + F.col("width")).otherwise(F.col("y") + F.col("height")).alias("end"))
+    along = walls.join(strokes, [*key, "flat"]).where("abs(at - place) < 2")
+    closed = S.covered(along, [*key, "a", "b"], "start", "end", F.col("lo"), F.col("hi")).where("covered")
+    open_ = walls.join(closed.select(*key, "a", "b"), [*key, "a", "b"], "left_anti").select(*key, "a", "b")
+    types = dict(open_.dtypes)
+    merged = open_.groupBy(*key).applyInPandas(_roots, ", ".join(f"{c} {types[c]}" for c in key) + ", cell int, root int")
+    members = grid.join(merged, [*key, "cell"], "left").withColumn("root", F.coalesce("root", "cell"))
+    whole = members.groupBy(*key, "root").agg(F.min("row").alias("row"), F.min("column").alias("column"), (F.max("row") - F.min("row") + 1).alias("row_span"), (F.max("column") - F.min("column") + 1).alias("column_span"), F.count("*").alias("n"), F.min("x0").alias("x"), F.min("y0").alias("y"), (F.max("x1") - F.min("x0")).alias("width"), (F.max("y1") - F.min("y0")).alias("height"))
+    whole = reliable(whole)
+    odd = whole.where("row_span * column_span <> n").select(*key).distinct()
+    tables, whole = tables.join(odd, key, "left_anti"), whole.join(odd, key, "left_anti")
+    boxes = whole.select(*PAGE, F.struct("component", "row", "column", "row_span", "column_span").alias("cell_ord"), "x", "y", "width", "height")
+    cells = S.first_cell(points, boxes, PAGE, ["ord"]).select(*PAGE, "cell_ord.component", "cell_ord.row", "cell_ord.column", "cell_ord.row_span", "cell_ord.column_span", "ord")
     return tables, cells
 
 

@@ -611,17 +611,21 @@ def ruled_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT n_nationkey AS doc_id, k::INT AS row, c::INT AS "column", (k * 3 + c)::BIGINT AS ord FROM nation, (SELECT unnest(range(3)) AS k), (SELECT unnest(range(3)) AS c)"""
+    """WITH t AS (SELECT s_suppkey AS doc_id, 2 + s_suppkey % 3 AS rows, 2 + s_suppkey % 4 AS cols, s_suppkey % 5 AS gap FROM supplier), c AS (SELECT *, unnest(range(cols)) AS c FROM (SELECT *, unnest(range(rows)) AS r FROM t))
+    SELECT doc_id, (r * 10 + c)::BIGINT AS ord, (CASE WHEN gap = 2 AND c = 0 AND r = 1 THEN 0 ELSE r END)::INT AS row, (CASE WHEN gap = 1 AND r = 0 AND c = 1 THEN 0 ELSE c END)::INT AS "column",
+    (CASE WHEN gap = 2 AND c = 0 AND r < 2 THEN 2 ELSE 1 END)::INT AS row_span, (CASE WHEN gap = 1 AND r = 0 AND c < 2 THEN 2 ELSE 1 END)::INT AS column_span FROM c WHERE gap <> 3"""
 )
 def tables_grouped_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A ruled grid of 3 by 3 cells with a word in each, on a page for each nation."""
-    docs = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"), F.lit(1).alias("page"))
-    i = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i")
-    flat = docs.select("*", i).select("doc_id", "page", F.col("i").alias("ord"), F.lit(10.0).alias("x1"), (10.0 + 20 * F.col("i")).alias("y1"), F.lit(160.0).alias("x2"), (10.0 + 20 * F.col("i")).alias("y2"))
-    upright = docs.select("*", i).select("doc_id", "page", (10 + F.col("i")).alias("ord"), (10.0 + 50 * F.col("i")).alias("x1"), F.lit(10.0).alias("y1"), (10.0 + 50 * F.col("i")).alias("x2"), F.lit(70.0).alias("y2"))
-    words = docs.select("*", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("k")).select("doc_id", "page", F.col("k").cast("long").alias("ord"), (15.0 + 50 * (F.col("k") % 3)).alias("x"), (15.0 + 20 * F.floor(F.col("k") / 3)).alias("y"), F.lit(30.0).alias("width"), F.lit(10.0).alias("height"))
+    """A table of its own size for each supplier, a word in each cell; in some a stroke is missing beside or below the first cell, in some two, so that cells make no rectangle."""
+    k = F.col("s_suppkey")
+    docs = table(spark, sf_dir, "supplier").select(k.alias("doc_id"), F.lit(1).alias("page"), (2 + k % 3).cast("int").alias("rows"), (2 + k % 4).cast("int").alias("cols"), (k % 5).alias("gap"))
+    cell = docs.select("*", F.explode(F.sequence(F.lit(0), F.col("rows"))).alias("r")).select("*", F.explode(F.sequence(F.lit(0), F.col("cols"))).alias("c"))
+    x, y = 10.0 + 50 * F.col("c"), 10.0 + 20 * F.col("r")
+    flat = cell.where("c < cols and not (gap in (2, 3) and r = 1 and c = 0)").select("doc_id", "page", (F.col("r") * 100 + F.col("c")).alias("ord"), x.alias("x1"), y.alias("y1"), (x + 50).alias("x2"), y.alias("y2"))
+    upright = cell.where("r < rows and not (gap in (1, 3) and r = 0 and c = 1)").select("doc_id", "page", (1000 + F.col("r") * 100 + F.col("c")).alias("ord"), x.alias("x1"), y.alias("y1"), x.alias("x2"), (y + 20).alias("y2"))
+    words = cell.where("r < rows and c < cols").select("doc_id", "page", (F.col("r") * 10 + F.col("c")).cast("long").alias("ord"), (x + 5).alias("x"), (y + 5).alias("y"), F.lit(30.0).alias("width"), F.lit(10.0).alias("height"), F.lit(10.0).alias("size"))
     _, cells = B.ruled(words, flat.union(upright))
-    return cells.select("doc_id", "row", "column", "ord")
+    return cells.select("doc_id", "ord", "row", "column", "row_span", "column_span")
 
 
 @query("""SELECT n_nationkey, unnest(['IHDR', 'tEXt', 'IDAT', 'IEND']) AS type, true AS checked FROM nation""")

@@ -20,6 +20,9 @@ from leafmill import constants as C
 PNG = b"\x89PNG\r\n\x1a\n"
 #: PNG chunks and JPEG markers that hold metadata only.
 PNG_TEXT = ("tEXt", "zTXt", "iTXt", "tIME")
+PNG_COLOUR = ("iCCP", "sRGB", "gAMA", "cHRM", "cICP", "mDCV", "cLLI")
+#: Colour profiles: the longest, their mark in JPEG segments, and how much of one a segment takes.
+PROFILE_BYTES, ICC, SEGMENT = 4 * C.MIB, b"ICC_PROFILE\0", 65_519
 
 
 def source_type(content: Column) -> Column:
@@ -176,6 +179,106 @@ def stripped(content: bytes) -> bytes:
     return b"".join([*out, content[at:]])
 
 
+def _webp(parts: list[tuple[bytes, bytes]]) -> bytes:
+    """A RIFF container of (type, data) chunks, each padded to an even length."""
+    body = b"WEBP" + b"".join(k + struct.pack("<I", len(d)) + d + b"\0" * (len(d) & 1) for k, d in parts)
+    return b"RIFF" + struct.pack("<I", len(body)) + body
+
+
+def upright(content: bytes) -> bytes:
+    """Without what tells viewers to turn the image: Exif blocks, and the Exif flag of a WEBP; all else stays."""
+    if content.startswith(PNG):
+        return PNG + b"".join(content[a:z] for k, a, z, _ in png_chunks(content) if k != "eXIf")
+    if content[:2] == b"\xff\xd8":
+        kept, at = [], 0
+        for k, a, z, _ in jpeg_segments(content):
+            if k == "E1" and content[a + 4 : a + 10] == b"Exif\0\0":
+                kept.append(content[at:a])
+                at = z
+        return b"".join([*kept, content[at:]])
+    parts = [(content[a : a + 4], content[a + 8 : z]) for k, a, z, _ in webp_chunks(content) if k != "EXIF"]
+    return _webp([(k, bytes([d[0] & ~8]) + d[1:] if k == b"VP8X" and d else d) for k, d in parts])
+
+
+def checked_profile(profile: bytes) -> bytes:
+    """An ICC profile whose size and signature hold, else an error."""
+    if not 128 <= len(profile) <= PROFILE_BYTES or struct.unpack_from(">I", profile)[0] != len(profile) or profile[36:40] != b"acsp":
+        raise ValueError("profile")
+    return profile
+
+
+def profile_of(content: bytes) -> bytes | None:
+    """The ICC profile of a PNG, JPEG or WEBP file, or None; one that is cut, out of order or too long is an error."""
+    if content.startswith(PNG):
+        data = next((content[a + 8 : z - 4] for k, a, z, _ in png_chunks(content) if k == "iCCP"), None)
+        if data is None:
+            return None
+        name = data.find(b"\0")
+        if not 1 <= name <= 79 or data[name + 1 : name + 2] != b"\0":
+            raise ValueError("profile")
+        reader = zlib.decompressobj()
+        try:
+            return checked_profile(reader.decompress(data[name + 2 :], PROFILE_BYTES + 1))
+        except zlib.error as e:
+            raise ValueError("profile") from e
+    if content[:2] == b"\xff\xd8":
+        parts = sorted((content[a + 16 : a + 18], content[a + 18 : z]) for k, a, z, _ in jpeg_segments(content) if k == "E2" and content[a + 4 : a + 16] == ICC)
+        if not parts:
+            return None
+        if any(mark != bytes([i, len(parts) & 0xFF]) for i, (mark, _) in enumerate(parts, 1)):
+            raise ValueError("profile")
+        return checked_profile(b"".join(d for _, d in parts))
+    data = next((content[a + 8 : z] for k, a, z, _ in webp_chunks(content) if k == "ICCP"), None)
+    if data is not None and checked_profile(data)[16:20] != b"RGB ":
+        raise ValueError("profile")
+    return data
+
+
+def with_profile(content: bytes, profile: bytes | None) -> bytes:
+    """A PNG or JPEG file with that profile in place of its own; None leaves it as it is."""
+    if profile is None:
+        return content
+    if content.startswith(PNG):
+        made = b"iCCPICC\0\0" + zlib.compress(profile)
+        made = struct.pack(">I", len(made) - 4) + made + struct.pack(">I", zlib.crc32(made))
+        chunks = [(k, content[a:z]) for k, a, z, _ in png_chunks(content) if k not in ("iCCP", "sRGB")]
+        return PNG + chunks[0][1] + made + b"".join(c for _, c in chunks[1:])
+    count = -(-len(profile) // SEGMENT)
+    made = []
+    for i in range(count):
+        part = ICC + bytes([i + 1, count]) + profile[i * SEGMENT : (i + 1) * SEGMENT]
+        made.append(b"\xff\xe2" + struct.pack(">H", len(part) + 2) + part)
+    kept, at = [content[:2], *made], 2
+    for k, a, z, _ in jpeg_segments(content):
+        if k == "E2" and content[a + 4 : a + 16] == ICC:
+            kept.append(content[at:a])
+            at = z
+    return b"".join([*kept, content[at:]])
+
+
+def profiles(files: DataFrame) -> DataFrame:
+    """path, space, length, error of the colour profiles of image files; files without one have neither."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for content in batch.column("content").to_pylist():
+                try:
+                    found = profile_of(content or b"")
+                    rows.append((None, None, None) if found is None else (found[16:20].decode("latin-1"), len(found), None))
+                except (ValueError, struct.error) as e:
+                    rows.append((None, None, str(e)))
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 3, (pa.string(), pa.int64(), pa.string()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("path").cast(pa.string()), *columns], ["path", "space", "length", "error"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, space string, length bigint, error string")
+
+
+def colour_chunks(chunks: DataFrame) -> DataFrame:
+    """The chunks (as ``chunked`` gives them) that say how colours of a PNG are meant."""
+    return chunks.where(F.col("type").isin(*PNG_COLOUR))
+
+
 def inspected(files: DataFrame) -> DataFrame:
     """path, format, width, height, orientation, error of image files."""
 

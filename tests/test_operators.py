@@ -146,6 +146,11 @@ def test_ruled_and_open_tables(spark):
     words = [span(0, "a", 20, 15, 20, 8), span(1, "b", 70, 15, 20, 8), span(2, "c", 20, 35, 20, 8), span(3, "out", 300, 300, 20, 8)]
     tables, cells = B.ruled(spark.createDataFrame(words, SPAN), spark.createDataFrame(grid, rule))
     assert tables.count() == 1 and {(r.ord, r.row, r.column) for r in cells.collect()} == {(0, 0, 0), (1, 0, 1), (2, 1, 0)}
+    register = spark.createDataFrame([*grid, *[("d", 1, 20 + i, 110.0, 10.0 + 20 * i, 160.0, 10.0 + 20 * i) for i in range(3)]], rule)
+    side = [*words, span(4, "12", 120, 15, 30, 8)]
+    wide, inside = B.ruled(spark.createDataFrame(side, SPAN), register)
+    assert wide.first().xs == [10.0, 60.0, 110.0, 160.0] and {(r.ord, r.column) for r in inside.collect()} == {(0, 0), (1, 1), (2, 0), (4, 2)}
+    assert B.ruled(spark.createDataFrame(words, SPAN), register)[0].first().xs == [10.0, 60.0, 110.0]  # no text in the strip
     border, _ = B.ruled(spark.createDataFrame(words, SPAN), spark.createDataFrame([g for g in grid if g[2] in (0, 2, 5, 7)], rule))
     assert border.count() == 0  # a border alone is no table
     title = [span(90 + c, name, 20 + 80 * c, 186, 20, 10) for c, name in enumerate(("one", "two", "three"))]
@@ -192,6 +197,22 @@ def test_images(spark):
     kinds = {r.path: r.k for r in rows.select("path", images.source_type(F.col("content")).alias("k")).collect()}
     assert kinds == {"a": "png", "b": "jpg", "c": "webp", "d": None, "e": "png", "f": "jpg", "g": None}
     assert images.stripped(images.png(4, 3, pixels, b"k\0v")) == images.png(4, 3, pixels) and images.stripped(jpeg(9, 9, 3, True)) == jpeg(9, 9, 3)
+    profile = bytearray(200)
+    profile[:4], profile[16:20], profile[36:40] = struct.pack(">I", 200), b"RGB ", b"acsp"
+    long = bytearray(150_000)
+    long[:4], long[16:20], long[36:40] = struct.pack(">I", 150_000), b"RGB ", b"acsp"
+    for plain in (images.png(4, 3, pixels), jpeg(7, 5, 6)):
+        assert images.profile_of(plain) is None and images.with_profile(plain, None) == plain
+        for p in (bytes(profile), bytes(long)):
+            assert images.profile_of(images.with_profile(plain, p)) == p and images.profile_of(images.with_profile(images.with_profile(plain, bytes(profile)), p)) == p
+    cut = images.with_profile(jpeg(7, 5), bytes(long))
+    (_, a, z, _) = images.jpeg_segments(cut)[1]
+    broken = {"ok": cut, "lost": cut[:a] + cut[z:], "none": jpeg(7, 5), "bad": images.with_profile(jpeg(7, 5), bytes(profile[:190]))}
+    told = {r.path: (r.space, r.length, r.error is None) for r in images.profiles(spark.createDataFrame([(k, bytearray(v)) for k, v in broken.items()], "path string, content binary")).collect()}
+    assert told == {"ok": ("RGB ", 150_000, True), "lost": (None, None, False), "none": (None, None, True), "bad": (None, None, False)}
+    assert images.upright(jpeg(640, 480, 6)) == jpeg(640, 480) and images.upright(images.png(4, 3, pixels)) == images.png(4, 3, pixels) and images.upright(webp(33, 44)) == webp(33, 44)
+    named = images.chunked(spark.createDataFrame([("p", bytearray(images.with_profile(images.png(4, 3, pixels, b"k\0v"), bytes(profile))))], "path string, content binary"))
+    assert [r.type for r in images.colour_chunks(named).collect()] == ["iCCP"]
     chunks = images.png_chunks(images.png(4, 3, pixels))
     (start, end) = next((a, z) for k, a, z, _ in chunks if k == "IDAT")
     assert len(zlib.decompress(images.png(4, 3, pixels)[start + 8 : end - 4])) == 3 * 5 and all(c[3] for c in chunks)
