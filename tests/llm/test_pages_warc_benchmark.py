@@ -214,3 +214,26 @@ def test_passages_in_shorter_texts(spark):
     got = {tuple(r)[:4]: round(r.similarity, 9) for r in decontaminate.contaminated(frame, bench).collect()}
     assert got == {(1, 1, 0, 58): round(54 / 55, 9), (2, 1, 0, 53): round(49 / 55, 9)}
     assert {r.doc_id for r in decontaminate.without_passages(frame, bench).collect()} == {3, 4, 5, 6, 7}
+
+
+def test_similar_windows_lie_within_the_radius():
+    """Random items and copies of a similarity from 0.8 on: their fingerprints differ in no more bits than RADIUS."""
+    import numpy as np
+
+    rnd, far, n = random.Random(14), 0, 0
+    for _ in range(4000):
+        item = [rnd.randrange(5000) for _ in range(rnd.randint(15, 60))]
+        copy = list(item)
+        for k in rnd.sample(range(len(copy)), rnd.randint(1, 2)):
+            copy[k] = rnd.randrange(5000)
+        prints, counts = [], []
+        for words in (item, copy):
+            raw = " ".join(f"w{x}" for x in words).encode()
+            units, _ = decontaminate._units(raw, np.array([0, len(raw)]))
+            hashes = decontaminate._shingles(units, 5)
+            prints.append(int(decontaminate._windows(hashes, np.array([0]), len(hashes))[0]))
+            counts.append(Counter(hashes.tolist()))
+        if decontaminate.weighted_jaccard(*counts) >= 0.8:
+            n += 1
+            far += (prints[0] ^ prints[1]).bit_count() > decontaminate.RADIUS
+    assert n > 500 and far == 0

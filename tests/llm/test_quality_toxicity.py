@@ -39,6 +39,35 @@ def test_quality(spark):
     assert all(r.kept != r.base_failed for r in alone)
 
 
+def test_quality_scores(spark):
+    """Scores and verdicts against the multinomials written out in Python; only the hashes are Spark's."""
+    import math
+    import statistics
+
+    rnd = random.Random(15)
+    vocabulary = [f"w{i}" for i in range(60)]
+    texts = {i: " ".join(rnd.choice(vocabulary[: 30 if i < 25 else 60]) for _ in range(rnd.randint(50, 90))) for i in range(60)} | {60: "", 61: "w1"}
+    docs, trusted = spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame([(i,) for i in range(20)], "doc_id long")
+    n = 97
+    words = sorted({w for t in texts.values() for w in t.split()})
+    pairs = sorted({p for t in texts.values() for p in zip(t.split(), t.split()[1:], strict=False)})
+    bucket = {r.w: r.b for r in spark.createDataFrame([(w,) for w in words], "w string").selectExpr("w", f"pmod(xxhash64(w), {n}) as b").collect()}
+    bucket |= {(r.a, r.z): r.b for r in spark.createDataFrame(pairs, "a string, z string").selectExpr("a", "z", f"pmod(xxhash64(a, z), {n}) as b").collect()}
+    grams = {i: [bucket[g] for g in (*t.split(), *zip(t.split(), t.split()[1:], strict=False))] for i, t in texts.items()}
+    raw, target = Counter(range(n)), Counter(range(n))
+    for i, g in grams.items():
+        raw.update(g)
+        if i < 20:
+            target.update(g)
+    ratio = [math.log(target[b] / target.total()) - math.log(raw[b] / raw.total()) for b in range(n)]
+    want = {i: sum(ratio[b] for b in g) / len(g) if g else 0.0 for i, g in grams.items()}
+    failed = {i: rules(t)[-1] for i, t in texts.items()}
+    sound = [want[i] for i in range(20) if not failed[i]]
+    threshold = statistics.mean(sound) - quality.DEVIATIONS * statistics.pstdev(sound)
+    for r in quality.quality(docs, trusted, buckets=n).collect():
+        assert abs(r.score - want[r.doc_id]) < 1e-9 and r.kept == (not failed[r.doc_id] and want[r.doc_id] >= threshold)
+
+
 def test_toxicity(spark):
     rnd = random.Random(8)
     words = ["".join(rnd.choice("aeioustnrl") for _ in range(rnd.randint(2, 8))) for _ in range(400)]
