@@ -215,8 +215,8 @@ class Chunks:
             other[c] = np.array(e.ids, "<u4").tobytes()
         return [(words if found else other)[stem] + (other[marks] if marks else b"") for stem, marks, found in pairs]
 
-    def entries(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For groups of texts: the entry of each chunk, and the texts' bounds in chunks."""
+    def entries(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For groups of texts: the entry of each chunk, the texts' bounds in chunks, and each chunk's end in bytes of its text."""
         first, held = 0, 0
         for i, text in enumerate(texts):
             held += len(text)
@@ -235,7 +235,8 @@ class Chunks:
                         new = self._each_once(one, two)
                     self.put(one[new], two[new], self.encode([joined[a:z] for a, z in zip(start[new].tolist(), end[new].tolist(), strict=True)]))
                     entry[missing] = self.find(one[missing], two[missing])
-                yield entry, np.searchsorted(start, bounds)
+                words = np.searchsorted(start, bounds)
+                yield entry, words, end - np.repeat(bounds[:-1], np.diff(words))
                 first, held = i + 1, 0
 
     @staticmethod
@@ -248,14 +249,24 @@ class Chunks:
 
     def counts(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """How many tokens each chunk has, text by text."""
-        for entry, bounds in self.entries(texts):
+        for entry, bounds, _ in self.entries(texts):
             sizes = self.sizes[entry]
             for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 yield sizes[a:z]
 
+    def prefixes(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For groups of texts: offsets of their prefix rows, and these end to end, in bytes and in tokens; a row starts with 0."""
+        for entry, bounds, end in self.entries(texts):
+            text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+            so_far = np.append(0, np.cumsum(self.sizes[entry]))
+            at = np.arange(len(entry)) + text + 1
+            ends, counts = (np.zeros(len(entry) + len(bounds) - 1, np.int64) for _ in range(2))
+            ends[at], counts[at] = end, so_far[1:] - so_far[bounds[:-1]][text]
+            yield bounds + np.arange(len(bounds)), ends, counts
+
     def each(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """The ids (unsigned 32-bit) of each text."""
-        for entry, bounds in self.entries(texts):
+        for entry, bounds, _ in self.entries(texts):
             sizes = self.sizes[entry]
             ends = np.append(0, np.cumsum(sizes))
             at = np.repeat(self.starts[entry] - ends[:-1], sizes) + np.arange(ends[-1])
@@ -309,9 +320,12 @@ def prefix_table(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """
 
     def make(batch: pa.RecordBatch) -> Iterator[dict]:
-        known = chunks_of(vocabulary)
-        texts = blobs(batch.column(1))
-        yield {"doc_id": batch.column(0), "n_bytes": [len(t) for t in texts], "ends": [chunk_ends(t) for t in texts], "counts": [prefix_counts(s) for s in known.counts(texts)]}
+        texts, first = blobs(batch.column(1)), 0
+        for offsets, ends, counts in chunks_of(vocabulary).prefixes(texts):
+            n = len(offsets) - 1
+            rows = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x)) for x in (ends, counts)]
+            yield {"doc_id": batch.column(0).slice(first, n), "n_bytes": [len(t) for t in texts[first : first + n]], "ends": rows[0], "counts": rows[1]}
+            first += n
 
     return settle(map_batches(id_and_text(docs), "doc_id long,n_bytes long,ends array<long>,counts array<long>", make), **RISING)
 

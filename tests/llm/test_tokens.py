@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -59,11 +59,10 @@ def test_prefixes(known):
 
 
 def test_counts(spark, known):
-    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(ODD)] + [(None, None, 1), (3, "again", 1)], "doc_id long, text string, n_tokens int")
-    rows = tokens.token_counts(docs, limit=5).collect()
-    assert len(rows) == len(ODD) + 2
-    for r in rows[: len(ODD)]:
-        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(ODD[r.doc_id].encode()), len(library(known, ODD[r.doc_id])), len(library(known, ODD[r.doc_id])) > 5)
+    given = [*enumerate(ODD), (None, None), (3, "again")]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in given], "doc_id long, text string, n_tokens int")
+    want = Counter((i, len((t or "").encode()), n := len(library(known, t or "")), n > 5) for i, t in given)
+    assert Counter((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in tokens.token_counts(docs, limit=5).collect()) == want
     assert tokens.token_counts(docs.limit(0)).count() == 0 == tokens.prefix_table(docs.limit(0)).count()
 
 
