@@ -30,9 +30,10 @@ from leafmill.llm.components import components
 
 BUDGET = 2
 WORDS = 3
-#: Fingerprints, its own and visitors, that one node may hold before Spark walks on down.  A single fingerprint, the lowest
-#: node, has no more visitors than there are values within the budget: 2,080 for two bits.
-NODE = 4096
+#: Fingerprints of its own that one node should hold at most; Spark walks on down where a node and its visitors hold more than
+#: CROWD times as many.  A single fingerprint, the lowest node, has no more visitors than there are values within the budget:
+#: 2,080 for two bits.
+NODE, CROWD = 4096, 16
 
 
 def fingerprint(text: bytes, words: int = WORDS) -> int:
@@ -170,9 +171,9 @@ def links(fps: DataFrame, budget: int = BUDGET, node: int = NODE) -> DataFrame:
         full = rows.groupBy("path").agg(F.count("*").alias("held"), F.max("own").alias("owned"))
         full = settle(full.where("owned").select("path", "held"))  # nodes without a fingerprint of their own need no visitors
         rows = rows.join(full, "path")
-        done.append(rows.where(F.col("held") <= node).drop("held"))
-        rows = rows.where(F.col("held") > node).drop("held")
-        if full.where(F.col("held") > node).isEmpty():
+        done.append(rows.where(F.col("held") <= CROWD * node).drop("held"))
+        rows = rows.where(F.col("held") > CROWD * node).drop("held")
+        if full.where(F.col("held") > CROWD * node).isEmpty():
             rows = None
             break
         rows = _walk(rows, order[taken : taken + 6], budget)
