@@ -13,6 +13,7 @@ HEADING, CENTRE_MIN, CENTRE_SHARE = 1.2, 3.0, 0.5
 X_LINES, Y_LINES, GRID_TOLERANCE = (3, 41), (3, 201), 2.0
 # Footers and gutters.
 FOOTER_FROM = 0.92
+GUTTER_MIN, GUTTER_SHARE = 3.0, 0.25
 # Confidence.
 WORST, WORST_CHARS, WORST_LINES = 88, 6, 20
 # Papers (width, height) in points: A4, A3, A5 from millimetres, Letter.

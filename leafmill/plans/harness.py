@@ -265,7 +265,7 @@ def decorative_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {SPANS_SQL}, r AS (SELECT doc_id, line_no, 12.0 * line_no + 10 + (doc_id % 5) AS y, 30.0 AS a, 30.0 + doc_id % 400 AS z FROM lines WHERE line_no % 4 = 1)
-    SELECT DISTINCT s.doc_id, s.line_no, s.ord FROM spans s JOIN r ON r.doc_id = s.doc_id WHERE abs(r.y - s.baseline) <= 3 AND r.a >= s.x - 2 AND r.z <= s.x + s.width + 2""")
+    SELECT DISTINCT s.doc_id, s.line_no, s.ord FROM spans s JOIN r ON r.doc_id = s.doc_id WHERE r.y > s.baseline - 1 AND r.y < s.baseline + 12 / 4 AND s.x >= r.a - 2 AND s.x + s.width <= r.z + 2""")
 def underlined_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, n = F.col("doc_id"), F.col("line_no")
     y = 12.0 * n + 10 + d % 5
