@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from leafmill import constants as C
 from leafmill.functions import geometry as G
 from leafmill.operators.spans import PAGE, islands
-from leafmill.shared import reliable
+from leafmill.shared import settled
 
 LEADERS = r"(?:\.\s*){4}"
 
@@ -64,6 +64,7 @@ def gutters(nodes: DataFrame, regions: DataFrame, by: list[str] = PAGE) -> DataF
     barred = known.where((F.col("kind") == "table") & (F.col("width") > 0.8 * F.col("rw")) & (F.col("height") > 0.5 * F.col("rh")))
     searched = fit.join(barred, by, "left_anti").select(*by)
     narrow = lines.where("narrow").join(searched, by, "left_semi").withColumns({"i": F.row_number().over(W.partitionBy(*by).orderBy("y", "x", "ord")), "right": _right(), "bottom": _bottom()})
+    narrow = settled(narrow)  # four joins read it
 
     before = F.col("a.i") < F.col("b.i")
     reach = 1.5 * F.col("body")
@@ -106,7 +107,7 @@ def gutters(nodes: DataFrame, regions: DataFrame, by: list[str] = PAGE) -> DataF
     scored = sides.join(crossed, key, "left").withColumn("crossing", F.coalesce("crossing", F.lit(0))).where(F.col("crossing") <= F.greatest(F.lit(2.0), 0.15 * (F.col("nl") + F.col("nr"))))
     score = 4 * F.least("nl", "nr") + F.col("nl") + F.col("nr") - 8 * F.col("crossing")
     best = scored.groupBy(*by).agg(F.max(F.struct(score.alias("score"), (F.col("from") - F.col("to")).alias("w"), (-F.col("rank.i")).alias("i"), (-F.col("rank.j")).alias("j"), "left_end", "right_start")).alias("b"))
-    return best.select(*by, "b.left_end", "b.right_start", "b.score")
+    return settled(best.select(*by, "b.left_end", "b.right_start", "b.score"))
 
 
 def _boxes(spans: DataFrame, by: list[str]) -> DataFrame:
@@ -151,8 +152,8 @@ def page_gutters(spans: DataFrame, blocks: DataFrame, regions: DataFrame) -> Dat
     edge = F.max(_right()).over(over.rowsBetween(W.unboundedPreceding, -1))
     # The edge starts anew with each piece; before a wide gap nothing reaches beyond it, so the running maximum is the same.
     cut = spans.join(region.select(*PAGE, "body"), PAGE).withColumn("_new", F.coalesce((F.col("x") - edge >= _least_gap()).cast("int"), F.lit(0)))
-    nodes = reliable(_nodes(cut.withColumn("piece", F.sum("_new").over(over.rowsBetween(W.unboundedPreceding, 0))), blocks))
-    first = reliable(gutters(_numbered(nodes, PAGE), region).drop("score"))
+    nodes = settled(_nodes(cut.withColumn("piece", F.sum("_new").over(over.rowsBetween(W.unboundedPreceding, 0))), blocks))
+    first = gutters(_numbered(nodes, PAGE), region).drop("score")
     sides = nodes.join(first, PAGE)
     side = F.when(_right() <= F.col("left_end") + 1, 0).when(F.col("x") >= F.col("right_start") - 1, 2)
     part = [*PAGE, "side"]
@@ -174,7 +175,7 @@ def _two(spans: DataFrame, blocks: DataFrame, region: DataFrame, gaps: DataFrame
     line = W.partitionBy(*PAGE, "line")
     apart = F.max(F.when(~late, _right())).over(line) + _least_gap() <= F.min(F.when(late, F.col("x"))).over(line)
     cut = mine.withColumn("piece", F.when(F.coalesce(apart, F.lit(False)) & late, 1).otherwise(0)).drop("left_end", "right_start")
-    nodes = reliable(_nodes(cut, blocks.join(one, PAGE, "left_semi")))
+    nodes = settled(_nodes(cut, blocks.join(one, PAGE, "left_semi")))
     again = gutters(_numbered(nodes, PAGE), region).select(*PAGE, F.col("left_end").alias("l2"), F.col("right_start").alias("r2"))
     edges = one.join(again, PAGE, "left").select(*PAGE, F.coalesce("l2", "left_end").alias("left_end"), F.coalesce("r2", "right_start").alias("right_start"))
     known = nodes.join(edges, PAGE).join(region, PAGE)
@@ -189,7 +190,7 @@ def _two(spans: DataFrame, blocks: DataFrame, region: DataFrame, gaps: DataFrame
     side = F.when(F.col("x") + F.col("width") / 2 < (F.col("left_end") + F.col("right_start")) / 2, 0).otherwise(1)
     far = F.col("rx") + F.col("rw")
     edges_ = F.array(F.struct(F.col("rx").alias("x"), F.col("left_end").alias("end")), F.struct(F.col("right_start").alias("x"), far.alias("end")))
-    return known.select(*NODE, "spanning", side.alias("side"), edges_.alias("edges"), F.lit(False).alias("many"))
+    return settled(known.select(*NODE, "spanning", side.alias("side"), edges_.alias("edges"), F.lit(False).alias("many")))
 
 
 def _many(spans: DataFrame, blocks: DataFrame, region: DataFrame, gaps: DataFrame) -> DataFrame:
@@ -235,8 +236,8 @@ def bands(spans: DataFrame, blocks: DataFrame, regions: DataFrame) -> DataFrame:
     one.  Lines are cut at gutters where no span crosses them.  A page without a
     gutter is one band.
     """
-    region = reliable(_regions(regions))
-    gaps = reliable(page_gutters(spans, blocks, regions))
+    spans, blocks, regions = settled(spans), settled(blocks), settled(regions)
+    region, gaps = _regions(regions), settled(page_gutters(spans, blocks, regions))
     flat = _nodes(spans.join(gaps, PAGE, "left_anti").withColumn("piece", F.lit(0)), blocks.join(gaps, PAGE, "left_anti")).join(region, PAGE)
     flat = flat.select(*NODE, F.lit(True).alias("spanning"), F.lit(0).alias("side"), F.array(F.struct(F.col("rx").alias("x"), (F.col("rx") + F.col("rw")).alias("end"))).alias("edges"), F.lit(False).alias("many"))
     nodes = flat.unionByName(_two(spans, blocks, region, gaps)).unionByName(_many(spans, blocks, region, gaps))
@@ -246,7 +247,7 @@ def bands(spans: DataFrame, blocks: DataFrame, regions: DataFrame) -> DataFrame:
     down = W.partitionBy(*PAGE).orderBy("y", "_after", "x", "kind", "ord", "piece")
     so_far = down.rowsBetween(W.unboundedPreceding, 0)
     new = F.coalesce((F.lag("spanning").over(down) != F.col("spanning")).cast("int"), F.lit(0))
-    nodes = reliable(nodes.withColumn("_new", new).withColumn("_band", F.sum("_new").over(so_far)).withColumn("_i", F.row_number().over(down)))
+    nodes = settled(nodes.withColumn("_new", new).withColumn("_band", F.sum("_new").over(so_far)).withColumn("_i", F.row_number().over(down)))
     foot = F.when(F.col("kind") == "line", F.col("y") + F.greatest(F.col("height"), 1.25 * F.col("size"))).otherwise(_bottom())
     one = F.col("spanning") | (~F.col("many") & (F.col("sides") < 2))
     held = nodes.groupBy(*PAGE, "_band", "spanning", "many").agg(F.count_distinct("side").alias("sides"), F.max(foot).alias("lowest"), F.max_by(foot, "_i").alias("last"), F.first("edges").alias("edges"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from leafmill import constants as C
 from leafmill.functions import geometry as G
 from leafmill.functions import text as X
+from leafmill.operators import bands as D
 from leafmill.operators import classify as Y
 from leafmill.operators import forms as M
 from leafmill.operators import lines as L
@@ -24,7 +25,7 @@ from leafmill.operators import setup as E
 from leafmill.operators import spans as S
 from leafmill.operators import tables as B
 from leafmill.plans import synth
-from leafmill.plans.synth import LINES_SQL, SPANS_SQL, table
+from leafmill.plans.synth import COLUMNS_SQL, LINES_SQL, SPANS_SQL, table
 from leafmill.sources import images as I  # noqa: E741
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -682,3 +683,22 @@ def form_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     fields = table(spark, sf_dir, "supplier").select(F.lit(0).alias("doc_id"), k.alias("node"), F.when(k > 25, F.floor(k / 2)).alias("parent"), (k % 5).alias("page"))
     return M.retained(fields, fields.where("page = 3").select("doc_id", "page"))
+
+
+# Pages in columns
+
+
+@query(
+    f"""WITH {COLUMNS_SQL}, pages AS (SELECT doc_id, page, max(j) + 1 AS n FROM columns GROUP BY ALL),
+    placed AS (SELECT c.*, n >= 126 AS two, CASE WHEN j < 0 THEN 0 ELSE 1 + row END AS line, CASE WHEN j < 0 OR n < 126 THEN 0 ELSE side END AS "column" FROM columns c JOIN pages USING (doc_id, page))
+    SELECT doc_id, page::BIGINT AS page, (line + 1 + 30 * "column")::INT AS place, CASE WHEN two AND line > 0 THEN 1 ELSE 0 END::BIGINT AS band, CASE WHEN two AND line > 0 THEN 2 ELSE 1 END::INT AS columns, "column"::INT AS "column",
+        CASE WHEN two AND line > 0 THEN 115 ELSE 100 END::DOUBLE AS top, string_agg(text, ' ' ORDER BY side, place) AS text
+    FROM placed GROUP BY doc_id, page, line, "column", two"""
+)
+def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages in two columns are read column by column if the second one holds two lines of two words at least."""
+    spans = synth.columns(spark, sf_dir)
+    region = {"x": 50.0, "y": 100.0, "width": 500.0, "height": 600.0, "body": 12.0}
+    regions = spans.select(*S.PAGE).distinct().withColumns({c: F.lit(v) for c, v in region.items()})
+    blocks = spark.createDataFrame([], "doc_id long, page long, ord int, kind string, x double, y double, width double, height double")
+    return D.bands(spans, blocks, regions).select(*S.PAGE, "place", "band", "columns", "column", "top", "text")

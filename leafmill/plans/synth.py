@@ -34,6 +34,33 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Words of a page set in two columns: a heading, then two times thirty rows of four.
+COLUMN_WORDS, PAGE_WORDS = 120, 241
+
+
+def columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents set in two columns under a heading, as spans: doc_id, page, line, ord, x, y, width, height, baseline, size, text.
+
+    Words are 50 wide and 2 apart, rows 16 apart; both columns of a row are one
+    line.  A page is full before the next one begins, and so is a column.
+    """
+    text = F.expr(r"filter(split(text, '[ \\t-\\r]+'), w -> w <> '')")
+    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text).alias("k", "text"))
+    j = F.col("k") % PAGE_WORDS - 1
+    column, i = F.floor(j / COLUMN_WORDS), j % COLUMN_WORDS
+    head = j < 0
+    x, y = 50 + 270 * column + 52 * (i % 4), 130 + 16 * F.floor(i / 4)
+    at = {"page": F.floor(F.col("k") / PAGE_WORDS), "line": F.when(head, 0).otherwise(1 + F.floor(i / 4)), "ord": F.when(head, 0).otherwise(4 * column + i % 4)}
+    at |= {"x": F.when(head, 50.0).otherwise(x.cast("double")), "y": F.when(head, 100.0).otherwise(y.cast("double")), "width": F.when(head, 480.0).otherwise(50.0), "height": F.lit(12.0)}
+    return words.select("doc_id", *[v.alias(c) for c, v in at.items()], (at["y"] + 10).alias("baseline"), F.lit(12.0).alias("size"), F.translate("text", ".", ",").alias("text"))
+
+
+COLUMNS_SQL = rf"""words AS (
+  SELECT doc_id, unnest(w) AS text, unnest(range(len(w))) AS k FROM (SELECT doc_id, [x for x in regexp_split_to_array(text, '[ \t-\r]+') if x <> ''] AS w FROM documents)
+), columns AS (
+  SELECT doc_id, k // {PAGE_WORDS} AS page, replace(text, '.', ',') AS text, k % {PAGE_WORDS} - 1 AS j, j // {COLUMN_WORDS} AS side, j % {COLUMN_WORDS} // 4 AS row, j % 4 AS place FROM words
+)"""
+
 LINES_SQL = r"""lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10)))))::INT AS line_no FROM documents
 )"""
