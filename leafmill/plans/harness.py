@@ -21,6 +21,7 @@ from leafmill.operators import forms as M
 from leafmill.operators import lines as L
 from leafmill.operators import ocr as O
 from leafmill.operators import pages as P
+from leafmill.operators import regions as R
 from leafmill.operators import setup as E
 from leafmill.operators import spans as S
 from leafmill.operators import tables as B
@@ -702,3 +703,41 @@ def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     regions = spans.select(*S.PAGE).distinct().withColumns({c: F.lit(v) for c, v in region.items()})
     blocks = spark.createDataFrame([], "doc_id long, page long, ord int, kind string, x double, y double, width double, height double")
     return D.bands(spans, blocks, regions).select(*S.PAGE, "place", "band", "columns", "column", "top", "text")
+
+
+# Regions that stay pictures
+
+
+def _closure_sql(rounds: int = 16) -> str:
+    """All regions with all neighbours, ``rounds`` times: four groups of four paragraphs and a table reach each other sooner."""
+    parts = [
+        LINES_SQL,
+        """l AS MATERIALIZED (SELECT doc_id, line_no // 40 AS page, line_no % 40 AS i, line_no, 0.0::DOUBLE AS x, 12.0::DOUBLE * (line_no % 40) AS y, 6.0::DOUBLE * length(text) AS r,
+            CASE WHEN line_no % 40 % 3 = 2 AND line_no % 40 % 12 <> 11 THEN line_no % 40 // 3 + 1 WHEN line_no % 40 % 3 = 0 AND line_no % 40 % 12 <> 0 THEN line_no % 40 // 3 - 1 ELSE line_no % 40 // 3 END AS p FROM lines)""",
+        "para AS MATERIALIZED (SELECT doc_id, page, p, min(x) AS x, min(y) AS y, max(r) AS r, max(y) + 12 AS b, list(y + 6) AS middles FROM l GROUP BY ALL)",
+        "tab AS MATERIALIZED (SELECT DISTINCT doc_id, page, 700.0 AS x, 60.0 AS y, 900.0 AS r, 360.0 AS b FROM l WHERE doc_id % 3 = 0)",
+        "g0 AS MATERIALIZED (SELECT doc_id, page, i AS id, x, y, r, y + 12 AS b FROM l WHERE (doc_id * 7 + line_no) % 29 = 0)",
+    ]
+    for k in range(rounds):
+        hit = "SELECT g.doc_id, g.page, g.id, n.x, n.y, n.r, n.b FROM g{k} g JOIN {t} n ON n.doc_id = g.doc_id AND n.page = g.page AND {on}"
+        near = hit.format(k=k, t="para", on="len([m for m in n.middles if m > g.y AND m < g.b]) > 0") + " UNION ALL " + hit.format(k=k, t="tab", on="least(g.r, n.r) > greatest(g.x, n.x) AND least(g.b, n.b) > greatest(g.y, n.y)")
+        parts += [
+            f"w{k} AS (SELECT doc_id, page, id, min(x) AS x, min(y) AS y, max(r) AS r, max(b) AS b FROM (SELECT * FROM g{k} UNION ALL {near}) GROUP BY ALL)",
+            f"m{k} AS (SELECT *, y > max(b) OVER (PARTITION BY doc_id, page ORDER BY y, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 3 AS apart FROM w{k})",
+            f"n{k} AS (SELECT *, sum(CASE WHEN apart THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY y, id) AS part FROM m{k})",
+            f"g{k + 1} AS MATERIALIZED (SELECT doc_id, page, min(id) AS id, min(x) AS x, min(y) AS y, max(r) AS r, max(b) AS b FROM n{k} GROUP BY doc_id, page, part)",
+        ]
+    return f"WITH {', '.join(parts)} SELECT doc_id, page::BIGINT AS page, x, y, r - x AS width, b - y AS height FROM g{rounds}"
+
+
+@query(_closure_sql())
+def closed_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Doubtful lines with the paragraphs that interlock with theirs and the table beside them; pages of forty lines."""
+    n = F.col("line_no")
+    i = n % 40
+    q = F.floor(i / 3)
+    paragraph = F.when((i % 3 == 2) & (i % 12 != 11), q + 1).when((i % 3 == 0) & (i % 12 != 0), q - 1).otherwise(q)
+    lines = synth.lines(spark, sf_dir).select("doc_id", F.floor(n / 40).alias("page"), n.alias("line_no"), paragraph.alias("paragraph"), F.lit(0.0).alias("x"), (12.0 * i).alias("y"), (6.0 * F.char_length("text")).alias("width"), F.lit(12.0).alias("height"))
+    box = {"x": 700.0, "y": 60.0, "width": 200.0, "height": 300.0}
+    tables = lines.where("doc_id % 3 = 0").select("doc_id", "page").distinct().withColumns({c: F.lit(v) for c, v in box.items()})
+    return R.closure(lines.where((F.col("doc_id") * 7 + n) % 29 == 0), lines, tables)[0]
