@@ -17,6 +17,7 @@ from leafmill.operators import lines as L
 from leafmill.operators import spans as S
 from leafmill.operators import tables as B
 from leafmill.operators.folds import folded
+from leafmill.operators.fractions import with_fractions
 from leafmill.operators.spans import PAGE
 from leafmill.shared import reliable
 
@@ -118,9 +119,19 @@ def overlays(figures: DataFrame, pages: DataFrame, tables: DataFrame, text: Data
     return known.withColumn("overlay", own | native).select(*figures.columns, *([] if "overlay" in figures.columns else ["overlay"]))
 
 
+def outside(rules: DataFrame, tables: DataFrame, by: float = 4.0) -> DataFrame:
+    """Rules whose middle lies in no table, by 4 pt."""
+    r, t = rules.alias("r"), tables.alias("t")
+    mx, my = (F.col("r.x1") + F.col("r.x2")) / 2, (F.col("r.y1") + F.col("r.y2")) / 2
+    inside = (mx >= F.col("t.x") - by) & (mx <= F.col("t.x") + F.col("t.width") + by) & (my >= F.col("t.y") - by) & (my <= F.col("t.y") + F.col("t.height") + by)
+    return r.join(t, _same_page("r", "t") & inside, "left_anti")
+
+
 def classified(spans: DataFrame, rules: DataFrame, figures: DataFrame, pages: DataFrame, recurring: DataFrame | None = None) -> dict[str, DataFrame]:
     """The pages' parts, each step claiming what the ones before left: tables, cells, open_cells, footer, rules, figures, text.
 
+    Fractions are made of what tables and footer leave, and their bars are no rules.
+    Underlines and overlays look at all text but the footer's.
     pages: doc_id, page, width, height, source.
     """
     # Each step's claims are kept: the later ones look at them again and again.
@@ -132,12 +143,17 @@ def classified(spans: DataFrame, rules: DataFrame, figures: DataFrame, pages: Da
     left = reliable(S.unclaimed(left, open_cells.select(*PAGE, "ord")))
     footer = reliable(footers(left, pages, recurring))
     left = reliable(S.unclaimed(left, footer.select(*PAGE, "ord")))
-    boxes = tables.select(*PAGE, F.col("xs")[0].alias("x"), F.col("ys")[0].alias("y"), (F.element_at("xs", -1) - F.col("xs")[0]).alias("width"), (F.element_at("ys", -1) - F.col("ys")[0]).alias("height"))
-    marked, free = (reliable(x) for x in S.underlined(S.unclaimed(live, footer.select(*PAGE, "ord")), rules))
-    under = S.unclaimed(rules, free.select(*PAGE, "ord")).select(*PAGE, "ord")
-    lines = drawn_rules(rules, pages, boxes, under)
+    boxes = reliable(tables.select(*PAGE, F.col("xs")[0].alias("x"), F.col("ys")[0].alias("y"), (F.element_at("xs", -1) - F.col("xs")[0]).alias("width"), (F.element_at("ys", -1) - F.col("ys")[0]).alias("height")))
+    left, bars = with_fractions(left if "font" in left.columns else left.withColumn("font", F.lit(None).cast("string")), outside(rules, boxes))
+    left, bars = reliable(left), reliable(bars)
+    ruled = S.unclaimed(rules, bars)
+    held = cells.select(*PAGE, "ord").union(open_cells.select(*PAGE, "ord")).distinct()
+    body = reliable(left.unionByName(live.join(held, [*PAGE, "ord"], "left_semi"), allowMissingColumns=True))
+    marked, free = (reliable(x) for x in S.underlined(body, ruled))
+    under = S.unclaimed(ruled, free.select(*PAGE, "ord")).select(*PAGE, "ord")
+    lines = drawn_rules(ruled, pages, boxes, under)
     text = left.join(marked.select(*PAGE, "ord").distinct().withColumn("underline", F.lit(True)), [*PAGE, "ord"], "left").withColumn("underline", F.coalesce("underline", F.lit(False)))
-    return {"tables": tables, "cells": cells, "open_cells": open_cells, "footer": footer, "rules": lines, "figures": overlays(figures, pages, boxes, left), "text": text}
+    return {"tables": tables, "cells": cells, "open_cells": open_cells, "footer": footer, "rules": lines, "figures": overlays(figures, pages, boxes, body), "text": text}
 
 
 def wrapped_images(images: DataFrame, paragraphs: DataFrame) -> DataFrame:

@@ -17,7 +17,9 @@ from leafmill.functions import geometry as G
 from leafmill.functions import text as X
 from leafmill.operators import bands as D
 from leafmill.operators import classify as Y
+from leafmill.operators import drawing as Z
 from leafmill.operators import forms as M
+from leafmill.operators import fractions as A
 from leafmill.operators import lines as L
 from leafmill.operators import ocr as O
 from leafmill.operators import pages as P
@@ -26,7 +28,8 @@ from leafmill.operators import setup as E
 from leafmill.operators import spans as S
 from leafmill.operators import tables as B
 from leafmill.plans import synth
-from leafmill.plans.synth import COLUMNS_SQL, LINES_SQL, SPANS_SQL, table
+from leafmill.plans.synth import COLUMNS_SQL, LINES_SQL, SPANS_SQL, WORDS_SQL, table
+from leafmill.shared import settled
 from leafmill.sources import images as I  # noqa: E741
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -741,3 +744,107 @@ def closed_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     box = {"x": 700.0, "y": 60.0, "width": 200.0, "height": 300.0}
     tables = lines.where("doc_id % 3 = 0").select("doc_id", "page").distinct().withColumns({c: F.lit(v) for c, v in box.items()})
     return R.closure(lines.where((F.col("doc_id") * 7 + n) % 29 == 0), lines, tables)[0]
+
+
+# Drawing operators
+
+
+@query(
+    f"""WITH RECURSIVE {WORDS_SQL}, ops AS MATERIALIZED (SELECT doc_id, page, k, length(text) % 6 AS op, printf('%06X', length(text) * 4097 + k) AS color, length(text) / 2.0 AS wide FROM words), r AS (
+        SELECT DISTINCT doc_id, page, -1::BIGINT AS k, -1::BIGINT AS op, '000000' AS fill, 1.0::DOUBLE AS width, []::STRUCT(f VARCHAR, w DOUBLE)[] AS stack FROM ops
+        UNION ALL
+        SELECT o.doc_id, o.page, o.k, o.op, CASE o.op WHEN 1 THEN coalesce(stack[-1].f, '000000') WHEN 2 THEN o.color ELSE fill END, CASE o.op WHEN 1 THEN coalesce(stack[-1].w, 1.0) WHEN 3 THEN o.wide ELSE width END,
+            CASE o.op WHEN 0 THEN list_append(stack, {{f: fill, w: width}}) WHEN 1 THEN stack[1:len(stack) - 1] ELSE stack END
+        FROM r JOIN ops o ON o.doc_id = r.doc_id AND o.page = r.page AND o.k = r.k + 1)
+    SELECT doc_id, page::BIGINT AS page, k::BIGINT AS k, fill, width FROM r WHERE op >= 4"""
+)
+def operator_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words as operators by their length: save, restore, colour, line width, and text, which shows the state that holds."""
+    n = F.char_length("text")
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("save", "restore", "fill_color", "line_width", "show_text", "show_text")]), n % 6 + 1)
+    color = F.lpad(F.hex(n.cast("long") * 4097 + F.col("k")), 6, "0")
+    ops = synth.words(spark, sf_dir).select("doc_id", "page", F.col("k").cast("long").alias("i"), kind.alias("op"), F.when(kind == "line_width", F.array(n / F.lit(2.0))).alias("nums"), F.when(kind == "fill_color", color).alias("text"))
+    return Z.replayed(ops).where("op = 'show_text'").select("doc_id", "page", F.col("i").alias("k"), "fill", "width")
+
+
+@query(
+    f"""WITH {WORDS_SQL}, b AS (SELECT doc_id, page, k, 1.0::DOUBLE + doc_id % 2 AS s, s * 10 * (k % 10) AS x, s * 20 * (k // 10) AS y, s * 6 * length(text) AS w, s * (1 + length(text) % 7) AS h FROM words),
+    f AS (SELECT *, least(w, h) <= 3 AND greatest(w, h) > 4 * least(w, h) AS thin FROM b WHERE k % 2 = 0),
+    t AS (SELECT *, unnest([{{a: x, b: y, c: x + w, d: y}}, {{a: x + w, b: y, c: x + w, d: y + h}}, {{a: x + w, b: y + h, c: x, d: y + h}}, {{a: x, b: y + h, c: x, d: y}}]) AS e FROM b WHERE k % 2 = 1)
+    SELECT doc_id, page::BIGINT AS page, k::BIGINT AS k, 'stroke' AS kind, e.a AS x1, e.b AS y1, e.c AS x2, e.d AS y2, s AS thickness FROM t
+    UNION ALL SELECT doc_id, page, k, 'line', CASE WHEN w > h THEN x ELSE x + w / 2 END, CASE WHEN w > h THEN y + h / 2 ELSE y END, CASE WHEN w > h THEN x + w ELSE x + w / 2 END, CASE WHEN w > h THEN y + h / 2 ELSE y + h END, least(w, h) FROM f WHERE thin
+    UNION ALL SELECT doc_id, page, k, 'fill', x, y, x + w, y + h, NULL FROM f WHERE NOT thin"""
+)
+def drawn_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words as rectangles, every other one filled, on pages of two scales; thin fills are lines."""
+    words = synth.words(spark, sf_dir).withColumn("n", F.char_length("text"))
+    k = F.col("k")
+    paths = words.select("doc_id", "page", (k + 1).alias("i"), F.lit("path").alias("op"), F.lit(None).cast("array<double>").alias("nums"), F.when(k % 2 == 0, "fill").otherwise("stroke").alias("text"))
+    scale = (1 + F.col("doc_id") % 2).cast("double")
+    scales = words.select("doc_id", "page").distinct().select("doc_id", "page", F.lit(0).alias("i"), F.lit("transform").alias("op"), F.array(scale, F.lit(0.0), F.lit(0.0), scale, F.lit(0.0), F.lit(0.0)).alias("nums"), F.lit(None).cast("string").alias("text"))
+    x, y, w, h = (10.0 * (k % 10), 20.0 * F.floor(k / 10), 6.0 * F.col("n"), (1 + F.col("n") % 7).cast("double"))
+    corners = [("move", x, y), ("line", x + w, y), ("line", x + w, y + h), ("line", x, y + h), ("close", None, None)]
+    number = lambda v: F.lit(v).cast("double") if v is None else v.cast("double")
+    each = F.array(*[F.struct(F.lit(c).alias("command"), number(a).alias("x"), number(b).alias("y")) for c, a, b in corners])
+    commands = words.select("doc_id", "page", (k + 1).alias("i"), F.posexplode(each).alias("k", "c")).select("doc_id", "page", "i", "k", "c.*")
+    state, commands = settled(Z.replayed(paths.unionByName(scales))), settled(commands)
+    views = scales.select("doc_id", "page", F.array(*[F.lit(v) for v in (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)]).alias("view"))
+    rules, fills = Z.painted(settled(Z.segments(commands, state, views)), commands, state)
+    n = (F.col("i") - 1).cast("long").alias("k")
+    lines = rules.select("doc_id", "page", n, F.when(F.col("k").isNull(), "line").otherwise("stroke").alias("kind"), "x1", "y1", "x2", "y2", "thickness")
+    areas = fills.select("doc_id", "page", n, F.lit("fill").alias("kind"), F.col("x").alias("x1"), F.col("y").alias("y1"), G.box().right.alias("x2"), G.box().bottom.alias("y2"), F.lit(None).cast("double").alias("thickness"))
+    return lines.unionByName(areas)
+
+
+@query(
+    f"""WITH RECURSIVE {WORDS_SQL}, p AS MATERIALIZED (SELECT doc_id, page, string_agg(CASE WHEN k % 10 = 7 THEN '§' ELSE '' END || text, '' ORDER BY k) AS stream FROM words GROUP BY ALL), r AS (
+        SELECT doc_id, page, -1::BIGINT AS k, 0::BIGINT AS pos, NULL::BIGINT AS start FROM p
+        UNION ALL
+        SELECT w.doc_id, w.page, w.k, CASE WHEN x >= 0 THEN pos + x + length(text) ELSE pos END, CASE WHEN x >= 0 THEN pos + x END
+        FROM (SELECT w.*, pos, substr(stream, pos + 1, 64 + length(text)) AS near, strpos(near, text) - 1 AS q, CASE WHEN q = 0 OR q > 0 AND strpos(substr(near, q + 2), text) = 0 THEN q ELSE -1 END AS x
+            FROM r JOIN words w ON w.doc_id = r.doc_id AND w.page = r.page AND w.k = r.k + 1 JOIN p ON p.doc_id = w.doc_id AND p.page = w.page) w),
+    m AS (SELECT r.*, length(text) AS n FROM r JOIN words w USING (doc_id, page, k) WHERE start IS NOT NULL),
+    u AS (SELECT *, unnest(range(start // 7, (start + n - 1) // 7 + 1)) AS i FROM m)
+    SELECT doc_id, page::BIGINT AS page, k::BIGINT AS ord, CASE WHEN count(DISTINCT (i + doc_id) // 4 % 2) = 1 THEN CASE WHEN min((i + doc_id) // 4 % 2) = 0 THEN '000000' ELSE 'CC0000' END END AS color, bool_and(i % 5 <> 0) AS bold, max(i)::BIGINT AS paint_order FROM u GROUP BY doc_id, page, k"""
+)
+def text_appearance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words against the same text as it is painted: in pieces of seven characters, with a mark that no word shows before every tenth."""
+    words = synth.words(spark, sf_dir)
+    marked = F.concat(F.when(F.col("k") % 10 == 7, "§").otherwise(""), F.col("text"))
+    streams = words.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", marked.alias("t")))), lambda s: s["t"]), "").alias("stream"))
+    i = F.explode(F.sequence(F.lit(0), F.floor((F.char_length("stream") - 1) / 7))).alias("i")
+    pieces = streams.select("doc_id", "page", "stream", i)
+    runs = pieces.select("doc_id", "page", "i", F.substring("stream", 7 * F.col("i").cast("int") + 1, F.lit(7)).alias("text"), F.when(F.floor((F.col("i") + F.col("doc_id")) / 4) % 2 == 0, "000000").otherwise("CC0000").alias("color"), (F.col("i") % 5 != 0).alias("bold"), F.lit(False).alias("invisible"))
+    spans = words.select("doc_id", "page", F.col("k").cast("long").alias("ord"), "text")
+    return Z.appearance(spans, runs).select("doc_id", "page", "ord", "color", "bold", "paint_order")
+
+
+# Fractions
+
+
+@query(
+    f"""WITH {WORDS_SQL}, g AS (SELECT doc_id, page, k // 5 AS g, [max(CASE WHEN k % 5 = i THEN text END) FOR i IN range(5)] AS w FROM words GROUP BY ALL HAVING count(*) = 5),
+    t AS (SELECT doc_id, page, g, [translate(x, '=×÷', '---') FOR x IN w] AS w, [least(6.0 * length(x), 60.0) FOR x IN w] AS n FROM g),
+    c AS (SELECT *, [length(w[i]) % 4 <> 0 OR n[i] >= 48 FOR i IN range(1, 4)] AS mid, length(w[4]) % 3 = 0 AND mid[1] AND mid[2] AS a, length(w[5]) % 3 = 0 AND mid[2] AND mid[3] AND NOT a AS b FROM t)
+    SELECT doc_id, page::BIGINT AS page, (2 * g)::BIGINT AS bar, w[1] || '/' || w[2] AS text, 100.0::DOUBLE * g + 23.6 AS baseline FROM c WHERE a
+    UNION ALL SELECT doc_id, page, 2 * g + 1, w[2] || '/' || w[3], 100.0::DOUBLE * g + 43.6 FROM c WHERE b""".replace("[max(CASE WHEN k % 5 = i THEN text END) FOR i IN range(5)]", "[" + ", ".join(f"max(CASE WHEN k % 5 = {i} THEN text END)" for i in range(5)) + "]")
+    .replace("FOR x IN", "for x in").replace("FOR i IN", "for i in")
+)
+def stacked_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five words each: three stacked with two bars between them, and two beside the bars, some with an equals sign; the upper bar comes first."""
+    words = synth.words(spark, sf_dir)
+    g, place, n = F.floor(F.col("k") / 5), F.col("k") % 5, F.char_length("text")
+    wide = F.least(6.0 * n, F.lit(60.0))
+    plain = F.translate("text", "=×÷", "---")
+    stacked = place < 3
+    x = F.when(stacked, F.when(n % 4 == 0, 100.0).otherwise(130 - wide / 2)).otherwise(96 - wide)
+    down = F.element_at(F.array(*[F.lit(v) for v in (15.0, 32.0, 52.0, 21.0, 41.0)]), place.cast("int") + 1)
+    base = 100.0 * g + down
+    sign = ~stacked & (n % 3 == 0)
+    full = words.withColumn("g", g).withColumn("_n", F.count("*").over(W.partitionBy("doc_id", "page", "g"))).where("_n = 5")
+    spans = full.select(
+        "doc_id", "page", F.col("k").alias("ord"), F.when(sign, F.concat(plain, F.lit("="))).otherwise(plain).alias("text"), x.alias("x"), (base - 10).alias("y"), wide.alias("width"), F.lit(12.0).alias("height"), base.alias("baseline"), F.lit(12.0).alias("size"),
+        F.lit("pdf").alias("source"), F.lit("Serif").alias("font"),
+    )
+    ends = full.where(place < 2).select("doc_id", "page", (2 * F.col("g") + place).cast("long").alias("ord"), F.lit(100.0).alias("x1"), (100.0 * g + 20 * (place + 1)).alias("y1"), F.lit(160.0).alias("x2"), (100.0 * g + 20 * (place + 1)).alias("y2"))
+    return A.fractions(spans, ends)[0].select("doc_id", "page", "bar", "text", "baseline")

@@ -55,6 +55,18 @@ def columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("doc_id", *[v.alias(c) for c, v in at.items()], (at["y"] + 10).alias("baseline"), F.lit(12.0).alias("size"), F.translate("text", ".", ",").alias("text"))
 
 
+def words(spark: SparkSession, sf_dir: str, per_page: int = 100) -> DataFrame:
+    """doc_id, page, k (place on its page), text: the words of whole documents, ``per_page`` to a page."""
+    text = F.expr(r"filter(split(text, '[ \\t-\\r]+'), w -> w <> '')")
+    found = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text).alias("n", "text"))
+    return found.select("doc_id", F.floor(F.col("n") / per_page).alias("page"), (F.col("n") % per_page).alias("k"), "text")
+
+
+WORDS_SQL = r"""words AS MATERIALIZED (
+  SELECT doc_id, n // 100 AS page, n % 100 AS k, text FROM (
+    SELECT doc_id, unnest(w) AS text, unnest(range(len(w))) AS n FROM (SELECT doc_id, [x for x in regexp_split_to_array(text, '[ \t-\r]+') if x <> ''] AS w FROM documents))
+)"""
+
 COLUMNS_SQL = rf"""words AS (
   SELECT doc_id, unnest(w) AS text, unnest(range(len(w))) AS k FROM (SELECT doc_id, [x for x in regexp_split_to_array(text, '[ \t-\r]+') if x <> ''] AS w FROM documents)
 ), columns AS (
