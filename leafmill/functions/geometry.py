@@ -97,9 +97,9 @@ def median(value: Column, empty: float = 12.0) -> Column:
 
 
 def lower_quantile(value: Column, p: float) -> Column:
-    """The sorted value at index floor((n - 1) p) of a small group, such as a document's pages."""
+    """The sorted value at index floor((n - 1) p) of a small group, such as a page's blocks; null without values."""
     held = F.array_sort(F.collect_list(value))
-    return F.element_at(held, (F.floor((F.size(held) - 1) * F.lit(p)) + 1).cast("int"))
+    return F.get(held, F.floor((F.size(held) - 1) * F.lit(p)).cast("int"))
 
 
 def lower_quantiles(rows: DataFrame, by: list[str], value: str, p: float, name: str) -> DataFrame:

@@ -13,13 +13,14 @@ from leafmill.operators.spans import PAGE, nearest_paper
 
 
 def page_setups(pages: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Margins for each group of pages of one paper and rounded size.
+    """What blocks leave free, for each group of pages of one paper and rounded size.
 
     pages: doc_id, page, width, height.  blocks: doc_id, page, x, y, width,
-    height.  left and right are lower 5 % and upper edges of block starts and
-    ends, top and bottom the lower 20th percentile of the space that is left,
-    each within the page's outer 18 %.  Returns doc_id, paper, kw, kh, pages and
-    the four margins.
+    height.  left and right are medians over pages of what is left beside all
+    blocks, top and bottom the value at index floor(20 %) of what is left above
+    and below them, within 18 % of the page.  Returns doc_id, paper, kw, kh, pages
+    and the four edges; ``margins.chosen_margins`` weighs the kinds of blocks and
+    chooses presets.
     """
     sized = nearest_paper(pages).withColumns({"kw": G.rounded(F.col("width")).cast("long"), "kh": G.rounded(F.col("height")).cast("long")})
     edges = blocks.groupBy(*PAGE).agg(F.min("x").alias("l"), F.min("y").alias("t"), F.max(F.col("x") + F.col("width")).alias("r"), F.max(F.col("y") + F.col("height")).alias("b"))

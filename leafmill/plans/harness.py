@@ -21,6 +21,7 @@ from leafmill.operators import drawing as Z
 from leafmill.operators import forms as M
 from leafmill.operators import fractions as A
 from leafmill.operators import lines as L
+from leafmill.operators import margins as N
 from leafmill.operators import ocr as O
 from leafmill.operators import pages as P
 from leafmill.operators import regions as R
@@ -848,3 +849,38 @@ def stacked_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     ends = full.where(place < 2).select("doc_id", "page", (2 * F.col("g") + place).cast("long").alias("ord"), F.lit(100.0).alias("x1"), (100.0 * g + 20 * (place + 1)).alias("y1"), F.lit(160.0).alias("x2"), (100.0 * g + 20 * (place + 1)).alias("y2"))
     return A.fractions(spans, ends)[0].select("doc_id", "page", "bar", "text", "baseline")
+
+
+# Margins
+
+
+@query(
+    """WITH p AS (SELECT o_orderkey AS k, o_custkey % 5 AS kind FROM orders), b AS (SELECT k, kind, l_linenumber AS i, [90.0, 36.0, 14.0, 90.0, 60.0][kind + 1] AS m, CASE WHEN l_linenumber % 4 = 3 THEN 18 ELSE 0 END AS dent,
+            [72.0, 36.0, 10.0, 40.0, 72.0][kind + 1] + 40 * (l_linenumber - 1) AS y, CASE WHEN l_quantity < 25 THEN 600 - 2 * m ELSE 3 * l_quantity::DOUBLE END AS w FROM lineitem JOIN p ON k = l_orderkey),
+    x AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY m + dent) - 1 AS r, count(*) OVER (PARTITION BY k) AS n FROM b),
+    e AS (SELECT k, max(CASE WHEN r = floor((n - 1) * 0.05) THEN m + dent END) AS l, 600 - max(CASE WHEN w >= 300 THEN m + dent + w END) AS r0, CASE WHEN r0 < 0 THEN 0 ELSE r0 END AS r, CASE WHEN min(y) <= 144 THEN min(y) END AS t, max(y) + 34 AS low FROM x GROUP BY k),
+    v AS (SELECT k, l, r, t, CASE WHEN 800 - low <= 144 THEN greatest(0, 800 - low) END AS b FROM e),
+    o AS (SELECT k, unnest([{e: 'l', v: l, w: 2.0, s: 90, n: 36}, {e: 'r', v: r, w: 1.5, s: 90, n: 36}, {e: 't', v: t, w: 0.5, s: 72, n: 36}, {e: 'b', v: b, w: 0.5, s: 72, n: 36}]) AS z, r IS NOT NULL AS sure, l, r, t, b FROM v),
+    c AS (SELECT k, any_value(sure) AS sure, any_value(l) AS l, any_value(r) AS r, any_value(t) AS t, any_value(b) AS b, sum(z.w * CASE WHEN z.v - z.s < -20 THEN 3 + (z.s - z.v - 20) / 12 ELSE least(abs(z.v - z.s), 60) / 20 END) / sum(z.w) AS cs,
+        sum(z.w * CASE WHEN z.v - z.n < -20 THEN 3 + (z.n - z.v - 20) / 12 ELSE least(abs(z.v - z.n), 60) / 20 END) / sum(z.w) AS cn FROM o WHERE z.v IS NOT NULL GROUP BY k),
+    d AS (SELECT *, cs <= cn AS std, least(cs, cn) <= 1.5 OR NOT sure AS fits, CASE WHEN cs <= cn THEN 90.0 ELSE 36.0 END AS pl, CASE WHEN cs <= cn THEN 72.0 ELSE 36.0 END AS pt FROM c),
+    f AS (SELECT *, coalesce(t < pt - 3, false) AS ht, coalesce(b < pt - 3, false) AS hb FROM d)
+    SELECT k AS o_orderkey, CASE WHEN NOT fits OR ht OR hb THEN 'detected' WHEN std THEN 'standard' ELSE 'narrow' END AS preset,
+        CASE WHEN fits THEN pl ELSE CASE WHEN l IS NULL THEN pl ELSE floor(2 * least(greatest(0, l), 210) + 0.5) / 2 END END::DOUBLE AS "left", CASE WHEN fits THEN pl ELSE CASE WHEN r IS NULL THEN pl ELSE floor(2 * least(greatest(0, r), 210) + 0.5) / 2 END END::DOUBLE AS "right",
+        CASE WHEN fits THEN CASE WHEN ht THEN greatest(0, floor(t - 3)) ELSE pt END ELSE CASE WHEN t IS NULL THEN pt ELSE floor(2 * least(greatest(0, t), 160) + 0.5) / 2 END END::DOUBLE AS top,
+        CASE WHEN fits THEN CASE WHEN hb THEN greatest(0, floor(b - 3)) ELSE pt END ELSE CASE WHEN b IS NULL THEN pt ELSE floor(2 * least(greatest(0, b - 3), 160) + 0.5) / 2 END END::DOUBLE AS bottom
+    FROM f UNION ALL SELECT k, 'standard', 90, 90, 72, 72 FROM p WHERE k NOT IN (SELECT k FROM b)"""
+)
+def preset_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as pages whose lines are paragraphs of two lines; the customer decides where they begin."""
+    kind = F.col("o_custkey") % 5
+    pick = lambda *v: F.element_at(F.array(*[F.lit(float(x)) for x in v]), (kind + 1).cast("int"))
+    pages = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"), F.lit("pdf").alias("source"), F.lit(None).cast("double").alias("flow_bottom"), pick(90, 36, 14, 90, 60).alias("m"), pick(72, 36, 10, 40, 72).alias("t"))
+    i = F.col("l_linenumber")
+    wide = F.when(F.col("l_quantity") < 25, 600 - 2 * F.col("m")).otherwise(3 * F.col("l_quantity").cast("double"))
+    lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "doc_id").join(pages.select("doc_id", "m", "t"), "doc_id")
+    blocks = lines.select(
+        "doc_id", F.lit(1).alias("page"), F.lit("paragraph").alias("kind"), F.lit("body").alias("role"), F.lit("left").alias("align"), (F.col("m") + F.when(i % 4 == 3, 18).otherwise(0)).alias("x"), (F.col("t") + 40 * (i - 1)).alias("y"),
+        wide.alias("width"), F.lit(24.0).alias("height"), F.lit(2).alias("lines"), F.lit(15.0).alias("line_height"), F.lit(1).alias("columns"),
+    )
+    return N.chosen_margins(pages.drop("m", "t"), blocks).select(F.col("doc_id").alias("o_orderkey"), "preset", "left", "right", "top", "bottom")
