@@ -7,7 +7,6 @@ sizes, texts and attributes are windows and aggregates over its result.
 
 from __future__ import annotations
 
-import re
 from bisect import insort
 
 import numpy as np
@@ -18,7 +17,8 @@ from pyspark.sql import functions as F
 
 from leafmill import constants as C
 from leafmill.functions import geometry as G
-from leafmill.functions.text import BULLET
+from leafmill.functions.text import join_separator, line_marker
+from leafmill.operators.folds import folded
 from leafmill.operators.spans import PAGE
 
 
@@ -157,59 +157,87 @@ def runs(parts: DataFrame, style: list[str]) -> DataFrame:
     return held.select(*PAGE, "row", "part", "run", _text(F.col("s")).alias("text"), "x", "width")
 
 
-_ENDS = re.compile(r"[。！？.!?:：;；]$")
-_MARKER = re.compile(BULLET)
-
-
-def _breaks(page: pd.DataFrame) -> pd.DataFrame:
-    """Paragraph of each line, numbered down the page."""
-    page = page.sort_values(["y", "x"], kind="stable")
-    left, wide, body = page["x"].min(), (page["x"] + page["width"]).max() - page["x"].min(), float(page["body"].iloc[0])
-    out, number, open_ = [], -1, []
-    for line in page.itertuples(index=False):
-        ends = not open_
-        if open_:
-            last, first = open_[-1], open_[0]
-            ref = float(np.median([x.size for x in open_]))
-            gap = line.baseline - last.baseline
-            listed = bool(_MARKER.match(first.text))
-            hanging = listed and 0 <= line.x - first.x <= C.HANGING * ref
-            ends = (
-                gap > C.GAP_WIDE * ref or gap < C.GAP_TIGHT * ref or abs(line.size - ref) > C.SIZE_CHANGE * ref or bool(_MARKER.match(line.text))
-                or last.size > C.HEADING * body or (listed and line.x < first.x - 0.5 * ref)
-                or (line.x - left > C.INDENT * ref and abs(last.x - left) < 0.5 * ref and not hanging)
-                or (last.width < C.SHORT_LINE * wide and bool(_ENDS.search(last.text.strip())))
-                or (abs(line.x - last.x) > C.JUMP * ref and not hanging)
-            )
-        if ends:
-            number, open_ = number + 1, []
-        open_.append(line)
-        out.append(number)
-    return page.assign(paragraph=out)
+ENDS = r"[。！？.!?:：;；]$"
+
+
+class Open:
+    """The paragraph that is open while a page's lines come down it: its sizes in order, where it begins, and whether it is a list."""
+
+    def __init__(self):
+        self.number, self.sizes, self.x, self.listed = -1, [], 0.0, False
+
+    def ends(self, v: dict) -> bool:
+        """Whether a line can't go on with it, by what is measured against its typical size."""
+        ref = float(np.median(self.sizes))
+        beyond = v["x"] - self.x
+        hangs = self.listed and 0 <= beyond <= C.HANGING * ref
+        spaced = not C.GAP_TIGHT * ref <= v["gap"] <= C.GAP_WIDE * ref
+        indented = v["indent"] > C.INDENT * ref and v["margin"] < 0.5 * ref
+        return spaced or abs(v["size"] - ref) > C.SIZE_CHANGE * ref or (self.listed and beyond < -0.5 * ref) or (not hangs and (indented or v["jump"] > C.JUMP * ref))
+
+    def __call__(self, v: dict) -> tuple[int]:
+        if v["new"] or self.ends(v):
+            self.number, self.sizes, self.x, self.listed = self.number + 1, [], v["x"], v["listed"]
+        insort(self.sizes, v["size"])
+        return (self.number,)
+
+
+def broken(lines_: DataFrame) -> DataFrame:
+    """lines_ (with body, the page's text size) with paragraph, numbered down the page.
+
+    Windows tell what two neighbouring lines decide: another paragraph_id (where
+    that column exists), a list or article marker, an article or a larger line
+    before, a short line that ends a sentence.  The rest depends on the open
+    paragraph: leading, size, indents, leaving a list.
+    """
+    page = W.partitionBy(*PAGE)
+    down = page.orderBy("y", "x", "row", "part")
+    before = {c: F.lag(c).over(down) for c in ("baseline", "size", "width", "x", "text", *(["paragraph_id"] if "paragraph_id" in lines_.columns else []))}
+    left = F.min("x").over(page)
+    wide = F.max(F.col("x") + F.col("width")).over(page) - left
+    marker = line_marker(F.col("text"))
+    new = before["size"].isNull() | marker.isNotNull() | (line_marker(before["text"]) == "article") | (before["size"] > C.HEADING * F.col("body")) | ((before["width"] < C.SHORT_LINE * wide) & F.trim(before["text"]).rlike(ENDS))
+    if "paragraph_id" in before:
+        new |= before["paragraph_id"] != F.col("paragraph_id")
+    value = F.struct(
+        F.coalesce(new, F.lit(False)).alias("new"), "x", "size", F.coalesce(marker.isin("list", "chinese"), F.lit(False)).alias("listed"), (F.col("baseline") - before["baseline"]).alias("gap"), (F.col("x") - left).alias("indent"),
+        F.abs(before["x"] - left).alias("margin"), F.abs(F.col("x") - before["x"]).alias("jump"),
+    )
+    told = folded(lines_.withColumn("_v", value), PAGE, ["y", "x", "row", "part"], "_v", Open, {"paragraph": "bigint"})
+    return lines_.join(told, [*PAGE, "y", "x", "row", "part"])
 
 
 def paragraphs(lines_: DataFrame) -> DataFrame:
-    """doc_id, page, paragraph, lines, text, role, align, x, y, width, height, size, line_height, before."""
+    """doc_id, page, paragraph, lines, text, role, align, x, y, width, height, size, line_height, before, indent, first_indent, last_width.
+
+    Lines are joined without a space where their ends belong together (see
+    ``join_separator``).  indent: from the page's text to the paragraph, 0 if it
+    is centred; first_indent: of its first line; last_width: of its last one.
+    """
     size = W.partitionBy(*PAGE)
-    known = lines_.withColumn("body", F.percentile("size", F.lit(0.5)).over(size))
-    schema = ", ".join(f"{c} {t}" for c, t in known.dtypes) + ", paragraph bigint"
-    marked = known.groupBy(*PAGE).applyInPandas(_breaks, schema)
+    marked = broken(lines_.withColumn("body", F.percentile("size", F.lit(0.5)).over(size)))
     key = [*PAGE, "paragraph"]
     down = W.partitionBy(*key).orderBy("y", "x")
     steps = marked.withColumn("step", F.col("baseline") - F.lag("baseline").over(down))
     inner = steps.withColumn("last", F.lead("y").over(down).isNull())
     held = inner.groupBy(*key).agg(
-        F.count("*").alias("lines"), F.array_sort(F.collect_list(F.struct("y", "x", "text"))).alias("t"), *G.bounds(G.box()), F.percentile("size", F.lit(0.5)).alias("size"),
+        F.count("*").alias("lines"), F.array_sort(F.collect_list(F.struct("y", "x", "text", "width"))).alias("t"), *G.bounds(G.box()), F.percentile("size", F.lit(0.5)).alias("size"),
         F.percentile("step", F.lit(0.5)).alias("step"), F.first("body").alias("body"), F.min(F.when(~F.col("last"), F.col("x") + F.col("width"))).alias("short"),
     )
     first = F.col("t")[0]["text"]
-    role = F.when(first.rlike(BULLET), "list").when((F.col("size") > C.HEADING * F.col("body")) & (F.col("lines") <= 3), "heading").otherwise("body")
+    role = F.when(line_marker(first).isin("list", "chinese"), "list").when((F.col("size") > C.HEADING * F.col("body")) & (F.col("lines") <= 3), "heading").otherwise("body")
     region = W.partitionBy(*PAGE)
     held = held.withColumns({"left": F.min("x").over(region), "right": F.max(F.col("x") + F.col("width")).over(region), "top": F.min("y").over(region)})
     centred = F.abs((F.col("x") - F.col("left")) - (F.col("right") - F.col("x") - F.col("width"))) <= F.greatest(F.lit(C.CENTRE_MIN), C.CENTRE_SHARE * F.col("size"))
     align = F.when((F.col("x") - F.col("left") > F.col("size")) & centred, "center").when((F.col("lines") > 1) & (F.col("short") >= F.col("x") + 0.97 * F.col("width")), "both").otherwise("left")
     before = F.greatest(F.lit(0.0), F.col("y") - F.coalesce(F.lag(F.col("y") + F.col("height")).over(W.partitionBy(*PAGE).orderBy("paragraph")), F.col("top")))
-    return held.select(*key, "lines", F.array_join(F.transform("t", lambda s: s["text"]), "\n").alias("text"), role.alias("role"), align.alias("align"), "x", "y", "width", "height", "size", F.coalesce("step", 1.25 * F.col("size")).alias("line_height"), before.alias("before"))
+    held = held.withColumn("align", align)
+    joined = F.transform("t", lambda s, i: F.when(i == 0, s["text"]).otherwise(F.concat(join_separator(F.get("t", i - 1)["text"], s["text"]), s["text"])))
+    indent = F.when(F.col("align") == "center", 0.0).otherwise(F.col("x") - F.col("left"))
+    return held.select(
+        *key, "lines", F.array_join(joined, "").alias("text"), role.alias("role"), "align", "x", "y", "width", "height", "size", F.coalesce("step", 1.25 * F.col("size")).alias("line_height"), before.alias("before"), indent.alias("indent"),
+        (F.col("t")[0]["x"] - F.col("x")).alias("first_indent"), F.element_at("t", -1)["width"].alias("last_width"),
+    )
 
 
 def column_gutters(lines_: DataFrame, least: int = 4) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as X
+from leafmill.operators.folds import folded
 from leafmill.operators.spans import PAGE
 
 WORD = "text string, confidence double, bbox struct<x0:double,y0:double,x1:double,y1:double>"
@@ -87,35 +90,42 @@ def prefer_cell(before: Column, after: Column, was: Column, now: Column) -> Colu
     return sure & length & digits
 
 
+def _ways(old: list[str], new: np.ndarray) -> Iterator[np.ndarray]:
+    """For each character of old, by characters of new up to each place: how the alignment of least edits gets there.
+
+    0 pairs the two, 1 leaves the old one out, 2 the new one; of equals the
+    smaller number.
+    """
+    at = np.arange(len(new) + 1)
+    above = at
+    for i, c in enumerate(old, 1):
+        pair, drop = above[:-1] + (new != c), above[1:] + 1
+        # Leaving new ones out: the least over places k <= j of what is there plus j - k.
+        here = np.append(i, np.minimum.accumulate(np.minimum(np.minimum(pair, drop) - at[1:], i)) + at[1:])
+        yield np.append(1, np.argmin([pair, drop, here[:-1] + 1], axis=0))
+        above = here
+
+
 def consensus_text(before: str, sure: list[float], after: str, now: list[float], most: int = 400) -> str:
     """``after``, with characters of ``before`` where these are surer: at least 60, and 12 more than the new one.
 
-    One alignment of least edits is walked back; substitutions come before
-    characters left out of ``before``, and these before ones left out of ``after``.
+    One alignment of least edits says which characters stand for each other.
+    From the end on it pairs characters where that is among the best, else
+    leaves one of ``before`` out, else one of ``after``.
     """
-    a = [(c, s) for c, s in zip(before, sure, strict=True) if not c.isspace()]
-    b = [(k, c, s) for k, (c, s) in enumerate(zip(after, now, strict=True)) if not c.isspace()]
-    if not a or not b or max(len(a), len(b)) > most:
+    old = [(c, s) for c, s in zip(before, sure, strict=True) if not c.isspace()]
+    place = [k for k, c in enumerate(after) if not c.isspace()]
+    if not old or not place or max(len(old), len(place)) > most:
         return after
-    cost = np.zeros((len(a) + 1, len(b) + 1), np.int32)
-    cost[:, 0], cost[0] = np.arange(len(a) + 1), np.arange(len(b) + 1)
-    new = np.array([c for _, c, _ in b])
-    for i, (c, _) in enumerate(a, 1):
-        row = np.minimum(cost[i - 1, 1:] + 1, cost[i - 1, :-1] + (new != c))
-        # A run of insertions: least over k <= j of row[k] + (j - k).
-        at = np.arange(1, len(b) + 1)
-        cost[i, 1:] = np.minimum.accumulate(np.minimum(row - at, i)) + at
-    out, i, j = list(after), len(a), len(b)
-    while i and j:
-        (c, s), (k, d, t) = a[i - 1], b[j - 1]
-        if cost[i, j] == cost[i - 1, j - 1] + (c != d):
-            if c != d and s >= 60 and s >= t + 12:
-                out[k] = c
-            i, j = i - 1, j - 1
-        elif cost[i, j] == cost[i - 1, j] + 1:
-            i -= 1
-        else:
+    out, j = list(after), len(place)
+    ways = list(_ways([c for c, _ in old], np.array([after[k] for k in place])))
+    for (c, s), way in zip(reversed(old), reversed(ways), strict=True):
+        # From each place, the nearest one before it where no new character is left out; place 0 is one.
+        j = int(np.maximum.accumulate(np.where(way == 2, 0, np.arange(len(way))))[j])
+        if j and way[j] == 0:
             j -= 1
+            if s >= max(60, now[place[j]] + 12):
+                out[place[j]] = c
     return "".join(out)
 
 
@@ -130,28 +140,40 @@ def consensus(pairs: DataFrame) -> DataFrame:
     return pairs.select("id", "before", "before_confidence", "after", "after_confidence").mapInPandas(run, f"id {dict(pairs.dtypes)['id']}, text string")
 
 
-def _text_rows(page: pd.DataFrame) -> pd.DataFrame:
-    """Rows of a page's lines, and their pieces: a line joins the newest row if its height overlaps that of the row's first line by 70 %."""
-    page = page.sort_values("y0", kind="stable")
-    rows: list[list[tuple]] = []
-    for x0, y0, x1, y1 in page[["x0", "y0", "x1", "y1"]].itertuples(index=False):
-        if rows:
-            _, top, _, low = rows[-1][0]
-            if min(low, y1) - max(top, y0) >= 0.7 * max(low - top, y1 - y0):
-                rows[-1].append((x0, y0, x1, y1))
-                continue
-        rows.append([(x0, y0, x1, y1)])
-    out = []
-    for k, row in enumerate(rows):
-        joined: list[tuple] = []
-        for b in sorted(row, key=lambda b: b[0]):
-            if joined and b[0] - joined[-1][2] <= 0.8 * min(joined[-1][3] - joined[-1][1], b[3] - b[1]):
-                a = joined[-1]
-                joined[-1] = (a[0], min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]))
-            else:
-                joined.append(b)
-        out += [(k, *b) for b in joined]
-    return pd.DataFrame(out, columns=["row", "x0", "y0", "x1", "y1"]).assign(doc_id=page["doc_id"].iloc[0], page=page["page"].iloc[0])
+class _Row:
+    """Numbers a page's rows: a line joins the newest one if 70 % of the higher of it and the row's first line are shared."""
+
+    def __init__(self):
+        self.row, self.span = -1, (0.0, 0.0)
+
+    def __call__(self, v: dict) -> tuple[int]:
+        low, high = self.span
+        if self.row < 0 or min(high, v["y1"]) - max(low, v["y0"]) < 0.7 * max(high - low, v["y1"] - v["y0"]):
+            self.row, self.span = self.row + 1, (v["y0"], v["y1"])
+        return (self.row,)
+
+
+class _Piece:
+    """Numbers a row's pieces: a line goes on with one that ends at most 0.8 of the lower height before it."""
+
+    def __init__(self):
+        self.piece, self.end, self.span = -1, 0.0, (0.0, 0.0)
+
+    def __call__(self, v: dict) -> tuple[int]:
+        low, high = self.span
+        if self.piece < 0 or v["x0"] - self.end > 0.8 * min(high - low, v["y1"] - v["y0"]):
+            self.piece, self.end, self.span = self.piece + 1, v["x1"], (v["y0"], v["y1"])
+        else:
+            self.end, self.span = max(self.end, v["x1"]), (min(low, v["y0"]), max(high, v["y1"]))
+        return (self.piece,)
+
+
+def text_rows(lines: DataFrame) -> DataFrame:
+    """doc_id, page, row, piece, x0, y0, x1, y1: lines (x0, y0, x1, y1) as rows and what is joined in them."""
+    box = ["x0", "y0", "x1", "y1"]
+    rows = folded(lines.select(*PAGE, *box, F.struct(*box).alias("_b")), PAGE, ["y0", "x0", "x1", "y1"], "_b", _Row, {"row": "bigint"})
+    pieces = folded(rows.withColumn("_b", F.struct(*box)), [*PAGE, "row"], ["x0", "y0", "x1", "y1"], "_b", _Piece, {"piece": "bigint"})
+    return pieces.groupBy(*PAGE, "row", "piece").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
 
 def horizontal_prose(lines: DataFrame, pages: DataFrame, rules: DataFrame) -> DataFrame:
@@ -162,9 +184,7 @@ def horizontal_prose(lines: DataFrame, pages: DataFrame, rules: DataFrame) -> Da
     their left edges within a quarter of the page's width.  Two rules in both
     directions rule a page out.
     """
-    types = dict(lines.dtypes)
-    pieces = lines.select(*PAGE, "x0", "y0", "x1", "y1").groupBy(*PAGE).applyInPandas(_text_rows, f"row long, x0 double, y0 double, x1 double, y1 double, doc_id {types['doc_id']}, page {types['page']}")
-    at = pieces.join(pages.select(*PAGE, F.col("width").alias("w")), PAGE)
+    at = text_rows(lines).join(pages.select(*PAGE, F.col("width").alias("w")), PAGE)
     wide = (F.col("x1") - F.col("x0") >= 0.5 * F.col("w")) & (F.col("y1") - F.col("y0") < 0.1 * (F.col("x1") - F.col("x0")))
     held = at.groupBy(*PAGE).agg((F.max("row") + 1).alias("rows"), F.count("*").alias("pieces"), F.count_if(wide).alias("wide"), (F.max(F.when(wide, F.col("x0"))) - F.min(F.when(wide, F.col("x0")))).alias("spread"), F.max("w").alias("w"))
     drawn = rules.groupBy(*PAGE).agg(F.count_if(F.abs(F.col("y2") - F.col("y1")) < 2).alias("flat"), F.count_if(F.abs(F.col("x2") - F.col("x1")) < 2).alias("upright")).where("flat >= 2 and upright >= 2")

@@ -109,6 +109,10 @@ def test_occlusion_underline_nearest(spark):
     later = spark.createDataFrame([("d", 1, 9.0, 9.0, 50.0, 20.0, 9, True), ("d", 1, 9.0, 90.0, 50.0, 30.0, 1, True), ("d", 1, 9.0, 90.0, 50.0, 30.0, 9, False)], fill)
     assert [r.text for r in S.occluded(spans, later).collect()] == ["under"]
     rules = spark.createDataFrame([("d", 1, 0, 10.0, 21.0, 50.0, 21.0), ("d", 1, 1, 10.0, 300.0, 50.0, 300.0)], "doc_id string, page int, ord int, x1 double, y1 double, x2 double, y2 double")
+    line = spark.createDataFrame([span(i, t, 10 + 25 * i, 200, 20) for i, t in enumerate("abc")] + [span(3, "d", 100, 200, 20)], SPAN)
+    long = spark.createDataFrame([("d", 1, 0, 9.0, 211.0, 81.0, 211.0), ("d", 1, 1, 100.0, 212.0, 106.0, 212.0)], rules.schema)
+    marked, free = S.underlined(line, long)
+    assert sorted(r.text for r in marked.collect()) == ["a", "b", "c"] and [r.ord for r in free.collect()] == [1]  # one rule under three words; a stub under a word is none
     marked, free = S.underlined(spans, rules)
     assert [r.text for r in marked.collect()] == ["under"] and [r.ord for r in free.collect()] == [1]
     left, right = spark.createDataFrame([("k", 1, 10)], "k string, id int, at int"), spark.createDataFrame([("k", 0, 13, "a"), ("k", 1, 7, "b"), ("k", 2, 30, "c")], "k string, ord int, other int, v string")
@@ -134,12 +138,32 @@ def test_paragraphs(spark):
     rows.append(span(9, "Title", 10, 60, 90, size=20))
     got = L.paragraphs(L.lines(spark.createDataFrame(rows, SPAN))).orderBy("paragraph").collect()
     assert [(r.lines, r.role) for r in got] == [(1, "heading"), (2, "body"), (1, "body"), (2, "list"), (1, "body")]
+    assert [r.text for r in got][1:4] == ["A first line that is wide and goes on to its end.", "A new one begins here now", "• an item of a list that hangs"]
+    assert [(r.indent, r.first_indent, r.last_width) for r in got][3] == (0.0, 0.0, 300.0)
     assert archives.docx(L.paragraphs(L.lines(spark.createDataFrame(rows, SPAN)))).count() == 1
     data = archives.docx(L.paragraphs(L.lines(spark.createDataFrame(rows, SPAN)))).first().docx
     with zipfile.ZipFile(io.BytesIO(bytes(data))) as z:
         assert "Title" in z.read("word/document.xml").decode()
 
 
+def test_paragraph_breaks(spark):
+    """Pages of two lines each and more: which of them begin a paragraph."""
+    wide = ("a wide line of text", 10, 400)
+    pages = {
+        "chinese": [wide, ("一、第一項", 10, 200), ("接著的內容", 20, 200)], "article": [("第一條", 10, 400), ("內容", 10, 400)], "hyphen": [("a hyphen-", 10, 400), ("ated word", 10, 400)], "leaves": [("1. item", 40, 370), ("body again", 10, 400)],
+        "indent": [wide, ("indented", 30, 380)], "jump": [wide, wide, ("far", 90, 300), ("farther", 140, 250)], "ended": [("Short end.", 10, 100), wide], "ids": [wide, wide],
+    }
+    want = {"chinese": [1, 2], "article": [1, 1], "hyphen": [2], "leaves": [1, 1], "indent": [1, 1], "jump": [2, 1, 1], "ended": [1, 1], "ids": [1, 1]}
+    rows = [(d, 1, i, t, float(x), 100.0 + 15 * i, float(w), 12.0, 110.0 + 15 * i, 12.0) for d, p in pages.items() for i, (t, x, w) in enumerate(p)]
+    lines = L.lines(spark.createDataFrame(rows, "doc_id string, page int, ord int, text string, x double, y double, width double, height double, baseline double, size double"))
+    lines = lines.withColumn("paragraph_id", F.when(F.col("doc_id") == "ids", F.col("row")))
+    got = {}
+    for r in L.paragraphs(lines).orderBy("doc_id", "paragraph").collect():
+        got.setdefault(r.doc_id, []).append((r.lines, r.text))
+    assert {d: [n for n, _ in v] for d, v in got.items()} == want
+    assert got["hyphen"][0][1] == "a hyphen-ated word" and got["chinese"][1][1] == "一、第一項接著的內容"
+
+
 def test_ruled_and_open_tables(spark):
     rule = "doc_id string, page int, ord int, x1 double, y1 double, x2 double, y2 double"
     grid = [("d", 1, i, 10.0, 10.0 + 20 * i, 110.0, 10.0 + 20 * i) for i in range(3)] + [("d", 1, 5 + i, 10.0 + 50 * i, 10.0, 10.0 + 50 * i, 50.0) for i in range(3)]
