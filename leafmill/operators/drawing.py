@@ -70,8 +70,7 @@ class Replay:
 
 def replayed(ops: DataFrame) -> DataFrame:
     """ops with the state that holds after each of them: the columns of STATE."""
-    state = folded(ops.withColumn("_v", F.struct("op", "nums", "text")), PAGE, ["i"], "_v", Replay, STATE)
-    return ops.join(state, [*PAGE, "i"])
+    return folded(ops.withColumn("_v", F.struct("op", "nums", "text")), PAGE, ["i"], "_v", Replay, STATE, ["op", "nums", "text"])
 
 
 def transformed(matrix: Column, x: Column, y: Column) -> tuple[Column, Column]:

@@ -13,10 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def folded(rows: DataFrame, by: list[str], order: list[str], value: str, state: Callable[[], Callable], out: dict[str, str]) -> DataFrame:
-    """by, order and the columns ``out`` (name: type): what a fresh ``state()`` returns for each value of its group, in order; group keys are not null."""
+def folded(rows: DataFrame, by: list[str], order: list[str], value: str, state: Callable[[], Callable], out: dict[str, str], keep: list[str] | None = None) -> DataFrame:
+    """by, order, keep and the columns ``out`` (name: type): what a fresh ``state()`` returns for each value of its group, in order; group keys are not null.
+
+    keep: columns that go along, so that nothing has to be joined back.
+    """
     types = dict(rows.dtypes)
-    keys = [*by, *[c for c in order if c not in by]]
+    keys = [*by, *[c for c in order if c not in by], *(keep or [])]
     schema = ", ".join([f"{c} {types[c]}" for c in keys] + [f"{c} {t}" for c, t in out.items()])
     names = list(out)
 

@@ -18,8 +18,10 @@ from leafmill.functions import text as X
 from leafmill.operators import bands as D
 from leafmill.operators import classify as Y
 from leafmill.operators import drawing as Z
+from leafmill.operators import figures as Q
 from leafmill.operators import forms as M
 from leafmill.operators import fractions as A
+from leafmill.operators import frames as T
 from leafmill.operators import lines as L
 from leafmill.operators import margins as N
 from leafmill.operators import ocr as O
@@ -884,3 +886,93 @@ def preset_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
         wide.alias("width"), F.lit(24.0).alias("height"), F.lit(2).alias("lines"), F.lit(15.0).alias("line_height"), F.lit(1).alias("columns"),
     )
     return N.chosen_margins(pages.drop("m", "t"), blocks).select(F.col("doc_id").alias("o_orderkey"), "preset", "left", "right", "top", "bottom")
+
+
+# Frames
+
+
+@query(
+    f"""WITH {LINES_SQL}, l AS (SELECT doc_id, line_no // 12 AS page, line_no % 12 AS i, [-30.0, -10.0, 0.0][doc_id % 3 + 1] AS angle, 6.0 * least(length(text), 40) AS w FROM lines),
+    g AS (SELECT *, count(*) OVER (PARTITION BY doc_id, page) AS n, angle < 0 AND page % 4 <> 3 AS along, 100 + 20 * i * cos(radians(angle)) + w * sin(radians(angle)) AS y FROM l)
+    SELECT doc_id, page::BIGINT AS page, i::BIGINT AS line, row_number() OVER (PARTITION BY doc_id, page ORDER BY CASE WHEN along THEN i END, y, i)::INT AS place, along AND n > 1 AS slanted FROM g"""
+)
+def slanted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve lines a page along an axis that the document decides; on every fourth page they are set too far apart to be read across it."""
+    i = F.col("line_no") % 12
+    rows = synth.lines(spark, sf_dir).select("doc_id", F.floor(F.col("line_no") / 12).alias("page"), i.cast("long").alias("line"), F.element_at(F.array(F.lit(-30.0), F.lit(-10.0), F.lit(0.0)), (F.col("doc_id") % 3 + 1).cast("int")).alias("a"), (6.0 * F.least(F.char_length("text"), F.lit(40))).alias("w"))
+    sin, cos, step = F.sin(F.radians("a")), F.cos(F.radians("a")), F.when(F.col("page") % 4 == 3, 60.0).otherwise(20.0)
+    x = 50 - F.col("line") * step * sin
+    spans = rows.select(
+        "doc_id", "page", "line", F.lit(0).alias("ord"), x.alias("x"), (100 + 20 * F.col("line") * cos + F.col("w") * sin).alias("y"), F.col("w").alias("width"), (100 + F.col("line") * step * cos).alias("baseline"), F.lit(14.0).alias("size"), F.lit("F").alias("font"),
+        F.lit("pdf").alias("source"), F.when(F.col("a") < 0, F.col("a")).alias("angle"), F.when(F.col("a") < 0, x).alias("baseline_x"),
+    )
+    return T.slanted_order(spans).select("doc_id", "page", "line", "place", "slanted")
+
+
+@query(
+    f"""WITH {WORDS_SQL}, f AS (SELECT doc_id, 200.0::DOUBLE + 40 * (doc_id % 7) AS w, count(CASE WHEN regexp_matches(text, '[0-9]') THEN 1 END) AS digits, max(least(6 * length(text), 150)) AS widest FROM words WHERE page = 0 AND k < 12 GROUP BY doc_id)
+    SELECT doc_id, 50.0::DOUBLE AS x, 50.0::DOUBLE AS y, w AS width, 120.0::DOUBLE AS height FROM f WHERE digits >= 3 AND widest <= 0.7 * w AND doc_id % 5 <> 0"""
+)
+def framed_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A drawn frame for each document, with its first twelve words as labels; every fifth one holds a table."""
+    words = synth.words(spark, sf_dir).where("page = 0 and k < 12")
+    w = 200.0 + 40 * (F.col("doc_id") % 7)
+    docs = words.select("doc_id").distinct().withColumns({"page": F.lit(1), "w": w})
+    ends = F.array(*[F.struct(F.lit(k).alias("ord"), a.alias("x1"), F.lit(b).alias("y1"), c.alias("x2"), F.lit(d).alias("y2")) for k, (a, b, c, d) in enumerate([(F.lit(50.0), 50.0, F.lit(50.0), 170.0), (50 + w, 50.0, 50 + w, 170.0), (F.lit(50.0), 50.0, 50 + w, 50.0), (F.lit(50.0), 170.0, 50 + w, 170.0)])])
+    rules = docs.select("doc_id", "page", F.explode(ends).alias("e")).select("doc_id", "page", "e.*")
+    spans = words.select("doc_id", F.lit(1).alias("page"), F.col("k").alias("ord"), "text", F.lit(60.0).alias("x"), (55.0 + 9 * F.col("k")).alias("y"), F.least(6.0 * F.char_length("text"), F.lit(150.0)).alias("width"), F.lit(8.0).alias("height"), F.lit(8.0).alias("size"))
+    box = lambda x, y, width, height: docs.select("doc_id", "page", F.lit(0).alias("ord"), F.lit(x).alias("x"), F.lit(y).alias("y"), width.alias("width"), F.lit(height).alias("height"))
+    pages = docs.select("doc_id", "page", F.lit(700.0).alias("width"), F.lit(900.0).alias("height"))
+    found = T.framed_plots(pages, rules, spans, box(70.0, 60.0, w / 2, 60.0), box(80.0, 80.0, F.lit(40.0), 20.0).where("doc_id % 5 = 0"))
+    return found.select("doc_id", "x", "y", "width", "height")
+
+
+# Rows, tiles and drawn rules
+
+
+@query(
+    f"""WITH {LINES_SQL}, l AS (SELECT doc_id, line_no // 40 AS page, line_no % 40 AS i, least(6.0 * length(text), 560) AS w FROM lines WHERE length(text) > 0),
+    p AS (SELECT doc_id, page, count(DISTINCT i) AS rows, count(*) + count(CASE WHEN i % 10 = 9 AND w > 60 THEN 1 END) AS pieces, count(CASE WHEN (i % 10 <> 9 OR w <= 60) AND w >= 300 THEN 1 END) + 2 * count(CASE WHEN i % 10 = 9 AND w > 60 AND (w - 60) / 2 >= 300 THEN 1 END) AS wide FROM l GROUP BY ALL)
+    SELECT doc_id, page::BIGINT AS page, rows >= 24 AND wide >= greatest(6, 0.3 * pieces) AND doc_id % 9 <> 0 AS prose FROM p"""
+)
+def prose_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty lines a page, some of them in two pieces; every ninth document has a ruled grid."""
+    n = F.col("line_no")
+    w = F.least(6.0 * F.char_length("text"), F.lit(560.0))
+    rows = synth.lines(spark, sf_dir).where("text <> ''").select("doc_id", F.floor(n / 40).alias("page"), (n % 40).alias("i"), w.alias("w"))
+    half = (F.col("w") - 60) / 2
+    piece = lambda a, z: F.struct(a.alias("x0"), z.alias("x1"))
+    parts = F.when((F.col("i") % 10 == 9) & (F.col("w") > 60), F.array(piece(F.lit(20.0), 20 + half), piece(80 + half, 80 + 2 * half))).otherwise(F.array(piece(F.lit(20.0), 20 + F.col("w"))))
+    lines = rows.select("doc_id", "page", "i", F.explode(parts).alias("b")).select("doc_id", "page", F.col("b.x0").alias("x0"), (15.0 * F.col("i")).alias("y0"), F.col("b.x1").alias("x1"), (15.0 * F.col("i") + 12).alias("y1"))
+    pages = rows.select("doc_id", "page").distinct().withColumn("width", F.lit(600.0))
+    ends = F.explode(F.array(*[F.struct(*[F.lit(float(v)).alias(c) for c, v in zip(("x1", "y1", "x2", "y2"), r, strict=True)]) for r in ((0, 0, 9, 0), (0, 9, 9, 9), (0, 0, 0, 9), (9, 0, 9, 9))])).alias("r")
+    return O.horizontal_prose(lines, pages, pages.where("doc_id % 9 = 0").select("doc_id", "page", ends).select("doc_id", "page", "r.*"))
+
+
+@query(
+    """WITH o AS (SELECT l_orderkey AS k, min(l_linenumber) AS a, max(l_linenumber) AS z, count(*) AS n, count(DISTINCT l_linenumber) AS d, max(l_quantity)::DOUBLE AS q FROM lineitem GROUP BY 1)
+    SELECT k AS o_orderkey, 10.0::DOUBLE AS x, 10.0 + 50 * (a - 1) AS y, 10 + q AS width, 50.0 * (z - a + 1) AS height FROM o WHERE z - a + 1 = n AND d = n"""
+)
+def tiled_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of an order as tiles of one width under each other; orders whose line numbers leave none out are one figure."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.col("l_linenumber").alias("ord"), F.max("l_quantity").over(W.partitionBy("l_orderkey")).cast("double").alias("q"))
+    boxes = rows.select("doc_id", "page", "ord", F.lit(10.0).alias("x"), (10.0 + 50 * (F.col("ord") - 1)).alias("y"), (10 + F.col("q")).alias("width"), F.lit(50.0).alias("height"))
+    pages = rows.select("doc_id", "page").distinct().withColumns({"width": F.lit(600.0), "height": F.lit(800.0)})
+    whole = boxes.groupBy("doc_id").agg((F.max("ord") - F.min("ord") + 1).alias("n"), F.count("*").alias("m"), F.count_distinct("ord").alias("d")).where("n = m and d = m").select("doc_id")
+    return Q.tiles(boxes.join(whole, "doc_id", "left_semi").select(*boxes.columns), pages).select(F.col("doc_id").alias("o_orderkey"), "x", "y", "width", "height")
+
+
+@query(
+    """WITH r AS (SELECT l_orderkey AS k, l_linenumber AS i, l_quantity::DOUBLE AS w, 100.0 * l_linenumber AS y FROM lineitem), f AS (SELECT k, count(*) AS n FROM r GROUP BY k)
+    SELECT k AS o_orderkey, i::INT AS ord, 50.0::DOUBLE AS x, y, w AS width FROM r WHERE w >= 24 AND NOT (i % 3 = 0) AND y <= 0.92 * 700"""
+)
+def drawn_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of an order as rules, each drawn twice; every third one lies in a table, short ones and those in the footer are none."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.col("l_linenumber").alias("i"), F.col("l_quantity").cast("double").alias("w"))
+    y = 100.0 * F.col("i")
+    first = rows.select("doc_id", "page", F.col("i").alias("ord"), F.lit(50.0).alias("x1"), y.alias("y1"), (50 + F.col("w")).alias("x2"), y.alias("y2"))
+    again = first.select("doc_id", "page", (F.col("ord") + 100).alias("ord"), (F.col("x1") + 1).alias("x1"), (F.col("y1") + 1).alias("y1"), (F.col("x2") + 1).alias("x2"), (F.col("y2") + 1).alias("y2"))
+    pages = rows.select("doc_id", "page").distinct().select("doc_id", "page", F.lit(600.0).alias("width"), F.lit(700.0).alias("height"), F.lit("pdf").alias("source"))
+    tables = rows.where("i % 3 = 0").select("doc_id", "page", F.lit(40.0).alias("x"), (y - 20).alias("y"), F.lit(80.0).alias("width"), F.lit(40.0).alias("height"))
+    under = rows.where("1 = 0").select("doc_id", "page", F.col("i").alias("ord"))
+    return Y.drawn_rules(first.unionByName(again), pages, tables, under).select(F.col("doc_id").alias("o_orderkey"), "ord", "x", "y", "width")
