@@ -66,7 +66,7 @@ def _roots(edges: pd.DataFrame) -> pd.DataFrame:
 
     def top(x: int) -> int:
         while root.setdefault(x, x) != x:
-            x = root[x]
+            root[x] = x = root[root[x]]
         return x
 
     for a, b in zip(edges["a"].tolist(), edges["b"].tolist(), strict=True):

@@ -22,6 +22,7 @@ from leafmill.operators import figures as Q
 from leafmill.operators import forms as M
 from leafmill.operators import fractions as A
 from leafmill.operators import frames as T
+from leafmill.operators import ink as K
 from leafmill.operators import lines as L
 from leafmill.operators import margins as N
 from leafmill.operators import ocr as O
@@ -976,3 +977,25 @@ def drawn_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = rows.where("i % 3 = 0").select("doc_id", "page", F.lit(40.0).alias("x"), (y - 20).alias("y"), F.lit(80.0).alias("width"), F.lit(40.0).alias("height"))
     under = rows.where("1 = 0").select("doc_id", "page", F.col("i").alias("ord"))
     return Y.drawn_rules(first.unionByName(again), pages, tables, under).select(F.col("doc_id").alias("o_orderkey"), "ord", "x", "y", "width")
+
+
+# Ink that no text explains
+
+
+@query(
+    f"""WITH {LINES_SQL}, d AS (SELECT doc_id, least(length(text), 80) AS chars, 100 + doc_id % 7 * 50 AS w1, 60 + doc_id % 5 * 40 AS h1, 60 + doc_id % 3 * 40 AS w2, 40 + doc_id % 4 * 32 AS h2 FROM lines WHERE line_no = 0),
+    b AS (SELECT doc_id, chars, unnest([{{y: 38, w: (w1 + 3) // 4 * 4 + 4, h: h1 + 4}}, {{y: 398, w: w2 + 4, h: h2 + 4}}]) AS b FROM d),
+    k AS (SELECT *, chars < 60 AND bool_or(b.w > 300 AND b.h > 184) OVER (PARTITION BY doc_id) AS map FROM b WHERE b.w * b.h >= 1920)
+    SELECT doc_id, 38.0::DOUBLE AS x, min(b.y)::DOUBLE AS y, max(b.w)::DOUBLE AS width, (max(b.y + b.h) - min(b.y))::DOUBLE AS height FROM k WHERE map GROUP BY doc_id
+    UNION ALL SELECT doc_id, 38, b.y, b.w, b.h FROM k WHERE NOT map AND b.w >= 120 AND b.h >= 80"""
+)
+def residual_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two inked rectangles for each document, and its first line as text below them (with 40 characters of a second one)."""
+    n = F.col("doc_id")
+    docs = synth.lines(spark, sf_dir).where("line_no = 0").select(n, F.substring("text", 1, 80).alias("text"), (100 + n % 7 * 50).alias("w1"), (60 + n % 5 * 40).alias("h1"), (60 + n % 3 * 40).alias("w2"), (40 + n % 4 * 32).alias("h2"))
+    both = docs.select("doc_id", F.explode(F.array(F.struct(F.lit(40).alias("y"), F.col("w1").alias("w"), F.col("h1").alias("h")), F.struct(F.lit(400).alias("y"), F.col("w2").alias("w"), F.col("h2").alias("h")))).alias("r"))
+    ink = both.select("doc_id", F.lit(1).alias("page"), F.lit(40).alias("x0"), (40 + F.col("r.w")).alias("x1"), F.explode(F.sequence(F.col("r.y").cast("long"), F.col("r.y") + F.col("r.h") - 1)).alias("y"))
+    pages = docs.select("doc_id", F.lit(1).alias("page"), F.lit(600).alias("width"), F.lit(800).alias("height"), F.lit(1.0).alias("scale"))
+    at = lambda text, y: docs.select("doc_id", F.lit(1).alias("page"), text.alias("text"), F.lit(40.0).alias("x"), F.lit(y).alias("y"), F.lit(300.0).alias("width"), F.lit(10.0).alias("height"), F.lit(10.0).alias("size"))
+    rules = pages.where("1 = 0").select("doc_id", "page", *[F.lit(0.0).alias(c) for c in ("x1", "y1", "x2", "y2")])
+    return K.residual_graphics(ink, pages, at(F.col("text"), 700.0).unionByName(at(F.lit("a" * 40), 720.0)), rules).select("doc_id", "x", "y", "width", "height")
