@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafmill.functions import geometry as G
-from leafmill.operators.folds import folded
+from leafmill.operators.folds import dealt, folded
 from leafmill.operators.spans import PAGE
 
 #: What a page begins with, and what a restore without a save brings back.
@@ -265,8 +265,7 @@ def aligned(spans: DataFrame, runs: DataFrame) -> DataFrame:
         if at is not None:
             yield pd.DataFrame([(*at, *x) for x in state.settle(True)], columns=[*PAGE, "ord", "start", "end"])
 
-    both = paint.unionByName(text)
-    return both.repartition(*PAGE).sortWithinPartitions(*PAGE, "from", "side", "ord").mapInPandas(run, schema)
+    return dealt(paint.unionByName(text), PAGE, ["from", "side", "ord"]).mapInPandas(run, schema)
 
 
 def paint_runs(state: DataFrame) -> DataFrame:

@@ -34,4 +34,14 @@ def folded(rows: DataFrame, by: list[str], order: list[str], value: str, state:
             yield pd.concat([part[keys].reset_index(drop=True), pd.DataFrame(found, columns=names)], axis=1)
 
     kept = rows.select(*keys, F.col(value).alias("_value"))
-    return kept.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(run, schema)
+    return dealt(kept, by, order).mapInPandas(run, schema)
+
+
+def dealt(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """rows with each group in one partition, sorted.
+
+    Dealt by a hash of the keys and not by the keys: a union whose parts are
+    already dealt by them would count as dealt itself, the exchange would be left
+    out, and adaptive execution would then merge the parts' partitions on their own.
+    """
+    return rows.withColumn("_group", F.xxhash64(*by)).repartition("_group").drop("_group").sortWithinPartitions(*by, *order)

@@ -911,17 +911,17 @@ def slanted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {WORDS_SQL}, f AS (SELECT doc_id, 200.0::DOUBLE + 40 * (doc_id % 7) AS w, count(CASE WHEN regexp_matches(text, '[0-9]') THEN 1 END) AS digits, max(least(6 * length(text), 150)) AS widest FROM words WHERE page = 0 AND k < 12 GROUP BY doc_id)
+    f"""WITH {WORDS_SQL}, f AS (SELECT doc_id, 200.0::DOUBLE + 40 * (doc_id % 7) AS w, count(CASE WHEN length(text) % 3 = 0 OR regexp_matches(text, '[0-9]') THEN 1 END) AS digits, max(least(6 * length(text), 150)) AS widest FROM words WHERE page = 0 AND k < 12 GROUP BY doc_id)
     SELECT doc_id, 50.0::DOUBLE AS x, 50.0::DOUBLE AS y, w AS width, 120.0::DOUBLE AS height FROM f WHERE digits >= 3 AND widest <= 0.7 * w AND doc_id % 5 <> 0"""
 )
 def framed_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A drawn frame for each document, with its first twelve words as labels; every fifth one holds a table."""
+    """A drawn frame for each document, with its first twelve words as labels, every third length as a number; every fifth one holds a table."""
     words = synth.words(spark, sf_dir).where("page = 0 and k < 12")
     w = 200.0 + 40 * (F.col("doc_id") % 7)
     docs = words.select("doc_id").distinct().withColumns({"page": F.lit(1), "w": w})
     ends = F.array(*[F.struct(F.lit(k).alias("ord"), a.alias("x1"), F.lit(b).alias("y1"), c.alias("x2"), F.lit(d).alias("y2")) for k, (a, b, c, d) in enumerate([(F.lit(50.0), 50.0, F.lit(50.0), 170.0), (50 + w, 50.0, 50 + w, 170.0), (F.lit(50.0), 50.0, 50 + w, 50.0), (F.lit(50.0), 170.0, 50 + w, 170.0)])])
     rules = docs.select("doc_id", "page", F.explode(ends).alias("e")).select("doc_id", "page", "e.*")
-    spans = words.select("doc_id", F.lit(1).alias("page"), F.col("k").alias("ord"), "text", F.lit(60.0).alias("x"), (55.0 + 9 * F.col("k")).alias("y"), F.least(6.0 * F.char_length("text"), F.lit(150.0)).alias("width"), F.lit(8.0).alias("height"), F.lit(8.0).alias("size"))
+    spans = words.select("doc_id", F.lit(1).alias("page"), F.col("k").alias("ord"), F.when(F.char_length("text") % 3 == 0, F.char_length("text").cast("string")).otherwise(F.col("text")).alias("text"), F.lit(60.0).alias("x"), (55.0 + 9 * F.col("k")).alias("y"), F.least(6.0 * F.char_length("text"), F.lit(150.0)).alias("width"), F.lit(8.0).alias("height"), F.lit(8.0).alias("size"))
     box = lambda x, y, width, height: docs.select("doc_id", "page", F.lit(0).alias("ord"), F.lit(x).alias("x"), F.lit(y).alias("y"), width.alias("width"), F.lit(height).alias("height"))
     pages = docs.select("doc_id", "page", F.lit(700.0).alias("width"), F.lit(900.0).alias("height"))
     found = T.framed_plots(pages, rules, spans, box(70.0, 60.0, w / 2, 60.0), box(80.0, 80.0, F.lit(40.0), 20.0).where("doc_id % 5 = 0"))
@@ -952,7 +952,7 @@ def prose_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH o AS (SELECT l_orderkey AS k, min(l_linenumber) AS a, max(l_linenumber) AS z, count(*) AS n, count(DISTINCT l_linenumber) AS d, max(l_quantity)::DOUBLE AS q FROM lineitem GROUP BY 1)
-    SELECT k AS o_orderkey, 10.0::DOUBLE AS x, 10.0 + 50 * (a - 1) AS y, 10 + q AS width, 50.0 * (z - a + 1) AS height FROM o WHERE z - a + 1 = n AND d = n"""
+    SELECT k AS o_orderkey, 10.0::DOUBLE AS x, (10 + 50 * (a - 1))::DOUBLE AS y, 10 + q AS width, (50 * (z - a + 1))::DOUBLE AS height FROM o WHERE z - a + 1 = n AND d = n"""
 )
 def tiled_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of an order as tiles of one width under each other; orders whose line numbers leave none out are one figure."""
@@ -964,7 +964,7 @@ def tiled_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH r AS (SELECT l_orderkey AS k, l_linenumber AS i, l_quantity::DOUBLE AS w, 100.0 * l_linenumber AS y FROM lineitem), f AS (SELECT k, count(*) AS n FROM r GROUP BY k)
+    """WITH r AS (SELECT l_orderkey AS k, l_linenumber AS i, l_quantity::DOUBLE AS w, (100 * l_linenumber)::DOUBLE AS y FROM lineitem)
     SELECT k AS o_orderkey, i::INT AS ord, 50.0::DOUBLE AS x, y, w AS width FROM r WHERE w >= 24 AND NOT (i % 3 = 0) AND y <= 0.92 * 700"""
 )
 def drawn_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
