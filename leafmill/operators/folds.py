@@ -8,10 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Spark's types as Arrow's, for what a fold returns.
+ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64())}
+
 
 def folded(rows: DataFrame, by: list[str], order: list[str], value: str, state: Callable[[], Callable], out: dict[str, str], keep: list[str] | None = None) -> DataFrame:
     """by, order, keep and the columns ``out`` (name: type): what a fresh ``state()`` returns for each value of its group, in order; group keys are not null.
@@ -21,20 +24,21 @@ def folded(rows: DataFrame, by: list[str], order: list[str], value: str, state:
     types = dict(rows.dtypes)
     keys = [*by, *[c for c in order if c not in by], *(keep or [])]
     schema = ", ".join([f"{c} {types[c]}" for c in keys] + [f"{c} {t}" for c, t in out.items()])
-    names = list(out)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, step = None, None
-        for part in parts:
+        for batch in batches:
             found = []
-            for *group, v in part[[*by, "_value"]].itertuples(index=False, name=None):
+            for *group, v in zip(*[batch.column(c).to_pylist() for c in (*by, "_value")], strict=True):
                 if step is None or group != at:
                     at, step = group, state()
                 found.append(step(v))
-            yield pd.concat([part[keys].reset_index(drop=True), pd.DataFrame(found, columns=names)], axis=1)
+            made = list(zip(*found, strict=True)) or [()] * len(out)
+            columns = [pa.array(list(x), ARROW[t]) for x, t in zip(made, out.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keys], *columns], [*keys, *out])
 
     kept = rows.select(*keys, F.col(value).alias("_value"))
-    return dealt(kept, by, order).mapInPandas(run, schema)
+    return dealt(kept, by, order).mapInArrow(run, schema)
 
 
 def dealt(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:

@@ -1,60 +1,85 @@
 """Lines, runs and paragraphs.
 
-Only what depends on the path taken (which open row takes a span, whether a line
-closes the open paragraph) runs in a small grouped function for each page; gaps,
-sizes, texts and attributes are windows and aggregates over its result.
+What depends on the order of spans (which open row takes one, where a row is cut,
+whether a line closes the open paragraph) are folds over sorted rows: a page's
+spans are dealt out once and come out as lines.  Attributes of paragraphs are
+windows and aggregates over lines.
 """
 
 from __future__ import annotations
 
 from bisect import insort
+from collections import deque
+from collections.abc import Iterator
+from itertools import repeat
+from statistics import median
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from leafmill import constants as C
 from leafmill.functions import geometry as G
 from leafmill.functions.text import join_separator, line_marker
-from leafmill.operators.folds import folded
+from leafmill.operators.folds import ARROW, dealt, folded
 from leafmill.operators.spans import PAGE
 
 
-def _rows(page: pd.DataFrame) -> pd.DataFrame:
-    """Row of each span: the first of the four newest rows on whose typical baseline it stands."""
-    page = page.sort_values(["baseline", "x", "ord"], kind="stable")
-    base, size = page["baseline"].tolist(), page["size"].tolist()
-    line = page["line_id"].tolist() if "line_id" in page else [None] * len(page)
-    rows: list[tuple[list[float], float, float, bool, set]] = []  # baselines, largest size and its baseline, one size only, line ids
-    out = np.empty(len(page), np.int64)
-    for i in range(len(page)):
-        for r in range(max(0, len(rows) - C.ROWS_BACK), len(rows)):
-            baselines, largest, at, even, ids = rows[r]
-            typical = (baselines[(len(baselines) - 1) // 2] + baselines[len(baselines) // 2]) / 2 if even and abs(size[i] - largest) < 0.01 else at
-            if (line[i] is not None and line[i] in ids) or abs(typical - base[i]) <= max(C.BASELINE_MIN, C.BASELINE_SHARE * min(largest, size[i])):
+class Rows:
+    """Row of each span of a page, which come by baseline, x and ord: the first of the four newest rows on whose typical baseline it stands."""
+
+    def __init__(self):
+        self.rows: deque[list] = deque(maxlen=C.ROWS_BACK)  # number, baselines, largest size and its baseline, one size only, line ids
+        self.n, self.before = 0, (None, None, None)
+
+    def __call__(self, base: float, size: float, line: object) -> int:
+        # Rows that did not take a span like this one just now have not changed since.
+        same = line is None and self.before[:2] == (base, size)
+        for row in self.rows:
+            number, baselines, largest, at, even, ids = row
+            if same and number < self.before[2]:
+                continue
+            typical = (baselines[(len(baselines) - 1) // 2] + baselines[len(baselines) // 2]) / 2 if even and abs(size - largest) < 0.01 else at
+            if (line is not None and line in ids) or abs(typical - base) <= max(C.BASELINE_MIN, C.BASELINE_SHARE * min(largest, size)):
                 break
         else:
-            r = len(rows)
-            rows.append(([], size[i], base[i], True, set()))
-        baselines, largest, at, even, ids = rows[r]
-        insort(baselines, base[i])
-        ids.add(line[i])
-        if size[i] > largest:
-            largest, at = size[i], base[i]
-        rows[r] = (baselines, largest, at, even and abs(size[i] - largest) < 0.01, ids)
-        out[i] = r
-    return page.assign(row=out)
+            row = [self.n, [], size, base, True, set()]
+            self.n += 1
+            self.rows.append(row)
+        insort(row[1], base)
+        if line is not None:
+            row[5].add(line)
+        if size > row[2]:
+            row[2], row[3] = size, base
+        row[4] = row[4] and abs(size - row[2]) < 0.01
+        self.before = (base, size, row[0]) if line is None else (None, None, None)
+        return row[0]
 
 
 def rows_of(spans: DataFrame, by: list[str] = PAGE) -> DataFrame:
-    """spans with the column row, numbered from the top of each page (or of each part of one, by more keys)."""
-    key = [*by, "ord"]
-    kept = [*key, "x", "baseline", "size", *(["line_id"] if "line_id" in spans.columns else [])]
-    schema = ", ".join(f"{c} {t}" for c, t in spans.select(*key).dtypes) + ", row bigint"
-    found = spans.select(*kept).groupBy(*by).applyInPandas(lambda page: _rows(page)[[*key, "row"]], schema)
-    return spans.join(found, key)
+    """spans with the column row, numbered from the top of each page (or of each part of one, by more keys).
+
+    One pass over sorted spans, with all their columns: nothing is joined back
+    and no page is held.
+    """
+    told = "line_id" in spans.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, step = None, None
+        for batch in batches:
+            lines_ = batch.column("line_id").to_pylist() if told else repeat(None, batch.num_rows)
+            found = []
+            for *group, base, size, line in zip(*[batch.column(c).to_pylist() for c in (*by, "baseline", "size")], lines_, strict=True):
+                if step is None or group != at:
+                    at, step = group, Rows()
+                found.append(step(base, size, line))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], [*batch.schema.names, "row"])
+
+    schema = StructType([*spans.schema.fields, StructField("row", LongType())])
+    return dealt(spans, by, ["baseline", "x", "ord"]).mapInArrow(run, schema)
 
 
 def script_pair(a: str, b: str) -> Column:
@@ -123,13 +148,57 @@ def lines(spans: DataFrame, join_wide_gaps: bool = False) -> DataFrame:
 
     Size and baseline are medians over members of at least 85 % of the largest size.
     """
-    parts = split_at_gaps(rows_of(spans), join_wide_gaps)
-    key = [*PAGE, "row", "part"]
-    marked = parts.withColumn("_main", F.col("size") >= C.MAIN_SIZE_SHARE * F.max("size").over(W.partitionBy(*key)))
-    main = [F.percentile(F.when(F.col("_main"), F.col(c)), F.lit(0.5)).alias(c) for c in ("size", "baseline")]
-    sorted_ = F.array_sort(F.collect_list(F.struct("x", "ord", "width", "size", "text")))
-    held = marked.groupBy(*key).agg(*G.bounds(G.box()), *main, sorted_.alias("s"))
-    return held.select(*key, "x", "y", "width", "height", "size", "baseline", _text(F.col("s")).alias("text"), F.size("s").cast("long").alias("n"))
+    told = ["line_id"] if "line_id" in spans.columns else []
+    rows = rows_of(spans.select(*PAGE, "ord", "text", "x", "y", "width", "height", "baseline", "size", *told)).sortWithinPartitions(*PAGE, "row", "x", "ord")
+    types = dict(rows.dtypes)
+    names = ["x", "y", "width", "height", "size", "baseline", "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, part, open_ = None, 0, []
+        for batch in batches:
+            done = []
+            for *row, x, y, width, height, size, baseline, text in zip(*[batch.column(c).to_pylist() for c in (*PAGE, "row", *names)], strict=True):
+                if open_ and row == at:
+                    before = open_[-1]
+                    wide = not join_wide_gaps and x - (before[0] + before[2]) > max(C.GAP_MIN, C.GAP_SHARE * min(before[4], size))
+                if at is None or row != at or wide:
+                    done += [(*at, part, *_line(open_))] if open_ else []
+                    at, part, open_ = row, part + 1 if row == at else 0, []
+                open_.append((x, y, width, height, size, baseline, text))
+            yield table(done)
+        if open_:
+            yield table([(*at, part, *_line(open_))])
+
+    def table(done: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate(kinds)], out)
+
+    out = [*PAGE, "row", "part", *names, "n"]
+    schema = ", ".join([*[f"{c} {types[c]}" for c in (*PAGE, "row")], "part bigint", *[f"{c} {'string' if c == 'text' else 'double'}" for c in names], "n bigint"])
+    kinds = [ARROW[types[c]] for c in (*PAGE, "row")] + [ARROW["bigint"]] + [ARROW["string" if c == "text" else "double"] for c in names] + [ARROW["bigint"]]
+    return rows.mapInArrow(run, schema)
+
+
+def _line(spans: list[tuple]) -> tuple:
+    """x, y, width, height, size, baseline, text and n of a line's spans (x, y, width, height, size, baseline, text), which come by x.
+
+    A gap over 16 % of the smaller size reads as a space, one wider than a tab as a tab.
+    """
+    left, top = min(s[0] for s in spans), min(s[1] for s in spans)
+    right, bottom = max(s[0] + s[2] for s in spans), max(s[1] + s[3] for s in spans)
+    least = C.MAIN_SIZE_SHARE * max(s[4] for s in spans)
+    main = [s for s in spans if s[4] >= least]
+    texts, end, last, tail = [], None, None, " "  # tail: the last character so far; before all text it counts as a space
+    for x, _, width, _, size, _, text in spans:
+        if end is not None:
+            gap, small = x - end, min(last, size)
+            if gap > max(C.GAP_MIN, C.GAP_SHARE * small):
+                texts.append("\t")
+            elif gap > C.SPACE_SHARE * small and tail != " " and not text.startswith(" "):
+                texts.append(" ")
+        texts.append(text)
+        tail = (texts[-1] or (texts[-2] if len(texts) > 1 else "") or tail)[-1]
+        end, last = x + width, size
+    return left, top, right - left, bottom - top, median(s[4] for s in main), median(s[5] for s in main), "".join(texts), len(spans)
 
 
 def _text(spans: Column) -> Column:
@@ -203,8 +272,9 @@ def broken(lines_: DataFrame) -> DataFrame:
         F.coalesce(new, F.lit(False)).alias("new"), "x", "size", F.coalesce(marker.isin("list", "chinese"), F.lit(False)).alias("listed"), (F.col("baseline") - before["baseline"]).alias("gap"), (F.col("x") - left).alias("indent"),
         F.abs(before["x"] - left).alias("margin"), F.abs(F.col("x") - before["x"]).alias("jump"),
     )
-    told = folded(lines_.withColumn("_v", value), PAGE, ["y", "x", "row", "part"], "_v", Open, {"paragraph": "bigint"})
-    return lines_.join(told, [*PAGE, "y", "x", "row", "part"])
+    order = ["y", "x", "row", "part"]
+    rest = [c for c in lines_.columns if c not in (*PAGE, *order)]
+    return folded(lines_.withColumn("_v", value), PAGE, order, "_v", Open, {"paragraph": "bigint"}, rest).select(*lines_.columns, "paragraph")
 
 
 def paragraphs(lines_: DataFrame) -> DataFrame:

@@ -7,8 +7,12 @@ integers or halves, so doubles compare exactly.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -22,14 +26,38 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "text"))
 
 
+#: Documents that are cut into words together.
+TOGETHER = 64
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of each line of whole texts, with their number and where they begin (in characters)."""
+    for whole in batches:
+        for k in range(0, whole.num_rows, TOGETHER):
+            batch = whole.slice(k, TOGETHER)
+            lines_ = pc.split_pattern(batch.column(1), "\n")
+            of_doc, texts = pc.list_parent_indices(lines_), pc.list_flatten(lines_)
+            words_ = pc.split_pattern(texts, " ")
+            of_line, found = pc.list_parent_indices(words_), pc.list_flatten(words_)
+            n, row = len(found), of_line.to_numpy()
+            chars = pc.utf8_length(found).to_numpy().astype(np.int64)
+            ends = np.cumsum(chars + 1)
+            new = np.append(True, row[1:] != row[:-1])[:n]
+            first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+            start = ends - chars - 1
+            doc = of_doc.to_numpy()
+            opens = np.append(True, doc[1:] != doc[:-1])[: len(doc)]
+            line_no = np.arange(len(doc)) - np.maximum.accumulate(np.where(opens, np.arange(len(doc)), 0))
+            columns = [batch.column(0).take(of_doc.take(of_line)), pa.array(line_no[row].astype(np.int32)), pa.array((np.arange(n) - first).astype(np.int32)), found, pa.array(start - start[first]), pa.array(chars)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line_no", "ord", "text", "at", "chars"])
+
+
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, page (1), line_no, ord (word in its line), text, x, y, width, height, baseline, size."""
-    words = lines(spark, sf_dir).select("doc_id", "line_no", F.posexplode(F.split("text", " ", -1)).alias("ord", "text"))
-    before = W.partitionBy("doc_id", "line_no").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
-    chars = F.char_length("text")
-    x = 6.0 * F.coalesce(F.sum(chars + 1).over(before), F.lit(0))
+    """doc_id, page (1), line_no, ord (word in its line), text, x, y, width, height, baseline, size; each document where it is read, nothing is shuffled."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").where("text is not null")
+    words = docs.mapInArrow(_placed, f"doc_id {dict(docs.dtypes)['doc_id']}, line_no int, ord int, text string, at bigint, chars bigint")
     return words.select(
-        "doc_id", F.lit(1).alias("page"), "line_no", "ord", "text", x.alias("x"), (12.0 * F.col("line_no")).alias("y"), (6.0 * chars).alias("width"),
+        "doc_id", F.lit(1).alias("page"), "line_no", "ord", "text", (6.0 * F.col("at")).alias("x"), (12.0 * F.col("line_no")).alias("y"), (6.0 * F.col("chars")).alias("width"),
         F.lit(12.0).alias("height"), (12.0 * F.col("line_no") + 10).alias("baseline"), F.lit(12.0).alias("size"),
     )
 
