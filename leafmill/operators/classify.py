@@ -47,25 +47,31 @@ def footers(spans: DataFrame, pages: DataFrame, recurring: DataFrame | None = No
     several pages.  On scanned pages the line is a short number in the middle of
     the lowest 12 %.  Years of dates are no page numbers.
     """
+    sheet = pages.select(*PAGE, F.col("width").alias("pw"), F.col("height").alias("ph"), "body_size", F.col("source").alias("origin"))
+    at = spans.join(sheet, PAGE)
+    # All spans tell the rows; what else they hold goes along only where a footer can stand.
+    low = F.coalesce(F.col("y") > F.when(F.col("origin") == "ocr", 0.88).otherwise(C.FOOTER_FROM) * F.col("ph"), F.lit(False))
+    narrow = at.select(*PAGE, "ord", "x", "baseline", "size", *(["line_id"] if "line_id" in spans.columns else []), F.when(low, F.struct("pw", "ph", "body_size", "origin", F.struct(*spans.columns).alias("span"))).alias("low"))
+    held = L.rows_of(narrow).groupBy(*PAGE, "row").agg(F.bool_and(F.col("low").isNotNull()).alias("all"), F.collect_list("low").alias("spans")).where("all")
+    rows = held.select("row", F.explode("spans").alias("s")).select("row", "s.pw", "s.ph", "s.body_size", "s.origin", "s.span.*")
     key = [*PAGE, "row"]
     years = date_years(spans).select(*PAGE, "ord").withColumn("dated", F.lit(True))
-    rows = L.rows_of(spans).join(years, [*PAGE, "ord"], "left")
+    rows = rows.join(years, [*PAGE, "ord"], "left")
     if recurring is not None:
         rows = rows.join(recurring.select(*PAGE, "ord").distinct().withColumn("again", F.lit(True)), [*PAGE, "ord"], "left")
     else:
         rows = rows.withColumn("again", F.lit(None).cast("boolean"))
-    rows = rows.join(pages.select(*PAGE, F.col("width").alias("pw"), F.col("height").alias("ph"), "body_size", F.col("source").alias("origin")), PAGE)
     small = trimmed(F.col("text")).rlike(NUMBER) & (F.col("width") < 0.08 * F.col("pw")) & (F.col("size") <= 1.4 * F.col("body_size"))
     held = rows.groupBy(*key, "pw", "ph", "origin").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "ord", "text"))), lambda s: s["text"]), "").alias("line"), F.min("x").alias("x"), F.min("y").alias("y"), (F.max(F.col("x") + F.col("width")) - F.min("x")).alias("width"),
-        F.bool_and(F.coalesce("again", F.lit(False)) | small).alias("all"), F.bool_or(F.coalesce("dated", F.lit(False))).alias("dated"),
+        F.bool_and(F.coalesce("again", F.lit(False)) | small).alias("all"), F.bool_or(F.coalesce("dated", F.lit(False))).alias("dated"), F.collect_list(F.struct(*spans.columns)).alias("spans"),
     )
     centred = F.abs(F.col("x") + F.col("width") / 2 - F.col("pw") / 2) < 0.08 * F.col("pw")
     scanned = trimmed(F.col("line")).rlike(NUMBER) & (F.col("y") > 0.88 * F.col("ph")) & (F.col("width") < 0.08 * F.col("pw")) & centred
     native = (F.col("y") > C.FOOTER_FROM * F.col("ph")) & (F.col("line").rlike(FOOTER) | F.col("all"))
     found = held.where(~F.col("dated") & F.when(F.col("origin") == "ocr", scanned).otherwise(native))
-    first = found.groupBy(*PAGE).agg(F.min(F.struct("y", "x", "row")).alias("f")).select(*PAGE, F.col("f.row").alias("row"))
-    return rows.join(first, key, "left_semi").select(*spans.columns)
+    first = found.groupBy(*PAGE).agg(F.min_by("spans", F.struct("y", "x", "row")).alias("spans"))
+    return first.select(F.explode("spans").alias("s")).select("s.*")
 
 
 def drawn_rules(rules: DataFrame, pages: DataFrame, tables: DataFrame, underlining: DataFrame) -> DataFrame:
