@@ -36,7 +36,11 @@ def reliable(df: DataFrame) -> DataFrame:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder, read back: made once, where a checkpoint is made twice; keeps statistics for the joins after it."""
+    """df as a table in the shared folder, read back: made once, where a checkpoint is made twice.
+
+    Its joins are sorted ones: files of like rows are a small part of the rows'
+    size, so millions of them would pass for a table to broadcast and come to the driver.
+    """
     path = f"{shared_dir(df.sparkSession)}/leafmill-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).hint("merge")
