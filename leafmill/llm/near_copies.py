@@ -1,13 +1,15 @@
 """Near copies by five-word similarity, for the pipeline's second stage.
 
-At a similarity of 0.8 two 64-bit SimHashes lie about 10 bits apart (24 with
-four deviations), and within so many bits a binary trie prunes next to nothing.
-The stage therefore finds its candidates by min-hashes of the shingle set:
+Documents of one shingle set are one class.  The binary-trie self-join of operator
+1 links the SimHashes of the sets that differ in at most two bits, and the classes
+that it brings together are compared.  At a similarity of 0.8 SimHashes lie about 10
+bits apart (24 with four deviations), and within so many bits a trie prunes next
+to nothing, so what lies further apart is found by min-hashes of the shingle set:
 BANDS keys of ROWS minima each.  A pair of similarity J shares no key with
 probability (1 - J ** ROWS) ** BANDS, 2 in a million at 0.8 and less above.
-An exact Jaccard similarity over the sets of shingles decides.
+An exact Jaccard similarity over the sets of shingles decides on all of them.
 
-Documents of one shingle set are one class.  Classes are first compared with the
+Besides the trie's pairs, classes are first compared with the
 least class of their keys: each with one hub, then, where that one did not link
 them, with the hubs of their other keys.  Under keys whose classes are not all
 linked by then, those outside the largest component visit the others: a key's
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from leafmill.llm import runs
+from leafmill.llm import runs, simhash_trie
 from leafmill.llm.common import blobs, map_batches, release, settle, sliced, unsqueezed
 from leafmill.llm.components import components
 
@@ -68,6 +70,14 @@ def keys(hashes: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def simhash(hashes: np.ndarray) -> int:
+    """64-bit SimHash of a set of shingles as a signed number; 0 for an empty set."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 1 << 15):
+        ones += np.unpackbits(hashes[i : i + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def mark_of(key: int) -> int:
     """The lower 32 bits of a key, as a signed number: what tells the keys of two classes apart where many are compared."""
     return int(np.array(key, np.int64).astype(np.int32))
@@ -79,7 +89,7 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _marked(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, key, n, bands, marks, text): key names the shingle set, n is its size, marks are the keys' lower halves, text is a Zstandard frame."""
+    """(doc_id, h, key, fp, n, bands, marks, text): key names the shingle set, fp is its SimHash, n its size, marks are the keys' lower halves, text is a Zstandard frame."""
     import zstandard
 
     def make(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -88,10 +98,21 @@ def _marked(docs: DataFrame) -> DataFrame:
         sets = shingles(texts)
         named = np.array([xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
         bands = [keys(s) for s in sets]
-        yield {"doc_id": batch.column(0), "h": batch.column(2), "key": named, "n": [len(s) for s in sets], "bands": bands, "marks": [b.astype(np.int32).tobytes() for b in bands], "text": [pack(t) for t in texts]}
+        yield {"doc_id": batch.column(0), "h": batch.column(2), "key": named, "fp": [simhash(s) for s in sets], "n": [len(s) for s in sets], "bands": bands, "marks": [b.astype(np.int32).tobytes() for b in bands], "text": [pack(t) for t in texts]}
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("h"))
-    return map_batches(rows, "doc_id long,h long,key long,n int,bands array<long>,marks binary,text binary", make)
+    return map_batches(rows, "doc_id long,h long,key long,fp long,n int,bands array<long>,marks binary,text binary", make)
+
+
+def by_trie(classes: DataFrame, budget: int = simhash_trie.BUDGET) -> DataFrame:
+    """(u, v): the least class of each component of SimHashes (fp) that differ in at most ``budget`` bits, with the component's other classes (key); a settled table."""
+    named = settle(classes.where("n > 0").select("key", "fp"))
+    roots = components(simhash_trie.links(named.select("fp").distinct(), budget)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
+    rooted = settle(named.join(roots, "fp", "left").select("key", F.coalesce("root", "fp").alias("root")))
+    least = settle(rooted.groupBy("root").agg(F.min("key").alias("u"), F.count("*").alias("held")).where("held > 1").drop("held"))
+    out = settle(rooted.join(least, "root").where("key <> u").select("u", F.col("key").alias("v")))
+    release(named, rooted, least)
+    return out
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -150,18 +171,20 @@ def _visits(similarity: float):
 
 
 def links(marked: DataFrame, classes: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """(u, v): links between classes (key, n, bands) with the components of all pairs as similar as that; a settled table."""
+    """(u, v): links between classes (key, fp, n, bands) with the components of all pairs as similar as that; a settled table."""
     at = classes.select("key", "n", F.explode("bands").alias("band"))
     shared = settle(at.groupBy("band").agg(F.count("*").alias("held"), F.min("key").alias("hub")).where("held > 1").drop("held"))
     at = settle(at.join(shared, "band"))
-    texts = settle(marked.join(at.select("key").distinct(), "key", "left_semi").select("key", "marks", "text").dropDuplicates(["key"]))
+    alike = by_trie(classes)
+    wanted = at.select("key").union(alike.select("u")).union(alike.select("v")).distinct()
+    texts = settle(marked.join(wanted, "key", "left_semi").select("key", "marks", "text").dropDuplicates(["key"]))
     first = settle(at.where("key <> hub").groupBy("key").agg(F.min("hub").alias("u")).select("u", F.col("key").alias("v")))
-    near = settle(_verified(first, texts, similarity))
+    near = settle(_verified(alike.union(first).distinct(), texts, similarity))
     known = settle(_rooted(at, near))
     hubs = settle(known.where("key = hub").groupBy(F.col("key").alias("hub")).agg(F.min("root").alias("hub_root")))
     stars = known.where("key <> hub").join(hubs, "hub").where("root <> hub_root").select(F.col("hub").alias("u"), F.col("key").alias("v")).distinct()
     found = settle(near.union(_verified(stars.join(first, ["u", "v"], "left_anti"), texts, similarity)))
-    release(shared, first, near, known, hubs)
+    release(shared, alike, first, near, known, hubs)
     known = settle(_rooted(at, found))
     mixed = known.groupBy("band", "root").agg(F.count("*").alias("held"), F.sum("n").alias("n")).groupBy("band").agg(F.max(F.struct("held", "root")).alias("most"), F.count("*").alias("roots"), F.sum("n").alias("n"))
     mixed = settle(mixed.where("roots > 1").select("band", F.col("most.root").alias("most"), F.ceil(F.col("n") / block).cast("int").alias("blocks")))
@@ -183,7 +206,7 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, block: int = BL
     without words are one group.
     """
     marked = settle(_marked(docs.where("doc_id is not null")))
-    classes = settle(marked.groupBy("key").agg(F.min(F.struct("doc_id", "h")).alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    classes = settle(marked.groupBy("key").agg(F.min(F.struct("doc_id", "h")).alias("least"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands")))
     linked = links(marked, classes, similarity, block)
     roots = settle(components(linked).select(F.col("u").alias("key"), F.col("v").alias("root")))
     keep = classes.select("key", "least").join(roots, "key", "left").groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("least").alias("least"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 from leafmill.llm import near_copies
 
 
@@ -84,3 +85,14 @@ def test_shingles():
     texts = [b"", b" \n", b"A b", b"a  B", b"one two three four five", b"x " * 500, "É é a b c d".encode()]
     sets = near_copies.shingles(texts)
     assert [len(s) for s in sets] == [0, 0, 1, 1, 1, 1, 2] and sets[2][0] == sets[3][0]
+
+
+def test_the_trie_brings_near_copies_together(spark):
+    rnd = random.Random(21)
+    texts = [" ".join(f"{rnd.randrange(10**6):x}" for _ in range(2000)) for _ in range(40)]
+    texts += [texts[3] + " more", texts[5] + " x y", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marked = near_copies._marked(docs).select("doc_id", "key", "fp", "n").cache()
+    at = {r.key: r.doc_id for r in marked.collect()}
+    assert {frozenset((at[r.u], at[r.v])) for r in near_copies.by_trie(marked).collect()} == {frozenset((3, 40)), frozenset((5, 41))}
+    assert near_copies.simhash(np.empty(0, np.uint64)) == 0
