@@ -18,17 +18,18 @@ import math
 from collections import deque
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafmill.functions import geometry as G
-from leafmill.operators.folds import dealt, folded
+from leafmill.operators.folds import ARROW, dealt
 from leafmill.operators.spans import PAGE
 
 #: What a page begins with, and what a restore without a save brings back.
 START = {"fill": "000000", "stroke": "000000", "width": 1.0, "blend": "source-over", "opacity": 1.0, "mode": 0, "char_spacing": 0.0, "word_spacing": 0.0, "matrix": (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)}
+NEUTRAL = ("show_text", "image", "path")
 SETS = {"line_width": "width", "opacity": "opacity", "text_mode": "mode", "char_spacing": "char_spacing", "word_spacing": "word_spacing"}
 STATE = {"fill": "string", "stroke": "string", "width": "double", "blend": "string", "opacity": "double", "mode": "int", "char_spacing": "double", "word_spacing": "double", "matrix": "array<double>", "text_matrix": "array<double>", "font_size": "double"}
 
@@ -41,36 +42,65 @@ def product(m: tuple, n: tuple) -> tuple:
 
 
 class Replay:
-    """The state after each operator; text matrix and font are not saved."""
+    """The state after each operator; text matrix and font are not saved.  A state is never changed, only replaced."""
 
     def __init__(self):
-        self.now, self.saved = dict(START), []
+        self.now, self.saved = START, []
         self.text_matrix, self.size = START["matrix"], 0.0
 
-    def __call__(self, v: dict) -> tuple:
-        op, nums, text = v["op"], [float(x) for x in v["nums"]] if v["nums"] is not None else [], v["text"]
+    def __call__(self, op: str, nums: list | None, text: str | None) -> bool:
+        """Whether the operator is one that can change the state."""
+        if op in NEUTRAL:
+            return False
+        nums = [float(x) for x in nums] if nums is not None else []
         if op in ("save", "form_begin"):
-            self.saved.append(dict(self.now))
+            self.saved.append(self.now)
         elif op in ("restore", "form_end"):
-            self.now = self.saved.pop() if self.saved else dict(START)
+            self.now = self.saved.pop() if self.saved else START
         if op in ("transform", "form_begin") and len(nums) == 6:
-            self.now["matrix"] = product(self.now["matrix"], nums)
+            self.now = {**self.now, "matrix": product(self.now["matrix"], nums)}
         elif op in ("fill_color", "stroke_color") and text is not None:
-            self.now[op[:-6]] = text.replace("#", "", 1).upper()
+            self.now = {**self.now, op[:-6]: text.replace("#", "", 1).upper()}
         elif op == "blend" and text is not None:
-            self.now["blend"] = text
+            self.now = {**self.now, "blend": text}
         elif op in SETS and nums:
-            self.now[SETS[op]] = int(nums[0]) if op == "text_mode" else nums[0]
+            self.now = {**self.now, SETS[op]: int(nums[0]) if op == "text_mode" else nums[0]}
         elif op == "text_matrix" and len(nums) == 6:
             self.text_matrix = tuple(nums)
         elif op == "font" and nums:
             self.size = abs(nums[0])
-        return (*(list(x) if isinstance(x, tuple) else x for x in self.now.values()), list(self.text_matrix), self.size)
+        return op != "save"
 
+    def get(self, name: str) -> object:
+        return self.text_matrix if name == "text_matrix" else self.size if name == "font_size" else self.now[name]
 
-def replayed(ops: DataFrame) -> DataFrame:
-    """ops with the state that holds after each of them: the columns of STATE."""
-    return folded(ops.withColumn("_v", F.struct("op", "nums", "text")), PAGE, ["i"], "_v", Replay, STATE, ["op", "nums", "text"])
+
+def replayed(ops: DataFrame, wanted: list[str] | None = None) -> DataFrame:
+    """ops with the state that holds after each of them: the columns of STATE, or those of them that are wanted.
+
+    A state is written once for the operators that leave it as it is.
+    """
+    names = [c for c in STATE if wanted is None or c in wanted]
+    keep = [*PAGE, "i", "op", "nums", "text"]
+    types = dict(ops.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state = None, Replay()
+        for batch in batches:
+            states, which = [], []
+            for *page, op, nums, text in zip(*[batch.column(c).to_pylist() for c in (*PAGE, "op", "nums", "text")], strict=True):
+                new = page != at
+                if new:
+                    at, state = page, Replay()
+                if state(op, nums, text) or new or not states:
+                    states.append([state.get(c) for c in names])
+                which.append(len(states) - 1)
+            place = pa.array(which, pa.int32())
+            columns = [pa.array([s[k] for s in states], ARROW[STATE[c]]).take(place) for k, c in enumerate(names)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *columns], [*keep, *names])
+
+    schema = ", ".join([*[f"{c} {types[c]}" for c in keep], *[f"{c} {STATE[c]}" for c in names]])
+    return dealt(ops.select(*keep), PAGE, ["i"]).mapInArrow(run, schema)
 
 
 def transformed(matrix: Column, x: Column, y: Column) -> tuple[Column, Column]:
@@ -119,7 +149,9 @@ def segments(commands: DataFrame, state: DataFrame, views: DataFrame) -> DataFra
     path = W.partitionBy(*PAGE, "i").orderBy("k")
     so_far = path.rowsBetween(W.unboundedPreceding, 0)
     moved = F.col("command") == "move"
-    known = commands.join(state.select(*PAGE, "i", "matrix"), [*PAGE, "i"]).join(views, PAGE).withColumn("_m", _composed(F.col("view"), F.col("matrix")))
+    # Paths get their page's view, commands their path's matrix: what comes after goes by path.
+    matrices = state.select(*PAGE, "i", "matrix").join(views, PAGE).select(*PAGE, "i", _composed(F.col("view"), F.col("matrix")).alias("_m"))
+    known = commands.join(matrices, [*PAGE, "i"])
     x, y = transformed(F.col("_m"), F.col("x"), F.col("y"))
     known = known.withColumns({"px": x, "py": y, "subpath": F.sum(moved.cast("int")).over(so_far)})
     known = known.withColumns({f"f{c}": F.last(F.when(moved, F.col(f"p{c}")), True).over(so_far) for c in "xy"})
@@ -246,26 +278,33 @@ def aligned(spans: DataFrame, runs: DataFrame) -> DataFrame:
     Both streams come sorted by the place of their characters, so what is held
     is by how much one runs ahead of the other.
     """
-    type_ = dict(spans.dtypes)["ord"]
-    paint = _offsets(runs, "i").select(*PAGE, "from", F.lit(0).alias("side"), F.lit(None).cast(type_).alias("ord"), "bare")
-    text = _offsets(spans, "ord").select(*PAGE, "from", F.lit(1).alias("side"), "ord", "bare")
-    kinds = dict(paint.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in PAGE) + f", ord {type_}, start bigint, end bigint"
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    type_, step = dict(spans.dtypes)["ord"], dict(runs.dtypes)["i"]
+    paint = runs.select(*PAGE, F.lit(0).alias("side"), "i", F.lit(None).cast(type_).alias("ord"), _bare("text").alias("bare"))
+    text = spans.select(*PAGE, F.lit(1).alias("side"), F.lit(None).cast(step).alias("i"), "ord", _bare("text").alias("bare"))
+    # Both are dealt out by page once: places and the fold are of the same partition.
+    both = paint.unionByName(text).where("bare <> ''").withColumn("_group", F.xxhash64(*PAGE)).repartition("_group")
+    to = F.sum(F.char_length("bare")).over(W.partitionBy("_group", *PAGE, "side").orderBy("i", "ord").rowsBetween(W.unboundedPreceding, 0))
+    placed = both.withColumn("from", to - F.char_length("bare")).select(*PAGE, "from", "side", "ord", "bare").sortWithinPartitions(*PAGE, "from", "side", "ord")
+    kinds = dict(placed.dtypes)
+    out = {**{c: kinds[c] for c in PAGE}, "ord": type_, "start": "bigint", "end": "bigint"}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, state = None, Aligned()
-        for part in parts:
+        for batch in batches:
             found = []
-            for *page, side, ord_, bare in part[[*PAGE, "side", "ord", "bare"]].itertuples(index=False, name=None):
+            for *page, side, ord_, bare in zip(*[batch.column(c).to_pylist() for c in (*PAGE, "side", "ord", "bare")], strict=True):
                 if page != at:
                     found += [(*at, *x) for x in state.settle(True)] if at is not None else []
                     at, state = page, Aligned()
                 found += [(*page, *x) for x in (state.span(ord_, bare) if side else state.paint(bare))]
-            yield pd.DataFrame(found, columns=[*PAGE, "ord", "start", "end"])
+            yield table(found)
         if at is not None:
-            yield pd.DataFrame([(*at, *x) for x in state.settle(True)], columns=[*PAGE, "ord", "start", "end"])
+            yield table([(*at, *x) for x in state.settle(True)])
+
+    def table(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], ARROW[t]) for k, t in enumerate(out.values())], list(out))
 
-    return dealt(paint.unionByName(text), PAGE, ["from", "side", "ord"]).mapInPandas(run, schema)
+    return placed.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in out.items()))
 
 
 def paint_runs(state: DataFrame) -> DataFrame:

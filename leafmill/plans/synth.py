@@ -90,6 +90,13 @@ def words(spark: SparkSession, sf_dir: str, per_page: int = 100) -> DataFrame:
     return found.select("doc_id", F.floor(F.col("n") / per_page).alias("page"), (F.col("n") % per_page).alias("k"), "text")
 
 
+def page_words(spark: SparkSession, sf_dir: str, per_page: int = 100) -> DataFrame:
+    """doc_id, page, words: those of ``words`` as one array a page, cut where documents are read."""
+    found = table(spark, sf_dir, "documents").select("doc_id", F.expr(r"filter(split(text, '[ \\t-\\r]+'), w -> w <> '')").alias("w")).where("size(w) > 0")
+    pages = found.select("doc_id", "w", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.size("w") - 1) / per_page))).alias("page"))
+    return pages.select("doc_id", "page", F.slice("w", (F.col("page") * per_page + 1).cast("int"), F.lit(per_page)).alias("words"))
+
+
 WORDS_SQL = r"""words AS MATERIALIZED (
   SELECT doc_id, n // 100 AS page, n % 100 AS k, text FROM (
     SELECT doc_id, unnest(w) AS text, unnest(range(len(w))) AS n FROM (SELECT doc_id, [x for x in regexp_split_to_array(text, '[ \t-\r]+') if x <> ''] AS w FROM documents))

@@ -7,6 +7,7 @@ import random
 import pandas as pd
 import pytest
 from leafmill.operators import classify as Y
+from leafmill.operators import drawing as Z
 from leafmill.operators import lines as L
 from leafmill.plans import synth
 from leafmill.shared import settled
@@ -85,3 +86,27 @@ def test_settled_tables_are_not_broadcast(spark):
     small = settled(spark.range(1000).selectExpr("id % 3 as k", "id"))
     joined = spark.range(10).withColumnRenamed("id", "k").join(small, "k")
     assert "SortMergeJoin" in plan(joined) and "Broadcast" not in plan(joined)
+
+
+def test_paint_and_text_are_dealt_out_once(spark):
+    spans = spark.createDataFrame([(1, 1, 0, "ab"), (1, 1, 1, " "), (1, 1, 2, "cd"), (2, 1, 0, "x")], "doc_id long, page int, ord long, text string")
+    runs = spark.createDataFrame([(1, 1, 0, "abc"), (1, 1, 1, "d"), (2, 1, 5, "yx")], "doc_id long, page int, i int, text string")
+    found = Z.aligned(spans, runs)
+    assert exchanges(found) == 1
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 1, 0, 0, 2), (1, 1, 2, 2, 4), (2, 1, 0, 1, 2)]
+
+
+def test_pages_of_words_are_cut_where_documents_are_read(spark, documents):
+    pages = synth.page_words(spark, documents, 2)
+    assert exchanges(pages) == 0
+    want = {}
+    for r in synth.words(spark, documents, 2).collect():
+        want.setdefault((r.doc_id, r.page), {})[r.k] = r.text
+    assert {(r.doc_id, r.page): dict(enumerate(r.words)) for r in pages.collect()} == want
+
+
+def test_replay_returns_what_is_wanted(spark):
+    ops = spark.createDataFrame([(1, 1, 0, "fill_color", None, "ff0000"), (1, 1, 1, "show_text", None, "a"), (2, 1, 0, "show_text", None, "b")], "doc_id long, page int, i int, op string, nums array<double>, text string")
+    found = Z.replayed(ops, ["fill"])
+    assert found.columns == ["doc_id", "page", "i", "op", "nums", "text", "fill"]
+    assert sorted((r.doc_id, r.i, r.fill) for r in found.collect()) == [(1, 0, "FF0000"), (1, 1, "FF0000"), (2, 0, "000000")]
