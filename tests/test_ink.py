@@ -90,3 +90,12 @@ def test_a_diagram_beside_text(spark):
 def test_pixels(spark):
     made = I.runs_of_pixels(spark.createDataFrame([("d", 1, 0, x, c, c, c) for x, c in enumerate((0, 224, 225, 10, 10))], "doc_id string, page int, y int, x int, r int, g int, b int"))
     assert sorted((r.x0, r.x1) for r in made.collect()) == [(0, 2), (3, 5)]
+
+
+def test_ink_is_dealt_out_by_page_and_tiles_are_no_rows(spark):
+    empty = lambda schema: spark.createDataFrame([], schema)
+    runs_ = I._tile_runs(empty(RUN), empty(PAGES), empty("doc_id string, page int, x double, y double, width double, height double"))
+    plan = runs_._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange ") == 2  # ink with covers, and the pages
+    made = I._tile_runs(spark.createDataFrame([("d", 1, y, 8, 4008) for y in range(8, 408)], RUN), spark.createDataFrame([("d", 1, 5000, 500, 1.0)], PAGES), empty("doc_id string, page int, x double, y double, width double, height double"))
+    assert sorted((r.ty, r.a, r.z) for r in made.collect()) == [(ty, 1, 1002) for ty in range(1, 103)]
