@@ -7,6 +7,7 @@ to row, so no group is ever held as a whole.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,3 +50,17 @@ def dealt(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     out, and adaptive execution would then merge the parts' partitions on their own.
     """
     return rows.withColumn("_group", F.xxhash64(*by)).repartition("_group").drop("_group").sortWithinPartitions(*by, *order)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[pa.Table, list[tuple[int, int]]]]:
+    """Of sorted rows, tables of whole groups with where each one begins and ends; only the last, open group waits for the next batch."""
+    open_ = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch]) if open_ is None else pa.concat_tables([open_, pa.Table.from_batches([batch])])
+        keys = list(zip(*[rows.column(c).to_pylist() for c in by], strict=True))
+        starts = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1]]
+        if len(starts) > 1:
+            yield rows.slice(0, starts[-1]).combine_chunks(), list(pairwise(starts))
+        open_ = rows.slice(starts[-1]) if starts else None
+    if open_ is not None:
+        yield open_.combine_chunks(), [(0, open_.num_rows)]

@@ -131,3 +131,20 @@ def test_setup_and_forms(spark):
     for bad in ([("d", 1, 2, 1), ("d", 2, 1, None)], [("d", 1, 3, 1), ("d", 1, 4, 1)], [("d", i, i - 1 if i else None, 1) for i in range(70)]):
         with pytest.raises(ValueError, match="circle|several"):
             forms.retained(spark.createDataFrame(bad, chain.schema), one)
+
+
+def test_pages_of_tiles_are_no_groups_of_pandas(spark):
+    rnd = random.Random(7)
+    for _ in range(200):
+        n = rnd.randint(0, Fig.FEW)
+        corners = Fig.np.array([(x, y, x + rnd.choice((10, 10.5, 20)), y + rnd.choice((10, 10.9, 30))) for x, y in ((rnd.randrange(0, 60, 5), rnd.randrange(0, 60, 5)) for _ in range(n))], dtype=float).reshape(-1, 4)
+        few = Fig._figures(corners, 1.15)
+        Fig.FEW, kept = -1, Fig.FEW
+        many = Fig._figures(corners, 1.15)
+        Fig.FEW = kept
+        assert few == many
+    rows = [(f"d{d}", 1, k, 10.0, 10.0 + 20 * k, 30.0, 20.0) for d in range(700) for k in range(1 + d % 40)]
+    sides = spark.createDataFrame([(f"d{d}", 1, 600.0, 900.0) for d in range(700)], "doc_id string, page int, width double, height double")
+    whole = Fig.tiles(spark.createDataFrame(rows, BOX).repartition(3), sides)
+    assert "FlatMapGroupsInPandas" not in whole._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.doc_id, r.y, r.height) for r in whole.coalesce(1).collect()) == sorted((f"d{d}", 10.0, 20.0 * (1 + d % 40)) for d in range(700))
