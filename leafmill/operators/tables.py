@@ -7,8 +7,10 @@ span pages, ``linked`` is the distributed form.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,26 +19,30 @@ from leafmill import constants as C
 from leafmill.functions import text as X
 from leafmill.operators import lines as L
 from leafmill.operators import spans as S
+from leafmill.operators.folds import dealt, whole_groups
 from leafmill.operators.spans import PAGE
-from leafmill.shared import reliable
+from leafmill.shared import reliable, settled
 
 
 def touching(boxes: DataFrame, pad: float, by: list[str] = PAGE) -> DataFrame:
     """boxes (ord, x, y, width, height) with the column component: the least ord of all that touch within ``pad``."""
 
-    def label(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("ord")
-        x0, y0 = page["x"].to_numpy(), page["y"].to_numpy()
-        x1, y1 = x0 + page["width"].to_numpy(), y0 + page["height"].to_numpy()
-        root = np.arange(len(page))
-        for i in range(len(page)):
-            near = np.flatnonzero((x0[: i + 1] <= x1[i] + pad) & (x0[i] <= x1[: i + 1] + pad) & (y0[: i + 1] <= y1[i] + pad) & (y0[i] <= y1[: i + 1] + pad))
-            hit = np.unique(root[near])
-            root[np.isin(root, hit)] = hit[0]
-        return page.assign(component=page["ord"].to_numpy()[root])
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, groups in whole_groups(batches, by):
+            x, y, w, h = (rows.column(c).to_numpy().astype(float) for c in ("x", "y", "width", "height"))
+            x1, y1 = x + w, y + h
+            right, bottom = x1 + pad, y1 + pad
+            least: list[int] = []
+            for i, j in groups:
+                links = []
+                for k in range(i, j):
+                    near = (x[i:k] <= right[k]) & (x[k] <= right[i:k]) & (y[i:k] <= bottom[k]) & (y[k] <= bottom[i:k])
+                    links += [(m, k - i) for m in np.flatnonzero(near).tolist()]
+                least += [i + m for m in _least(range(j - i), links)]
+            yield from rows.append_column("component", rows.column("ord").take(pa.array(least, pa.int64()))).combine_chunks().to_batches()
 
     schema = ", ".join(f"{c} {t}" for c, t in boxes.dtypes) + f", component {dict(boxes.dtypes)['ord']}"
-    return boxes.groupBy(*by).applyInPandas(label, schema)
+    return dealt(boxes, by, ["ord"]).mapInArrow(label, schema)
 
 
 def linked(edges: DataFrame) -> DataFrame:
@@ -60,20 +66,38 @@ def linked(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def _roots(edges: pd.DataFrame) -> pd.DataFrame:
-    """Least cell of each cell that is linked to others, in one table."""
-    root: dict[int, int] = {}
+def _least(cells: Iterable[int], links: Iterable[tuple[int, int]]) -> list[int]:
+    """The least cell that each of some cells is linked with, itself included."""
+    root = {c: c for c in cells}
 
     def top(x: int) -> int:
-        while root.setdefault(x, x) != x:
+        while root[x] != x:
             root[x] = x = root[root[x]]
         return x
 
-    for a, b in zip(edges["a"].tolist(), edges["b"].tolist(), strict=True):
+    for a, b in links:
         p, q = top(a), top(b)
         root[max(p, q)] = min(p, q)
-    cells = sorted(root)
-    return edges[["doc_id", "page", "component"]].iloc[[0] * len(cells)].assign(cell=cells, root=[top(x) for x in cells])
+    return [top(c) for c in root]
+
+
+def _roots(links: DataFrame, key: list[str]) -> DataFrame:
+    """key, cell, root: the least cell of each cell that links (key, a, b) link to others of its key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, groups in whole_groups(batches, key):
+            a, b = rows.column("a").to_pylist(), rows.column("b").to_pylist()
+            first, cells, roots = [], [], []
+            for i, j in groups:
+                here = sorted({*a[i:j], *b[i:j]})
+                cells += here
+                roots += _least(here, zip(a[i:j], b[i:j], strict=True))
+                first += [i] * len(here)
+            at = pa.array(first, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[rows.column(c).combine_chunks().take(at) for c in key], pa.array(cells, pa.int32()), pa.array(roots, pa.int32())], [*key, "cell", "root"])
+
+    types = dict(links.dtypes)
+    return dealt(links.select(*key, "a", "b"), key, ["a", "b"]).mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in key) + ", cell int, root int")
 
 
 def _outer_edges(tables: DataFrame, flats: DataFrame, spans: DataFrame, key: list[str], tolerance: float) -> DataFrame:
@@ -111,7 +135,7 @@ def ruled(spans: DataFrame, rules: DataFrame, tolerance: float = C.GRID_TOLERANC
     across = F.abs(F.col("y1") - F.col("y2")) < C.AXIS
     axis = rules.where((across | (F.abs(F.col("x1") - F.col("x2")) < C.AXIS)) & (F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) > C.MIN_RULE))
     boxes = axis.select(*PAGE, "ord", F.least("x1", "x2").alias("x"), F.least("y1", "y2").alias("y"), F.abs(F.col("x2") - F.col("x1")).alias("width"), F.abs(F.col("y2") - F.col("y1")).alias("height"))
-    parts = reliable(touching(boxes, C.TOUCH).withColumn("flat", F.col("height") < C.AXIS))
+    parts = settled(touching(boxes, C.TOUCH).withColumn("flat", F.col("height") < C.AXIS))
     held = parts.groupBy(*key).agg(F.collect_list(F.when(~F.col("flat"), F.col("x") + F.col("width") / 2)).alias("vx"), F.collect_list(F.when(F.col("flat"), F.col("y") + F.col("height") / 2)).alias("hy"))
 
     def middle(c: str) -> Column:
@@ -122,7 +146,7 @@ def ruled(spans: DataFrame, rules: DataFrame, tolerance: float = C.GRID_TOLERANC
     points = spans.select(*PAGE, "ord", (F.col("x") + F.col("width") / 2).alias("px"), (F.col("y") + F.col("height") / 2).alias("py"))
     outer = tables.select(*key, F.col("xs")[0].alias("x0"), F.element_at("xs", -1).alias("x1"), F.col("ys")[0].alias("y0"), F.element_at("ys", -1).alias("y1"))
     filled = outer.join(points, PAGE).where("px between x0 and x1 and py between y0 and y1").select(*key).distinct()
-    tables = reliable(tables.join(filled, key, "left_semi"))
+    tables = settled(tables.join(filled, key, "left_semi"))
 
     # A cell is numbered by row and column; what stands between two is a stretch of a grid line.
     number = F.col("row") * 64 + F.col("column")
@@ -136,11 +160,9 @@ def ruled(spans: DataFrame, rules: DataFrame, tolerance: float = C.GRID_TOLERANC
     along = walls.join(strokes, [*key, "flat"]).where("abs(at - place) < 2")
     closed = S.covered(along, [*key, "a", "b"], "start", "end", F.col("lo"), F.col("hi")).where("covered")
     open_ = walls.join(closed.select(*key, "a", "b"), [*key, "a", "b"], "left_anti").select(*key, "a", "b")
-    types = dict(open_.dtypes)
-    merged = open_.groupBy(*key).applyInPandas(_roots, ", ".join(f"{c} {types[c]}" for c in key) + ", cell int, root int")
-    members = grid.join(merged, [*key, "cell"], "left").withColumn("root", F.coalesce("root", "cell"))
+    members = grid.join(_roots(open_, key), [*key, "cell"], "left").withColumn("root", F.coalesce("root", "cell"))
     whole = members.groupBy(*key, "root").agg(F.min("row").alias("row"), F.min("column").alias("column"), (F.max("row") - F.min("row") + 1).alias("row_span"), (F.max("column") - F.min("column") + 1).alias("column_span"), F.count("*").alias("n"), F.min("x0").alias("x"), F.min("y0").alias("y"), (F.max("x1") - F.min("x0")).alias("width"), (F.max("y1") - F.min("y0")).alias("height"))
-    whole = reliable(whole)
+    whole = settled(whole)
     odd = whole.where("row_span * column_span <> n").select(*key).distinct()
     tables, whole = tables.join(odd, key, "left_anti"), whole.join(odd, key, "left_anti")
     boxes = whole.select(*PAGE, F.struct("component", "row", "column", "row_span", "column_span").alias("cell_ord"), "x", "y", "width", "height")

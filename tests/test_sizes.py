@@ -9,6 +9,7 @@ import pytest
 from leafmill.operators import classify as Y
 from leafmill.operators import drawing as Z
 from leafmill.operators import lines as L
+from leafmill.operators import tables as B
 from leafmill.plans import synth
 from leafmill.shared import settled
 
@@ -110,3 +111,20 @@ def test_replay_returns_what_is_wanted(spark):
     found = Z.replayed(ops, ["fill"])
     assert found.columns == ["doc_id", "page", "i", "op", "nums", "text", "fill"]
     assert sorted((r.doc_id, r.i, r.fill) for r in found.collect()) == [(1, 0, "FF0000"), (1, 1, "FF0000"), (2, 0, "000000")]
+
+
+def test_touching_boxes_are_no_groups_of_pandas(spark):
+    rng = random.Random(5)
+    rows = [(d, 1, k, rng.uniform(0, 200), rng.uniform(0, 200), rng.uniform(1, 30), rng.uniform(1, 30)) for d in range(300) for k in range(d % 60)]
+    got = B.touching(spark.createDataFrame(rows, "doc_id long, page int, ord long, x double, y double, width double, height double").repartition(3), 2.0)
+    assert "FlatMapGroupsInPandas" not in plan(got)
+    want, pages = {}, {}
+    for r in rows:
+        pages.setdefault(r[0], []).append(r[2:])
+    for d, boxes in pages.items():
+        root = list(range(len(boxes)))
+        for i, (_, x, y, w, h) in enumerate(boxes):
+            hit = {root[k] for k, (_, p, q, v, u) in enumerate(boxes[: i + 1]) if p <= x + w + 2 and x <= p + v + 2 and q <= y + h + 2 and y <= q + u + 2}
+            root = [min(hit) if c in hit else c for c in root]
+        want |= {(d, k): root[k] for k in range(len(boxes))}
+    assert {(r.doc_id, r.ord): r.component for r in got.collect()} == want
