@@ -21,7 +21,7 @@ from leafmill.operators import lines as L
 from leafmill.operators import spans as S
 from leafmill.operators.folds import dealt, whole_groups
 from leafmill.operators.spans import PAGE
-from leafmill.shared import reliable, settled
+from leafmill.shared import settled
 
 
 def touching(boxes: DataFrame, pad: float, by: list[str] = PAGE) -> DataFrame:
@@ -46,24 +46,26 @@ def touching(boxes: DataFrame, pad: float, by: list[str] = PAGE) -> DataFrame:
 
 
 def linked(edges: DataFrame) -> DataFrame:
-    """edges (a, b) -> (node, component): the least node of each connected component, by least labels.
+    """edges (a, b) -> (node, component): the least node of each connected component, by alternating stars.
 
-    A round takes the least label of the neighbours, then the label's own label;
-    rounds are cut by reliable checkpoints, never local ones.
+    A round links a node's larger neighbours, then its smaller ones, to the least
+    of all, until links are stars around the least nodes; after the first round
+    they are about as many as the nodes.  Links are settled after each round.
     """
-    both = edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct()
-    labels = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("component", F.col("node"))
+    ends = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    links = settled(ends.where("u <> v").distinct())
     before = None
-    while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("m"))
-        step = labels.join(near, labels["node"] == near["a"], "left").select("node", F.least("component", F.coalesce("m", "component")).alias("component"))
-        up = step.select(F.col("node").alias("component"), F.col("component").alias("above"))
-        labels = step.join(up, "component", "left").select("node", F.least("component", F.coalesce("above", "component")).alias("component"))
-        labels = reliable(labels)
-        now = tuple(labels.agg(F.count("*"), F.sum(F.xxhash64("node", "component").cast("decimal(38,0)"))).first())
-        if now == before:
-            return labels
+    while (now := tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())) != before:
         before = now
+        both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        large = settled(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        least = settled(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        links = settled(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    found = links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(links.select("v", "v").distinct())
+    alone = edges.where("a = b").select(F.col("a").alias("node")).distinct().join(found.select("node"), "node", "left_anti")
+    return found.union(alone.select("node", F.col("node").alias("component")))
 
 
 def _least(cells: Iterable[int], links: Iterable[tuple[int, int]]) -> list[int]:

@@ -128,3 +128,16 @@ def test_touching_boxes_are_no_groups_of_pandas(spark):
             root = [min(hit) if c in hit else c for c in root]
         want |= {(d, k): root[k] for k in range(len(boxes))}
     assert {(r.doc_id, r.ord): r.component for r in got.collect()} == want
+
+
+def test_links_end_as_stars_in_settled_tables(spark):
+    rng = random.Random(6)
+    edges = [(rng.randrange(900), rng.randrange(900)) for _ in range(500)] + [(2000 + k, 2001 + k) for k in range(70)] + [(5000, 5000), (2000, 2000)]
+    got = B.linked(settled(spark.createDataFrame(edges, "a long, b long")))
+    assert "ExistingRDD" not in plan(got)  # checkpoints are made twice
+    root: dict = {}
+    for a, b in edges:
+        x, y = (root.setdefault(c, c) for c in (a, b))
+        root = {c: min(x, y) if r in (x, y) else r for c, r in root.items()}
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(root) and dict(rows) == root
