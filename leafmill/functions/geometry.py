@@ -110,6 +110,15 @@ def lower_quantiles(rows: DataFrame, by: list[str], value: str, p: float, name:
     return known.where(F.col("_up") > F.floor((F.col("_all") - 1) * F.lit(p))).groupBy(*by).agg(F.min(value).alias(name))
 
 
+def medians(rows: DataFrame, by: list[str], value: str, name: str, total: Column) -> DataFrame:
+    """by, name, total: the median of groups of any size (null without values) and a sum over their rows; values are counted, and counts summed up."""
+    counts = rows.groupBy(*by, value).agg(F.count(value).alias("_n"), F.sum(total).alias("_total"))
+    group = W.partitionBy(*by)
+    known = counts.withColumns({"_up": F.sum("_n").over(group.orderBy(value).rowsBetween(W.unboundedPreceding, 0)), "_all": F.sum("_n").over(group)})
+    at = lambda i: F.min(F.when(F.col("_up") > F.floor(i), F.col(value)))
+    return known.groupBy(*by).agg(((at((F.col("_all") - 1) / 2) + at(F.col("_all") / 2)) / 2).alias(name), F.sum("_total").alias("total"))
+
+
 def bounds(b: Box) -> list[Column]:
     """Aggregates x, y, width and height around a group; zeros for none."""
     x, y = F.min(b.x), F.min(b.y)

@@ -47,11 +47,15 @@ def body_size(spans: DataFrame, by: list[str] = PAGE) -> DataFrame:
 
 
 def decorative(spans: DataFrame) -> DataFrame:
-    """Slanted oversize text on pages with enough regular text: angle in (20, 70), size over twice the body's."""
-    regular = spans.where(F.abs("angle") < 1).groupBy(*PAGE).agg(G.median(F.col("size")).alias("body"), F.sum(F.char_length("text")).alias("chars"))
-    out = spans.join(regular, PAGE, "left")
-    mark = (F.col("chars") > 50) & F.abs("angle").between(20, 70) & (F.abs("angle") != 20) & (F.abs("angle") != 70) & (F.col("size") > 2 * F.col("body"))
-    return out.withColumn("decorative", F.coalesce(mark, F.lit(False))).drop("body", "chars")
+    """Slanted oversize text on pages with enough regular text: angle in (20, 70), size over twice the body's.
+
+    Only slanted spans meet their page's body size; the others stay where they are.
+    """
+    regular = G.medians(spans.where(F.abs("angle") < 1), PAGE, "size", "_body", F.char_length("text"))
+    slanted = F.coalesce((F.abs("angle") > 20) & (F.abs("angle") < 70), F.lit(False))
+    mark = (F.col("total") > 50) & (F.col("size") > 2 * F.coalesce("_body", F.lit(12.0)))
+    out = spans.where(slanted).join(regular, PAGE, "left").withColumn("decorative", F.coalesce(mark, F.lit(False))).drop("_body", "total")
+    return out.select(*spans.columns, "decorative").unionByName(spans.where(~slanted).withColumn("decorative", F.lit(False)))
 
 
 def occluded(spans: DataFrame, fills: DataFrame) -> DataFrame:

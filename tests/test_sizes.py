@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import random
+import statistics
 
 import pandas as pd
 import pytest
 from leafmill.operators import classify as Y
 from leafmill.operators import drawing as Z
 from leafmill.operators import lines as L
+from leafmill.operators import spans as S
 from leafmill.operators import tables as B
 from leafmill.plans import synth
 from leafmill.shared import settled
@@ -141,3 +143,19 @@ def test_links_end_as_stars_in_settled_tables(spark):
         root = {c: min(x, y) if r in (x, y) else r for c, r in root.items()}
     rows = [tuple(r) for r in got.collect()]
     assert len(rows) == len(root) and dict(rows) == root
+
+
+def test_only_slanted_spans_meet_the_body_size(spark):
+    rng = random.Random(8)
+    rows = [(rng.randrange(40), 1, k, rng.choice(["a", "", "word", None]), rng.choice([0.0, 0.5, 20.0, 45.0, -30.0, 70.0, None]), rng.choice([8.0, 9.5, 12.0, 20.0, 40.0, None])) for k in range(4000)]
+    spans = settled(spark.createDataFrame(rows, "doc_id long, page int, ord long, text string, angle double, size double"))
+    got = S.decorative(spans)
+    only = plan(got.where("decorative"))
+    assert "ObjectHashAggregate" not in only and "Union" not in only
+    want = {}
+    for d in {r[0] for r in rows}:
+        flat = [r for r in rows if r[0] == d and r[4] is not None and abs(r[4]) < 1]
+        sizes = [r[5] for r in flat if r[5] is not None]
+        body, chars = statistics.median(sizes) if sizes else 12.0, sum(len(r[3]) for r in flat if r[3] is not None)
+        want |= {r[2]: chars > 50 and r[4] is not None and 20 < abs(r[4]) < 70 and r[5] is not None and r[5] > 2 * body for r in rows if r[0] == d}
+    assert got.columns == [*spans.columns, "decorative"] and {r.ord: r.decorative for r in got.collect()} == want
