@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -124,9 +124,14 @@ def sure_numbers(spans: Column) -> Column:
     return F.transform(F.filter(spans, lambda s: (s["confidence"] >= 85) & s["text"].rlike(r"\d")), lambda s: s["text"])
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(text: pd.Series) -> pd.Series:
+#: Texts that are normalised together.
+TOGETHER = 64
+
+
+@F.arrow_udf(T.StringType())
+def nfkc(text: pa.Array) -> pa.Array:
     """NFKC form without white space; Spark has no normalisation of its own."""
     import unicodedata
 
-    return text.map(lambda t: None if t is None else "".join(unicodedata.normalize("NFKC", t).split()))
+    made = [pa.array([None if t is None else "".join(unicodedata.normalize("NFKC", t).split()) for t in text.slice(k, TOGETHER).to_pylist()], text.type) for k in range(0, len(text), TOGETHER)]
+    return pa.concat_arrays(made) if made else text

@@ -6,7 +6,9 @@ import random
 import statistics
 
 import pandas as pd
+import pyarrow as pa
 import pytest
+from leafmill.functions import text as X
 from leafmill.operators import classify as Y
 from leafmill.operators import drawing as Z
 from leafmill.operators import lines as L
@@ -159,3 +161,9 @@ def test_only_slanted_spans_meet_the_body_size(spark):
         body, chars = statistics.median(sizes) if sizes else 12.0, sum(len(r[3]) for r in flat if r[3] is not None)
         want |= {r[2]: chars > 50 and r[4] is not None and 20 < abs(r[4]) < 70 and r[5] is not None and r[5] > 2 * body for r in rows if r[0] == d}
     assert got.columns == [*spans.columns, "decorative"] and {r.ord: r.decorative for r in got.collect()} == want
+
+
+def test_texts_are_normalised_in_small_slices(spark):
+    texts = ["ｆｏｏ　bar", None, "", "é  x"] * 40
+    assert X.nfkc.func(pa.array(texts)).to_pylist() == ["foobar", None, "", "éx"] * 40
+    assert X.nfkc.func(pa.array([], pa.string())).to_pylist() == []
