@@ -1,20 +1,22 @@
 """Stacked fractions: a bar, what stands over and under it, and a sign of equation beside it.
 
-A span belongs to one fraction at most, and bars are served in their order.  That
-is settled in rounds: of the bars that are still open, those decide that come
-first for all the spans they could take.  Bars that share no spans never wait
-for each other, so the rounds are as many as the longest chain of bars that do.
+A span belongs to one fraction at most, and bars are served in their order.  A
+page's spans and bars are dealt out once; bars that may make a fraction carry the
+spans around them and are passed through in order, with what earlier ones took.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from leafmill.functions import geometry as G
 from leafmill.operators import lines as L
-from leafmill.operators.regions import _met
 from leafmill.operators.spans import PAGE
 from leafmill.shared import settled
 
@@ -29,37 +31,116 @@ def _bars(rules: DataFrame) -> DataFrame:
     return rules.where(G.horizontal(F.col("y1"), F.col("y2"))).select(*PAGE, F.col("ord").alias("bar"), at.x.alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y"), at.width.alias("width"), F.lit(0.0).alias("height"))
 
 
-def _around(spans: DataFrame, bars: DataFrame) -> DataFrame:
-    """Bars with the native, non-blank spans near their height: bar's x, end and y as bx, be and by."""
-    native = spans.where((F.col("source") == "pdf") & (F.trim("text") != ""))
-    most = F.max("size").over(W.partitionBy(*PAGE))
-    reach = native.withColumn("_m", most).select(*PAGE, F.col("ord").alias("id"), (F.col("baseline") - 1.8 * F.col("_m")).alias("y"), F.col("x"), F.col("width"), (3.6 * F.col("_m")).alias("height"))
-    pairs = _met(bars.withColumn("id", F.col("bar")), reach, [*[F.col(f"a.{c}").alias(c) for c in BAR], F.col("b.id").alias("ord"), F.col("a.x").alias("bx"), (F.col("a.x") + F.col("a.width")).alias("be"), F.col("a.y").alias("by")], (F.col("b.y") <= F.col("a.y")) & (F.col("a.y") <= F.col("b.y") + F.col("b.height")))
-    return pairs.join(native, [*PAGE, "ord"])
-
-
-def _decided(open_: DataFrame, beside: DataFrame) -> DataFrame:
-    """The bars of ``open_`` (their free spans, by role) that make a fraction: bar, size."""
-    side = lambda r: F.col("role") == r
-    held = open_.groupBy(*BAR, "bx", "be", "by").agg(
-        F.min_by(F.when(side("n"), F.col("size")), F.when(side("n"), F.col("ord"))).alias("size"),
-        *[f(F.when(side(r), F.col("x") if f is F.min else G.box().right)).alias(r + c) for r in "nd" for f, c in ((F.min, "x"), (F.max, "e"))],
-    ).where("nx is not null and dx is not null")
-    off = lambda r: F.abs((F.col(f"{r}x") + F.col(f"{r}e")) / 2 - (F.col("bx") + F.col("be")) / 2)
-    centred = held.where(F.greatest(off("n"), off("d")) <= F.greatest(F.lit(3.0), 0.5 * F.col("size"))).select(*BAR, "size")
-    sign = beside.where(F.col("text").rlike(SIGNS)).join(centred, BAR).where(_next_to()).select(*BAR).distinct()
-    # Two lines on one side are no part of a fraction; one span is one line.
-    several = open_.join(sign, BAR, "left_semi").withColumn("_n", F.count("*").over(W.partitionBy(*BAR, "role"))).where("_n > 1").drop("_n")
-    rows = L.rows_of(several, [*BAR, "role"])
-    uneven = rows.where("row > 0").select(*BAR).distinct()
-    return centred.join(sign, BAR, "left_semi").join(uneven, BAR, "left_anti")
-
-
-def _next_to() -> Column:
+def _next_to(s: Column, size: Column) -> Column:
     """On the bar's height and next to one of its ends, for a numerator of ``size``."""
-    right = F.col("x") + F.col("width")
-    left = (right <= F.col("bx") + 2) & (F.col("bx") - right < 2 * F.col("size"))
-    return (F.abs(F.col("baseline") - F.col("by")) < 0.5 * F.col("size")) & (left | ((F.col("x") >= F.col("be") - 2) & (F.col("x") - F.col("be") < F.col("size"))))
+    right = s["x"] + s["width"]
+    left = (right <= F.col("bx") + 2) & (F.col("bx") - right < 2 * size)
+    return (F.abs(s["baseline"] - F.col("by")) < 0.5 * size) & (left | ((s["x"] >= F.col("be") - 2) & (s["x"] - F.col("be") < size)))
+
+
+def _candidates(spans: DataFrame, bars: DataFrame) -> DataFrame:
+    """Bars (bx, be, by) that may make a fraction, with the native spans over and under them and those beside that are signs or delimiters.
+
+    Spans and bars are dealt out once by page; a bar sees the spans near its height
+    through a window.  A bar without both sides, or without a sign for the largest
+    numerator, takes nothing and stands in nobody's way.
+    """
+    # What is alike from span to span comes first, so that it takes no room in the shuffle.
+    own = ["height", "size", "math", *(["line_id"] if "line_id" in spans.columns else []), "ord", "x", "width", "y", "baseline", "text"]
+    spans = spans.withColumn("math", F.coalesce(F.col("font").rlike(MATH_FONT), F.lit(False)))
+    types = dict(spans.dtypes)
+    native = spans.where((F.col("source") == "pdf") & (F.trim("text") != "")).select(*PAGE, F.lit(None).cast(dict(bars.dtypes)["bar"]).alias("bar"), *own)
+    drawn = bars.select(*PAGE, "bar", *[F.col({"baseline": "y"}.get(c, c)).alias(c) if c in ("x", "width", "baseline") else F.lit(None).cast(types[c]).alias(c) for c in own])
+    page = ["_group", *PAGE]
+    rows = native.unionByName(drawn).where("doc_id is not null and page is not null").withColumn("_group", F.xxhash64(*PAGE)).repartition("_group")
+    rows = rows.withColumn("_m", F.max("size").over(W.partitionBy(*page))).where("_m > 0")
+    # Whole thousandths of the reach, so that the frame holds all that is exactly within it.
+    rows = rows.withColumn("_z", F.floor(1000 * F.col("baseline") / (1.8 * F.col("_m"))))
+    near = F.collect_list(F.when(F.col("bar").isNull(), F.struct(*own))).over(W.partitionBy(*page).orderBy("_z").rangeBetween(-1001, 1001))
+    at = rows.withColumn("near", near).where("bar is not null").select(*page, "bar", "_m", F.col("x").alias("bx"), (F.col("x") + F.col("width")).alias("be"), F.col("baseline").alias("by"), "near")
+    by = F.col("by")
+    low = lambda s: s["baseline"] - 1.8 * F.col("_m")
+    at = at.withColumn("near", F.filter("near", lambda s: (low(s) <= by) & (by <= low(s) + 3.6 * F.col("_m"))))
+    within = lambda s: (s["x"] >= F.col("bx") - 2) & (s["x"] + s["width"] <= F.col("be") + 2)
+    over = lambda s: (s["baseline"] <= by - 0.3 * s["size"]) & (s["baseline"] >= by - 1.8 * s["size"])
+    under = lambda s: (s["y"] >= by - 1) & (s["baseline"] > by + 0.3 * s["size"]) & (s["baseline"] <= by + 1.8 * s["size"])
+    at = at.withColumns({"n": F.filter("near", lambda s: within(s) & over(s)), "d": F.filter("near", lambda s: within(s) & ~over(s) & under(s))}).where("size(n) > 0 and size(d) > 0")
+    at = at.withColumn("beside", F.filter("near", lambda s: (s["x"] + s["width"] <= F.col("bx") + 2) | (s["x"] >= F.col("be") - 2))).drop("near", "_m")
+    most = F.array_max(F.transform("n", lambda s: s["size"]))
+    at = at.where(F.exists("beside", lambda s: s["text"].rlike(SIGNS) & _next_to(s, most)))
+    mended = lambda s, like, pattern, to: F.when(s["math"] & s["text"].rlike(like), F.regexp_replace(s["text"], pattern, to))
+    beside = F.transform("beside", lambda s: F.struct(s["ord"].alias("ord"), s["x"].alias("x"), (s["x"] + s["width"]).alias("right"), s["baseline"].alias("baseline"), s["text"].rlike(SIGNS).alias("sign"), mended(s, r"×\s*&$", "&$", "(").alias("opens"), mended(s, "^'", "^'", ")").alias("closes")))
+    sums = F.transform("n", lambda s: F.struct(mended(s, r"^∑\+", r"^∑\+", "∑(").alias("opens"), mended(s, ",$", ",$", ")").alias("closes")))
+    sums = F.transform(sums, lambda s: F.struct(s["opens"].alias("opens"), s["closes"].alias("closes"), F.when(s["closes"].isNotNull(), F.regexp_replace(s["opens"], ",$", ")")).alias("both")))
+    at = at.withColumns({"beside": F.filter(beside, lambda s: s["sign"] | s["opens"].isNotNull() | s["closes"].isNotNull()), "sums": sums})
+    return at.sortWithinPartitions(*page, "bar").drop("_group")
+
+
+class _Page:
+    """What the bars of a page take, which come in their order."""
+
+    def __init__(self):
+        self.taken, self.texts = set(), {}
+
+    def __call__(self, bx: float, be: float, by: float, over: list[dict], under: list[dict], beside: list[dict], sums: list[dict]) -> tuple | None:
+        """(size, ords taken, [(ord, text)] mended by this bar, [(ord, text)] of its parts as mended so far), or None if it is no fraction."""
+        sides = [[s for s in side if s["ord"] not in self.taken] for side in (over, under)]
+        if not all(sides):
+            return None
+        size = min(sides[0], key=lambda s: s["ord"])["size"]
+        ends = [(min(s["x"] for s in side), max(s["x"] + s["width"] for s in side)) for side in sides]
+        if max(abs((a + z) / 2 - (bx + be) / 2) for a, z in ends) > max(3.0, 0.5 * size):
+            return None
+        close = [s for s in beside if abs(s["baseline"] - by) < 0.5 * size and ((s["right"] <= bx + 2 and bx - s["right"] < 2 * size) or (s["x"] >= be - 2 and s["x"] - be < size))]
+        if not any(s["sign"] for s in close):
+            return None
+        # Two lines on one side are no part of a fraction; one span is one line.
+        for side in sides:
+            rows = L.Rows()
+            if len(side) > 1 and any(rows(s["baseline"], s["size"], s.get("line_id")) for s in sorted(side, key=lambda s: (s["baseline"], s["x"], s["ord"]))):
+                return None
+        ords = [s["ord"] for side in sides for s in side]
+        self.taken.update(ords)
+        # Around it a span that ends with × & and one that begins with ', the first of
+        # each; over it a first span that begins with ∑+ and a last one that ends with a
+        # comma.  Each only as a pair.
+        mended = []
+        first = [min(((s["ord"], s[c]) for s in close if s[c] is not None), default=None) for c in ("opens", "closes")]
+        if all(first):
+            mended += first
+        told = [(s["x"], s["ord"], m) for s, m in zip(over, sums, strict=True) if s["ord"] in set(ords)]
+        (_, a, p), (_, z, q) = min(told, key=lambda t: t[:2]), max(told, key=lambda t: (t[0], -t[1]))
+        if p["opens"] is not None and q["closes"] is not None:
+            mended += [(a, p["both"])] if a == z else [(a, p["opens"]), (z, q["closes"])]
+        self.texts.update(mended)
+        return size, ords, mended, [(o, self.texts[o]) for o in ords if o in self.texts]
+
+
+def _served(candidates: DataFrame, ord_type: str) -> DataFrame:
+    """Candidates that are fractions, with size, taken, mended and now: each bar in its turn takes what earlier ones of its page left."""
+    ord_ = pa.int64() if ord_type == "bigint" else pa.int32()
+    pair = pa.list_(pa.struct([("ord", ord_), ("text", pa.string())]))
+    kept = [c for c in candidates.columns if c not in ("beside", "sums")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, page = None, None
+        for batch in batches:
+            rows, made = [], []
+            values = [batch.column(c).to_pylist() for c in (*PAGE, "bx", "be", "by", "n", "d", "beside", "sums")]
+            for i, (doc, number, *v) in enumerate(zip(*values, strict=True)):
+                if page is None or (doc, number) != at:
+                    at, page = (doc, number), _Page()
+                if (got := page(*v)) is not None:
+                    rows.append(i)
+                    made.append(got)
+            held = batch.take(pa.array(rows, pa.int64()))
+            pairs = lambda k: pa.array([[{"ord": o, "text": t} for o, t in m[k]] for m in made], pair)  # noqa: E731, B023
+            new = [pa.array([m[0] for m in made], pa.float64()), pa.array([m[1] for m in made], pa.list_(ord_)), pairs(2), pairs(3)]
+            yield pa.RecordBatch.from_arrays([*[held.column(c) for c in kept], *new], [*kept, "size", "taken", "mended", "now"])
+
+    texts = ArrayType(StructType([StructField("ord", LongType() if ord_type == "bigint" else IntegerType()), StructField("text", StringType())]))
+    more = [StructField("size", DoubleType()), StructField("taken", ArrayType(texts.elementType["ord"].dataType)), StructField("mended", texts), StructField("now", texts)]
+    return candidates.mapInArrow(run, StructType([*[f for f in candidates.schema.fields if f.name in kept], *more]))
 
 
 def fractions(spans: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -78,67 +159,24 @@ def fractions(spans: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame,
     texts: doc_id, page, ord, text of other spans whose delimiters were mended (a
     mathematical font writes them as & and ').
     """
-    bars = _bars(rules)
-    near = settled(_around(spans, bars))
-    size, base, by = F.col("size"), F.col("baseline"), F.col("by")
-    role = F.when((base <= by - 0.3 * size) & (base >= by - 1.8 * size), "n").when((F.col("y") >= by - 1) & (base > by + 0.3 * size) & (base <= by + 1.8 * size), "d")
-    within = (F.col("x") >= F.col("bx") - 2) & (F.col("x") + F.col("width") <= F.col("be") + 2)
-    claims = near.where(within).withColumn("role", role).where("role is not null")
-    # Without both sides a bar takes nothing and stands in nobody's way.
-    both = claims.groupBy(*BAR).agg(F.count_distinct("role").alias("n")).where("n = 2").select(*BAR)
-    open_ = settled(claims.join(both, BAR, "left_semi"))
-    beside = settled(near.where((F.col("x") + F.col("width") <= F.col("bx") + 2) | (F.col("x") >= F.col("be") - 2)).withColumnRenamed("size", "own_size"))
-    made = members = None
-    while not open_.isEmpty():
-        first = F.min("bar").over(W.partitionBy(*PAGE, "ord"))
-        turns = open_.withColumn("_first", F.col("bar") == first)
-        ready = turns.groupBy(*BAR).agg(F.bool_and("_first").alias("ready")).where("ready").select(*BAR)
-        now = settled(open_.join(ready, BAR, "left_semi"))
-        found = settled(_decided(now, beside))
-        taken = now.join(found.select(*BAR), BAR, "left_semi")
-        part = taken.select(*BAR, "ord", "role", "bx", "be", "by", "text", "font", *[c for c in ("x", "y", "width", "height", "size", "baseline")])
-        made, members = (found, part) if made is None else (made.unionByName(found), members.unionByName(part))
-        left = open_.join(now.select(*BAR).distinct(), BAR, "left_anti").join(taken.select(*PAGE, "ord").distinct(), [*PAGE, "ord"], "left_anti")
-        open_ = settled(left)
-    if made is None:
-        made, members = open_.select(*BAR, "size"), open_.select(*BAR, "ord", "role", "bx", "be", "by", "text", "font", "x", "y", "width", "height", "size", "baseline")
-    members = settled(members)
-    mended = settled(_mended(made, members, beside))
+    found = settled(_served(_candidates(spans, _bars(rules)), dict(spans.dtypes)["ord"]))
+    mine = lambda r: F.filter(r, lambda s: F.array_contains("taken", s["ord"]))
     # A part reads as mended by its own or an earlier bar.
-    texts = members.alias("m").join(mended.alias("t"), (F.col("m.doc_id") == F.col("t.doc_id")) & (F.col("m.page") == F.col("t.page")) & (F.col("m.ord") == F.col("t.ord")) & (F.col("t.bar") <= F.col("m.bar")), "left")
-    key = ["m.doc_id", "m.page", "m.bar", "m.ord"]
-    known = texts.groupBy(*key).agg(F.max_by("t.text", "t.bar").alias("now"))
-    parts = members.join(known.select(*BAR, "ord", "now"), [*BAR, "ord"]).withColumn("text", F.coalesce("now", "text"))
-    listed = lambda r: L._text(F.array_sort(F.collect_list(F.when(F.col("role") == r, F.struct("x", "ord", "width", "size", "text")))))
-    first = F.min(F.when(F.col("role") == "n", F.struct("ord", "size")))
-    held = parts.groupBy(*BAR, "bx", "be", "by").agg(first.alias("f"), listed("n").alias("numerator"), listed("d").alias("denominator"), F.min("y").alias("y"), (F.max(G.box().bottom) - F.min("y")).alias("height"))
+    now = lambda s: F.coalesce(F.get(F.filter("now", lambda t: t["ord"] == s["ord"]), F.lit(0))["text"], s["text"])
+    known = found.withColumns({"n": mine("n"), "d": mine("d")})
+    listed = lambda r: L._text(F.array_sort(F.transform(r, lambda s: F.struct(s["x"].alias("x"), s["ord"].alias("ord"), s["width"].alias("width"), s["size"].alias("size"), now(s).alias("text")))))
+    parts = F.concat("n", "d")
+    top, bottom = F.array_min(F.transform(parts, lambda s: s["y"])), F.array_max(F.transform(parts, lambda s: s["y"] + s["height"]))
+    held = known.select(*BAR, F.array_min(F.transform("n", lambda s: s["ord"])).alias("ord"), "size", listed("n").alias("numerator"), listed("d").alias("denominator"), "bx", "be", "by", top.alias("y"), (bottom - top).alias("height"))
     out = held.select(
-        *BAR, F.col("f.ord").alias("ord"), F.col("f.size").alias("size"), "numerator", "denominator", F.concat_ws("/", "numerator", "denominator").alias("text"), F.col("bx").alias("x"), "y", (F.col("be") - F.col("bx")).alias("width"), "height",
-        (F.col("by") + 0.3 * F.col("f.size")).alias("baseline"),
+        *BAR, "ord", "size", "numerator", "denominator", F.concat_ws("/", "numerator", "denominator").alias("text"), F.col("bx").alias("x"), "y", (F.col("be") - F.col("bx")).alias("width"), "height",
+        (F.col("by") + 0.3 * F.col("size")).alias("baseline"),
     )
+    role = lambda r: F.transform(r, lambda s: F.struct(s["ord"].alias("ord"), F.lit(r).alias("role")))
+    members = known.select(*BAR, F.explode(F.concat(role("n"), role("d"))).alias("s")).select(*BAR, "s.ord", "s.role")
+    mended = found.select(*BAR, F.explode("mended").alias("s")).select(*BAR, "s.ord", "s.text")
     last = mended.groupBy(*PAGE, "ord").agg(F.max_by("text", "bar").alias("text"))
-    return out, members.select(*BAR, "ord", "role"), last.join(members.select(*PAGE, "ord"), [*PAGE, "ord"], "left_anti")
-
-
-def _mended(made: DataFrame, members: DataFrame, beside: DataFrame) -> DataFrame:
-    """doc_id, page, bar, ord, text: delimiters that a fraction shows to be parentheses.
-
-    Around it a span that ends with × & and one that begins with ', the first of
-    each; over it a first span that begins with ∑+ and a last one that ends with a
-    comma.  Each only as a pair.
-    """
-    math_ = F.col("font").rlike(MATH_FONT)
-    around = beside.join(made, BAR).where(_next_to() & math_)
-    open_, close = F.col("text").rlike(r"×\s*&$"), F.col("text").rlike("^'")
-    pair = around.groupBy(*BAR).agg(F.min(F.when(open_, F.struct("ord", "text"))).alias("a"), F.min(F.when(close, F.struct("ord", "text"))).alias("z")).where("a is not null and z is not null")
-    outer = pair.select(*BAR, F.explode(F.array(F.struct(F.col("a.ord").alias("ord"), F.regexp_replace("a.text", "&$", "(").alias("text")), F.struct(F.col("z.ord").alias("ord"), F.regexp_replace("z.text", "^'", ")").alias("text")))).alias("s"))
-    over = members.where("role = 'n'").groupBy(*BAR).agg(F.min(F.struct("x", "ord", "text", "font")).alias("a"), F.max(F.struct("x", (-F.col("ord")).alias("o"), "ord", "text", "font")).alias("z"))
-    sums = over.where(F.col("a.font").rlike(MATH_FONT) & F.col("z.font").rlike(MATH_FONT) & F.col("a.text").rlike(r"^∑\+") & F.col("z.text").rlike(",$"))
-    whole = F.regexp_replace("a.text", r"^∑\+", "∑(")
-    both = F.when(F.col("a.ord") == F.col("z.ord"), F.array(F.struct(F.col("a.ord").alias("ord"), F.regexp_replace(whole, ",$", ")").alias("text")))).otherwise(
-        F.array(F.struct(F.col("a.ord").alias("ord"), whole.alias("text")), F.struct(F.col("z.ord").alias("ord"), F.regexp_replace("z.text", ",$", ")").alias("text")))
-    )
-    return outer.unionByName(sums.select(*BAR, F.explode(both).alias("s"))).select(*BAR, "s.ord", "s.text")
+    return out, members, last.join(members.select(*PAGE, "ord"), [*PAGE, "ord"], "left_anti")
 
 
 def with_fractions(spans: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:

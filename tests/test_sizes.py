@@ -11,6 +11,7 @@ import pytest
 from leafmill.functions import text as X
 from leafmill.operators import classify as Y
 from leafmill.operators import drawing as Z
+from leafmill.operators import fractions as A
 from leafmill.operators import lines as L
 from leafmill.operators import spans as S
 from leafmill.operators import tables as B
@@ -167,3 +168,16 @@ def test_texts_are_normalised_in_small_slices(spark):
     texts = ["ｆｏｏ　bar", None, "", "é  x"] * 40
     assert X.nfkc.func(pa.array(texts)).to_pylist() == ["foobar", None, "", "éx"] * 40
     assert X.nfkc.func(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_fractions_are_dealt_out_once(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(A, "settled", lambda df: calls.append(exchanges(df)) or settled(df))
+    word = lambda k, text, x, base: (1, 1, k, text, x, base - 10, 40.0, 12.0, base, 12.0, "pdf", "F")
+    # A chain of bars, each under the last one's denominator.
+    spans = [word(k, f"w{k}", 110.0, 20.0 + 17 * k) for k in range(9)] + [word(20 + k, "x =", 55.0, 27.0 + 17 * k) for k in range(8)]
+    bars = [(1, 1, k, 100.0, 26.0 + 17 * k, 160.0, 26.0 + 17 * k) for k in range(8)]
+    out, members, texts = A.fractions(spark.createDataFrame(spans, "doc_id long, page int, ord long, text string, x double, y double, width double, height double, baseline double, size double, source string, font string"), spark.createDataFrame(bars, "doc_id long, page int, ord long, x1 double, y1 double, x2 double, y2 double"))
+    assert calls == [1]
+    assert sorted((r.bar, r.text) for r in out.collect()) == [(k, f"w{k}/w{k + 1}") for k in range(0, 8, 2)]
+    assert members.count() == 8 and texts.count() == 0
