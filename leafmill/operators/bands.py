@@ -32,11 +32,16 @@ def _least_gap() -> Column:
     return F.greatest(F.lit(C.GUTTER_MIN), C.GUTTER_SHARE * F.col("body"))
 
 
+def _sorted(df: DataFrame) -> DataFrame:
+    """df for a join that sorts: tables of a row for each page pass for small at run time and would come to the driver, one after the other."""
+    return df.hint("merge")
+
+
 def _near(rows: DataFrame, by: list[str], reach: Column, on: Column) -> DataFrame:
     """Pairs (a, b) of rows whose baselines are at most ``reach`` apart and for which ``on`` holds; reach is one value for each key."""
     slot = F.floor(F.col("baseline") / reach)
     a = rows.withColumn("_slot", F.explode(F.array(slot - 1, slot, slot + 1))).alias("a")
-    b = rows.withColumn("_slot", slot).alias("b")
+    b = _sorted(rows.withColumn("_slot", slot)).alias("b")
     key = F.col("a._slot") == F.col("b._slot")
     for c in by:
         key &= F.col(f"a.{c}") == F.col(f"b.{c}")
@@ -58,12 +63,12 @@ def gutters(nodes: DataFrame, regions: DataFrame, by: list[str] = PAGE) -> DataF
     over 80 % wide and 50 % high, under four narrow lines, or with more than 40 %
     as many wide ones have none.
     """
-    known = nodes.join(regions, by)
+    known = nodes.join(_sorted(regions), by)
     lines = known.where("kind = 'line'").withColumn("narrow", F.col("width") < 0.62 * F.col("rw"))
     fit = lines.groupBy(*by).agg(F.count_if("narrow").alias("n"), F.count_if(~F.col("narrow")).alias("wide")).where("n >= 4 and wide <= 0.4 * n")
     barred = known.where((F.col("kind") == "table") & (F.col("width") > 0.8 * F.col("rw")) & (F.col("height") > 0.5 * F.col("rh")))
-    searched = fit.join(barred, by, "left_anti").select(*by)
-    narrow = lines.where("narrow").join(searched, by, "left_semi").withColumns({"i": F.row_number().over(W.partitionBy(*by).orderBy("y", "x", "ord")), "right": _right(), "bottom": _bottom()})
+    searched = fit.join(_sorted(barred), by, "left_anti").select(*by)
+    narrow = lines.where("narrow").join(_sorted(searched), by, "left_semi").withColumns({"i": F.row_number().over(W.partitionBy(*by).orderBy("y", "x", "ord")), "right": _right(), "bottom": _bottom()})
     narrow = settled(narrow)  # four joins read it
 
     before = F.col("a.i") < F.col("b.i")
@@ -88,7 +93,7 @@ def gutters(nodes: DataFrame, regions: DataFrame, by: list[str] = PAGE) -> DataF
     prose = _near(narrow, by, 5 * F.col("body"), under).groupBy(*[F.col(f"a.{c}").alias(c) for c in by]).agg(F.min(F.greatest("a.right", "b.right")).alias("prose_right"), F.max(F.least("a.x", "b.x")).alias("prose_x"))
 
     there = known.where("kind in ('line', 'rule')").withColumn("narrow", (F.col("kind") == "line") & (F.col("width") < 0.62 * F.col("rw")))
-    at = gaps.join(there.select(*by, "kind", "narrow", "x", "y", _right().alias("right"), _bottom().alias("bottom"), "width", "rw"), by)
+    at = _sorted(gaps).join(there.select(*by, "kind", "narrow", "x", "y", _right().alias("right"), _bottom().alias("bottom"), "width", "rw"), by)
     left, right = F.col("narrow") & (F.col("right") <= F.col("from") + 1), F.col("narrow") & (F.col("x") >= F.col("to") - 1)
     bridge = (F.col("kind") == "rule") & (F.col("width") < 0.65 * F.col("rw")) & (F.col("x") <= F.col("from") + 2) & (F.col("right") >= F.col("to") - 2)
     key = [*by, "a", "z"]
@@ -96,15 +101,15 @@ def gutters(nodes: DataFrame, regions: DataFrame, by: list[str] = PAGE) -> DataF
         F.count_if(left).alias("nl"), F.count_if(right).alias("nr"), F.bool_or(bridge).alias("bridged"), F.max(F.when(left, F.col("right"))).alias("left_end"), F.min(F.when(right, F.col("x"))).alias("right_start"),
         *[f(F.when(s, F.col(c))).alias(n + c) for n, s in (("l", left), ("r", right)) for c, f in (("y", F.min), ("bottom", F.max))],
     ).where("nl >= 2 and nr >= 2 and not bridged")
-    sides = sides.join(prose, by).where("prose_right <= from + 1 and prose_x >= to - 1").withColumns({"top": F.greatest("ly", "ry"), "end": F.least("lbottom", "rbottom")})
+    sides = sides.join(_sorted(prose), by).where("prose_right <= from + 1 and prose_x >= to - 1").withColumns({"top": F.greatest("ly", "ry"), "end": F.least("lbottom", "rbottom")})
     sides = sides.where(F.col("end") - F.col("top") > 0.4 * F.least(F.col("lbottom") - F.col("ly"), F.col("rbottom") - F.col("ry")))
     s, n = sides.alias("s"), lines.select(*by, "x", "y", _right().alias("right"), _bottom().alias("bottom")).alias("n")
     across = (F.col("n.y") >= F.col("s.top")) & (F.col("n.bottom") <= F.col("s.end")) & (F.col("n.x") < F.col("s.to") - 1) & (F.col("n.right") > F.col("s.from") + 1)
     same = F.lit(True)
     for c in by:
         same &= F.col(f"s.{c}") == F.col(f"n.{c}")
-    crossed = s.join(n, same & across).groupBy(*[F.col(f"s.{c}").alias(c) for c in key]).agg(F.count("*").alias("crossing"))
-    scored = sides.join(crossed, key, "left").withColumn("crossing", F.coalesce("crossing", F.lit(0))).where(F.col("crossing") <= F.greatest(F.lit(2.0), 0.15 * (F.col("nl") + F.col("nr"))))
+    crossed = _sorted(s).join(n, same & across).groupBy(*[F.col(f"s.{c}").alias(c) for c in key]).agg(F.count("*").alias("crossing"))
+    scored = sides.join(_sorted(crossed), key, "left").withColumn("crossing", F.coalesce("crossing", F.lit(0))).where(F.col("crossing") <= F.greatest(F.lit(2.0), 0.15 * (F.col("nl") + F.col("nr"))))
     score = 4 * F.least("nl", "nr") + F.col("nl") + F.col("nr") - 8 * F.col("crossing")
     best = scored.groupBy(*by).agg(F.max(F.struct(score.alias("score"), (F.col("from") - F.col("to")).alias("w"), (-F.col("rank.i")).alias("i"), (-F.col("rank.j")).alias("j"), "left_end", "right_start")).alias("b"))
     return settled(best.select(*by, "b.left_end", "b.right_start", "b.score"))
@@ -175,10 +180,10 @@ def _two(spans: DataFrame, blocks: DataFrame, region: DataFrame, gaps: DataFrame
     line = W.partitionBy(*PAGE, "line")
     apart = F.max(F.when(~late, _right())).over(line) + _least_gap() <= F.min(F.when(late, F.col("x"))).over(line)
     cut = mine.withColumn("piece", F.when(F.coalesce(apart, F.lit(False)) & late, 1).otherwise(0)).drop("left_end", "right_start")
-    nodes = settled(_nodes(cut, blocks.join(one, PAGE, "left_semi")))
+    nodes = settled(_nodes(cut, blocks.join(_sorted(one), PAGE, "left_semi")))
     again = gutters(_numbered(nodes, PAGE), region).select(*PAGE, F.col("left_end").alias("l2"), F.col("right_start").alias("r2"))
-    edges = one.join(again, PAGE, "left").select(*PAGE, F.coalesce("l2", "left_end").alias("left_end"), F.coalesce("r2", "right_start").alias("right_start"))
-    known = nodes.join(edges, PAGE).join(region, PAGE)
+    edges = one.join(_sorted(again), PAGE, "left").select(*PAGE, F.coalesce("l2", "left_end").alias("left_end"), F.coalesce("r2", "right_start").alias("right_start"))
+    known = nodes.join(_sorted(edges), PAGE).join(_sorted(region), PAGE)
     slack = F.greatest(F.lit(2.0), 0.3 * F.col("body"))
     across = (F.col("x") < F.col("right_start") - slack) & (_right() > F.col("left_end") + slack)
     known = known.withColumns({"across": across, "row": (F.col("kind") == "line") & (across | F.coalesce(F.col("text").rlike(LEADERS), F.lit(False)))})
@@ -186,7 +191,7 @@ def _two(spans: DataFrame, blocks: DataFrame, region: DataFrame, gaps: DataFrame
     rows = known.where("kind = 'line'").withColumn("most", F.max("size").over(W.partitionBy(*PAGE)))
     beside = F.col("a.row") & (F.abs(F.col("a.baseline") - F.col("b.baseline")) < 0.4 * F.greatest("a.size", "b.size"))
     drawn = _near(rows, PAGE, F.col("most"), beside).select(*[F.col(f"b.{c}").alias(c) for c in (*PAGE, "kind", "ord", "piece")]).distinct().withColumn("drawn", F.lit(True))
-    known = known.join(drawn, [*PAGE, "kind", "ord", "piece"], "left").withColumn("spanning", F.col("across") | F.coalesce("drawn", F.lit(False)))
+    known = known.join(_sorted(drawn), [*PAGE, "kind", "ord", "piece"], "left").withColumn("spanning", F.col("across") | F.coalesce("drawn", F.lit(False)))
     side = F.when(F.col("x") + F.col("width") / 2 < (F.col("left_end") + F.col("right_start")) / 2, 0).otherwise(1)
     far = F.col("rx") + F.col("rw")
     edges_ = F.array(F.struct(F.col("rx").alias("x"), F.col("left_end").alias("end")), F.struct(F.col("right_start").alias("x"), far.alias("end")))
@@ -199,13 +204,13 @@ def _many(spans: DataFrame, blocks: DataFrame, region: DataFrame, gaps: DataFram
     # Pictures may stand out into the gutter.
     p, g = blocks.where("kind = 'image'").alias("p"), many.alias("g")
     out = (F.col("p.doc_id") == F.col("g.doc_id")) & (F.col("p.page") == F.col("g.page")) & (F.col("p.x") < F.col("g.left_end")) & (F.col("p.x") + F.col("p.width") < F.col("g.right_start") - 3)
-    widened = g.join(p, out, "left").groupBy("g.doc_id", "g.page", "g.gap", "g.left_end", "g.right_start").agg(F.max(F.col("p.x") + F.col("p.width")).alias("reach"))
+    widened = _sorted(g).join(p, out, "left").groupBy("g.doc_id", "g.page", "g.gap", "g.left_end", "g.right_start").agg(F.max(F.col("p.x") + F.col("p.width")).alias("reach"))
     listed = widened.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("gap", F.greatest("left_end", "reach").alias("a"), F.col("right_start").alias("z")))).alias("g"))
-    listed = listed.join(region, PAGE)
+    listed = listed.join(_sorted(region), PAGE)
     starts = F.concat(F.array("rx"), F.transform("g", lambda v: v["z"]))
     ends = F.concat(F.transform("g", lambda v: v["a"]), F.array(F.col("rx") + F.col("rw")))
     listed = listed.select(*PAGE, "g", F.arrays_zip(starts.alias("x"), ends.alias("end")).alias("edges"))
-    mine = spans.join(listed, PAGE)
+    mine = spans.join(_sorted(listed), PAGE)
     # A span is in the last column that starts at most 2 pt after it.
     part = F.greatest(F.lit(0), F.size(F.filter("edges", lambda e: F.col("x") >= e["x"] - 2)) - 1)
     mine = mine.withColumn("part", part)
@@ -213,7 +218,7 @@ def _many(spans: DataFrame, blocks: DataFrame, region: DataFrame, gaps: DataFram
     past = F.coalesce(F.max(_right()).over(W.partitionBy(*PAGE, "line", "part")) > bound, F.lit(False))
     whole = F.bool_or("past").over(W.partitionBy(*PAGE, "line"))
     cut = mine.withColumn("past", past).withColumn("piece", F.when(whole, 0).otherwise(F.col("part"))).drop("g", "edges", "part", "past")
-    known = _nodes(cut, blocks.join(listed, PAGE, "left_semi")).join(listed, PAGE)
+    known = _nodes(cut, blocks.join(_sorted(listed), PAGE, "left_semi")).join(_sorted(listed), PAGE)
     over = F.exists("g", lambda v: (F.col("x") < v["z"] - 2) & (_right() > v["a"] + 2))
     side = F.size(F.filter("g", lambda v: F.col("x") + F.col("width") / 2 >= (v["a"] + v["z"]) / 2))
     return known.select(*NODE, over.alias("spanning"), side.alias("side"), "edges", F.lit(True).alias("many"))
@@ -238,7 +243,7 @@ def bands(spans: DataFrame, blocks: DataFrame, regions: DataFrame) -> DataFrame:
     """
     spans, blocks, regions = settled(spans), settled(blocks), settled(regions)
     region, gaps = _regions(regions), settled(page_gutters(spans, blocks, regions))
-    flat = _nodes(spans.join(gaps, PAGE, "left_anti").withColumn("piece", F.lit(0)), blocks.join(gaps, PAGE, "left_anti")).join(region, PAGE)
+    flat = _nodes(spans.join(gaps, PAGE, "left_anti").withColumn("piece", F.lit(0)), blocks.join(gaps, PAGE, "left_anti")).join(_sorted(region), PAGE)
     flat = flat.select(*NODE, F.lit(True).alias("spanning"), F.lit(0).alias("side"), F.array(F.struct(F.col("rx").alias("x"), (F.col("rx") + F.col("rw")).alias("end"))).alias("edges"), F.lit(False).alias("many"))
     nodes = flat.unionByName(_two(spans, blocks, region, gaps)).unionByName(_many(spans, blocks, region, gaps))
 
@@ -251,7 +256,7 @@ def bands(spans: DataFrame, blocks: DataFrame, regions: DataFrame) -> DataFrame:
     foot = F.when(F.col("kind") == "line", F.col("y") + F.greatest(F.col("height"), 1.25 * F.col("size"))).otherwise(_bottom())
     one = F.col("spanning") | (~F.col("many") & (F.col("sides") < 2))
     held = nodes.groupBy(*PAGE, "_band", "spanning", "many").agg(F.count_distinct("side").alias("sides"), F.max(foot).alias("lowest"), F.max_by(foot, "_i").alias("last"), F.first("edges").alias("edges"))
-    held = held.join(region.select(*PAGE, "ry"), PAGE).withColumn("columns", F.when(one, 1).otherwise(F.size("edges")))
+    held = held.join(_sorted(region.select(*PAGE, "ry")), PAGE).withColumn("columns", F.when(one, 1).otherwise(F.size("edges")))
     order = W.partitionBy(*PAGE).orderBy("_band")
     # After a spanning band the cursor is its last node's foot; after another one it is the lowest so far since then.
     start = F.coalesce(F.lag("last").over(order), F.col("ry"))

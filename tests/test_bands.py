@@ -131,3 +131,18 @@ def test_empty_pages(spark):
     assert read(spark, [], [], []) == []
     got = read(spark, [], [("d", 1, 0, "image", 60.0, 110.0, 50.0, 50.0)])
     assert [(r.kind, r.band, r.top) for r in got] == [("image", 0, 100.0)]
+
+
+def test_nothing_of_a_page_is_broadcast(spark, monkeypatch):
+    plans = []
+
+    def settled(df):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0])
+        return kept(df)
+
+    kept = B.settled
+    monkeypatch.setattr(B, "settled", settled)
+    got = read(spark, two("d", 2))
+    assert [r.text for r in got] == ["L0", "L1", "R0", "R1"]
+    assert len(plans) > 8 and not [p for p in plans if "BroadcastHashJoin" in p or "BroadcastNestedLoopJoin" in p]
