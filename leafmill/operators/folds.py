@@ -9,7 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,3 +66,32 @@ def whole_groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[t
         open_ = rows.slice(starts[-1]) if starts else None
     if open_ is not None:
         yield open_.combine_chunks(), [(0, open_.num_rows)]
+
+
+def whole_rows(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Of sorted rows, tables of whole groups with where each one begins; rows of the last, open group wait for its end."""
+    open_: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = _changes(batch, by)
+        if open_ and _changes(pa.Table.from_batches([open_[-1].slice(open_[-1].num_rows - 1), batch.slice(0, 1)]).combine_chunks(), by).size:
+            new = np.append(0, new)
+        if new.size:
+            rows = pa.Table.from_batches([*open_, batch.slice(0, new[-1])]).combine_chunks()
+            if rows.num_rows:
+                before = sum(x.num_rows for x in open_)
+                yield rows, np.unique(np.append(0, new[:-1] + before))
+            open_ = []
+        open_.append(batch.slice(new[-1] if new.size else 0))
+    if open_:
+        yield pa.Table.from_batches(open_).combine_chunks(), np.array([0])
+
+
+def _changes(rows: pa.RecordBatch | pa.Table, by: list[str]) -> np.ndarray:
+    """Where a group begins that the row before is not in."""
+    found = np.zeros(rows.num_rows - 1, bool)
+    for c in by:
+        a, b = (rows.column(c).slice(k, rows.num_rows - 1) for k in (0, 1))
+        found |= np.asarray(pc.fill_null(pc.not_equal(a, b), False)) | np.asarray(pc.not_equal(pc.is_null(a), pc.is_null(b)))
+    return np.flatnonzero(found) + 1

@@ -1,18 +1,24 @@
 """Margins of a document's pages by evidence and presets, and coordinates on the target paper.
 
 Pages give evidence, pages of one paper size are one group, and the preset that
-costs least is taken unless the evidence speaks for margins of its own.  All of
-it is aggregates: a row for each page, then for each size, edge and preset.
+costs least is taken unless the evidence speaks for margins of its own.  Pages
+and blocks are dealt out once and leave a row for each page; one aggregate makes
+of these a row for each size.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafmill import constants as C
 from leafmill.functions import geometry as G
+from leafmill.operators.folds import ARROW, dealt, whole_rows
 from leafmill.operators.spans import PAGE, nearest_paper
 
 # Presets in order of preference, weights of the edges.
@@ -42,11 +48,59 @@ def flow_bottom(pages: DataFrame, blocks: DataFrame) -> DataFrame:
     return at.withColumn("flow_bottom", end).drop("h", "leading")
 
 
+#: What a block counts as: in the evidence at all, as a table, at any width (it stands in columns).
+SAYS, TABLE, HELD = 1, 2, 4
+#: What a page's blocks say together, besides the page's own columns.
+SAID = {"l": "double", "r": "double", "first": "double", "last": "double", "tables": "boolean", "left_safe": "double", "right_safe": "double", "table_bottom": "double"}
+
+
+def _read_pages(keys: list[str], columns: list[str]) -> Callable:
+    """Of sorted rows, pages before their blocks: keys, columns (of the page) and what its blocks say; null where none counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts in whole_rows(batches, keys):
+            flags = rows.column("_flags").to_numpy()
+            of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, rows.num_rows)))  # rows to pages
+            own = np.flatnonzero(flags < 0)
+            page = dict(zip([f.name for f in rows.schema.field("_page").type], rows.column("_page").combine_chunks().flatten(), strict=True))
+            value = lambda c: (rows.column(c).fill_null(np.nan).to_numpy(), rows.column(c).is_valid().to_numpy())
+            # A page's own row comes first; blocks without one are left out.
+            wide, high = (page[c].fill_null(np.nan).to_numpy(zero_copy_only=False)[starts][of] for c in ("width", "height"))
+            block = flags >= 0
+            says, table = block & (flags & SAYS > 0), block & (flags & TABLE > 0)
+
+            def most(v: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                return np.maximum.reduceat(np.where(ok, v, -np.inf), starts), np.logical_or.reduceat(ok, starts)
+
+            def least(v: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                return np.fmin.reduceat(np.where(ok, v, np.nan), starts), np.logical_or.reduceat(ok, starts)
+
+            start, started = value("_start")
+            n = np.add.reduceat(started.astype(np.int64), starts)
+            ordered = start[started][np.lexsort((start[started], of[started]))]
+            at = np.cumsum(n) - n + np.floor((n - 1) * 0.05).astype(np.int64)
+            left = np.where(n > 0, ordered[np.minimum(at, len(ordered) - 1)] if len(ordered) else 0.0, 0.0), n > 0
+            (x, has_x), (width, has_width), (y, has_y), (foot, has_foot), (bottom, has_bottom) = (value(c) for c in ("_x", "_width", "_y", "_foot", "_bottom"))
+            right, has_right = x + width, has_x & has_width
+            ends = rows.column("_end").to_numpy(zero_copy_only=False) & ((flags & HELD > 0) | (width >= 0.5 * wide))
+            known = page["width"].is_valid().to_numpy(zero_copy_only=False)[starts][of], page["height"].is_valid().to_numpy(zero_copy_only=False)[starts][of]
+            counts = np.logical_or.reduceat(says, starts)
+            found = {
+                "l": left, "r": most(right, block & has_right & ends), "first": least(y, block & has_y), "last": most(foot, block & has_foot), "tables": (np.logical_or.reduceat(table, starts), counts),
+                "left_safe": least(x, table & has_x), "right_safe": least(wide - right, table & has_right & known[0]), "table_bottom": least(high - bottom, table & has_bottom & known[1]),
+            }
+            made = [pa.array(v[of[own]], ARROW[SAID[c]], mask=~(ok & counts)[of[own]]) for c, (v, ok) in found.items()]
+            mine = pa.array(own)
+            yield pa.RecordBatch.from_arrays([*[rows.column(c).combine_chunks().take(mine) for c in keys], *[page[c].take(mine) for c in columns], *made], [*keys, *columns, *SAID])
+
+    return run
+
+
 def margin_evidence(pages: DataFrame, blocks: DataFrame) -> DataFrame:
-    """pages with left, right, top, bottom (null where a page says nothing) and reliable (whether its right edge is known).
+    """pages with left, right, top, bottom (null where a page says nothing), reliable (whether its right edge is known) and what its tables leave: left_safe, right_safe, table_bottom.
 
-    pages: doc_id, page, width, height, source, flow_bottom.  blocks: kind, role,
-    align, box, lines, line_height, columns (of its band).
+    pages: doc_id, page (their key), width, height, source, flow_bottom.  blocks:
+    kind, role, align, box, lines, line_height, columns (of its band).
 
     left: of the starts of body paragraphs, tables and left-aligned headings the
     one at index floor(5 %).  right: what is left of the furthest end of tables
@@ -54,27 +108,34 @@ def margin_evidence(pages: DataFrame, blocks: DataFrame) -> DataFrame:
     and of what stands in columns; short lines say nothing.  top, bottom: within
     18 % of the page; scans and pages with tables need room for all blocks set
     one after the other.
+
+    Pages and blocks are dealt out together and read once, a page after the
+    other: joining them and adding blocks up would sort them many times in a task.
     """
-    at = blocks.join(pages.select(*PAGE, F.col("width").alias("pw")), PAGE)
-    paragraph, table = F.col("kind") == "paragraph", F.col("kind") == "table"
+    types = dict(pages.dtypes)
+    columns = [c for c in pages.columns if c not in PAGE]
+    paragraph, table = F.coalesce(F.col("kind") == "paragraph", F.lit(False)), F.coalesce(F.col("kind") == "table", F.lit(False))
     heading = F.coalesce(F.col("role") == "heading", F.lit(False))
     body = paragraph & ~heading & ~F.coalesce(F.col("align").isin("center", "right"), F.lit(False))
     anchor = body | table
     starts = F.when(anchor | (paragraph & heading & (F.col("align") == "left")), F.col("x"))
-    wide = anchor & (F.col("width") >= 0.5 * F.col("pw")) & (table | (F.col("height") > 1.5 * F.col("line_height")) | F.coalesce(F.col("align").isin("justify", "both"), F.lit(False)))
-    held_ = wide | ((paragraph | table) & (F.col("columns") > 1))
+    long = table | F.coalesce(F.col("height") > 1.5 * F.col("line_height"), F.lit(False)) | F.coalesce(F.col("align").isin("justify", "both"), F.lit(False))
+    held = F.coalesce((paragraph | table) & (F.col("columns") > 1), F.lit(False))
     foot = F.when(paragraph, F.col("y") + 4 + F.greatest(F.col("height"), F.coalesce("lines", F.lit(1)) * F.col("line_height"))).otherwise(G.box().bottom)
-    said = at.groupBy(*PAGE).agg(
-        F.bool_or(anchor | paragraph).alias("any"), G.lower_quantile(starts, 0.05).alias("l"), F.max(F.when(held_, G.box().right)).alias("r"), F.min("y").alias("first"), F.max(foot).alias("last"), F.bool_or(table).alias("tables")
-    )
-    known = pages.join(said.where("any"), PAGE, "left")
+    bit = lambda test, n: F.when(test, n).otherwise(0)
+    numbers = {"_start": starts, "_x": F.col("x"), "_width": F.col("width"), "_y": F.col("y"), "_bottom": G.box().bottom, "_foot": foot}
+    there = blocks.where(" and ".join(f"{c} is not null" for c in PAGE)).select(*PAGE, *[v.cast("double").alias(c) for c, v in numbers.items()], ((anchor & long) | held).alias("_end"), (bit(paragraph | table, SAYS) + bit(table, TABLE) + bit(held, HELD)).alias("_flags"))
+    here = pages.select(*PAGE, F.struct(*[F.col(c).cast("double").alias(c) if c in ("width", "height") else F.col(c) for c in columns]).alias("_page"), F.lit(False).alias("_end"), F.lit(-1).alias("_flags"))
+    rows = here.unionByName(there, allowMissingColumns=True)
+    schema = ", ".join([f"`{c}` {types[c]}" for c in PAGE] + [f"`{c}` {'double' if c in ('width', 'height') else types[c]}" for c in columns] + [f"{c} {t}" for c, t in SAID.items()])
+    known = dealt(rows, PAGE, ["_flags"]).mapInArrow(_read_pages(PAGE, columns), schema)
     last = F.when((F.col("source") == "ocr") | F.col("tables"), F.greatest("last", F.col("flow_bottom") + 4)).otherwise(F.col("last"))
-    low = F.when(F.col("any"), F.col("height") - last)  # an empty page says nothing
+    low = F.when(F.col("tables").isNotNull(), F.col("height") - last)  # an empty page says nothing
     zero = F.lit(0.0)
     at_least = lambda v: F.when(v.isNotNull(), F.greatest(zero, v))
     return known.select(
         *pages.columns, at_least(F.col("l")).alias("left"), at_least(F.col("width") - F.col("r")).alias("right"), F.when(F.col("first") <= 0.18 * F.col("height"), F.greatest(zero, F.col("first"))).alias("top"),
-        F.when(low <= 0.18 * F.col("height"), F.greatest(zero, low)).alias("bottom"), F.col("r").isNotNull().alias("reliable"),
+        F.when(low <= 0.18 * F.col("height"), F.greatest(zero, low)).alias("bottom"), F.col("r").isNotNull().alias("reliable"), "left_safe", "right_safe", "table_bottom",
     )
 
 
@@ -104,29 +165,25 @@ def chosen_margins(pages: DataFrame, blocks: DataFrame, by: list[str] = ["doc_id
     width and 20 % of the height; unknown ones are the nearest preset's.
     """
     size = [*by, "paper", "kw", "kh"]
-    sized = target_papers(pages).withColumns({"kw": G.rounded(F.col("paper_width")).cast("long"), "kh": G.rounded(F.col("paper_height")).cast("long")})
-    evidence = margin_evidence(sized, blocks)
-    tables = blocks.where("kind = 'table'").join(sized.select(*PAGE, *[c for c in size if c not in PAGE], F.col("width").alias("pw"), F.col("height").alias("ph")), PAGE)
-    tables = tables.groupBy(*size).agg(F.min("x").alias("left_safe"), F.min(F.col("pw") - G.box().right).alias("right_safe"), F.min(F.col("ph") - G.box().bottom).alias("table_bottom"))
-
+    mine = pages.select(*dict.fromkeys([*by, *PAGE, "width", "height", "source", "flow_bottom"]))
+    sized = target_papers(margin_evidence(mine, blocks)).withColumns({"kw": G.rounded(F.col("paper_width")).cast("long"), "kh": G.rounded(F.col("paper_height")).cast("long")})
+    # Values are counted where they are, so that a document may have any number of pages.
     half = F.lit(0.5)
-    middle = {c: F.coalesce(F.percentile(F.when(F.col("reliable"), F.col(c)), half), F.percentile(c, half)) for c in ("left", "right")}
-    seen = evidence.groupBy(*size).agg(
-        F.count("*").alias("pages"), F.bool_or("reliable").alias("reliable"), *[v.alias(c) for c, v in middle.items()], *[F.min(c).alias(f"{c}_least") for c in ("top", "bottom")],
-        F.percentile("width", half).alias("mw"), F.percentile("height", half).alias("mh"),
+    sure = lambda c: F.when(F.col("reliable"), F.col(c))
+    edge = {"left": F.coalesce(F.percentile(sure("left"), half), F.percentile("left", half)), "right": F.percentile("right", half)}  # a page that knows its right edge is a reliable one
+    # The first value that a fifth of them reach is the one at index floor((n - 1) / 5).
+    edge |= {c: F.expr(f"coalesce(percentile_disc(0.2) WITHIN GROUP (ORDER BY CASE WHEN reliable THEN {c} END), percentile_disc(0.2) WITHIN GROUP (ORDER BY {c}))") for c in ("top", "bottom")}
+    seen = sized.groupBy(*size).agg(
+        F.count("*").alias("pages"), F.bool_or("reliable").alias("reliable"), *[v.alias(c) for c, v in edge.items()], *[F.min(c).alias(f"{c}_least") for c in ("top", "bottom")],
+        F.percentile("width", half).alias("mw"), F.percentile("height", half).alias("mh"), *[F.min(c).alias(c) for c in ("left_safe", "right_safe", "table_bottom")],
     )
-    # Top and bottom by counts of values, so that a document may have any number of pages.
-    ends = evidence.select(*size, F.explode(F.array(*[F.struct(F.lit(c).alias("edge"), F.col(c).alias("v"), F.col("reliable").alias("sure")) for c in ("top", "bottom")])).alias("e")).select(*size, "e.*")
-    low = G.lower_quantiles(ends.where("sure").unionByName(ends.withColumn("sure", F.lit(False))), [*size, "edge", "sure"], "v", 0.2, "q")
-    pick = lambda c, sure: F.max(F.when((F.col("edge") == c) & (F.col("sure") == sure), F.col("q")))
-    seen = seen.join(low.groupBy(*size).agg(*[F.coalesce(pick(c, True), pick(c, False)).alias(c) for c in ("top", "bottom")]), size, "left")
-    presets = F.array(*[F.struct(F.lit(k).alias("rank"), F.lit(n).alias("preset"), *[F.lit(v).alias(f"p_{c}") for c, v in zip(EDGES, m, strict=True)]) for k, (n, m) in enumerate(PRESETS)])
-    tried = seen.withColumn("_p", F.explode(presets)).select("*", "_p.*").drop("_p")
     weight = [F.when(F.col(c).isNotNull(), w).otherwise(0.0) for c, w in zip(EDGES, WEIGHTS, strict=True)]
-    cost = sum((F.coalesce(_loss(F.col(c) - F.col(f"p_{c}")), F.lit(0.0)) * w for c, w in zip(EDGES, weight, strict=True)), F.lit(0.0))
     total = sum(weight, F.lit(0.0))
-    tried = tried.withColumn("cost", F.when(total > 0, cost / total).otherwise(0.0))
-    best = tried.withColumn("_r", F.row_number().over(W.partitionBy(*size).orderBy("cost", "rank"))).where("_r = 1").join(tables, size, "left")
+    tried = []
+    for k, (name, margins) in enumerate(PRESETS):
+        cost = sum((F.coalesce(_loss(F.col(c) - v), F.lit(0.0)) * w for c, v, w in zip(EDGES, margins, weight, strict=True)), F.lit(0.0))
+        tried.append(F.struct(F.when(total > 0, cost / total).otherwise(0.0).alias("cost"), F.lit(k).alias("rank"), F.lit(name).alias("preset"), *[F.lit(v).alias(f"p_{c}") for c, v in zip(EDGES, margins, strict=True)]))
+    best = seen.withColumn("_p", F.least(*tried)).select("*", "_p.*").drop("_p")
 
     fits = (F.col("cost") <= ACCEPTED) | ~F.col("reliable")
     prior = {c: F.col(f"p_{c}") for c in EDGES}

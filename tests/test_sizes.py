@@ -11,8 +11,10 @@ import pytest
 from leafmill.functions import text as X
 from leafmill.operators import classify as Y
 from leafmill.operators import drawing as Z
+from leafmill.operators import folds as H
 from leafmill.operators import fractions as A
 from leafmill.operators import lines as L
+from leafmill.operators import margins as N
 from leafmill.operators import spans as S
 from leafmill.operators import tables as B
 from leafmill.plans import synth
@@ -181,3 +183,32 @@ def test_fractions_are_dealt_out_once(spark, monkeypatch):
     assert calls == [1]
     assert sorted((r.bar, r.text) for r in out.collect()) == [(k, f"w{k}/w{k + 1}") for k in range(0, 8, 2)]
     assert members.count() == 8 and texts.count() == 0
+
+
+def test_margins_are_one_deal_and_one_aggregate(spark):
+    # Each sort, join, window and aggregate of one stage holds memory of its own until the task ends.
+    pages = settled(spark.createDataFrame([("d", k, 600.0, 800.0, "pdf", None) for k in range(1, 48)] + [("d", None, 600.0, 800.0, "pdf", None)], "doc_id string, page int, width double, height double, source string, flow_bottom double"))
+    blocks = [("d", k, "paragraph", "body", "left", 90.0, 3.0 * k, 420.0, 30.0, 2, 15.0, 1) for k in range(1, 47)] + [("d", None, "table", None, None, 1.0, 1.0, 500.0, 30.0, 1, 15.0, 1), ("d", 99, "table", None, None, 1.0, 1.0, 500.0, 30.0, 1, 15.0, 1), ("d", 47, None, None, None, 1.0, 1.0, 1.0, 1.0, 1, 1.0, 1)]
+    blocks = settled(spark.createDataFrame(blocks, "doc_id string, page int, kind string, role string, align string, x double, y double, width double, height double, lines int, line_height double, columns int"))
+    evidence, chosen = N.margin_evidence(pages, blocks), N.chosen_margins(pages, blocks)
+    assert exchanges(evidence) == 1 and plan(evidence).count("Sort [") == 1
+    assert exchanges(chosen) == 2 and not any(x in plan(chosen) for x in ("Join", "Window", "Generate"))
+    said = {r.page: (r.left, r.right, r.top, r.bottom, r.reliable) for r in evidence.collect()}
+    assert said == {k: (90.0, 90.0, 3.0 * k, None, True) for k in range(1, 47)} | {47: (None, None, None, None, False), None: (None, None, None, None, False)}
+    # Neither blocks without a page nor those without a kind count; content that is near the top holds the preset back.
+    assert [(r.pages, r.preset, r.left, r.right, r.top, r.bottom) for r in chosen.collect()] == [(48, "detected", 90.0, 90.0, 0.0, 72.0)]
+
+
+def test_the_value_a_fifth_reaches(spark):
+    rows = spark.createDataFrame([(n, float(k * k % n)) for n in range(1, 120) for k in range(n)], "n int, v double")
+    got = rows.groupBy("n").agg(H.F.expr("percentile_disc(0.2) WITHIN GROUP (ORDER BY v)").alias("q"))
+    assert {r.n: r.q for r in got.collect()} == {n: sorted(float(k * k % n) for k in range(n))[int((n - 1) * 0.2)] for n in range(1, 120)}
+
+
+def test_groups_stay_whole_over_batches():
+    rng = random.Random(2)
+    keys = sorted(((rng.choice(["a", "b"]), rng.choice([None, 1, 2, 3, 4])) for _ in range(60)), key=str)
+    rows = pa.table({"k": [a for a, _ in keys], "j": pa.array([b for _, b in keys], pa.int32())})
+    for size in (1, 2, 7, 13, 60):
+        found = [[(r["k"], r["j"]) for r in part.slice(a, b - a).to_pylist()] for part, starts in H.whole_rows(iter(rows.to_batches(size)), ["k", "j"]) for a, b in zip(starts, [*starts[1:], part.num_rows], strict=True)]
+        assert [g[0] for g in found] == list(dict.fromkeys(keys)) and all(len(set(g)) == 1 for g in found) and sum(found, []) == keys
