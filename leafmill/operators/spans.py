@@ -211,15 +211,20 @@ def underlined(spans: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame
 
     A rule may run under several spans: each lies within it by 2 pt, and the
     rule lies from 1 pt above its baseline to a quarter of its size below.
+
+    A task looks its spans up among its pages' rules, so that spans, which are
+    many, are dealt out once and not sorted.
     """
-    s, r = spans.alias("s"), rules.alias("r")
+    s, r = spans.alias("s"), rules.alias("r").hint("shuffle_hash")
     at = G.rule_box(F.col("r.x1"), F.col("r.y1"), F.col("r.x2"), F.col("r.y2"))
     below = (F.col("r.y1") + F.col("r.y2")) / 2 - F.col("s.baseline")
     under = (
         (F.col("s.doc_id") == F.col("r.doc_id")) & (F.col("s.page") == F.col("r.page")) & G.horizontal(F.col("r.y1"), F.col("r.y2"))
         & (below > -1) & (below < 0.25 * F.col("s.size")) & (F.col("s.x") >= at.x - 2) & (F.col("s.x") + F.col("s.width") <= at.right + 2)
     )
-    return s.join(r, under, "left_semi"), r.join(s, under, "left_anti")
+    line = [*PAGE, "x1", "y1", "x2", "y2"]
+    taken = s.join(r, under).select(*[F.col(f"r.{c}").alias(c) for c in line]).distinct()
+    return s.join(r, under, "left_semi"), rules.join(taken, line, "left_anti")
 
 
 def nearest(left: DataFrame, right: DataFrame, key: list[str], left_id: str, at: str, other: str, most: float, value: str) -> DataFrame:

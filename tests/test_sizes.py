@@ -185,6 +185,22 @@ def test_fractions_are_dealt_out_once(spark, monkeypatch):
     assert members.count() == 8 and texts.count() == 0
 
 
+def test_underlined_spans_are_not_sorted(spark):
+    rng = random.Random(4)
+    spans = scattered(spark, 600).withColumn("doc_id", H.F.when(H.F.col("ord") % 50 == 0, None).otherwise(H.F.col("doc_id")))
+    flat = [(rng.choice([1, 2, 3, 4, None]), 1, rng.choice([0.0, 100.0, 250.0]), rng.choice([rng.uniform(0, 200), 12.0 * rng.randint(1, 12) + 1, None]), rng.choice([90.0, 300.0, 500.0])) for _ in range(80)]
+    rules = [(d, p, k, a, y, z, y) for k, (d, p, a, y, z) in enumerate(flat)] + [(1, 1, 100, 0.0, 13.0, 500.0, 40.0), flat[0][:2] + (101, flat[0][2], flat[0][3], flat[0][4], flat[0][3])]
+    lines = settled(spark.createDataFrame(rules, "doc_id long, page int, ord int, x1 double, y1 double, x2 double, y2 double"))
+    marked, free = S.underlined(spans, lines)
+    assert exchanges(marked) == 2 and "Sort [" not in plan(marked) and "BuildRight" in plan(marked)
+    # Nor is it spans that a rule is looked up among.
+    found = plan(free)[plan(free).index("ShuffledHashJoin") :]
+    assert "Sort [" not in found and "BuildRight" in found.splitlines()[0]
+    held = [(s.ord, r[2]) for s in spans.collect() for r in rules if None not in (s.doc_id, r[0], r[4]) and s.doc_id == r[0] and abs(r[4] - r[6]) < 1.5 and -1 < (r[4] + r[6]) / 2 - s.baseline < 0.25 * s["size"] and s.x >= min(r[3], r[5]) - 2 and s.x + s.width <= max(r[3], r[5]) + 2]
+    assert sorted(r.ord for r in marked.collect()) == sorted({a for a, _ in held}) and held
+    assert sorted(r.ord for r in free.collect()) == sorted({r[2] for r in rules} - {b for _, b in held})
+
+
 def test_margins_are_one_deal_and_one_aggregate(spark):
     # Each sort, join, window and aggregate of one stage holds memory of its own until the task ends.
     pages = settled(spark.createDataFrame([("d", k, 600.0, 800.0, "pdf", None) for k in range(1, 48)] + [("d", None, 600.0, 800.0, "pdf", None)], "doc_id string, page int, width double, height double, source string, flow_bottom double"))
