@@ -18,13 +18,15 @@ import math
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafmill.functions import geometry as G
-from leafmill.operators.folds import ARROW, dealt
+from leafmill.operators.folds import ARROW, changes, dealt
 from leafmill.operators.spans import PAGE
 
 #: What a page begins with, and what a restore without a save brings back.
@@ -75,32 +77,53 @@ class Replay:
         return self.text_matrix if name == "text_matrix" else self.size if name == "font_size" else self.now[name]
 
 
-def replayed(ops: DataFrame, wanted: list[str] | None = None) -> DataFrame:
+class _Replaying:
+    """States of the rows of sorted batches: only operators that can change one are looked at one by one."""
+
+    def __init__(self, names: list[str]):
+        self.names, self.at, self.state = names, None, Replay()
+
+    def __call__(self, batch: pa.RecordBatch) -> tuple[list[list], np.ndarray]:
+        """(states, which of them each row has)."""
+        new, change = np.zeros(batch.num_rows, bool), ~np.asarray(pc.fill_null(pc.is_in(batch.column("op"), pa.array(NEUTRAL)), False))
+        new[changes(batch, PAGE)] = True
+        new[0] = [batch.column(c)[0].as_py() for c in PAGE] != self.at
+        self.at = [batch.column(c)[-1].as_py() for c in PAGE]
+        change[0] = True
+        rows = np.flatnonzero(change | new)
+        states, starts = [], []
+        for row, fresh, op, nums, text in zip(rows.tolist(), new[rows].tolist(), *[batch.column(c).take(pa.array(rows)).to_pylist() for c in ("op", "nums", "text")], strict=True):
+            if fresh:
+                self.state = Replay()
+            if self.state(op, nums, text) or fresh or not states:
+                states.append([self.state.get(c) for c in self.names])
+                starts.append(row)
+        which = np.zeros(batch.num_rows, np.int32)
+        which[starts] = 1
+        return states, np.cumsum(which, dtype=np.int32) - 1
+
+
+def replayed(ops: DataFrame, wanted: list[str] | None = None, together: bool = False) -> DataFrame:
     """ops with the state that holds after each of them: the columns of STATE, or those of them that are wanted.
 
-    A state is written once for the operators that leave it as it is.
+    A state is written once for the operators that leave it as it is.  together:
+    a page's rows already follow each other by i in one partition; nothing is dealt out then.
     """
     names = [c for c in STATE if wanted is None or c in wanted]
     keep = [*PAGE, "i", "op", "nums", "text"]
     types = dict(ops.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, state = None, Replay()
+        replay = _Replaying(names)
         for batch in batches:
-            states, which = [], []
-            for *page, op, nums, text in zip(*[batch.column(c).to_pylist() for c in (*PAGE, "op", "nums", "text")], strict=True):
-                new = page != at
-                if new:
-                    at, state = page, Replay()
-                if state(op, nums, text) or new or not states:
-                    states.append([state.get(c) for c in names])
-                which.append(len(states) - 1)
-            place = pa.array(which, pa.int32())
-            columns = [pa.array([s[k] for s in states], ARROW[STATE[c]]).take(place) for k, c in enumerate(names)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *columns], [*keep, *names])
+            if batch.num_rows:
+                states, which = replay(batch)
+                columns = [pa.array([s[k] for s in states], ARROW[STATE[c]]).take(pa.array(which)) for k, c in enumerate(names)]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *columns], [*keep, *names])
 
     schema = ", ".join([*[f"{c} {types[c]}" for c in keep], *[f"{c} {STATE[c]}" for c in names]])
-    return dealt(ops.select(*keep), PAGE, ["i"]).mapInArrow(run, schema)
+    rows = ops.select(*keep)
+    return (rows if together else dealt(rows, PAGE, ["i"])).mapInArrow(run, schema)
 
 
 def transformed(matrix: Column, x: Column, y: Column) -> tuple[Column, Column]:
@@ -210,6 +233,119 @@ def painted(pieces: DataFrame, commands: DataFrame, state: DataFrame, spans: Dat
     return stroked.unionByName(lines), fills
 
 
+#: Codes of the letters of commands: move, line, curve, close.
+LETTERS = np.full(128, -1, np.int8)
+LETTERS[[ord(c) for c in "MLCZ"]] = range(4)
+
+
+def _first_of(runs: np.ndarray) -> np.ndarray:
+    """Where runs of equal numbers begin."""
+    return np.flatnonzero(np.append(True, runs[1:] != runs[:-1])) if len(runs) else np.zeros(0, np.int64)
+
+
+def _pieces(path: np.ndarray, code: np.ndarray, x: np.ndarray, y: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(x1, y1, x2, y2, artwork) of commands (move, line, curve, close as 0 to 3) in the order of their paths, as ``segments`` has them; known: with an end point."""
+    n, moved = len(path), code == 0
+    starts = _first_of(path)
+    opens = np.zeros(n, np.int64)
+    opens[starts] = starts
+    opens = np.maximum.accumulate(opens)
+    # A close goes back to the last move of its path that has a point.
+    back = np.maximum.accumulate(np.where(moved & known, np.arange(n), -1))
+    there = back >= opens
+    ends, begins = [], []
+    for v in (x, y):
+        e = np.where(code == 3, np.where(there, v[back], 0.0), np.where(known, v, 0.0))
+        b = np.append(0.0, e[:-1])
+        b[starts] = 0.0
+        ends.append(e)
+        begins.append(b)
+    dx, dy = (np.abs(e - b) for e, b in zip(ends, begins, strict=True))
+    slanted = ((code == 1) | (code == 3)) & (np.minimum(dx, dy) > np.minimum(1.5, 0.02 * np.maximum(dx, dy)))
+    cuts = moved.copy()
+    cuts[starts] = True
+    first = np.flatnonzero(cuts)
+    of = np.cumsum(cuts) - 1
+    artwork = (~np.logical_or.reduceat(code == 2, first) & np.logical_or.reduceat(slanted, first))[of]
+    return begins[0], begins[1], ends[0], ends[1], artwork
+
+
+def drawn(ops: DataFrame, together: bool = False) -> DataFrame:
+    """doc_id, page, i, k, kind (stroke, line, fill), x1, y1, x2, y2, color, thickness, opaque: what ``segments`` and ``painted`` find, in one pass over a page's operators.
+
+    ops: as for ``replayed``, with a path's commands in their order as a text of
+    letters (M move, L line, C curve, Z close) and their end points as arrays xs
+    and ys (null for Z), and, where pages are seen through one, view (matrix of
+    the page).  k: the command of a stroke; lines and fills are filled areas,
+    which spans have no say in here.  Paths carry their commands, so nothing is
+    joined; together: see ``replayed``.
+    """
+    names = ["fill", "stroke", "width", "blend", "opacity", "matrix"]
+    viewed = "view" in ops.columns
+    keep = [*PAGE, "i", "op", "nums", "text", "commands", "xs", "ys", *(["view"] if viewed else [])]
+    types = dict(ops.dtypes)
+    out = {**{c: types[c] for c in (*PAGE, "i")}, "k": "int", "kind": "string", **dict.fromkeys(("x1", "y1", "x2", "y2"), "double"), "color": "string", "thickness": "double", "opaque": "boolean"}
+
+    def painted_by(batch: pa.RecordBatch, states: list[list], which: np.ndarray) -> pa.RecordBatch:
+        rows = np.flatnonzero(np.asarray(pc.fill_null(pc.equal(batch.column("op"), "path"), False)))
+        at, which = batch.take(pa.array(rows)), which[rows]
+        matrix = np.array([s[5] for s in states], float).reshape(-1, 6)[which]
+        if viewed:
+            m, n = np.asarray(pc.list_flatten(at.column("view"))).reshape(-1, 6).T, matrix.T
+            seen = np.array([m[0] * n[0] + m[2] * n[1], m[1] * n[0] + m[3] * n[1], m[0] * n[2] + m[2] * n[3], m[1] * n[2] + m[3] * n[3], m[0] * n[4] + m[2] * n[5] + m[4], m[1] * n[4] + m[3] * n[5] + m[5]]).T
+        else:
+            seen = matrix
+        letters = at.column("commands")
+        path = np.repeat(np.arange(len(rows)), np.asarray(pc.fill_null(pc.binary_length(letters), 0)))
+        code = LETTERS[np.frombuffer("".join(x or "" for x in letters.to_pylist()).encode("ascii"), np.uint8)]
+        x, y = (pc.list_flatten(at.column(c)) for c in ("xs", "ys"))
+        known = ~(np.asarray(pc.is_null(x)) | np.asarray(pc.is_null(y)))
+        x, y = (np.asarray(pc.fill_null(v, 0.0)) for v in (x, y))
+        m = seen[path].T
+        x1, y1, x2, y2, artwork = _pieces(path, code, m[0] * x + m[2] * y + m[4], m[1] * x + m[3] * y + m[5], known)
+        starts = _first_of(path)
+        number = np.arange(len(path)) - np.repeat(starts, np.diff(np.append(starts, len(path))))
+        paint = at.column("text")
+        strokes, fills = (np.asarray(pc.fill_null(pc.is_in(paint, pa.array(v)), False)) for v in (STROKES, FILLS))
+        piece = (code == 1) | (code == 3)
+        line = np.flatnonzero(piece & strokes[path] & ~artwork & ((np.abs(x1 - x2) < 1.5) | (np.abs(y1 - y2) < 1.5)))
+        width = np.array([s[2] for s in states], float)[which] * np.sqrt(matrix[:, 0] * matrix[:, 0] + matrix[:, 1] * matrix[:, 1])
+
+        inner = np.flatnonzero(piece & fills[path] & ~np.bincount(path[code == 2], minlength=len(rows)).astype(bool)[path])
+        first = _first_of(path[inner])
+        own, n = path[inner][first], np.diff(np.append(first, len(inner)))
+        low = lambda a, b: np.minimum.reduceat(np.minimum(a, b)[inner], first) if len(first) else np.zeros(0)
+        high = lambda a, b: np.maximum.reduceat(np.maximum(a, b)[inner], first) if len(first) else np.zeros(0)
+        ax, ay = low(x1, x2), low(y1, y2)
+        w, h = high(x1, x2) - ax, high(y1, y2) - ay
+        thin = (np.minimum(w, h) <= 3) & (np.maximum(w, h) > 4 * np.minimum(w, h))
+        level, bar, box = w > h, np.flatnonzero((n >= 3) & thin), np.flatnonzero((n == 4) & ~thin)
+        mid_x, mid_y = ax + w / 2, ay + h / 2
+        areas = (np.where(level, ax, mid_x)[bar], np.where(level, mid_y, ay)[bar], np.where(level, ax + w, mid_x)[bar], np.where(level, mid_y, ay + h)[bar])
+
+        taken = np.concatenate([path[line], own[bar], own[box]])
+        sizes = (len(line), len(bar), len(box))
+        state = pa.array(which)
+        value = lambda k: pa.array([s[k] for s in states], pa.string()).take(state)
+        opaque = np.array([s[4] == 1 and s[3] == "source-over" for s in states], bool)[which]
+        color = pa.concat_arrays([value(1).take(pa.array(path[line])), value(0).take(pa.array(np.concatenate([own[bar], own[box]])))])
+        empty = lambda k, t: pa.nulls(sum(sizes[j] for j in k), t)
+        columns = [*[at.column(c).take(pa.array(taken)) for c in (*PAGE, "i")], pa.concat_arrays([pa.array(number[line].astype(np.int32)), empty((1, 2), pa.int32())])]
+        columns.append(pa.array(["stroke", "line", "fill"]).take(pa.array(np.repeat(np.arange(3), sizes))))
+        columns += [pa.array(np.concatenate([a[line], b, c[box]])) for a, b, c in zip((x1, y1, x2, y2), areas, (ax, ay, ax + w, ay + h), strict=True)]
+        columns += [color, pa.concat_arrays([pa.array(np.concatenate([width[path[line]], np.minimum(w, h)[bar]])), empty((2,), pa.float64())]), pa.concat_arrays([empty((0, 1), pa.bool_()), pa.array(opaque[own[box]])])]
+        return pa.RecordBatch.from_arrays(columns, list(out))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        replay = _Replaying(names)
+        for batch in batches:
+            if batch.num_rows:
+                yield painted_by(batch, *replay(batch))
+
+    rows = ops.select(*keep)
+    return (rows if together else dealt(rows, PAGE, ["i"])).mapInArrow(run, ", ".join(f"{c} {t}" for c, t in out.items()))
+
+
 # Text and paint
 
 #: How far ahead in the paint stream a span is looked for, and the character that text leaves out where a line is hyphenated.

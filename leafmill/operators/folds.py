@@ -74,8 +74,8 @@ def whole_rows(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tup
     for batch in batches:
         if not batch.num_rows:
             continue
-        new = _changes(batch, by)
-        if open_ and _changes(pa.Table.from_batches([open_[-1].slice(open_[-1].num_rows - 1), batch.slice(0, 1)]).combine_chunks(), by).size:
+        new = changes(batch, by)
+        if open_ and changes(pa.Table.from_batches([open_[-1].slice(open_[-1].num_rows - 1), batch.slice(0, 1)]).combine_chunks(), by).size:
             new = np.append(0, new)
         if new.size:
             rows = pa.Table.from_batches([*open_, batch.slice(0, new[-1])]).combine_chunks()
@@ -88,7 +88,7 @@ def whole_rows(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tup
         yield pa.Table.from_batches(open_).combine_chunks(), np.array([0])
 
 
-def _changes(rows: pa.RecordBatch | pa.Table, by: list[str]) -> np.ndarray:
+def changes(rows: pa.RecordBatch | pa.Table, by: list[str]) -> np.ndarray:
     """Where a group begins that the row before is not in."""
     found = np.zeros(rows.num_rows - 1, bool)
     for c in by:

@@ -20,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole(spark: SparkSession, sf_dir: str) -> bool:
+    """Whether no doc_id comes twice: what is cut out of one row of ``documents`` is all of a document then, and needs no dealing out."""
+    return table(spark, sf_dir, "documents").groupBy("doc_id").count().where("count > 1").isEmpty()
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, line_no, text."""
     docs = table(spark, sf_dir, "documents")
