@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import pairwise, product
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from leafmill.functions import geometry as G
-from leafmill.operators.folds import folded
-from leafmill.operators.regions import _met
+from leafmill import constants as C
+from leafmill.operators.folds import dealt, folded, whole_rows
 from leafmill.operators.spans import PAGE, live
-from leafmill.shared import settled
 
 #: How much lines of one axis may differ in angle and size, and how far apart (in sizes) their baselines lie.
 ALIKE, CLOSE, APART = 0.1, 0.55, 2.0
@@ -69,17 +72,61 @@ def slanted_order(spans: DataFrame) -> DataFrame:
     return told.select(*PAGE, "line", place.alias("place"), "run", F.col("axis").alias("axis_baseline"), "slanted")
 
 
-class _Apart:
-    """Frames in their order; one whose middle lies in an earlier one is passed over."""
+PAGE_ROW, RULE, TEXT, ART, TABLE = range(5)
 
-    def __init__(self):
-        self.kept: list[dict] = []
 
-    def __call__(self, v: dict) -> tuple[bool]:
-        if any(b["ex"] <= v["mx"] <= b["er"] and b["ey"] <= v["my"] <= b["eb"] for b in self.kept):
-            return (False,)
-        self.kept.append(v)
-        return (True,)
+def _plots(sheet: np.ndarray, rules: np.ndarray, ords: list, text: np.ndarray, digit: np.ndarray, art: np.ndarray, tables: np.ndarray) -> list[tuple]:
+    """The plots of a page (x, y, width, height) in the order of their frames; see ``framed_plots``.
+
+    rules: x1, y1, x2, y2 in the order of ords; text, art, tables: boxes.
+    """
+    boxed = lambda b: (b[:, 0], b[:, 1], b[:, 0] + b[:, 2], b[:, 1] + b[:, 3])
+    ups = [(o, r[0], min(r[1], r[3]), abs(r[3] - r[1])) for o, r in zip(ords, rules.tolist(), strict=True) if abs(r[0] - r[2]) < C.AXIS and abs(r[3] - r[1]) >= 70]
+    if len(ups) < 2:
+        return []
+    slots: dict[tuple, list] = {}
+    for u in ups:
+        slots.setdefault((u[2] // 2, u[3] // 2), []).append(u)
+    frames = []
+    for i, x, y, height in ups:
+        for u, v in product((-1, 0, 1), repeat=2):
+            for j, bx, by, bh in slots.get((y // 2 + u, height // 2 + v), ()):
+                if bx - x >= 150 and abs(by - y) <= 2 and abs(bh - height) <= 2 and (bx - x) * height <= 0.7 * (sheet[0] * sheet[1]):
+                    frames.append((i, j, x, y, bx - x, height))
+    if not frames:
+        return []
+    flat = rules[np.abs(rules[:, 1] - rules[:, 3]) < C.AXIS]
+    fx, fr, fy = np.minimum(flat[:, 0], flat[:, 2]), np.minimum(flat[:, 0], flat[:, 2]) + np.abs(flat[:, 2] - flat[:, 0]), flat[:, 1]
+    tx, ty, tr, tb = boxed(text)
+    ax, ay, ar, ab = boxed(art)
+    gx, gy, gr, gb = boxed(tables)
+    mid = lambda b: (b[:, 0] + b[:, 2] / 2, b[:, 1] + b[:, 3] / 2)
+    (mx, my), (hx, hy) = mid(text), mid(tables)
+    kept: list[tuple] = []
+    for _, _, x, y, w, h in sorted(frames, key=lambda f: f[:2]):
+        right, bottom, cx, cy = x + w, y + h, x + w / 2, y + h / 2
+        across = fy[(fx <= x + 2) & (fr >= right - 2)]
+        if not ((np.abs(across - y) < 2).any() and (np.abs(across - bottom) < 2).any()):
+            continue
+        if (((hx >= x) & (hx <= right) & (hy >= y) & (hy <= bottom)) | ((cx >= gx) & (cx <= gr) & (cy >= gy) & (cy <= gb))).any():
+            continue
+        held = (mx >= x) & (mx <= right) & (my >= y) & (my <= bottom)
+        out = (tx < x - 1) | (ty < y - 1) | (tr > right + 1) | (tb > bottom + 1) | (text[:, 2] > 0.7 * w)
+        if (held & digit).sum() < 3 or (held & out).any():
+            continue
+        if not ((ax >= x - 2) & (ay >= y - 2) & (ar <= right + 2) & (ab <= bottom + 2) & (art[:, 2] > 0.15 * w) & (art[:, 3] > 0.1 * h)).any():
+            continue
+        shared = np.maximum(0.0, np.minimum(right, ar) - np.maximum(x, ax)) * np.maximum(0.0, np.minimum(bottom, ab) - np.maximum(y, ay))
+        own = (ax >= x - 12) & (ay >= y - 12) & (ar <= right + 12) & (ab <= bottom + 12) & (shared >= 0.9 * art[:, 2] * art[:, 3])
+        ex, ey = min([x, *ax[own].tolist()]), min([y, *ay[own].tolist()])
+        ew, eh = max([right, *ar[own].tolist()]) - ex, max([bottom, *ab[own].tolist()]) - ey
+        if ((mx >= ex) & (mx <= ex + ew) & (my >= ey) & (my <= ey + eh) & ~held).any():
+            continue
+        # One whose middle lies in an earlier one is passed over.
+        if not any(a <= cx <= a + c and b <= cy <= b + d for a, b, c, d in kept):
+            kept.append((ex, ey, ew, eh))
+    middle = lambda o, b: o[0] <= b[0] + b[2] / 2 <= o[0] + o[2] and o[1] <= b[1] + b[3] / 2 <= o[1] + o[3]
+    return [b for b in kept if not any(o[2] * o[3] > b[2] * b[3] and middle(o, b) for o in kept)]
 
 
 def framed_plots(pages: DataFrame, rules: DataFrame, spans: DataFrame, artwork: DataFrame, tables: DataFrame) -> DataFrame:
@@ -96,53 +143,36 @@ def framed_plots(pages: DataFrame, rules: DataFrame, spans: DataFrame, artwork:
     with 90 % of its area inside belongs to it, unless text would be taken in.  Of
     frames in frames the largest stays.
 
-    Uprights meet under equal rounded tops and heights, so not all pairs are made.
+    What is on a page is dealt out once and looked at together; texts stay behind,
+    only whether they have digits goes along.  Uprights meet under equal rounded
+    tops and heights, so not all pairs are made.
     """
-    upright = rules.where(G.vertical(F.col("x1"), F.col("x2"))).select(*PAGE, "ord", F.col("x1").alias("x"), F.least("y1", "y2").alias("y"), F.abs(F.col("y2") - F.col("y1")).alias("height")).where("height >= 70")
-    slot = lambda c: F.floor(F.col(c) / 2)
-    near = lambda c: F.explode(F.array(slot(c) - 1, slot(c), slot(c) + 1))
-    a = upright.select("*", near("y").alias("_y")).select("*", near("height").alias("_h")).alias("a")
-    b = upright.withColumns({"_y": slot("y"), "_h": slot("height")}).alias("b")
-    key = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.page") == F.col("b.page")) & (F.col("a._y") == F.col("b._y")) & (F.col("a._h") == F.col("b._h"))
-    like = (F.col("b.x") - F.col("a.x") >= 150) & (F.abs(F.col("b.y") - F.col("a.y")) <= 2) & (F.abs(F.col("b.height") - F.col("a.height")) <= 2)
-    boxes = a.join(b, key & like).select("a.doc_id", "a.page", F.col("a.ord").alias("i"), F.col("b.ord").alias("j"), "a.x", "a.y", (F.col("b.x") - F.col("a.x")).alias("width"), "a.height")
-    boxes = boxes.join(pages.select(*PAGE, (F.col("width") * F.col("height")).alias("area")), PAGE).where(F.col("width") * F.col("height") <= 0.7 * F.col("area")).drop("area")
-    boxes = settled(boxes.withColumn("id", F.struct("i", "j")))
-    frame = [*PAGE, "i", "j"]
-    of_a = [F.col(f"a.{c}").alias(c) for c in frame]
-
-    def met(other: DataFrame, on: Column, *more: Column) -> DataFrame:
-        return _met(boxes, other.withColumn("id", F.lit(0)), [*of_a, *more], on)
-
-    level = rules.where(G.horizontal(F.col("y1"), F.col("y2"))).select(*PAGE, F.least("x1", "x2").alias("x"), (F.col("y1") - 2).alias("y"), F.abs(F.col("x2") - F.col("x1")).alias("width"), F.lit(4.0).alias("height"))
-    spanning = (F.col("b.x") <= F.col("a.x") + 2) & (G.box("b").right >= G.box("a").right - 2)
-    at = lambda v: F.abs(F.col("b.y") + 2 - v) < 2
-    edges = met(level, spanning & (at(F.col("a.y")) | at(G.box("a").bottom)), at(F.col("a.y")).alias("top"), at(G.box("a").bottom).alias("low"))
-    closed = edges.groupBy(*frame).agg(F.bool_or("top").alias("top"), F.bool_or("low").alias("low")).where("top and low").select(*frame)
-    inside = met(tables, G.contains_center(G.box("a"), G.box("b")) | G.contains_center(G.box("b"), G.box("a"))).distinct()
+    box, ends = ["x", "y", "width", "height"], ["x1", "y1", "x2", "y2"]
+    type_ = dict(rules.dtypes)["ord"]
+    none, no = F.lit(None).cast(type_), F.lit(False)
+
+    def side(df: DataFrame, number: int, values: list[Column | str], ord_: Column = none, digit: Column = no) -> DataFrame:
+        return df.select(*PAGE, F.lit(number).alias("side"), ord_.cast(type_).alias("ord"), *[(F.col(v) if isinstance(v, str) else v).cast("double").alias(c) for c, v in zip("abcd", values, strict=True)], digit.alias("digit"))
+
     text = live(spans)
-    held = met(text, G.contains_center(G.box("a"), G.box("b")), F.col("b.text").rlike(r"\d").alias("digit"), (~G.contains_box(G.box("a"), G.box("b"), 1) | (F.col("b.width") > 0.7 * F.col("a.width"))).alias("bad"))
-    labelled = held.groupBy(*frame).agg(F.count_if("digit").alias("n"), F.bool_or("bad").alias("bad")).where("n >= 3 and not bad").select(*frame)
-    large = (F.col("b.width") > 0.15 * F.col("a.width")) & (F.col("b.height") > 0.1 * F.col("a.height"))
-    drawn = met(artwork, G.contains_box(G.box("a"), G.box("b"), 2) & large).distinct()
-    good = boxes.join(closed, frame, "left_semi").join(labelled, frame, "left_semi").join(drawn, frame, "left_semi").join(inside, frame, "left_anti")
-    good = settled(good)
-
-    p, q = G.box("a"), G.box("b")
-    shared = F.greatest(F.lit(0.0), F.least(p.right, q.right) - F.greatest(p.x, q.x)) * F.greatest(F.lit(0.0), F.least(p.bottom, q.bottom) - F.greatest(p.y, q.y))
-    beyond = _met(good, artwork.withColumn("id", F.lit(0)), [*of_a, *[F.col(f"b.{c}").alias(c) for c in ("x", "y", "width", "height")]], G.contains_box(p, q, 12) & (shared >= 0.9 * q.width * q.height))
-    box = ["x", "y", "width", "height"]
-    extents = good.select(*frame, *box).unionByName(beyond).groupBy(*frame).agg(*G.bounds(G.box()))
-    own = good.select(*frame, *[F.col(c).alias(f"f{c}") for c in box])
-    known = settled(extents.join(own, frame).withColumn("id", F.lit(0)))
-    middle = {c: F.col(f"b.{c}") + F.col(f"b.{d}") / 2 for c, d in (("x", "width"), ("y", "height"))}
-    outside = ~((middle["x"] >= F.col("a.fx")) & (middle["x"] <= F.col("a.fx") + F.col("a.fwidth")) & (middle["y"] >= F.col("a.fy")) & (middle["y"] <= F.col("a.fy") + F.col("a.fheight")))
-    taking = _met(known, text.withColumn("id", F.lit(0)), of_a, G.contains_center(p, q) & outside).distinct()
-    known = known.join(taking, frame, "left_anti")
-    value = F.struct((F.col("fx") + F.col("fwidth") / 2).alias("mx"), (F.col("fy") + F.col("fheight") / 2).alias("my"), F.col("x").alias("ex"), F.col("y").alias("ey"), G.box().right.alias("er"), G.box().bottom.alias("eb"))
-    kept = folded(known.withColumn("_v", value), PAGE, ["i", "j"], "_v", _Apart, {"kept": "boolean"}).where("kept")
-    kept = settled(known.join(kept.select(*frame), frame, "left_semi").select(*frame, *box).withColumn("id", F.lit(0)))
-    larger = (F.col("b.width") * F.col("b.height") > F.col("a.width") * F.col("a.height")) & G.contains_center(q, p)
-    nested = _met(kept, kept, of_a, larger).distinct()
-    number = F.row_number().over(W.partitionBy(*PAGE).orderBy("i", "j")) - 1
-    return kept.join(nested, frame, "left_anti").select(*PAGE, number.alias("frame"), *box)
+    rows = side(pages, PAGE_ROW, ["width", "height", F.lit(0), F.lit(0)]).unionByName(side(rules, RULE, ends, F.col("ord"))).unionByName(side(text, TEXT, box, digit=F.col("text").rlike(r"\d")))
+    rows = rows.unionByName(side(artwork, ART, box)).unionByName(side(tables, TABLE, box)).where("doc_id is not null and page is not null")
+    types = dict(rows.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for page_rows, starts in whole_rows(batches, PAGE):
+            sides, digits = page_rows.column("side").to_numpy(), np.asarray(page_rows.column("digit"))
+            values, ords = np.column_stack([page_rows.column(c).to_numpy() for c in "abcd"]), page_rows.column("ord").to_pylist()
+            cuts = np.append(starts, len(sides)).tolist()
+            which, found = [], []
+            for lo, hi in pairwise(cuts):
+                a, b, c, d, e = (lo + np.searchsorted(sides[lo:hi], range(PAGE_ROW + 1, TABLE + 2))).tolist()
+                if a > lo:
+                    plots = _plots(values[lo], values[a:b], ords[a:b], values[b:c], digits[b:c], values[c:d], values[d:e])
+                    which += [lo] * len(plots)
+                    found += [(k, *p) for k, p in enumerate(plots)]
+            columns = [pa.array([f[k] for f in found], t) for k, t in enumerate([pa.int32(), *[pa.float64()] * 4])]
+            at = page_rows.take(pa.array(which, pa.int64())).combine_chunks()
+            yield pa.RecordBatch.from_arrays([*[pa.concat_arrays(at.column(c).chunks) if at.num_rows else pa.array([], at.schema.field(c).type) for c in PAGE], *columns], [*PAGE, "frame", *box])
+
+    return dealt(rows, PAGE, ["side", "ord"]).mapInArrow(run, ", ".join([*[f"{c} {types[c]}" for c in PAGE], "frame int", *[f"{c} double" for c in box]]))

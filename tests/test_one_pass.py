@@ -60,3 +60,10 @@ def test_drawn_paths_deal_nothing_out(spark, documents):
     twice = spark.read.parquet(f"{documents}/documents.parquet")
     twice.union(twice.limit(1)).write.parquet(f"{documents}/twice/documents.parquet")
     assert exchanges(harness.drawn_paths(spark, f"{documents}/twice")) == 1
+
+
+def test_framed_figures_broadcast_nothing(spark, documents):
+    found = harness.framed_figures(spark, documents)
+    found.collect()
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in text and "Join" not in text
