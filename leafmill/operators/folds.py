@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64())}
 
 
-def folded(rows: DataFrame, by: list[str], order: list[str], value: str, state: Callable[[], Callable], out: dict[str, str], keep: list[str] | None = None) -> DataFrame:
+def folded(rows: DataFrame, by: list[str], order: list[str], value: str, state: Callable[[], Callable], out: dict[str, str], keep: list[str] | None = None, deal: bool = True) -> DataFrame:
     """by, order, keep and the columns ``out`` (name: type): what a fresh ``state()`` returns for each value of its group, in order; group keys are not null.
 
-    keep: columns that go along, so that nothing has to be joined back.
+    keep: columns that go along, so that nothing has to be joined back.  deal:
+    False if each group is in one partition already.
     """
     types = dict(rows.dtypes)
     keys = [*by, *[c for c in order if c not in by], *(keep or [])]
@@ -41,7 +42,7 @@ def folded(rows: DataFrame, by: list[str], order: list[str], value: str, state:
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keys], *columns], [*keys, *out])
 
     kept = rows.select(*keys, F.col(value).alias("_value"))
-    return dealt(kept, by, order).mapInArrow(run, schema)
+    return (dealt(kept, by, order) if deal else kept.sortWithinPartitions(*by, *order)).mapInArrow(run, schema)
 
 
 def dealt(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:

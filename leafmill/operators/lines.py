@@ -8,7 +8,7 @@ windows and aggregates over lines.
 
 from __future__ import annotations
 
-from bisect import insort
+from bisect import bisect, insort
 from collections import deque
 from collections.abc import Iterator
 from itertools import repeat
@@ -16,6 +16,7 @@ from statistics import median
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from leafmill import constants as C
 from leafmill.functions import geometry as G
 from leafmill.functions.text import join_separator, line_marker
-from leafmill.operators.folds import ARROW, dealt, folded
+from leafmill.operators.folds import changes, dealt, folded, whole_rows
 from leafmill.operators.spans import PAGE
 
 
@@ -58,6 +59,48 @@ class Rows:
         self.before = (base, size, row[0]) if line is None else (None, None, None)
         return row[0]
 
+    def more(self, number: int, base: float, n: int) -> None:
+        """n more spans like the one before, which went to row ``number``."""
+        baselines = next(row[1] for row in self.rows if row[0] == number)
+        at = bisect(baselines, base)
+        baselines[at:at] = [base] * n
+
+
+class _Numbered:
+    """Rows of the spans of sorted batches.
+
+    Where two like neighbours (baseline and size) took one row, so do all that
+    follow them: that row's median only comes nearer, and older rows have not changed.
+    """
+
+    def __init__(self, by: list[str], told: bool):
+        self.by, self.told, self.at, self.step = by, told, None, None
+
+    def __call__(self, batch: pa.RecordBatch | pa.Table) -> np.ndarray:
+        n = batch.num_rows
+        new, like = np.zeros(n, bool), np.ones(n, bool)
+        new[changes(batch, self.by)] = True
+        new[0] = self.step is None or [batch.column(c)[0].as_py() for c in self.by] != self.at
+        self.at = [batch.column(c)[-1].as_py() for c in self.by]
+        like[changes(batch, ["baseline", "size"])] = False
+        starts = np.flatnonzero(new | ~like | (np.arange(n) == 0)) if not self.told else np.arange(n)
+        lines_ = batch.column("line_id").to_pylist() if self.told else repeat(None)
+        pick = pa.array(starts)
+        out = np.empty(n, np.int64)
+        ends = np.append(starts[1:], n)
+        for at, end, fresh, base, size, line in zip(starts.tolist(), ends.tolist(), new[starts].tolist(), batch.column("baseline").take(pick).to_pylist(), batch.column("size").take(pick).to_pylist(), lines_):
+            if fresh:
+                self.step = Rows()
+            row = out[at] = self.step(base, size, line)
+            while (at := at + 1) < end:
+                before, row = row, self.step(base, size, None)
+                if row == before:
+                    self.step.more(row, base, end - at - 1)
+                    out[at:end] = row
+                    break
+                out[at] = row
+        return out
+
 
 def rows_of(spans: DataFrame, by: list[str] = PAGE) -> DataFrame:
     """spans with the column row, numbered from the top of each page (or of each part of one, by more keys).
@@ -68,15 +111,10 @@ def rows_of(spans: DataFrame, by: list[str] = PAGE) -> DataFrame:
     told = "line_id" in spans.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, step = None, None
+        number = _Numbered(by, told)
         for batch in batches:
-            lines_ = batch.column("line_id").to_pylist() if told else repeat(None, batch.num_rows)
-            found = []
-            for *group, base, size, line in zip(*[batch.column(c).to_pylist() for c in (*by, "baseline", "size")], lines_, strict=True):
-                if step is None or group != at:
-                    at, step = group, Rows()
-                found.append(step(base, size, line))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], [*batch.schema.names, "row"])
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(number(batch))], [*batch.schema.names, "row"])
 
     schema = StructType([*spans.schema.fields, StructField("row", LongType())])
     return dealt(spans, by, ["baseline", "x", "ord"]).mapInArrow(run, schema)
@@ -143,62 +181,104 @@ def split_at_gaps(rows: DataFrame, join_wide_gaps: bool = False) -> DataFrame:
     return marked.withColumn("part", F.sum("_cut").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_cut")
 
 
-def lines(spans: DataFrame, join_wide_gaps: bool = False) -> DataFrame:
+#: What is measured of spans and lines.
+PLACE = ["x", "y", "width", "height", "size", "baseline"]
+
+
+def lines(spans: DataFrame, join_wide_gaps: bool = False, together: bool = False) -> DataFrame:
     """doc_id, page, row, part, x, y, width, height, size, baseline, text, n: the lines of a page.
 
     Size and baseline are medians over members of at least 85 % of the largest size.
+    Pages are passed through many at a time.  together: a page's spans already
+    follow each other in one partition; nothing is dealt out then.
     """
     told = ["line_id"] if "line_id" in spans.columns else []
-    rows = rows_of(spans.select(*PAGE, "ord", "text", "x", "y", "width", "height", "baseline", "size", *told)).sortWithinPartitions(*PAGE, "row", "x", "ord")
+    rows = spans.select(*PAGE, "ord", "text", "x", "y", "width", "height", "baseline", "size", *told)
     types = dict(rows.dtypes)
-    names = ["x", "y", "width", "height", "size", "baseline", "text"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, part, open_ = None, 0, []
-        for batch in batches:
-            done = []
-            for *row, x, y, width, height, size, baseline, text in zip(*[batch.column(c).to_pylist() for c in (*PAGE, "row", *names)], strict=True):
-                if open_ and row == at:
-                    before = open_[-1]
-                    wide = not join_wide_gaps and x - (before[0] + before[2]) > max(C.GAP_MIN, C.GAP_SHARE * min(before[4], size))
-                if at is None or row != at or wide:
-                    done += [(*at, part, *_line(open_))] if open_ else []
-                    at, part, open_ = row, part + 1 if row == at else 0, []
-                open_.append((x, y, width, height, size, baseline, text))
-            yield table(done)
-        if open_:
-            yield table([(*at, part, *_line(open_))])
-
-    def table(done: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate(kinds)], out)
-
-    out = [*PAGE, "row", "part", *names, "n"]
-    schema = ", ".join([*[f"{c} {types[c]}" for c in (*PAGE, "row")], "part bigint", *[f"{c} {'string' if c == 'text' else 'double'}" for c in names], "n bigint"])
-    kinds = [ARROW[types[c]] for c in (*PAGE, "row")] + [ARROW["bigint"]] + [ARROW["string" if c == "text" else "double"] for c in names] + [ARROW["bigint"]]
-    return rows.mapInArrow(run, schema)
-
-
-def _line(spans: list[tuple]) -> tuple:
-    """x, y, width, height, size, baseline, text and n of a line's spans (x, y, width, height, size, baseline, text), which come by x.
-
-    A gap over 16 % of the smaller size reads as a space, one wider than a tab as a tab.
+    return (rows if together else dealt(rows, PAGE, ["baseline", "x", "ord"])).mapInArrow(lambda batches: lines_of(batches, join_wide_gaps), line_schema(types))
+
+
+def line_schema(types: dict[str, str]) -> str:
+    return ", ".join([*[f"{c} {types[c]}" for c in PAGE], "row bigint", "part bigint", *[f"{c} double" for c in PLACE], "text string", "n bigint"])
+
+
+def lines_of(batches: Iterator[pa.RecordBatch], join_wide_gaps: bool = False) -> Iterator[pa.RecordBatch]:
+    """``lines`` of spans whose pages follow each other."""
+    for held, starts in whole_rows(batches, PAGE):
+        page = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, held.num_rows)))
+        value = {c: held.column(c).to_numpy().astype(float) for c in PLACE} | {"ord": held.column("ord").to_numpy()}
+        held, page, value = _sorted(held, page, value, [value["ord"], value["x"], value["baseline"], page])
+        row = _Numbered(PAGE, "line_id" in held.schema.names)(held)
+        held, page, value, row = _sorted(held, page, value, [value["ord"], value["x"], row, page], row)
+        yield _lines(held, page, row, value, join_wide_gaps)
+
+
+def _lines(held: pa.Table, page: np.ndarray, row: np.ndarray, value: dict[str, np.ndarray], join_wide_gaps: bool) -> pa.RecordBatch:
+    x, width, size = (value[c] for c in ("x", "width", "size"))
+    n = len(page)
+    gap, small = x[1:] - (x + width)[:-1], np.minimum(size[1:], size[:-1])
+    tab = gap > np.maximum(C.GAP_MIN, C.GAP_SHARE * small)
+    new_row = (page[1:] != page[:-1]) | (row[1:] != row[:-1])
+    cut = new_row if join_wide_gaps else new_row | tab
+    first = np.flatnonzero(np.append(True, cut))
+    ends = np.append(first[1:], n)
+    of = np.repeat(np.arange(len(first)), ends - first)
+    # Parts count from 0 in each row.
+    opens = np.append(True, new_row)[first]
+    part = np.arange(len(first)) - np.maximum.accumulate(np.where(opens, np.arange(len(first)), 0))
+    left, top = np.minimum.reduceat(x, first), np.minimum.reduceat(value["y"], first)
+    right, bottom = np.maximum.reduceat(x + width, first), np.maximum.reduceat(value["y"] + value["height"], first)
+    main = size >= C.MAIN_SIZE_SHARE * np.maximum.reduceat(size, first)[of]
+    medians = [_medians(value[c], main, first, ends) for c in ("size", "baseline")]
+    texts = _joined(held.column("text"), first, np.append(False, tab & ~cut), np.append(False, ~cut & (gap > C.SPACE_SHARE * small)))
+    pick = pa.array(first)
+    made = [*[held.column(c).take(pick).combine_chunks() for c in PAGE], pa.array(row[first]), pa.array(part), *[pa.array(v) for v in (left, top, right - left, bottom - top, *medians)], texts, pa.array(ends - first)]
+    return pa.RecordBatch.from_arrays([m if isinstance(m, pa.Array) else m.chunk(0) for m in made], [*PAGE, "row", "part", *PLACE, "text", "n"])
+
+
+def _sorted(held: pa.Table, page: np.ndarray, value: dict[str, np.ndarray], keys: list[np.ndarray], *more: np.ndarray) -> tuple:
+    """held, page, value and more sorted by keys, of which the last counts most; as they are if they are sorted already."""
+    after, level = np.zeros(len(page) - 1, bool), np.ones(len(page) - 1, bool)
+    for k in reversed(keys):
+        after |= level & (k[1:] < k[:-1])
+        level &= k[1:] == k[:-1]
+    if after.any():
+        order = np.lexsort(keys)
+        held, page, value, more = held.take(pa.array(order)).combine_chunks(), page[order], {c: v[order] for c, v in value.items()}, [m[order] for m in more]
+    return held, page, value, *more
+
+
+def _medians(values: np.ndarray, main: np.ndarray, first: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The median of the main values of each line."""
+    least, most = np.minimum.reduceat(np.where(main, values, np.inf), first), np.maximum.reduceat(np.where(main, values, -np.inf), first)
+    for k in np.flatnonzero(least != most).tolist():
+        own = slice(first[k], ends[k])
+        least[k] = median(values[own][main[own]].tolist())
+    return least
+
+
+def _joined(text: pa.Array | pa.ChunkedArray, first: np.ndarray, tab: np.ndarray, gap: np.ndarray) -> pa.Array:
+    """The text of each line: a tab or a space goes before a span where tab or gap say so; blanks at hand count as the space.
+
+    An empty span has no last character of its own, what is before it counts.
     """
-    left, top = min(s[0] for s in spans), min(s[1] for s in spans)
-    right, bottom = max(s[0] + s[2] for s in spans), max(s[1] + s[3] for s in spans)
-    least = C.MAIN_SIZE_SHARE * max(s[4] for s in spans)
-    main = [s for s in spans if s[4] >= least]
-    texts, end, last, tail = [], None, None, " "  # tail: the last character so far; before all text it counts as a space
-    for x, _, width, _, size, _, text in spans:
-        if end is not None:
-            gap, small = x - end, min(last, size)
-            if gap > max(C.GAP_MIN, C.GAP_SHARE * small):
-                texts.append("\t")
-            elif gap > C.SPACE_SHARE * small and tail != " " and not text.startswith(" "):
-                texts.append(" ")
-        texts.append(text)
-        tail = (texts[-1] or (texts[-2] if len(texts) > 1 else "") or tail)[-1]
-        end, last = x + width, size
-    return left, top, right - left, bottom - top, median(s[4] for s in main), median(s[5] for s in main), "".join(texts), len(spans)
+    text = text.chunk(0) if isinstance(text, pa.ChunkedArray) and text.num_chunks == 1 else pa.concat_arrays(text.chunks) if isinstance(text, pa.ChunkedArray) else text
+    n = len(text)
+    starts, blank = np.asarray(pc.starts_with(text, " ")), np.asarray(pc.ends_with(text, " "))
+    empty = np.asarray(pc.equal(text, ""))
+    space = gap & ~tab & ~starts & ~np.append(False, blank[:-1])
+    opens = np.zeros(n, bool)
+    opens[first] = True
+    # After an empty span it hangs on what was written before it.
+    for k in np.flatnonzero(np.append(False, empty[:-1]) & gap & ~tab & ~starts).tolist():
+        j = k - 1
+        while empty[j] and not (tab[j] or space[j] or opens[j]):
+            j -= 1
+        space[k] = not tab[j] and not space[j] and not opens[j] if empty[j] else not blank[j]
+        if empty[j] and tab[j]:
+            space[k] = True
+    marked = pc.binary_join_element_wise(pa.array(["", " ", "\t"]).take(pa.array(np.where(tab, 2, space.astype(np.int8)).astype(np.int8))), text, "")
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(first, n).astype(np.int32)), marked), "")
 
 
 def _text(spans: Column) -> Column:
@@ -251,6 +331,14 @@ class Open:
         return (self.number,)
 
 
+#: A page, and the hash by which it was dealt out: windows over both need no exchange of their own.
+GROUP = ["_group", *PAGE]
+
+
+def _paged(lines_: DataFrame) -> DataFrame:
+    return lines_.withColumn("_group", F.xxhash64(*PAGE)).repartition("_group")
+
+
 def broken(lines_: DataFrame) -> DataFrame:
     """lines_ (with body, the page's text size) with paragraph, numbered down the page.
 
@@ -259,7 +347,9 @@ def broken(lines_: DataFrame) -> DataFrame:
     before, a short line that ends a sentence.  The rest depends on the open
     paragraph: leading, size, indents, leaving a list.
     """
-    page = W.partitionBy(*PAGE)
+    named = lines_.columns
+    lines_ = lines_ if "_group" in named else _paged(lines_)
+    page = W.partitionBy(*GROUP)
     down = page.orderBy("y", "x", "row", "part")
     before = {c: F.lag(c).over(down) for c in ("baseline", "size", "width", "x", "text", *(["paragraph_id"] if "paragraph_id" in lines_.columns else []))}
     left = F.min("x").over(page)
@@ -273,8 +363,8 @@ def broken(lines_: DataFrame) -> DataFrame:
         F.abs(before["x"] - left).alias("margin"), F.abs(F.col("x") - before["x"]).alias("jump"),
     )
     order = ["y", "x", "row", "part"]
-    rest = [c for c in lines_.columns if c not in (*PAGE, *order)]
-    return folded(lines_.withColumn("_v", value), PAGE, order, "_v", Open, {"paragraph": "bigint"}, rest).select(*lines_.columns, "paragraph")
+    rest = [c for c in named if c not in (*GROUP, *order)]
+    return folded(lines_.withColumn("_v", value), PAGE, order, "_v", Open, {"paragraph": "bigint"}, rest, deal=False).select(*[c for c in named if c != "_group"], "paragraph")
 
 
 def paragraphs(lines_: DataFrame) -> DataFrame:
@@ -284,23 +374,23 @@ def paragraphs(lines_: DataFrame) -> DataFrame:
     ``join_separator``).  indent: from the page's text to the paragraph, 0 if it
     is centred; first_indent: of its first line; last_width: of its last one.
     """
-    size = W.partitionBy(*PAGE)
-    marked = broken(lines_.withColumn("body", F.percentile("size", F.lit(0.5)).over(size)))
+    size = W.partitionBy(*GROUP)
+    marked = _paged(broken(_paged(lines_).withColumn("body", F.percentile("size", F.lit(0.5)).over(size))))
     key = [*PAGE, "paragraph"]
-    down = W.partitionBy(*key).orderBy("y", "x")
+    down = W.partitionBy("_group", *key).orderBy("y", "x")
     steps = marked.withColumn("step", F.col("baseline") - F.lag("baseline").over(down))
     inner = steps.withColumn("last", F.lead("y").over(down).isNull())
-    held = inner.groupBy(*key).agg(
+    held = inner.groupBy("_group", *key).agg(
         F.count("*").alias("lines"), F.array_sort(F.collect_list(F.struct("y", "x", "text", "width"))).alias("t"), *G.bounds(G.box()), F.percentile("size", F.lit(0.5)).alias("size"),
         F.percentile("step", F.lit(0.5)).alias("step"), F.first("body").alias("body"), F.min(F.when(~F.col("last"), F.col("x") + F.col("width"))).alias("short"),
     )
     first = F.col("t")[0]["text"]
     role = F.when(line_marker(first).isin("list", "chinese"), "list").when((F.col("size") > C.HEADING * F.col("body")) & (F.col("lines") <= 3), "heading").otherwise("body")
-    region = W.partitionBy(*PAGE)
+    region = W.partitionBy(*GROUP)
     held = held.withColumns({"left": F.min("x").over(region), "right": F.max(F.col("x") + F.col("width")).over(region), "top": F.min("y").over(region)})
     centred = F.abs((F.col("x") - F.col("left")) - (F.col("right") - F.col("x") - F.col("width"))) <= F.greatest(F.lit(C.CENTRE_MIN), C.CENTRE_SHARE * F.col("size"))
     align = F.when((F.col("x") - F.col("left") > F.col("size")) & centred, "center").when((F.col("lines") > 1) & (F.col("short") >= F.col("x") + 0.97 * F.col("width")), "both").otherwise("left")
-    before = F.greatest(F.lit(0.0), F.col("y") - F.coalesce(F.lag(F.col("y") + F.col("height")).over(W.partitionBy(*PAGE).orderBy("paragraph")), F.col("top")))
+    before = F.greatest(F.lit(0.0), F.col("y") - F.coalesce(F.lag(F.col("y") + F.col("height")).over(region.orderBy("paragraph")), F.col("top")))
     held = held.withColumn("align", align)
     joined = F.transform("t", lambda s, i: F.when(i == 0, s["text"]).otherwise(F.concat(join_separator(F.get("t", i - 1)["text"], s["text"]), s["text"])))
     indent = F.when(F.col("align") == "center", 0.0).otherwise(F.col("x") - F.col("left"))

@@ -67,6 +67,16 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def span_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``spans`` of whole texts (doc_id, text) that are not blank, for an operator of the same pass; ord is of the document."""
+    for words_ in _placed(batches):
+        words_ = words_.filter(pc.not_equal(words_.column("text"), ""))
+        line, ord_, at, chars = (words_.column(c).to_numpy().astype(np.int64) for c in ("line_no", "ord", "at", "chars"))
+        full = lambda v: pa.array(np.full(len(line), v))  # noqa: E731, B023
+        made = {"ord": pa.array(line * 100_000 + ord_), "text": words_.column("text"), "x": pa.array(6.0 * at), "y": pa.array(12.0 * line), "width": pa.array(6.0 * chars), "height": full(12.0), "baseline": pa.array(12.0 * line + 10), "size": full(12.0)}
+        yield pa.RecordBatch.from_arrays([words_.column("doc_id"), full(np.int32(1)), *made.values()], ["doc_id", "page", *made])
+
+
 #: Words of a page set in two columns: a heading, then two times thirty rows of four.
 COLUMN_WORDS, PAGE_WORDS = 120, 241
 

@@ -6,6 +6,7 @@ import random
 
 import pytest
 from leafmill.operators import drawing as Z
+from leafmill.operators import lines as L
 from leafmill.plans import harness
 from pyspark.sql import functions as F
 
@@ -67,3 +68,46 @@ def test_framed_figures_broadcast_nothing(spark, documents):
     found.collect()
     text = found._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in text and "Join" not in text
+
+
+SPAN = "doc_id long, page int, ord long, text string, x double, y double, width double, height double, baseline double, size double"
+
+
+def test_rows_of_like_neighbours_equal_the_fold(spark):
+    rng, rows = random.Random(8), []
+    for doc in range(8):
+        for k in range(120):
+            base = rng.choice([10.0, 11.0, 12.5, 14.0, 20.0, 33.0])
+            rows.append((doc, 1, k, rng.choice(["a", "", " ", "b ", " c", "word"]), float(rng.randint(0, 300)), base - 10, float(rng.randint(0, 60)), 12.0, base, rng.choice([6.0, 12.0, 12.0, 20.0])))
+    want = []
+    for doc in range(8):
+        step = L.Rows()
+        want += [(doc, r[2], step(r[8], r[9], None)) for r in sorted((r for r in rows if r[0] == doc), key=lambda r: (r[8], r[4], r[2]))]
+    spans = spark.createDataFrame(rows, SPAN)
+    assert sorted((r.doc_id, r.ord, r.row) for r in L.rows_of(spans).collect()) == sorted(want)
+    # Lines and their texts, span by span.
+    number, made = {w[:2]: w[2] for w in want}, {}
+    for r in sorted(rows, key=lambda r: (r[0], number[r[0], r[2]], r[4], r[2])):
+        made.setdefault((r[0], number[r[0], r[2]]), []).append(r)
+    texts = []
+    for key, spans_ in made.items():
+        part, text, tail, end, last = 0, "", " ", None, None
+        for _, _, _, t, x, _, width, _, _, size in spans_:
+            if end is not None and x - end > max(18.0, 2.5 * min(last, size)):
+                texts.append((*key, part, text))
+                part, text, tail, end = part + 1, "", " ", None
+            if end is not None and x - end > 0.16 * min(last, size) and tail != " " and not t.startswith(" "):
+                text += " "
+            text += t
+            tail, end, last = (text or tail)[-1], x + width, size
+        texts.append((*key, part, text))
+    for found in (L.lines(spans), L.lines(spans.orderBy("doc_id", "baseline", "x", "ord").coalesce(1), together=True), L.lines(spans.orderBy("doc_id", "ord").coalesce(1), together=True)):
+        assert sorted((r.doc_id, r.row, r.part, r.text) for r in found.collect()) == sorted(texts)
+
+
+def test_lines_of_documents_deal_nothing_out(spark, documents):
+    assert exchanges(harness.lines_grouped_map(spark, documents)) == 0
+
+
+def test_paragraphs_deal_lines_out_twice(spark, documents):
+    assert exchanges(harness.paragraphs_grouped_map(spark, documents)) == 2
