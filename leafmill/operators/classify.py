@@ -6,6 +6,11 @@ footer, underlines and rules, figures and overlays.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,13 +21,14 @@ from leafmill.functions.text import SPACE, trimmed
 from leafmill.operators import lines as L
 from leafmill.operators import spans as S
 from leafmill.operators import tables as B
-from leafmill.operators.folds import folded
+from leafmill.operators.folds import folded, whole_rows
 from leafmill.operators.fractions import with_fractions
 from leafmill.operators.spans import PAGE
 from leafmill.shared import reliable
 
 # Fixed values.
 MONTH = r"(?i)^(?:January|February|March|April|May|June|July|August|September|October|November|December)$"
+MONTHS = MONTH.strip("^$").removeprefix("(?i)^")
 FOOTER = rf"(?i)^{SPACE}*(?:第{SPACE}*\d{{1,4}}{SPACE}*頁(?:[，,]?{SPACE}*共{SPACE}*\d{{1,4}}{SPACE}*頁)?|page{SPACE}+\d{{1,4}}(?:{SPACE}+of{SPACE}+\d{{1,4}})?|\d{{1,4}}{SPACE}*[/／]{SPACE}*\d{{1,4}}){SPACE}*$"
 NUMBER = r"^\d{1,4}$"
 
@@ -31,9 +37,9 @@ def _same_page(a: str, b: str) -> Column:
     return (F.col(f"{a}.doc_id") == F.col(f"{b}.doc_id")) & (F.col(f"{a}.page") == F.col(f"{b}.page"))
 
 
-def date_years(spans: DataFrame) -> DataFrame:
-    """Spans of four digits right under a month's name: the year of a date, no page number."""
-    m, y = spans.where(trimmed(F.col("text")).rlike(MONTH)).alias("m"), spans.where(trimmed(F.col("text")).rlike(r"^\d{4}$")).alias("y")
+def date_years(spans: DataFrame, months: DataFrame | None = None) -> DataFrame:
+    """Spans of four digits right under a month's name (of ``months``, if given): the year of a date, no page number."""
+    m, y = (spans if months is None else months).where(trimmed(F.col("text")).rlike(MONTH)).alias("m"), spans.where(trimmed(F.col("text")).rlike(r"^\d{4}$")).alias("y")
     below = F.col("y.y") - (F.col("m.y") + F.col("m.height"))
     across = F.least(F.col("m.x") + F.col("m.width"), F.col("y.x") + F.col("y.width")) > F.greatest("m.x", "y.x")
     return y.join(m, _same_page("m", "y") & (below >= -0.5) & (below <= F.col("y.size")) & across, "left_semi")
@@ -54,8 +60,38 @@ def footers(spans: DataFrame, pages: DataFrame, recurring: DataFrame | None = No
     narrow = at.select(*PAGE, "ord", "x", "baseline", "size", *(["line_id"] if "line_id" in spans.columns else []), F.when(low, F.struct("pw", "ph", "body_size", "origin", F.struct(*spans.columns).alias("span"))).alias("low"))
     held = L.rows_of(narrow).groupBy(*PAGE, "row").agg(F.bool_and(F.col("low").isNotNull()).alias("all"), F.collect_list("low").alias("spans")).where("all")
     rows = held.select("row", F.explode("spans").alias("s")).select("row", "s.pw", "s.ph", "s.body_size", "s.origin", "s.span.*")
+    return footers_of(rows, spans.columns, date_years(spans), recurring)
+
+
+#: What ``low_spans`` adds to spans.
+LOW = {"pw": "double", "ph": "double", "body_size": "double", "origin": "string", "row": "bigint", "low": "boolean"}
+
+
+def low_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For ``footers_of``: of spans (with pw, ph, body_size and origin of their page) whose pages follow each other, those in rows that lie low altogether, and where one of them may be a year the names of months."""
+    for held, starts in whole_rows(batches, PAGE):
+        page = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, held.num_rows)))
+        value = {c: held.column(c).to_numpy() for c in ("ord", "x", "baseline")}
+        held, page, value = L._sorted(held, page, value, [value["ord"], value["x"], value["baseline"], page])
+        row = L._Numbered(PAGE, "line_id" in held.schema.names)(held)
+        reach = np.where(np.asarray(pc.fill_null(pc.equal(held.column("origin"), "ocr"), False)), 0.88, C.FOOTER_FROM)
+        high = ~(held.column("y").to_numpy() > reach * held.column("ph").to_numpy())
+        most = np.maximum.reduceat(row, starts) + 1
+        group = (np.cumsum(most) - most)[page] + row
+        low = np.bincount(group, high)[group] == 0
+        # Months matter where a number may be a year.
+        lows = np.flatnonzero(low)
+        numbers = np.asarray(pc.match_substring_regex(held.column("text").take(pa.array(lows)), r"\d{4}"))
+        dated = np.flatnonzero(np.isin(page, page[lows[numbers]]))
+        keep = np.union1d(lows, dated[np.asarray(pc.match_substring_regex(held.column("text").take(pa.array(dated)), MONTHS, ignore_case=True))])
+        found = held.take(pa.array(keep)).append_column("row", pa.array(row[keep])).append_column("low", pa.array(low[keep]))
+        yield from found.combine_chunks().to_batches()
+
+
+def footers_of(rows: DataFrame, columns: list[str], dated: DataFrame, recurring: DataFrame | None = None) -> DataFrame:
+    """``footers`` among spans (columns) of rows that lie low altogether, with row and with pw, ph, body_size and origin of their page; dated: spans that are years."""
     key = [*PAGE, "row"]
-    years = date_years(spans).select(*PAGE, "ord").withColumn("dated", F.lit(True))
+    years = dated.select(*PAGE, "ord").withColumn("dated", F.lit(True))
     rows = rows.join(years, [*PAGE, "ord"], "left")
     if recurring is not None:
         rows = rows.join(recurring.select(*PAGE, "ord").distinct().withColumn("again", F.lit(True)), [*PAGE, "ord"], "left")
@@ -64,7 +100,7 @@ def footers(spans: DataFrame, pages: DataFrame, recurring: DataFrame | None = No
     small = trimmed(F.col("text")).rlike(NUMBER) & (F.col("width") < 0.08 * F.col("pw")) & (F.col("size") <= 1.4 * F.col("body_size"))
     held = rows.groupBy(*key, "pw", "ph", "origin").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "ord", "text"))), lambda s: s["text"]), "").alias("line"), F.min("x").alias("x"), F.min("y").alias("y"), (F.max(F.col("x") + F.col("width")) - F.min("x")).alias("width"),
-        F.bool_and(F.coalesce("again", F.lit(False)) | small).alias("all"), F.bool_or(F.coalesce("dated", F.lit(False))).alias("dated"), F.collect_list(F.struct(*spans.columns)).alias("spans"),
+        F.bool_and(F.coalesce("again", F.lit(False)) | small).alias("all"), F.bool_or(F.coalesce("dated", F.lit(False))).alias("dated"), F.collect_list(F.struct(*columns)).alias("spans"),
     )
     centred = F.abs(F.col("x") + F.col("width") / 2 - F.col("pw") / 2) < 0.08 * F.col("pw")
     scanned = trimmed(F.col("line")).rlike(NUMBER) & (F.col("y") > 0.88 * F.col("ph")) & (F.col("width") < 0.08 * F.col("pw")) & centred

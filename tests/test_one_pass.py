@@ -111,3 +111,14 @@ def test_lines_of_documents_deal_nothing_out(spark, documents):
 
 def test_paragraphs_deal_lines_out_twice(spark, documents):
     assert exchanges(harness.paragraphs_grouped_map(spark, documents)) == 2
+
+
+def test_footers_read_documents_once(spark, documents):
+    """As dealt out, where a document comes twice under other ids."""
+    found = harness.footer_lines(spark, documents)
+    assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()  # what can stand in a footer is settled
+    docs = spark.read.parquet(f"{documents}/documents.parquet")
+    docs.union(docs.where("doc_id = 3").withColumn("doc_id", F.lit(99).cast("long")).union(docs.where("doc_id = 3").selectExpr("99L", "text"))).write.parquet(f"{documents}/more/documents.parquet")
+    dealt = harness.footer_lines(spark, f"{documents}/more").where("doc_id < 99")
+    got = sorted(tuple(r) for r in found.collect())
+    assert got and got == sorted(tuple(r) for r in dealt.collect())
