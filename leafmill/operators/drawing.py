@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 from collections import deque
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafmill.functions import geometry as G
-from leafmill.operators.folds import ARROW, changes, dealt
+from leafmill.operators.folds import ARROW, changes, dealt, whole_rows
 from leafmill.operators.spans import PAGE
 
 #: What a page begins with, and what a restore without a save brings back.
@@ -449,19 +450,87 @@ def paint_runs(state: DataFrame) -> DataFrame:
     return state.where("op = 'show_text'").select(*PAGE, "i", "text", F.col("fill").alias("color"), mode.isin(1, 2).alias("bold"), mode.isin(3, 7).alias("invisible"))
 
 
-def appearance(spans: DataFrame, runs: DataFrame, slot: int = 64) -> DataFrame:
+def _places(texts: list[str], stream: str) -> list[int]:
+    """Where each text of a page begins in the whole stream of its paint, -1 if nowhere; as ``Aligned`` finds it."""
+    out, cursor = [], 0
+    for text in texts:
+        at = cursor
+        if stream.startswith(SOFT, at) and not text.startswith(SOFT):
+            at += 1
+        if not stream.startswith(text, at):
+            near = stream[at : at + AHEAD + len(text)]
+            ahead = near.find(text)
+            if ahead < 0 or near.find(text, ahead + 1) >= 0:
+                out.append(-1)
+                continue
+            at += ahead
+        out.append(at)
+        cursor = at + len(text)
+    return out
+
+
+#: What spans get from runs.
+SEEN = {"color": "string", "bold": "boolean", "invisible": "boolean"}
+
+
+def appearances(pages: list[tuple[list[str], str]], sizes: np.ndarray, color: pa.Array, flags: list[pa.Array]) -> tuple[np.ndarray, np.ndarray, list[pa.Array]]:
+    """(which texts are found, the last run of each, [color, *flags]) for pages of (texts, stream of paint).
+
+    sizes, color, flags: of all pages' runs, whose texts one after the other are
+    the streams.  A colour only if all runs of a text agree on it, a flag if all are.
+    """
+    chars = np.array([len(stream) for _, stream in pages], np.int64)
+    begins = np.cumsum(chars) - chars
+    at = np.array([p for texts, stream in pages for p in _places(texts, stream)], np.int64)
+    length = np.array([len(t) for texts, _ in pages for t in texts], np.int64)
+    found = np.flatnonzero(at >= 0)
+    start = at[found] + np.repeat(begins, [len(t) for t, _ in pages])[found]
+    ends = np.cumsum(sizes)
+    first, last = np.searchsorted(ends, start, "right"), np.searchsorted(ends, start + length[found] - 1, "right")
+    n = last - first + 1
+    at_run = np.cumsum(n) - n
+    runs = np.arange(n.sum()) - np.repeat(at_run - first, n)
+    coded = color.dictionary_encode()
+    code = np.asarray(pc.fill_null(coded.indices, -1)).astype(np.int64)[runs]
+    over = lambda f, v: f.reduceat(v, at_run) if len(at_run) else np.zeros(0, v.dtype)
+    most, least = over(np.maximum, code), over(np.minimum, np.where(code < 0, len(coded.dictionary), code))
+    made = [coded.dictionary.take(pa.array(np.where(most == least, most, 0), mask=most != least)) if len(coded.dictionary) else pa.nulls(len(found), pa.string())]
+    for flag in flags:
+        known = np.asarray(pc.is_valid(flag))[runs]
+        all_ = over(np.logical_and, np.asarray(pc.fill_null(flag, True))[runs])
+        made.append(pa.array(all_, mask=~over(np.logical_or, known)))
+    return found, last, made
+
+
+def appearance(spans: DataFrame, runs: DataFrame) -> DataFrame:
     """doc_id, page, ord, color, bold, invisible, paint_order: what spans get from the runs that painted them.
 
     A colour only if all runs agree on it (null otherwise), bold and invisible
-    if all are, and the latest run's number.  Runs and spans meet in slots of
-    ``slot`` characters.
+    if all are, and the latest run's number.  Spans and runs are dealt out once;
+    a page's text and paint are looked at together, as in ``aligned``.
     """
-    slots = lambda a, z: F.explode(F.sequence(F.floor(a / slot), F.floor((z - 1) / slot)))
-    r = _offsets(runs, "i").withColumn("_s", slots(F.col("from"), F.col("to"))).alias("r")
-    s = aligned(spans, runs).withColumn("_s", slots(F.col("start"), F.col("end"))).alias("s")
-    on = (F.col("s.doc_id") == F.col("r.doc_id")) & (F.col("s.page") == F.col("r.page")) & (F.col("s._s") == F.col("r._s")) & (F.col("r.from") < F.col("s.end")) & (F.col("s.start") < F.col("r.to"))
-    held = s.join(r, on).groupBy("s.doc_id", "s.page", "s.ord").agg(F.min("r.color").alias("a"), F.max("r.color").alias("z"), F.bool_and("r.bold").alias("bold"), F.bool_and("r.invisible").alias("invisible"), F.max("r.i").alias("paint_order"))
-    return held.select(*PAGE, "ord", F.when(F.col("a") == F.col("z"), F.col("a")).alias("color"), "bold", "invisible", "paint_order")
+    type_, step = dict(spans.dtypes)["ord"], dict(runs.dtypes)["i"]
+    void = lambda names: [F.lit(None).cast({**SEEN, "ord": type_, "i": step}[c]).alias(c) for c in names]
+    paint = runs.select(*PAGE, F.lit(0).alias("side"), "i", *void(["ord"]), _bare("text").alias("bare"), *SEEN)
+    text = spans.select(*PAGE, F.lit(1).alias("side"), *void(["i"]), "ord", _bare("text").alias("bare"), *void(SEEN))
+    rows = paint.unionByName(text).where("bare <> ''")
+    kinds = dict(rows.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, starts in whole_rows(batches, PAGE):
+            side, bare = held.column("side").to_numpy(), held.column("bare").to_pylist()
+            pages = []
+            for lo, hi in pairwise(np.append(starts, len(side)).tolist()):
+                cut = lo + int(np.searchsorted(side[lo:hi], 1))
+                pages.append((bare[cut:hi], "".join(bare[lo:cut])))
+            drawn_ = held.filter(pa.array(side == 0)).combine_chunks()
+            one = lambda t, c: pa.concat_arrays(t.column(c).chunks) if t.num_rows else pa.array([], t.schema.field(c).type)
+            found, last, made = appearances(pages, np.asarray(pc.utf8_length(one(drawn_, "bare"))).astype(np.int64), one(drawn_, "color"), [one(drawn_, c) for c in ("bold", "invisible")])
+            own = held.take(pa.array(np.flatnonzero(side == 1)[found])).combine_chunks()
+            yield pa.RecordBatch.from_arrays([*[one(own, c) for c in (*PAGE, "ord")], *made, one(drawn_, "i").take(pa.array(last))], [*PAGE, "ord", *SEEN, "paint_order"])
+
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in (*PAGE, "ord")], *[f"{c} {t}" for c, t in SEEN.items()], f"paint_order {step}"])
+    return dealt(rows, PAGE, ["side", "i", "ord"]).mapInArrow(run, schema)
 
 
 def advances(spans: DataFrame, glyphs: DataFrame, matched: DataFrame) -> DataFrame:

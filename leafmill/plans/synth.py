@@ -21,8 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def whole(spark: SparkSession, sf_dir: str) -> bool:
-    """Whether no doc_id comes twice: what is cut out of one row of ``documents`` is all of a document then, and needs no dealing out."""
-    return table(spark, sf_dir, "documents").groupBy("doc_id").count().where("count > 1").isEmpty()
+    """Whether no doc_id is missing or comes twice: what is cut out of one row of ``documents`` is all of a document then, and needs no dealing out."""
+    return table(spark, sf_dir, "documents").groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,6 +112,21 @@ def page_words(spark: SparkSession, sf_dir: str, per_page: int = 100) -> DataFra
     return pages.select("doc_id", "page", F.slice("w", (F.col("page") * per_page + 1).cast("int"), F.lit(per_page)).alias("words"))
 
 
+def word_batches(batches: Iterator[pa.RecordBatch], per_page: int = 100) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """``words`` of whole texts (doc_id, text) for an operator of the same pass, with where pages begin."""
+    for whole_ in batches:
+        for k in range(0, whole_.num_rows, TOGETHER):
+            batch = whole_.slice(k, TOGETHER)
+            cut = pc.split_pattern_regex(batch.column("text"), r"[ \t-\r]+")
+            of, text = pc.list_parent_indices(cut), pc.list_flatten(cut)
+            there = pc.not_equal(text, "")
+            of, text = of.filter(there), text.filter(there)
+            doc, n = of.to_numpy(), len(text)
+            first = np.maximum.accumulate(np.where(np.append(True, doc[1:] != doc[:-1])[:n], np.arange(n), 0))
+            at = np.arange(n) - first
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(of), pa.array(at // per_page), pa.array(at % per_page), text], ["doc_id", "page", "k", "text"]), np.flatnonzero(at % per_page == 0)
+
+
 WORDS_SQL = r"""words AS MATERIALIZED (
   SELECT doc_id, n // 100 AS page, n % 100 AS k, text FROM (
     SELECT doc_id, unnest(w) AS text, unnest(range(len(w))) AS n FROM (SELECT doc_id, [x for x in regexp_split_to_array(text, '[ \t-\r]+') if x <> ''] AS w FROM documents))

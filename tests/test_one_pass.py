@@ -122,3 +122,15 @@ def test_footers_read_documents_once(spark, documents):
     dealt = harness.footer_lines(spark, f"{documents}/more").where("doc_id < 99")
     got = sorted(tuple(r) for r in found.collect())
     assert got and got == sorted(tuple(r) for r in dealt.collect())
+
+
+def test_appearance_where_documents_are_read(spark, documents):
+    """Nothing is dealt out; as dealt out once, where a document comes twice under other ids."""
+    found = harness.text_appearance(spark, documents)
+    assert exchanges(found) == 0
+    docs = spark.read.parquet(f"{documents}/documents.parquet")
+    docs.union(docs.where("doc_id = 3").selectExpr("99L", "text").union(docs.where("doc_id = 3").selectExpr("99L", "text"))).write.parquet(f"{documents}/more/documents.parquet")
+    dealt = harness.text_appearance(spark, f"{documents}/more").where("doc_id < 99")
+    assert exchanges(dealt) == 1
+    got = sorted(map(repr, map(tuple, found.collect())))
+    assert got and got == sorted(map(repr, map(tuple, dealt.collect())))
