@@ -8,12 +8,21 @@ baselines, and no step holds a page as one value.
 
 from __future__ import annotations
 
+import math
+import re
+from collections.abc import Iterator
+from itertools import groupby, pairwise
+from statistics import median
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafmill import constants as C
 from leafmill.functions import geometry as G
+from leafmill.operators.folds import ARROW, dealt, whole_rows
 from leafmill.operators.spans import PAGE, islands
 from leafmill.shared import settled
 
@@ -272,3 +281,204 @@ def bands(spans: DataFrame, blocks: DataFrame, regions: DataFrame) -> DataFrame:
     placed = placed.withColumns({"column": column, "column_x": edge["x"], "column_width": edge["end"] - edge["x"]})
     place = F.row_number().over(W.partitionBy(*PAGE).orderBy("band", "column", "_band", "y", "x", "kind", "ord", "piece"))
     return placed.select(*PAGE, place.alias("place"), "band", "columns", "column", "column_x", "column_width", "top", "kind", "ord", "piece", "x", "y", "width", "height", "text")
+
+
+# Page by page
+
+#: Of a page: nodes and spans as tuples (kind, ord, piece, x, y, width, height, baseline, size, text), the latter with their line and order instead of the first three.
+BLOCK_ROWS = 256
+
+
+def _gutter(nodes: list[tuple], rx: float, rw: float, rh: float, body: float) -> tuple[float, float] | None:
+    """(left_end, right_start) of the best gutter of a region, as ``gutters`` finds it."""
+    lines = [n for n in nodes if n[0] == "line"]
+    narrow = sorted((n for n in lines if n[5] < 0.62 * rw), key=lambda n: (n[4], n[3], n[1], n[2]))
+    if len(narrow) < 4 or len(lines) - len(narrow) > 0.4 * len(narrow) or any(n[0] == "table" and n[5] > 0.8 * rw and n[6] > 0.5 * rh for n in nodes):
+        return None
+    x, y, w, h, base = np.array([n[3:8] for n in narrow], float).T
+    right, bottom, n = x + w, y + h, len(narrow)
+    least, gaps, prose_right, prose_x = max(C.GUTTER_MIN, C.GUTTER_SHARE * body), {}, math.inf, -math.inf
+    wide, broad = w > 0.32 * rw, w > 0.2 * rw
+    for k in range(0, n, BLOCK_ROWS):
+        # Neighbours (a, b) of which a comes first.
+        a, b = slice(k, min(n, k + BLOCK_ROWS)), slice(k, n)
+        col = lambda v: v[a, None]  # noqa: E731, B023
+        before = np.arange(n)[b] > col(np.arange(n))
+        drop, apart = base[b] - col(base), x[b] - col(x)
+        first = apart > 0
+        start, end = np.where(first, col(right), right[b]), np.where(first, x[b], col(x))
+        level = before & (y[b] - col(bottom) <= 1.5 * body) & (np.abs(drop) <= 1.5 * body) & (end - start >= least) & (start > rx + 0.2 * rw) & (end < rx + 0.8 * rw)
+        # Of pairs with one rounded gap the last one names it, the first one its rank.
+        for i, j in np.argwhere(level).tolist():
+            at = (start[i, j], end[i, j])
+            key = (math.floor(at[0] + 0.5), math.floor(at[1] + 0.5))
+            gaps[key] = (gaps[key][0] if key in gaps else (k + i, k + j), *at)
+        under = before & (drop > 0.6 * body) & (drop < body * np.where(col(wide) & wide[b], 5.0, 1.8)) & (np.abs(apart) < body) & col(broad) & broad[b]
+        if under.any():
+            prose_right = min(prose_right, np.maximum(col(right), right[b])[under].min())
+            prose_x = max(prose_x, np.minimum(col(x), x[b])[under].max())
+    rules = [(n[3], n[3] + n[5]) for n in nodes if n[0] == "rule" and n[5] < 0.65 * rw]
+    best = None
+    for rank, start, end in gaps.values():
+        left, late = right <= start + 1, x >= end - 1
+        nl, nr = int(left.sum()), int(late.sum())
+        if nl < 2 or nr < 2 or prose_right > start + 1 or prose_x < end - 1 or any(p <= start + 2 and q >= end - 2 for p, q in rules):
+            continue
+        ly, lb, ry, rb = y[left].min(), bottom[left].max(), y[late].min(), bottom[late].max()
+        top, low = max(ly, ry), min(lb, rb)
+        if not low - top > 0.4 * min(lb - ly, rb - ry):
+            continue
+        crossing = sum(1 for m in lines if m[4] >= top and m[4] + m[6] <= low and m[3] < end - 1 and m[3] + m[5] > start + 1)
+        if crossing <= max(2.0, 0.15 * (nl + nr)):
+            found = (4 * min(nl, nr) + nl + nr - 8 * crossing, start - end, -rank[0], -rank[1], float(right[left].max()), float(x[late].min()))
+            best = found if best is None else max(best, found)
+    return best and best[4:]
+
+
+def _pieces(spans: list[tuple], piece: list[int], blocks: list[tuple]) -> list[tuple]:
+    """The nodes of a page: pieces of its lines, and its blocks."""
+    held: dict[tuple, list] = {}
+    for s, p in zip(spans, piece, strict=True):
+        held.setdefault((s[0], p), []).append(s)
+    out = []
+    for (line, p), own in held.items():
+        x, y = min([s[2] for s in own]), min([s[3] for s in own])
+        sizes = [s[7] for s in own]
+        size, most = min(sizes), max(sizes)
+        main = own if size >= C.MAIN_SIZE_SHARE * most else [s for s in own if s[7] >= C.MAIN_SIZE_SHARE * most]
+        bases = [s[6] for s in main]
+        base, low = min(bases), max(bases)
+        text = " ".join([t for *_, t in sorted([(s[2], s[1], s[8]) for s in own])])
+        out.append(("line", line, p, x, y, max([s[2] + s[4] for s in own]) - x, max([s[3] + s[5] for s in own]) - y, base if base == low else median(bases), size if size == most else median([s[7] for s in main]), text))
+    return out + blocks
+
+
+def _page_gaps(spans: list[tuple], blocks: list[tuple], rx: float, rw: float, rh: float, body: float) -> list[tuple[float, float]]:
+    """(left_end, right_start) of up to three gutters from the left, as ``page_gutters``."""
+    least, piece, line, edge, at = max(C.GUTTER_MIN, C.GUTTER_SHARE * body), [], None, 0.0, 0
+    for s in spans:
+        if s[0] != line:
+            line, edge, at = s[0], -math.inf, 0
+        elif s[2] - edge >= least:
+            at += 1
+        edge = max(edge, s[2] + s[4])
+        piece.append(at)
+    nodes = _pieces(spans, piece, blocks)
+    first = _gutter(nodes, rx, rw, rh, body)
+    if first is None:
+        return []
+    left = [n for n in nodes if n[3] + n[5] <= first[0] + 1]
+    right = [n for n in nodes if not n[3] + n[5] <= first[0] + 1 and n[3] >= first[1] - 1]
+    return [g for g in (_gutter(left, rx, first[0] - rx, rh, body), first, _gutter(right, first[1], rx + rw - first[1], rh, body)) if g is not None]
+
+
+def _two_of(spans: list[tuple], blocks: list[tuple], region: tuple, gap: tuple[float, float]) -> tuple[list[tuple], list[tuple]]:
+    """(nodes with spanning and side, edges of the columns) of a page with one gutter."""
+    rx, _, rw, rh, body = region
+    least, ends = max(C.GUTTER_MIN, C.GUTTER_SHARE * body), {}
+    late = [s[2] >= gap[1] - 2 for s in spans]
+    for s, after in zip(spans, late, strict=True):
+        e = ends.setdefault(s[0], [-math.inf, math.inf])
+        if after:
+            e[1] = min(e[1], s[2])
+        else:
+            e[0] = max(e[0], s[2] + s[4])
+    apart = {k: a > -math.inf and z < math.inf and a + least <= z for k, (a, z) in ends.items()}
+    nodes = _pieces(spans, [1 if after and apart[s[0]] else 0 for s, after in zip(spans, late, strict=True)], blocks)
+    a, z = _gutter(nodes, rx, rw, rh, body) or gap
+    slack = max(2.0, 0.3 * body)
+    across = [n[3] < z - slack and n[3] + n[5] > a + slack for n in nodes]
+    # Lines on the baseline of one that crosses or has dotted leaders go with it.
+    rows = [(n[7], n[8]) for n, over in zip(nodes, across, strict=True) if n[0] == "line" and (over or re.search(LEADERS, n[9], re.ASCII))]
+    drawn = [n[0] == "line" and any(abs(b - n[7]) < 0.4 * max(s, n[8]) for b, s in rows) for n in nodes]
+    return [(*n, over or d, 0 if n[3] + n[5] / 2 < (a + z) / 2 else 1) for n, over, d in zip(nodes, across, drawn, strict=True)], [(rx, a), (z, rx + rw)]
+
+
+def _many_of(spans: list[tuple], blocks: list[tuple], region: tuple, gaps: list[tuple[float, float]]) -> tuple[list[tuple], list[tuple]]:
+    """The same for pages with several gutters."""
+    rx, _, rw, _, _ = region
+    # Pictures may stand out into the gutter.
+    images = [(b[3], b[3] + b[5]) for b in blocks if b[0] == "image"]
+    g = [(max([a, *[q for p, q in images if p < a and q < z - 3]]), z) for a, z in gaps]
+    edges = list(zip([rx, *[z for _, z in g]], [*[a for a, _ in g], rx + rw], strict=True))
+    # A span is in the last column that starts at most 2 pt after it.
+    part = [max(0, sum(s[2] >= x - 2 for x, _ in edges) - 1) for s in spans]
+    whole = {s[0] for s, p in zip(spans, part, strict=True) if p < len(g) and s[2] + s[4] > g[p][1] - 3}
+    nodes = _pieces(spans, [0 if s[0] in whole else p for s, p in zip(spans, part, strict=True)], blocks)
+    return [(*n, any(n[3] < z - 2 and n[3] + n[5] > a + 2 for a, z in g), sum(n[3] + n[5] / 2 >= (a + z) / 2 for a, z in g)) for n in nodes], edges
+
+
+def page_bands(spans: list[tuple], blocks: list[tuple], region: tuple) -> list[tuple]:
+    """(place, band, columns, column, column_x, column_width, top, kind, ord, piece, x, y, width, height, text) of a page; see ``bands``.
+
+    spans: line, ord, x, y, width, height, baseline, size, text, in order.  blocks: nodes.  region: x, y, width, height, body.
+    """
+    rx, ry, rw, rh, body = region
+    gaps = _page_gaps(spans, blocks, rx, rw, rh, body)
+    many = len(gaps) > 1
+    if not gaps:
+        nodes, edges = [(*n, True, 0) for n in _pieces(spans, [0] * len(spans), blocks)], [(rx, rx + rw)]
+    else:
+        nodes, edges = _many_of(spans, blocks, region, gaps) if many else _two_of(spans, blocks, region, gaps[0])
+    # Bands are the islands of spanning and other nodes from the top; at one height spanning nodes come first.
+    nodes.sort(key=lambda n: (n[4], not n[10], n[3], n[0], n[1], n[2]))
+    out, band, before, shown = [], -1, None, 0.0  # before: columns, start, last and lowest foot of the band before
+    for number, (spanning, group) in enumerate(groupby(nodes, key=lambda n: n[10])):
+        own = list(group)
+        feet = [n[4] + (max(n[6], 1.25 * n[8]) if n[0] == "line" else n[6]) for n in own]
+        columns = 1 if spanning or (not many and len({n[11] for n in own}) < 2) else len(edges)
+        # After a spanning band the cursor is its last node's foot; after another one it is the lowest so far since then.
+        start = None if spanning else before[2] if before else ry
+        top = start if not spanning else max(v for v in before[1::2] if v is not None) if before else ry
+        if many or columns != 1 or before is None or before[0] != 1:
+            band, shown = band + 1, top
+        before = (columns, start, feet[-1], max(feet))
+        for n in own:
+            column = 0 if columns == 1 else n[11]
+            x, end = (edges[0][0], edges[-1][1]) if columns == 1 else edges[column]
+            out.append(((band, column, number, n[4], n[3], n[0], n[1], n[2]), (band, columns, column, x, end - x, shown, *n[:7], n[9])))
+    return [(place, *v) for place, (_, v) in enumerate(sorted(out, key=lambda o: o[0]), 1)]
+
+
+#: What ``bands`` returns of a page.
+BAND = {"place": "int", "band": "bigint", "columns": "int", "column": "int", "column_x": "double", "column_width": "double", "top": "double", "kind": "string", "ord": "bigint", "piece": "bigint", **dict.fromkeys(("x", "y", "width", "height"), "double"), "text": "string"}
+
+
+def banded(keys: pa.Table | pa.RecordBatch, pages: list[list[tuple]]) -> pa.RecordBatch:
+    """Rows of ``page_bands`` under their page's keys, one row of keys for each page."""
+    which = np.repeat(np.arange(len(pages)), [len(p) for p in pages])
+    columns = zip(*[r for p in pages for r in p], strict=True) if len(which) else [()] * len(BAND)
+    made = [pa.array(list(v), ARROW[t]) for v, t in zip(columns, BAND.values(), strict=True)]
+    at = keys.take(pa.array(which, pa.int64()))
+    return pa.RecordBatch.from_arrays([*[c if isinstance(c, pa.Array) else c.combine_chunks() for c in (at.column(k) for k in PAGE)], *made], [*PAGE, *BAND])
+
+
+def read_in_bands(spans: DataFrame, blocks: DataFrame, regions: DataFrame) -> DataFrame:
+    """``bands``, with the same columns: what is on a page is dealt out once and passed through page by page, so a page has to fit a task."""
+    types = dict(spans.dtypes)
+    measured = ["x", "y", "width", "height", "baseline", "size"]
+
+    def side(df: DataFrame, number: int, line: Column, ord_: Column, kind: Column, baseline: Column, size: Column, text: Column) -> DataFrame:
+        page = [F.col(c).cast(types[c]).alias(c) for c in PAGE]
+        box = [F.col(c).cast("double").alias(c) for c in measured[:4]]
+        return df.select(*page, F.lit(number).alias("side"), line.cast("long").alias("line"), ord_.cast("long").alias("ord"), kind.cast("string").alias("kind"), *box, baseline.cast("double").alias("baseline"), size.cast("double").alias("size"), text.cast("string").alias("text"))
+
+    none = F.lit(None)
+    rows = side(regions, 0, none, none, none, none, F.col("body"), none).unionByName(side(blocks, 1, none, F.col("ord"), F.col("kind"), none, none, none))
+    rows = rows.unionByName(side(spans, 2, F.col("line"), F.col("ord"), none, F.col("baseline"), F.col("size"), F.col("text"))).where("doc_id is not null and page is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, starts in whole_rows(batches, PAGE):
+            sides = held.column("side").to_numpy()
+            values = list(zip(*[held.column(c).to_pylist() for c in ("line", "ord", *measured, "text", "kind")], strict=True))
+            first, pages = [], []
+            for lo, hi in pairwise(np.append(starts, len(sides)).tolist()):
+                a, b = (lo + int(k) for k in np.searchsorted(sides[lo:hi], (1, 2)))
+                if a > lo:
+                    region = values[lo][2:6] + (values[lo][7],)
+                    pages.append(page_bands([v[:9] for v in values[b:hi]], [(v[9], v[1], 0, *v[2:6], None, None, None) for v in values[a:b]], region))
+                    first.append(lo)
+            yield banded(held.take(pa.array(first, pa.int64())), pages)
+
+    schema = ", ".join([*[f"{c} {types[c]}" for c in PAGE], *[f"{c} {t}" for c, t in BAND.items()]])
+    return dealt(rows, PAGE, ["side", "line", "ord"]).mapInArrow(run, schema)

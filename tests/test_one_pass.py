@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 
 import pytest
+import test_bands
+from leafmill.operators import bands as B
 from leafmill.operators import drawing as Z
 from leafmill.operators import lines as L
 from leafmill.plans import harness
@@ -134,3 +136,13 @@ def test_appearance_where_documents_are_read(spark, documents):
     assert exchanges(dealt) == 1
     got = sorted(map(repr, map(tuple, found.collect())))
     assert got and got == sorted(map(repr, map(tuple, dealt.collect())))
+
+
+@pytest.mark.parametrize("name", [n for n in dir(test_bands) if n.startswith("test_") and "broadcast" not in n and "gutter_" not in n])
+def test_pages_are_read_in_bands_as_the_joins_read_them(spark, monkeypatch, name):
+    monkeypatch.setattr(B, "bands", B.read_in_bands)
+    getattr(test_bands, name)(spark)
+
+
+def test_reading_order_deals_nothing_out(spark, documents):
+    assert exchanges(harness.reading_order(spark, documents)) == 0
