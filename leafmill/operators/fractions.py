@@ -7,14 +7,18 @@ spans around them and are passed through in order, with what earlier ones took.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
+from leafmill import constants as C
 from leafmill.functions import geometry as G
 from leafmill.operators import lines as L
 from leafmill.operators.spans import PAGE
@@ -143,6 +147,102 @@ def _served(candidates: DataFrame, ord_type: str) -> DataFrame:
     return candidates.mapInArrow(run, StructType([*[f for f in candidates.schema.fields if f.name in kept], *more]))
 
 
+def _mended(text: str, like: str, pattern: str, to: str) -> str | None:
+    return re.sub(pattern, to, text) if re.search(like, text) else None
+
+
+def _read(side: list[dict], texts: dict) -> str:
+    """As ``lines._text``, with texts as mended."""
+    out, end, last = "", None, 0.0
+    for s in sorted(side, key=lambda s: (s["x"], s["ord"])):
+        text = texts.get(s["ord"], s["text"])
+        if end is not None:
+            gap, small = s["x"] - end, min(last, s["size"])
+            if gap > max(C.GAP_MIN, C.GAP_SHARE * small):
+                out += "\t"
+            elif gap > C.SPACE_SHARE * small and out and not out.endswith(" ") and not text.startswith(" "):
+                out += " "
+        out, end, last = out + text, s["x"] + s["width"], s["size"]
+    return out
+
+
+def stacked(of: np.ndarray, span: dict[str, np.ndarray], text: pa.Array, math: np.ndarray, at: np.ndarray, bar: dict[str, np.ndarray]) -> list[tuple]:
+    """(bar, size, numerator, denominator) of the fractions of many pages, as ``fractions`` finds them.
+
+    of: the page of each span, counted from 0; span: ord, x, y, width, baseline, size
+    of native spans with text; math: in a mathematical font.  at: the page of each
+    bar, which come by page and in their order; bar: x, end, y.  Bars meet the spans
+    near their height, and only those with both sides and a sign are served one by one.
+    """
+    if not len(of) or not len(at):
+        return []
+    x, y, base, size = (span[c] for c in ("x", "y", "baseline", "size"))
+    right, sign = x + span["width"], np.asarray(pc.match_substring_regex(text, SIGNS))
+    most = np.zeros(max(of.max(), at.max()) + 1)
+    np.maximum.at(most, of, size)
+    least = min(base.min(), bar["y"].min())
+    page = max(base.max(), bar["y"].max()) - least + 4 * most.max() + 1
+    order = np.lexsort((base, of))
+    key, middle, reach = (of * page + (base - least))[order], at * page + (bar["y"] - least), 1.8 * most[at] + 0.001
+    lo, hi = np.searchsorted(key, middle - reach, "left"), np.searchsorted(key, middle + reach, "right")
+    n = hi - lo
+    b = np.repeat(np.arange(len(at)), n)
+    s = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - lo, n)]
+    bx, be, by, m = bar["x"][b], bar["end"][b], bar["y"][b], most[at][b]
+    low = base[s] - 1.8 * m
+    near = (of[s] == at[b]) & (m > 0) & (low <= by) & (by <= low + 3.6 * m)
+    within = near & (x[s] >= bx - 2) & (right[s] <= be + 2)
+    over = within & (base[s] <= by - 0.3 * size[s]) & (base[s] >= by - 1.8 * size[s])
+    under = within & ~over & (y[s] >= by - 1) & (base[s] > by + 0.3 * size[s]) & (base[s] <= by + 1.8 * size[s])
+    largest = np.zeros(len(at))
+    np.maximum.at(largest, b[over], size[s[over]])
+    top = largest[b]
+    beside = near & ((right[s] <= bx + 2) | (x[s] >= be - 2))
+    told = beside & sign[s] & (np.abs(base[s] - by) < 0.5 * top) & (((right[s] <= bx + 2) & (bx - right[s] < 2 * top)) | ((x[s] >= be - 2) & (x[s] - be < top)))
+    some = lambda mask: np.bincount(b[mask], minlength=len(at)) > 0
+    good = some(over) & some(under) & some(told)
+    marks = beside & (sign | math)[s]
+    # Bars with one span on each side that no other bar reaches for, and nothing to mend, need no turn.
+    part = (over | under) & good[b]
+    alone = np.bincount(s[part], minlength=len(of)) == 1
+    busy = np.bincount(b[part & ~alone[s] | (part | marks) & math[s]], minlength=len(at)) > 0
+    single = good & ~busy & (np.bincount(b[over], minlength=len(at)) == 1) & (np.bincount(b[under], minlength=len(at)) == 1)
+    up, down = (s[mask & single[b]] for mask in (over, under))
+    own = np.flatnonzero(single)
+    off = lambda v: np.abs((x[v] + right[v]) / 2 - (bar["x"][own] + bar["end"][own]) / 2)
+    fit = np.maximum(off(up), off(down)) <= np.maximum(3.0, 0.5 * size[up])
+    out = list(zip(own[fit].tolist(), size[up[fit]].tolist(), *[text.take(pa.array(v[fit])).to_pylist() for v in (up, down)], strict=True))
+    good &= ~single
+    keep = np.flatnonzero(good[b] & (over | under | marks))
+    used, which = np.unique(s[keep], return_inverse=True)
+    values = zip(*[v[used].tolist() for v in (span["ord"], x, right, span["width"], y, base, size, sign, math)], text.take(pa.array(used)).to_pylist(), strict=True)
+    none = {"opens": None, "closes": None, "both": None}
+    spans = [
+        {"ord": o, "x": l_, "right": r, "width": w, "y": t, "baseline": v, "size": z, "sign": g, "text": c, "opens": _mended(c, r"×\s*&$", "&$", "(") if f else None, "closes": _mended(c, "^'", "^'", ")") if f else None, "math": f}
+        for o, l_, r, w, t, v, z, g, f, c in values
+    ]
+
+    def sums(d: dict) -> dict:
+        if not d["math"]:
+            return none
+        opens, closes = _mended(d["text"], r"^∑\+", r"^∑\+", "∑("), _mended(d["text"], ",$", ",$", ")")
+        return {"opens": opens, "closes": closes, "both": re.sub(",$", ")", opens) if opens is not None and closes is not None else None}
+
+    number, state = None, None
+    starts = np.flatnonzero(np.append(True, b[keep][1:] != b[keep][:-1])) if len(keep) else np.zeros(0, np.int64)
+    bars = b[keep][starts]
+    which, role = which.tolist(), (over[keep] * 1 + under[keep] * 2 + marks[keep] * 4).tolist()
+    for k, p, i, j, *v in zip(bars.tolist(), at[bars].tolist(), starts.tolist(), np.append(starts[1:], len(keep)).tolist(), *[bar[c][bars].tolist() for c in ("x", "end", "y")], strict=True):
+        if p != number:
+            number, state = p, _Page()
+        n_, d_, m_ = ([spans[w] for w, r in zip(which[i:j], role[i:j], strict=True) if r & f] for f in (1, 2, 4))
+        m_ = [x_ for x_ in m_ if x_["sign"] or x_["opens"] is not None or x_["closes"] is not None]
+        if (got := state(*v, n_, d_, m_, [sums(x_) for x_ in n_])) is not None:
+            taken, now = set(got[1]), dict(got[3])
+            out.append((k, got[0], *[_read([x_ for x_ in side if x_["ord"] in taken], now) for side in (n_, d_)]))
+    return out
+
+
 def fractions(spans: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(fractions, members, texts) of native pages.
 

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import test_bands
 from leafmill.operators import bands as B
 from leafmill.operators import drawing as Z
+from leafmill.operators import fractions as A
 from leafmill.operators import lines as L
 from leafmill.plans import harness
 from pyspark.sql import functions as F
@@ -146,3 +149,35 @@ def test_pages_are_read_in_bands_as_the_joins_read_them(spark, monkeypatch, name
 
 def test_reading_order_deals_nothing_out(spark, documents):
     assert exchanges(harness.reading_order(spark, documents)) == 0
+
+
+def test_fractions_where_documents_are_read(spark, documents):
+    """Nothing is dealt out; as the operator finds them, where a document comes twice under other ids."""
+    found = harness.stacked_fractions(spark, documents)
+    assert exchanges(found) == 0
+    docs = spark.read.parquet(f"{documents}/documents.parquet")
+    docs.union(docs.where("doc_id = 3").selectExpr("99L", "text").union(docs.where("doc_id = 3").selectExpr("99L", "text"))).write.parquet(f"{documents}/more/documents.parquet")
+    dealt = harness.stacked_fractions(spark, f"{documents}/more").where("doc_id < 99")
+    got = sorted(tuple(r) for r in found.collect())
+    assert got and got == sorted(tuple(r) for r in dealt.collect())
+
+
+def test_stacked_equals_fractions_on_random_pages(spark):
+    rng, spans, rules = random.Random(6), [], []
+    texts = ["x", "2", "=", "a=", "y,", "∑+b", "c × &", "'d", "∑+e,"]
+    for page in range(120):
+        for k in range(rng.choice([12, 20, 45])):
+            y, place = 20.0 * (1 + k // 3 % 12), rng.choice(["over", "over", "side", "side", "left"])
+            base = y - 5 if place == "over" else y + rng.choice([0, 1])
+            x, width = {"over": (rng.choice([100, 110, 120]), rng.choice([15, 20, 40])), "side": (162, 20), "left": (76, 20)}[place]
+            spans.append(("d", page, k, rng.choice(texts), float(x), base - 10, float(width), 12.0, base, rng.choice([8.0, 12.0, 12.0, 12.0]), "pdf", rng.choice(["CambriaMath", "Serif"])))
+        rules += [("d", page, k, 100.0, 20.0 * y, float(rng.choice([140, 150, 160])), 20.0 * y) for k, y in enumerate(rng.sample(range(1, 13), 8))]
+    made = A.fractions(
+        spark.createDataFrame(spans, "doc_id string, page int, ord int, text string, x double, y double, width double, height double, baseline double, size double, source string, font string"),
+        spark.createDataFrame(rules, "doc_id string, page int, ord int, x1 double, y1 double, x2 double, y2 double"),
+    )[0]
+    want = sorted((r.page, r.bar, r.size, r.numerator, r.denominator) for r in made.collect())
+    column = lambda rows, k: np.array([r[k] for r in rows])
+    span = {c: column(spans, k) for c, k in (("ord", 2), ("x", 4), ("y", 5), ("width", 6), ("baseline", 8), ("size", 9))}
+    found = A.stacked(column(spans, 1), span, pa.array([r[3] for r in spans]), column(spans, 11) == "CambriaMath", column(rules, 1), {"x": column(rules, 3), "end": column(rules, 5), "y": column(rules, 4)})
+    assert len(want) > 8 and sorted((rules[f[0]][1], rules[f[0]][2], *f[1:]) for f in found) == want
